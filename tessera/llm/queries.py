@@ -5,10 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import pack_documents, text_cluster
+
+    docs = table(spark, sf_dir, "documents")
+    # a byte-level model's tokens, and one that ends the document
+    length = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    return pack_documents(docs, length, 16_384, F.col("source"), text_cluster(F.col("text")), per_source=2)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.bpe import encode_documents
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.bpe import section_token_counts
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return section_token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, boundary="\n", rule="first")
+
+
+def op9_token_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.simple8b import stored_documents, write_blocks
+
+    blocks = write_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return stored_documents(blocks)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import simhash_components
 
@@ -16,6 +53,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op8_token_counts": op8_token_counts,
+    "op9_token_id_blocks": op9_token_id_blocks,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
