@@ -19,6 +19,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, length, 16_384, F.col("source"), text_cluster(F.col("text")), per_source=2)
 
 
+def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import pii_spans
+
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +60,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_pii_disclosure": op5_pii_disclosure,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_token_id_blocks": op9_token_id_blocks,
