@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 
+def op1_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op2_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import fit, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity(docs, model).select("doc_id", "severity", "grade", "p_toxic", "toxic")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack_documents, text_cluster
 
@@ -19,6 +33,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, length, 16_384, F.col("source"), text_cluster(F.col("text")), per_source=2)
 
 
+def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.audio import audio_features
+
+    return audio_features(table(spark, sf_dir, "documents"))
+
+
 def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pii import pii_spans
 
@@ -34,6 +54,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,9 +85,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multiprobe_neighbours": op1_multiprobe_neighbours,
+    "op2_toxicity_grades": op2_toxicity_grades,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_audio_features": op4_audio_features,
     "op5_pii_disclosure": op5_pii_disclosure,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_secret_grammar": op7_secret_grammar,
     "op8_token_counts": op8_token_counts,
     "op9_token_id_blocks": op9_token_id_blocks,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
