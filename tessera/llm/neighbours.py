@@ -323,7 +323,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 16,
     blocks = max(1, -(-told["n"] // CELL_ROWS))
     none = F.lit(None).cast("array<long>")
     one = nodes.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("cell"), F.lit(0).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "id", F.col("vector").cast(kind).alias("vector"), none.alias("probes"))
-    other = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("cell"), F.lit(0).alias("salt"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "id", F.col("vector").cast(kind).alias("vector"), none.alias("probes"))
+    other = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("cell"), F.lit(0).alias("salt"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "id", F.col("vector").cast(kind).alias("vector"), none.alias("probes"))
     exact = ranked(_top(_met(one.unionByName(other), k + 1, everything=True), k + 1))
     return best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
 
