@@ -28,7 +28,7 @@ def test_toxicity_held_out(spark, odd, empty):
     plain, bad = [f"word{i}" for i in range(80)], ["idiot", "moron", "clown"]
     text = lambda t: " ".join(rng.choices(plain, k=40) + (rng.choices(bad, k=4) if t else []))
     rows = [(i, text(i % 3 == 0), i % 3 == 0) for i in range(600)]
-    docs = spark.createDataFrame([(i, t.replace("word", "w" * 3) if False else t) for i, t, _ in rows], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     letters = docs.withColumn("text", F.translate("text", "0123456789", "abcdefghij"))
     labels = spark.createDataFrame([(i, 1, int(b)) for i, _, b in rows[:400]], "doc_id long, quality int, toxic int")
     model = fit(letters, labels)
