@@ -67,6 +67,23 @@ def test_near_duplicates(spark):
     assert all(got[1000 + i] in (i, 1000 + i) for i in range(60))
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    rows = []
+    for i in range(100):
+        base = rng.choices(words, k=400)
+        changed = list(base)
+        for at in (40, 110, 180, 250, 290, 330, 370)[: 6 + i % 2]:
+            changed[at] = "zzz"
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(changed))]
+    sets = {i: set(hashes(t, 5).tolist()) for i, t in rows}
+    alike = {i for i in range(100) if len(sets[i] & sets[1000 + i]) >= 0.8 * len(sets[i] | sets[1000 + i])}
+    got = {r["id"]: r["group"] for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(alike) > 90 and sum(got[1000 + i] == i for i in alike) >= 0.85 * len(alike)
+    assert all(got[1000 + i] == 1000 + i for i in range(100) if i not in alike)
+
+
 def brute(rows, k):
     at = {}
     for i, v in rows:
