@@ -134,13 +134,13 @@ def _spanning(check: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarra
 
 
 def group_links(most: int, limit: int | None, small: int = 12):
-    """mapInArrow function over rows (key, node, check) sorted by key: (a, b, kind) with a < b.
+    """mapInArrow function over rows (key, node, check, known) sorted by key: (a, b, kind) with a < b.
 
-    kind 0: an edge. Groups of up to `small` rows give all verified pairs, larger ones a spanning forest.
+    Nodes with one `known` are connected already, so edges between them are left out. kind 0: an edge. Groups of up to `small` rows give all verified pairs, larger ones a spanning forest.
     kind 1: a member (b: check) of a group beyond `limit`, for another pass.
     """
 
-    def edges(key, node, check):
+    def edges(key, node, check, known):
         a, b = [], []
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
@@ -148,7 +148,7 @@ def group_links(most: int, limit: int | None, small: int = 12):
         for step in range(1, small):
             if step >= len(key):
                 break
-            near = (key[step:] == key[:-step]) & ~big[step:]
+            near = (key[step:] == key[:-step]) & ~big[step:] & (known[step:] != known[:-step])
             at = np.flatnonzero(near)
             if not len(at):
                 break
@@ -162,9 +162,10 @@ def group_links(most: int, limit: int | None, small: int = 12):
                 over_node.append(node[rows])
                 over_check.append(check[rows])
                 continue
-            x, y = _spanning(check[rows], node[rows], most)
-            a.append(x)
-            b.append(y)
+            x, y = _spanning(check[rows], np.arange(starts[at], starts[at] + sizes[at]), most)
+            new = known[x] != known[y]
+            a.append(node[x[new]])
+            b.append(node[y[new]])
         return a, b, over_node, over_check
 
     def batch_of(a, b, over_node, over_check):
@@ -180,50 +181,52 @@ def group_links(most: int, limit: int | None, small: int = 12):
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(kind)], names=["a", "b", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, check = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        none = np.zeros(0, dtype=np.int64)
+        key = node = check = known = none
         over = None  # the key whose group is already known to be beyond the limit
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            key, node, check = (np.concatenate(x) for x in zip((key, node, check), new, strict=True))
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            key, node, check, known = (np.concatenate(x) for x in zip((key, node, check, known), new, strict=True))
             if not len(key):
                 continue
             if over is not None:
                 end = np.searchsorted(key, over, side="right")
                 if end:
                     yield batch_of([], [], [node[:end]], [check[:end].view(np.uint64)])
-                    key, node, check = key[end:], node[end:], check[end:]
+                    key, node, check, known = key[end:], node[end:], check[end:], known[end:]
                 if len(key):
                     over = None
                 else:
                     continue
             cut = int(np.searchsorted(key, key[-1], side="left"))
             if cut:
-                yield batch_of(*edges(key[:cut], node[:cut], check[:cut].view(np.uint64)))
-                key, node, check = key[cut:], node[cut:], check[cut:]
+                yield batch_of(*edges(key[:cut], node[:cut], check[:cut].view(np.uint64), known[:cut]))
+                key, node, check, known = key[cut:], node[cut:], check[cut:], known[cut:]
             if limit is not None and len(key) > limit:
                 over = key[0]
                 yield batch_of([], [], [node], [check.view(np.uint64)])
-                key, node, check = (np.zeros(0, dtype=np.int64) for _ in range(3))
+                key = node = check = known = none
         if len(key):
-            yield batch_of(*edges(key, node, check.view(np.uint64)))
+            yield batch_of(*edges(key, node, check.view(np.uint64), known))
 
     return run
 
 
 def _met(keyed: DataFrame, most: int, limit: int | None) -> DataFrame:
-    """Rows (key, node, check) brought together by key and linked within each group."""
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
+    """Rows (key, node, check, known) brought together by key and linked within each group."""
+    dealt = keyed.select("key", "node", "check", "known").repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(group_links(most, limit), "a long, b long, kind int")
 
 
 def near_links(prints: DataFrame, layout: Sequence[tuple[int, int, int]], most: int, limit: int = 1 << 14) -> DataFrame:
     """Edges (a, b) that connect what is connected by steps of at most `most` differing bits in `check`.
 
-    prints: (node, words array<long>, check long), one row for each distinct fingerprint. Groups of more than `limit`
+    prints: (node, words array<long>, check long, known long), one row for each distinct fingerprint; nodes with one
+    `known` are connected already and need no edge. Groups of more than `limit`
     rows under one key are handled by a second, finer pass: for up to 2 bits by keys with both bits blanked, under
     which at most four fingerprints meet; beyond that by one-wildcard variants of eighths of `check`.
     """
-    keyed = prints.select(F.explode(variants(F.col("words"), layout)).alias("key"), "node", "check")
+    keyed = prints.select(F.explode(variants(F.col("words"), layout)).alias("key"), "node", "check", "known")
     found = materialize(_met(keyed, most, limit))
     edges = found.where("kind = 0").select("a", "b")
     hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("check")).distinct()
@@ -235,7 +238,7 @@ def near_links(prints: DataFrame, layout: Sequence[tuple[int, int, int]], most:
         more = star.select(F.element_at("all", 1).alias("a"), F.explode(F.slice("all", 2, 4)).alias("b"))
     else:
         eighths = [(0, 8 * i, 8) for i in range(8)]
-        finer = hot.select(F.explode(variants(F.array("check"), eighths)).alias("key"), "node", "check")
+        finer = hot.select(F.explode(variants(F.array("check"), eighths)).alias("key"), "node", "check", F.col("node").alias("known"))
         more = _met(finer, most, None).where("kind = 0").select("a", "b")
     # without oversized groups the finer pass would only add empty jobs
     return edges if hot.isEmpty() else edges.unionByName(more)
@@ -251,7 +254,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("two segments of 32 bits find up to 3 differing bits")
     prints = materialize(fingerprints(docs, id_col, text_col, ngram).select("id", F.col("words")[0].alias("fp")))
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null"))
-    given = nodes.select("node", F.array("fp").alias("words"), F.col("fp").alias("check"))
+    given = nodes.select("node", F.array("fp").alias("words"), F.col("fp").alias("check"), F.col("node").alias("known"))
     joined = materialize(components(near_links(given, [(0, 0, 32), (0, 32, 32)], most, limit)))
     named = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     out = prints.join(materialize(named), "fp", "left")
@@ -262,9 +265,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-#: Of seven planes, six are indexed in three segments each, the last screens pairs, and all judge similarity.
+#: Of seven planes, six are indexed in three segments each, in two passes; the last screens pairs, and all judge.
 PLANES = 7
-SEGMENTS = [(plane, shift, bits) for plane in range(PLANES - 1) for shift, bits in ((0, 22), (22, 21), (43, 21))]
+PASSES = [[(plane, shift, bits) for plane in planes for shift, bits in ((0, 22), (22, 21), (43, 21))] for planes in ((0, 1, 2), (3, 4, 5))]
 SCREEN = 15
 
 
@@ -302,25 +305,36 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = materialize(fingerprints(source, "id", "text", ngram, PLANES, distinct=True).where("id is not null"))
     nodes = materialize(prints.groupBy("set_key").agg(F.min("id").alias("node"), F.first("words").alias("words")))
-    pairs = near_links(nodes.select("node", "words", F.col("words")[PLANES - 1].alias("check")), SEGMENTS, SCREEN, limit=1 << 16).distinct()
-    ends = nodes.select("node", "words")
+    named = nodes.select("set_key", "node", "words", F.col("node").alias("group"))
+    for layout in PASSES:
+        joined = _linked(named, layout, source, ngram, similarity)
+        named = materialize(named.join(joined, F.col("group") == F.col("joined"), "left").select("set_key", "node", "words", F.coalesce("component", "group").alias("group")))
+    return prints.select("id", "set_key").join(named.select("set_key", "group"), "set_key").select("id", "group")
+
+
+def _linked(nodes: DataFrame, layout: Sequence[tuple[int, int, int]], source: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """(joined, component): which groups of nodes (node, words, group) one pass over the planes of `layout` joins.
+
+    Only pairs of different groups are looked at: one within a group tells nothing new.
+    """
+    given = nodes.select("node", "words", F.col("words")[PLANES - 1].alias("check"), F.col("group").alias("known"))
+    pairs = near_links(given, layout, SCREEN, limit=1 << 16).distinct()
     apart = sum((F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k])) for k in range(PLANES)), F.lit(0))
     told = materialize(
-        pairs.join(ends.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
-        .join(ends.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
-        .select("a", "b", apart.alias("bits"))
+        pairs.join(nodes.select(F.col("node").alias("a"), F.col("words").alias("wa"), F.col("group").alias("ga")), "a")
+        .join(nodes.select(F.col("node").alias("b"), F.col("words").alias("wb"), F.col("group").alias("gb")), "b")
+        .select("a", "b", "ga", "gb", apart.alias("bits"))
     )
     expected = 64 * PLANES * share_of_bits(similarity)
-    sure = materialize(components(told.where(F.col("bits") < 0.6 * expected).select("a", "b")))
+    sure = materialize(components(told.where(F.col("bits") < 0.6 * expected).select(F.col("ga").alias("a"), F.col("gb").alias("b")).where("a <> b")))
     open_pairs = told.where((F.col("bits") >= 0.6 * expected) & (F.col("bits") <= 1.5 * expected))
-    # a pair within one group tells nothing new
     within = (
-        open_pairs.join(sure.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        .join(sure.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        .select("a", "b")
+        open_pairs.join(sure.select(F.col("node").alias("ga"), F.col("component").alias("ca")), "ga", "left")
+        .join(sure.select(F.col("node").alias("gb"), F.col("component").alias("cb")), "gb", "left")
+        .select("a", "b", F.coalesce("ca", "ga").alias("ca"), F.coalesce("cb", "gb").alias("cb"))
+        .where("ca <> cb")
     )
-    counted = _similar(materialize(within), source, ngram, similarity)
-    joined = materialize(components(sure.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(counted)))
-    named = nodes.join(joined, "node", "left").select("set_key", F.coalesce("component", "node").alias("group"))
-    return prints.select("id", "set_key").join(materialize(named), "set_key").select("id", "group")
+    asked = materialize(within)
+    counted = asked.join(_similar(asked.select("a", "b"), source, ngram, similarity), ["a", "b"], "left_semi")
+    edges = sure.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(counted.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return materialize(components(edges.where("a <> b")).select(F.col("node").alias("joined"), "component"))
