@@ -68,7 +68,7 @@ def copied_runs(docs: DataFrame, run: int = 2, common: int = 60) -> DataFrame:
     """(one, one_at, two, two_at, lines): runs of `run` equal lines or more in two documents, places from 1.
 
     A seat is paired with the next seat of its line in another document only. Lines in more than `common` seats begin
-    no run, as the reference behaviour has it; they are found by their count before any pairing.
+    no run; they are found by their count before any pairing.
     """
     all_seats = seats(docs).where(~dull(F.col("line")))
     frequent = all_seats.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n").between(2, common))
