@@ -97,16 +97,17 @@ def unit_fold(edges: DataFrame, units: DataFrame) -> DataFrame:
 def same_people(names: DataFrame, least: int = 5) -> DataFrame:
     """(id, person): identities (id, name) whose normalised names begin one another, as one person, the least id.
 
-    Names are lowered letters and digits; only those of `least` characters or more meet. Candidates share their first
-    characters, so no name is compared with all.
+    Names are lowered letters and digits; only those of `least` characters or more meet. Each different name is linked
+    with its longest beginning that is itself a name, which connects what begins one another without comparing pairs.
     """
-    plain = names.select("id", F.regexp_replace(F.lower("name"), "[^a-z0-9]", "").alias("name"))
-    long = written(plain.where(F.length("name") >= least).withColumn("head", F.left("name", F.lit(least))))
-    a, b = long.select("head", F.col("id").alias("src"), F.col("name").alias("short")), long.select("head", F.col("id").alias("dst"), F.col("name").alias("long"))
-    pairs = a.join(b, "head").where(F.col("long").startswith(F.col("short")) & (F.col("src") != F.col("dst"))).select("src", "dst")
+    plain = written(names.select("id", F.regexp_replace(F.lower("name"), "[^a-z0-9]", "").alias("name")))
+    known = plain.where(F.length("name") >= least).groupBy("name").agg(F.min("id").alias("first"))
+    heads = known.where(F.length("name") > least).select("name", F.explode(F.transform(F.sequence(F.lit(least), F.length("name") - 1), lambda n: F.left(F.col("name"), n))).alias("head"))
+    met = heads.join(known.select(F.col("name").alias("head"), F.col("first").alias("dst")), "head")
+    pairs = met.groupBy("name").agg(F.max_by("dst", F.length("head")).alias("dst")).join(known, "name").select(F.col("first").alias("src"), "dst")
     edges = written(pairs.union(pairs.select("dst", "src")).distinct())
-    marks = _least_reached(edges, plain.select(F.col("id").alias("node")))
-    return marks.select(F.col("node").alias("id"), F.col("mark").alias("person"))
+    marks = _least_reached(edges, known.select(F.col("first").alias("node"))).join(known, F.col("node") == F.col("first"))
+    return plain.join(marks.select("name", "mark"), "name", "left").select("id", F.coalesce("mark", "id").alias("person"))
 
 
 def route_links(clients: DataFrame, endpoints: DataFrame, hosts: list[str] | None = None) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import compare, exports, graph, history, markup, text
+from tessera.operators import compare, exports, graph, history, manifests, markup, text, units
 from tessera.sources.tables import activity, changes, commits, files, partners, table, trade
-from tessera.streaming.activity import sessions, windowed
+from tessera.streaming.activity import believable, sessions, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -345,3 +345,104 @@ def activity_windows(spark, at):
   SELECT who, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*)::BIGINT AS n FROM s GROUP BY who, k""")
 def activity_sessions(spark, at):
     return sessions(activity(spark, at))
+
+
+UNITS = "u AS (SELECT n_nationkey AS node, r_name AS unit FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+MANIFESTS = [
+    ("a/package.json", '{"dependencies": {"react": "^18.0"}, "devDependencies": {"vite": "5"}}'), ("b/package.json", "not json"), ("c/Cargo.toml", '[package]\nname = "x"\n[dependencies]\nserde = { version = "1.0", features = ["a"] } # said\nrand = "0.8"\nown = { path = "../own" }\n[dev-dependencies.tokio]\nversion = "1"\nfull = true'),
+    ("requirements-dev.txt", "pytest>=7 ; python_version > '3'\n# no\n-r other.txt\nrequests[socks] == 2.0"), ("d/build.gradle", "dependencies {\n  implementation 'g:a:1.2'\n  testImplementation(\"h:b\")\n}"), ("pom.xml", "<dependency>\n<groupId>g</groupId><artifactId>z</artifactId><scope>test</scope></dependency>"),
+    ("CMakeLists.txt", "find_package(Boost REQUIRED)\nfetchcontent_declare( fmt )"), ("go.mod", "module x\nrequire (\n\tgithub.com/a/b v1.2.3\n)"), ("pubspec.yaml", "name: x\ndependencies:\n  flutter:\n    sdk: flutter\n  http: ^1.0 # said\ndev_dependencies:\n    lints: '2.0'\n"), ("e/package.json", None),
+]
+
+
+@query("""SELECT * FROM (VALUES ('a/package.json', 'react', '^18.0', false, 'npm'), ('a/package.json', 'vite', '5', true, 'npm'), ('c/Cargo.toml', 'serde', '1.0', false, 'crates.io'), ('c/Cargo.toml', 'rand', '0.8', false, 'crates.io'), ('c/Cargo.toml', 'own', '', false, 'crates.io'), ('c/Cargo.toml', 'tokio', '1', true, 'crates.io'),
+  ('requirements-dev.txt', 'pytest', '>=7', true, 'PyPI'), ('requirements-dev.txt', 'requests', '== 2.0', true, 'PyPI'), ('d/build.gradle', 'g:a', '1.2', false, 'Maven'), ('d/build.gradle', 'h:b', '', true, 'Maven'), ('pom.xml', 'g:z', '', true, 'Maven'), ('CMakeLists.txt', 'Boost', '', false, ''), ('CMakeLists.txt', 'fmt', '', false, ''),
+  ('go.mod', 'github.com/a/b', 'v1.2.3', false, 'Go'), ('pubspec.yaml', 'flutter', '', false, 'Pub'), ('pubspec.yaml', 'http', '^1.0', false, 'Pub'), ('pubspec.yaml', 'lints', '2.0', true, 'Pub')) v(path, name, range, dev, ecosystem)""")
+def manifest_requests(spark, at):
+    return manifests.asked(spark.createDataFrame(MANIFESTS, "path string, text string"))
+
+
+API_FILES = [("x/openapi.json", '{"openapi": "3.0.1", "paths": {"/pets/{id}": {"get": {}, "parameters": []}, "/pets": {"post": {"x": 1}}}}'), ("shop.proto", "package a.b;\nservice Cart { rpc Add (X) returns (Y);\n rpc Drop (X) returns (Y); }"), ("calls.http", "### one\nGET https://x.org/a\n\nPOST /b"), ("notes.json", '{"a": 1}')]
+
+
+@query("""SELECT * FROM (VALUES ('x/openapi.json', 'openapi', 'GET', '/pets/{id}'), ('x/openapi.json', 'openapi', 'POST', '/pets'), ('shop.proto', 'proto', 'POST', '/a.b.Cart/Add'), ('shop.proto', 'proto', 'POST', '/a.b.Cart/Drop'), ('calls.http', 'rest', 'GET', 'https://x.org/a'), ('calls.http', 'rest', 'POST', '/b')) v(path, kind, method, route)""")
+def api_documents(spark, at):
+    return manifests.described(spark.createDataFrame(API_FILES, "path string, text string"))
+
+
+@query("SELECT * FROM (VALUES ('lcov.info', 75.0::DOUBLE, 33.3::DOUBLE, 0.0::DOUBLE)) v(path, lines, branches, functions)")
+def lcov_coverage(spark, at):
+    return manifests.lcov_coverage(spark.createDataFrame([("lcov.info", "LF:3\nLH:2\nBRF:3\nBRH:1\nLF:1\nLH:1\n")], "path string, text string"))
+
+
+@query("WITH n AS (SELECT user_id AS who, event_type AS kind, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) SELECT who, kind FROM (SELECT *, row_number() OVER (PARTITION BY who ORDER BY n DESC, f) AS k FROM n) WHERE k = 1")
+def usual_kind(spark, at):
+    return units.usual(activity(spark, at), "who", "kind", "event_id")
+
+
+@query(REACH + ", m AS (SELECT x.a AS node, min(x.b) AS ring FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT a.ring, count(DISTINCT a.node) AS size, count(*)::BIGINT AS edges FROM e JOIN m a ON src = a.node JOIN m b ON dst = b.node WHERE a.ring = b.ring GROUP BY a.ring HAVING count(DISTINCT a.node) > 1")
+def tangles(spark, at):
+    return units.tangles(partners(spark, at))
+
+
+@query(f"WITH {UNITS}, i AS (SELECT b.unit, dst AS node, sum(weight)::BIGINT AS w FROM {TRADE} JOIN u a ON src = a.node JOIN u b ON dst = b.node WHERE a.unit <> b.unit GROUP BY ALL) SELECT unit, node, w AS arriving, (t - w)::BIGINT AS rest FROM (SELECT *, sum(w) OVER (PARTITION BY unit) AS t, row_number() OVER (PARTITION BY unit ORDER BY w DESC, node) AS k FROM i) WHERE k = 1")
+def loudest_member(spark, at):
+    of = table(spark, at, "nation").join(table(spark, at, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("node"), F.col("r_name").alias("unit"))
+    return units.loudest(trade(spark, at), of)
+
+
+@query("WITH f AS (SELECT DISTINCT p_brand AS b, p_type AS t FROM part) SELECT b || '/' || t AS path, CASE WHEN count(*) OVER (PARTITION BY t) = 1 THEN t ELSE b || '/' || t END AS name FROM f UNION ALL SELECT DISTINCT b, b FROM f")
+def names_told_apart(spark, at):
+    part = table(spark, at, "part")
+    return units.told_apart(part.select(F.concat_ws("/", "p_brand", "p_type").alias("path")).union(part.select("p_brand")))
+
+
+@query(f"SELECT weight AS size, CASE WHEN count(DISTINCT b) > 1 THEN '.' WHEN count(DISTINCT t) > 1 THEN any_value(b) ELSE any_value(b || '/' || t) END AS folder FROM (SELECT weight, split_part(path, '/', 1) AS b, split_part(path, '/', 2) AS t FROM {FILES}) GROUP BY weight")
+def shared_folder(spark, at):
+    return units.shared_folder(files(spark, at).select(F.col("weight").alias("size"), "path"), "size")
+
+
+@query(f"WITH b AS (SELECT src AS node, 0 AS s, weight AS a FROM {TRADE} WHERE src <> dst UNION ALL SELECT dst, weight, 0 FROM {TRADE} WHERE src <> dst) SELECT node, round((sum(s) - sum(a)) / (sum(s) + sum(a)), 6) AS facing FROM b GROUP BY node")
+def facing(spark, at):
+    return units.facing(trade(spark, at))
+
+
+@query("SELECT p_name AS name, count(*)::BIGINT AS n, array_to_string(list_slice(list(p_partkey ORDER BY p_partkey), 1, 4), ',') AS samples FROM part GROUP BY p_name")
+def name_samples(spark, at):
+    return units.samples(table(spark, at, "part").select(F.col("p_name").alias("name"), "p_partkey"), "name", "p_partkey")
+
+
+@query("SELECT l_suppkey AS package, bool_or(l_returnflag = 'R') AS direct, bool_and(l_linestatus = 'F') AS dev FROM lineitem GROUP BY 1")
+def fleet_packages(spark, at):
+    return table(spark, at, "lineitem").groupBy(F.col("l_suppkey").alias("package")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("direct"), F.bool_and(F.col("l_linestatus") == "F").alias("dev"))
+
+
+@query("SELECT kind, bucket, value AS last FROM (SELECT event_type AS kind, date_trunc('week', ts)::TIMESTAMP AS bucket, value, row_number() OVER (PARTITION BY event_type, date_trunc('week', ts) ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def bucket_last(spark, at):
+    return activity(spark, at).groupBy("kind", F.date_trunc("week", "ts").alias("bucket")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("last"))
+
+
+@query(f"SELECT count(*)::BIGINT AS commits, min(ts) FILTER (ts >= '1996-01-01') AS first, max(ts) FILTER (ts >= '1996-01-01') AS last FROM {COMMITS}")
+def believable_range(spark, at):
+    sane = believable("ts", "1996-01-01")
+    return commits(spark, at).agg(F.count("*").alias("commits"), F.min(F.when(sane, F.col("ts"))).alias("first"), F.max(F.when(sane, F.col("ts"))).alias("last"))
+
+
+@query(f"WITH w AS (SELECT src, dst, weight, 'calls' AS kind FROM {TRADE} UNION ALL SELECT src, dst, 1, 'imports' FROM {PARTNERS}) SELECT src::BIGINT AS src, dst::BIGINT AS dst, sum(weight)::BIGINT AS weight, count(DISTINCT kind)::BIGINT AS kinds FROM w GROUP BY ALL")
+def wires(spark, at):
+    calls = trade(spark, at).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight", F.lit("calls").alias("kind"))
+    both = calls.unionByName(partners(spark, at).select("src", "dst", F.lit(1).cast("long").alias("weight"), F.lit("imports").alias("kind")))
+    return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.countDistinct("kind").alias("kinds"))
+
+
+@query("SELECT * FROM (VALUES ('f', 'a/b/use.py', 'a/b/one.py'), ('g', 'a/b/use.py', NULL), ('f', 'z.py', NULL)) v(name, src, dst)")
+def nearest_declaring(spark, at):
+    told = spark.createDataFrame([("f", "a/b/one.py"), ("f", "a/c/two.py"), ("g", "a/x.py"), ("g", "a/y.py")], "name string, file string")
+    return units.nearest_declaring(spark.createDataFrame([("f", "a/b/use.py"), ("g", "a/b/use.py"), ("f", "z.py"), ("h", "z.py")], "name string, file string"), told)
+
+
+@query("SELECT * FROM (VALUES ('react', 'React'), ('@aws/s3', 'AWS'), ('@aws/core/x', 'Core'), ('left', NULL)) v(name, label)")
+def package_labels(spark, at):
+    keys = spark.createDataFrame([("react", "React"), ("@aws/", "AWS"), ("@aws/core/", "Core")], "key string, label string")
+    return units.labelled(spark.createDataFrame([("react",), ("@aws/s3",), ("@aws/core/x",), ("left",)], "name string"), keys)
