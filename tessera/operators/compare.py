@@ -43,3 +43,8 @@ def matching(rows: DataFrame, text: str) -> DataFrame:
     for c in rows.columns:
         found = found | F.coalesce(F.lower(F.col(c).cast("string")).contains(text.lower()), F.lit(False))
     return rows.where(found)
+
+
+def answered(documented: DataFrame, served: DataFrame) -> DataFrame:
+    """The documented endpoints (method, path, ...) that no code serves under the same verb and path."""
+    return documented.join(served.select("method", "path"), ["method", "path"], "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import ancestors
+from tessera.sources.tables import written
 
 
 def path_churn(files: DataFrame, changes: DataFrame, commits: DataFrame) -> DataFrame:
@@ -80,3 +81,49 @@ def as_of(points: DataFrame, facts: DataFrame, key: str, at: str, value: str) ->
     both = points.select(key, at, F.col("id"), F.lit(None).cast(facts.schema[value].dataType).alias(value), F.lit(1).alias("side")).unionByName(facts.select(key, at, F.lit(None).cast(points.schema["id"].dataType).alias("id"), value, F.lit(0).alias("side")))
     w = Window.partitionBy(key).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("side = 1").drop("side")
+
+
+def rename_ends(raw: Column) -> tuple[Column, Column]:
+    """Old and new path of a change, written as a{b => c}d or b => c; both are the path itself where it kept its name."""
+    braces, plain = r"^(.*?)\{(.*?) => (.*?)\}(.*)$", r"^(.*?) => (.*)$"
+
+    def end(inner: int, whole: int) -> Column:
+        return F.when(raw.rlike(braces), F.concat(F.regexp_extract(raw, braces, 1), F.regexp_extract(raw, braces, inner), F.regexp_extract(raw, braces, 4))).when(raw.rlike(plain), F.regexp_extract(raw, plain, whole)).otherwise(raw)
+
+    return end(2, 1), end(3, 2)
+
+
+def followed(changes: DataFrame, hops: int = 20) -> DataFrame:
+    """changes (seq from 0 for the newest, raw_path, ...) with path: the name that each changed file has today.
+
+    Each round takes a path over its next later rename, found by a union in time order, until none moves.
+    """
+    old, new = rename_ends(F.col("raw_path"))
+    rows = written(changes.withColumn("_id", F.xxhash64("seq", "raw_path")).withColumn("path", new).withColumn("_at", F.col("seq")))
+    moves = written(changes.where(F.col("raw_path").contains(" => ")).select(old.alias("path"), new.alias("to"), F.col("seq").alias("_at")))
+    held = ["_id", "path", "_at"]
+    for _ in range(hops):
+        asked = rows.select(*held).distinct()
+        both = asked.withColumn("to", F.lit(None).cast("string")).unionByName(moves.withColumn("_id", F.lit(None).cast("long")))
+        # newest first: the last rename seen before a change is the next one after it
+        later = Window.partitionBy("path").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+        step = F.last(F.when(F.col("to").isNotNull(), F.struct("to", F.col("_at").alias("at"))), ignorenulls=True).over(later)
+        next_ = written(both.withColumn("m", step).where("to is null and m is not null").select(*held, F.col("m.to").alias("to"), F.col("m.at").alias("at")))
+        if next_.isEmpty():
+            break
+        rows = written(rows.join(next_, held, "left").withColumn("path", F.coalesce("to", "path")).withColumn("_at", F.coalesce("at", "_at")).drop("to", "at"))
+    return rows.drop("_id", "_at")
+
+
+def signed(commits: DataFrame, signers: Sequence[tuple[str, str]]) -> DataFrame:
+    """(tool, commits) of commits (hash, author, body): how many each tool signed, as a bot author or in a trailer; a
+    commit counts once for a tool. signers: (pattern, tool)."""
+    trailers = F.filter(F.split("body", "\n"), lambda t: t.rlike(r"(?i)^\s*(co-authored-by|assisted-by|generated with)"))
+    author = F.when(F.col("author").rlike(r"(?i)\[bot\]|noreply"), F.array("author")).otherwise(F.array().cast("array<string>"))
+    claims = F.concat(author, F.coalesce(trailers, F.array().cast("array<string>")))
+
+    def by(pattern: str, tool: str) -> Column:
+        return F.when(F.exists("claims", lambda c: c.rlike(pattern)), F.lit(tool))
+
+    tools = F.array_distinct(F.array_compact(F.array(*(by(p, t) for p, t in signers))))
+    return commits.withColumn("claims", claims).select("hash", F.explode(tools).alias("tool")).distinct().groupBy("tool").agg(F.count("*").alias("commits"))

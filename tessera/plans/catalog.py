@@ -446,3 +446,42 @@ def nearest_declaring(spark, at):
 def package_labels(spark, at):
     keys = spark.createDataFrame([("react", "React"), ("@aws/", "AWS"), ("@aws/core/", "Core")], "key string, label string")
     return units.labelled(spark.createDataFrame([("react",), ("@aws/s3",), ("@aws/core/x",), ("left",)], "name string"), keys)
+
+
+@query("SELECT * FROM (VALUES ('app', ''), ('users', '/api'), ('deep', '/api/v1'), ('deep', '/old'), ('alone', ''), ('x', ''), ('y', '')) v(file, prefix)")
+def mounted_prefixes(spark, at):
+    mounts = spark.createDataFrame([("app", "users", "/api/"), ("users", "deep", "v1"), ("app", "deep", "/old"), ("x", "y", "/r"), ("y", "x", "/s")], "src string, dst string, prefix string")
+    return graph.mounted(mounts, spark.createDataFrame([("alone",), ("app",)], "file string"))
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'c.ts', 'c.ts'), (1, 'src/{b => c}.ts', 'src/c.ts'), (2, 'b.ts => c.ts', 'c.ts'), (3, 'b.ts', 'c.ts'), (4, 'a.ts => b.ts', 'c.ts'), (5, 'a.ts', 'c.ts'), (6, 'other', 'other')) v(seq, raw_path, path)")
+def renames_followed(spark, at):
+    rows = [(0, "c.ts"), (1, "src/{b => c}.ts"), (2, "b.ts => c.ts"), (3, "b.ts"), (4, "a.ts => b.ts"), (5, "a.ts"), (6, "other")]
+    return history.followed(spark.createDataFrame(rows, "seq long, raw_path string"))
+
+
+@query("SELECT * FROM (VALUES ('helper', 2::BIGINT), ('mender', 1)) v(tool, commits)")
+def signed_commits(spark, at):
+    rows = [("1", "A <a@x>", "fix\n\nCo-authored-by: Helper <h@x>\nco-authored-by: helper <h@x>"), ("2", "Helper <h@x>", "by hand"), ("3", "helper[bot] <1+h@users.noreply.x>", None), ("4", "B <b@x>", "assisted-by: mender:one")]
+    return history.signed(spark.createDataFrame(rows, "hash string, author string, body string"), [("(?i)helper", "helper"), ("(?i)mender", "mender")])
+
+
+@query("SELECT * FROM (VALUES ('POST', '/b')) v(method, path)")
+def documents_only(spark, at):
+    said = spark.createDataFrame([("GET", "/a"), ("POST", "/b"), ("GET", "/c")], "method string, path string")
+    return compare.answered(said, spark.createDataFrame([("GET", "/a"), ("POST", "/c"), ("GET", "/c")], "method string, path string"))
+
+
+LEVELS = ORACLE_SQL["levels"]
+
+
+@query(f"SELECT level, count(*)::BIGINT AS nodes FROM ({LEVELS}) GROUP BY level")
+def level_summary(spark, at):
+    return graph.levels(partners(spark, at)).groupBy("level").agg(F.count("*").alias("nodes"))
+
+
+@query(f"WITH d AS (SELECT src AS node, dst AS other, weight FROM {TRADE} WHERE src <> dst UNION ALL SELECT dst, src, weight FROM {TRADE} WHERE src <> dst) SELECT node, count(*)::BIGINT AS degree, sum(weight)::BIGINT AS weight FROM d GROUP BY node ORDER BY degree DESC, weight DESC, node LIMIT 10")
+def busiest_nodes(spark, at):
+    out = trade(spark, at).where("src <> dst")
+    both = out.select(F.col("src").alias("node"), "weight").union(out.select("dst", "weight"))
+    return both.groupBy("node").agg(F.count("*").alias("degree"), F.sum("weight").alias("weight")).orderBy(F.desc("degree"), F.desc("weight"), "node").limit(10)
