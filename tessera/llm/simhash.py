@@ -3,7 +3,8 @@
 Fingerprints are cut into fewer segments than a plain block index needs, so few that in two near fingerprints some
 segment differs by at most one bit. Each segment is indexed once for each of its bits with that bit blanked (a
 one-wildcard variant); equal variants meet in one group and are verified on the whole fingerprint. Groups hand on a
-spanning forest and not all their pairs, so that what leaves a group is never more than what came in.
+spanning forest and not all their pairs, so that what leaves a group is never more than what came in. Where the bits
+only screen and the texts decide, groups that the forest leaves apart are gone through again, pair by pair.
 """
 
 from __future__ import annotations
@@ -110,11 +111,13 @@ def variants(word_col: Column, layout: Sequence[tuple[int, int, int]]) -> Column
     return F.array(*keys)
 
 
-def _spanning(check: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the rows whose check words differ by at most `most` bits."""
-    left, a, b = np.arange(len(node)), [], []
+def _spanning(check: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the rows whose check words differ by at most `most` bits, and each row's tree."""
+    left, a, b, tree = np.arange(len(node)), [], [], np.zeros(len(node), dtype=np.int64)
     while len(left):
         front, left = left[:1], left[1:]
+        root = front[0]
+        tree[root] = root
         while len(front) and len(left):
             found = []
             for at in range(0, len(front), 64):
@@ -125,23 +128,25 @@ def _spanning(check: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarra
                     a.append(node[some[near.argmax(axis=0)[hit]]])
                     b.append(node[left[hit]])
                     found.append(left[hit])
+                    tree[left[hit]] = root
                     left = left[~hit]
                 if not len(left):
                     break
             front = np.concatenate(found) if found else front[:0]
     none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    return (np.concatenate(a), np.concatenate(b), tree) if a else (none, none, tree)
 
 
-def group_links(most: int, limit: int | None, small: int = 12):
+def group_links(most: int, limit: int | None, small: int = 12, again: bool = False):
     """mapInArrow function over rows (key, node, check, known) sorted by key: (a, b, kind) with a < b.
 
     Nodes with one `known` are connected already, so edges between them are left out. kind 0: an edge. Groups of up to `small` rows give all verified pairs, larger ones a spanning forest.
     kind 1: a member (b: check) of a group beyond `limit`, for another pass.
+    kind 2, with `again` only: a member (a: key, b: node) of a tree whose edges are not all the pairs that it stands for.
     """
 
     def edges(key, node, check, known):
-        a, b = [], []
+        a, b, open_ = [], [], []
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         big = np.repeat(sizes > small, sizes)
@@ -162,13 +167,17 @@ def group_links(most: int, limit: int | None, small: int = 12):
                 over_node.append(node[rows])
                 over_check.append(check[rows])
                 continue
-            x, y = _spanning(check[rows], np.arange(starts[at], starts[at] + sizes[at]), most)
+            x, y, tree = _spanning(check[rows], np.arange(starts[at], starts[at] + sizes[at]), most)
             new = known[x] != known[y]
             a.append(node[x[new]])
             b.append(node[y[new]])
-        return a, b, over_node, over_check
+            if again and new.any():
+                apart = np.bincount(tree[x[new] - starts[at]], minlength=len(tree)) > 0
+                stay = apart[tree] & (np.bincount(tree, minlength=len(tree)) > 2)[tree]
+                open_.append(np.stack([key[rows][stay], node[rows][stay]], axis=1))
+        return a, b, over_node, over_check, open_
 
-    def batch_of(a, b, over_node, over_check):
+    def batch_of(a, b, over_node, over_check, open_=()):
         pairs = np.zeros((0, 2), dtype=np.int64)
         if a:
             x, y = np.concatenate(a), np.concatenate(b)
@@ -176,8 +185,9 @@ def group_links(most: int, limit: int | None, small: int = 12):
         members = np.zeros((0, 2), dtype=np.int64)
         if over_node:
             members = np.unique(np.stack([np.concatenate(over_node), np.concatenate(over_check).view(np.int64)], axis=1), axis=0)
-        both = np.concatenate([pairs, members])
-        kind = np.r_[np.zeros(len(pairs), dtype=np.int32), np.ones(len(members), dtype=np.int32)]
+        rest = np.concatenate(open_) if open_ else np.zeros((0, 2), dtype=np.int64)
+        both = np.concatenate([pairs, members, rest])
+        kind = np.repeat(np.arange(3, dtype=np.int32), [len(pairs), len(members), len(rest)])
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(kind)], names=["a", "b", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,14 +222,19 @@ def group_links(most: int, limit: int | None, small: int = 12):
     return run
 
 
-def _met(keyed: DataFrame, most: int, limit: int | None) -> DataFrame:
+def _met(keyed: DataFrame, most: int, limit: int | None, again: bool = False) -> DataFrame:
     """Rows (key, node, check, known) brought together by key and linked within each group."""
     dealt = keyed.select("key", "node", "check", "known").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(group_links(most, limit), "a long, b long, kind int")
+    return dealt.mapInArrow(group_links(most, limit, again=again), "a long, b long, kind int")
 
 
 def near_links(prints: DataFrame, layout: Sequence[tuple[int, int, int]], most: int, limit: int = 1 << 14) -> DataFrame:
-    """Edges (a, b) that connect what is connected by steps of at most `most` differing bits in `check`.
+    """The edges of `near_found`."""
+    return near_found(prints, layout, most, limit).where("kind = 0").select("a", "b")
+
+
+def near_found(prints: DataFrame, layout: Sequence[tuple[int, int, int]], most: int, limit: int = 1 << 14, again: bool = False) -> DataFrame:
+    """Rows (a, b, kind), see `group_links`: edges (a, b) of kind 0 that connect what is connected by steps of at most `most` differing bits in `check`.
 
     prints: (node, words array<long>, check long, known long), one row for each distinct fingerprint; nodes with one
     `known` are connected already and need no edge. Groups of more than `limit`
@@ -227,19 +242,21 @@ def near_links(prints: DataFrame, layout: Sequence[tuple[int, int, int]], most:
     which at most four fingerprints meet; beyond that by one-wildcard variants of eighths of `check`.
     """
     keyed = prints.select(F.explode(variants(F.col("words"), layout)).alias("key"), "node", "check", "known")
-    found = materialize(_met(keyed, most, limit))
-    edges = found.where("kind = 0").select("a", "b")
+    found = materialize(_met(keyed, most, limit, again))
+    edges = found.where("kind <> 1")
     hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("check")).distinct()
     if most <= 2:
         masks = [(1 << i) | (1 << j) for i in range(64) for j in range(i + 1)] if most == 2 else [1 << i for i in range(64)] if most == 1 else [0]
         signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
         finer = hot.select("node", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in signed]), lambda m: F.struct(m.alias("mask"), F.col("check").bitwiseAND(F.bitwise_not(m)).alias("rest")))).alias("key"))
         star = finer.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("all")).where(F.size("all") > 1)
-        more = star.select(F.element_at("all", 1).alias("a"), F.explode(F.slice("all", 2, 4)).alias("b"))
+        more = star.select(F.element_at("all", 1).alias("a"), F.explode(F.slice("all", 2, 4)).alias("b"), F.lit(0).alias("kind"))
     else:
         eighths = [(0, 8 * i, 8) for i in range(8)]
-        finer = hot.select(F.explode(variants(F.array("check"), eighths)).alias("key"), "node", "check", F.col("node").alias("known"))
-        more = _met(finer, most, None).where("kind = 0").select("a", "b")
+        # bit 48 keeps these keys apart from the first pass's
+        keys = F.transform(variants(F.array("check"), eighths), lambda k: k.bitwiseOR(F.lit(1 << 48)))
+        finer = hot.select(F.explode(keys).alias("key"), "node", "check", F.col("node").alias("known"))
+        more = _met(finer, most, None, again)
     # without oversized groups the finer pass would only add empty jobs
     return edges if hot.isEmpty() else edges.unionByName(more)
 
@@ -276,6 +293,85 @@ def share_of_bits(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
+#: Rows of a group that are compared with each other in one task.
+PART = 2048
+
+
+def pairs_apart(most: int, sure: float, far: float):
+    """mapInArrow function over rows (key, i, j, part, node, known, words) sorted by key, i, j: the pairs (a, b) of
+    different `known` that are at most `most` bits apart in the last word and `far` bits in all words.
+
+    A task's rows are parts i and j of a group, of which it looks at the pairs between them, or at all if i = j. Of two
+    `known` with a pair under `sure` bits that pair alone is handed on, since it joins them whatever the others are.
+    """
+
+    def pairs(part, node, known, words):
+        for at in range(0, len(node), 64):
+            some = slice(at, at + 64)
+            ok = known[some, None] != known[None, at:]
+            if part[0] != part[-1]:
+                ok &= part[some, None] != part[None, at:]
+            ok &= np.arange(len(node) - at)[None, :] > np.arange(len(node[some]))[:, None]
+            ok &= np.bitwise_count(words[some, None, -1] ^ words[None, at:, -1]) <= most
+            x, y = np.nonzero(ok)
+            x, y = x + at, y + at
+            bits = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
+            x, y, bits = x[bits <= far], y[bits <= far], bits[bits <= far]
+            if not len(x):
+                continue
+            order = np.argsort(bits, kind="stable")
+            x, y, bits = x[order], y[order], bits[order]
+            groups = np.stack([np.minimum(known[x], known[y]), np.maximum(known[x], known[y])], axis=1)
+            _, first, of = np.unique(groups, axis=0, return_index=True, return_inverse=True)
+            first = first[of.ravel()]
+            keep = (bits[first] >= sure) | (first == np.arange(len(x)))
+            a, b = node[x[keep]], node[y[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def cell(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        part, node, known = (whole.column(c).to_numpy() for c in ("part", "node", "known"))
+        words = np.concatenate([c.flatten().to_numpy() for c in whole.column("words").chunks]).reshape(len(node), -1).view(np.uint64)
+        order = np.argsort(part, kind="stable")
+        yield from pairs(part[order], node[order], known[order], words[order])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            for a, b in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
+                if held and tuple(keys[a]) != now:
+                    yield from cell(held)
+                    held = []
+                now = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from cell(held)
+
+    return run
+
+
+def _left_apart(rest: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different groups among the rows (key, node) with one key, for nodes (node, words, group)."""
+    expected = 64 * PLANES * share_of_bits(similarity)
+    keyed = materialize(rest.join(nodes.select("node", F.col("group").alias("known")), "node").select("key", "node", "known"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi")
+    parts = materialize(sizes.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
+    dealt = (
+        keyed.join(parts, "key")
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .join(nodes.select("node", "words"), "node")
+        .select("key", F.explode(cells).alias("c"), "part", "node", "known", "words")
+        .select("key", "c.i", "c.j", "part", "node", "known", "words")
+    )
+    met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return met.mapInArrow(pairs_apart(SCREEN, 0.6 * expected, 1.5 * expected), "a long, b long").distinct()
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts' sets of shingles have the Jaccard similarity or more, counted exactly."""
 
@@ -306,19 +402,27 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = materialize(fingerprints(source, "id", "text", ngram, PLANES, distinct=True).where("id is not null"))
     nodes = materialize(prints.groupBy("set_key").agg(F.min("id").alias("node"), F.first("words").alias("words")))
     named = nodes.select("set_key", "node", "words", F.col("node").alias("group"))
+
+    def renamed(pairs: DataFrame) -> DataFrame:
+        joined = _linked(named, pairs, source, ngram, similarity)
+        return materialize(named.join(joined, F.col("group") == F.col("joined"), "left").select("set_key", "node", "words", F.coalesce("component", "group").alias("group")))
+
     for layout in PASSES:
-        joined = _linked(named, layout, source, ngram, similarity)
-        named = materialize(named.join(joined, F.col("group") == F.col("joined"), "left").select("set_key", "node", "words", F.coalesce("component", "group").alias("group")))
+        given = named.select("node", "words", F.col("words")[PLANES - 1].alias("check"), F.col("group").alias("known"))
+        found = materialize(near_found(given, layout, SCREEN, limit=1 << 16, again=True))
+        named = renamed(found.where("kind = 0").select("a", "b").distinct())
+        # the forest's edges may have been rejected; pairs that it left out are looked at where groups are still apart
+        rest = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"))
+        if not rest.isEmpty():
+            named = renamed(_left_apart(rest, named, similarity))
     return prints.select("id", "set_key").join(named.select("set_key", "group"), "set_key").select("id", "group")
 
 
-def _linked(nodes: DataFrame, layout: Sequence[tuple[int, int, int]], source: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """(joined, component): which groups of nodes (node, words, group) one pass over the planes of `layout` joins.
+def _linked(nodes: DataFrame, pairs: DataFrame, source: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """(joined, component): which groups of nodes (node, words, group) the candidates `pairs` (a, b) join.
 
-    Only pairs of different groups are looked at: one within a group tells nothing new.
+    Candidates are of different groups: a pair within a group tells nothing new.
     """
-    given = nodes.select("node", "words", F.col("words")[PLANES - 1].alias("check"), F.col("group").alias("known"))
-    pairs = near_links(given, layout, SCREEN, limit=1 << 16).distinct()
     apart = sum((F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k])) for k in range(PLANES)), F.lit(0))
     told = materialize(
         pairs.join(nodes.select(F.col("node").alias("a"), F.col("words").alias("wa"), F.col("group").alias("ga")), "a")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.neighbours import nearest
 from tessera.llm.simhash import hashes, near_duplicate_groups, simhash_components
 
@@ -84,6 +85,29 @@ def test_near_duplicates_at_the_threshold(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(100) if i not in alike)
 
 
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    """Fifty pairs over a template that all 101 are near by their bits, but whose text is under the threshold."""
+    rng = random.Random(17)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    template = rng.choices(words, k=400)
+    rows = [(0, " ".join(template))]
+    for i in range(50):
+        own = list(template)
+        own[40 + i : 120 + i] = rng.choices(words, k=80)
+        other = list(own)
+        for at in (5, 200, 300, 390):
+            other[at] = "zzz"
+        rows += [(1 + 2 * i, " ".join(own)), (2 + 2 * i, " ".join(other))]
+    sets = {i: set(hashes(t, 5).tolist()) for i, t in rows}
+    least = closed(sorted(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert len(set(least.values())) == 51
+    prints = [(0, [0] * 7, "0")] + [(i, [sum(1 << b for b in rng.sample(range(22, 63), 6)) for _ in range(7)], str(i)) for i, _ in rows[1:]]
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **b: spark.createDataFrame(prints, "id long, words array<long>, set_key string"))
+    monkeypatch.setattr(simhash, "PART", 7, raising=False)
+    got = {r["id"]: r["group"] for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == least
+
+
 def brute(rows, k):
     at = {}
     for i, v in rows:
