@@ -60,6 +60,15 @@ def carried(days: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return days.withColumn(f"carried_{value}", F.last(value, ignorenulls=True).over(w))
 
 
+def carried_days(rows: DataFrame, key: str, ts: str, value: str, name: str) -> DataFrame:
+    """(key, at, <name>, carried_<name>): the greatest value of each key and day from the table's first day to its last,
+    and the last one at or before it; null before a key's first."""
+    seen = rows.groupBy(key, F.date_trunc("day", ts).alias("at")).agg(F.max(value).alias(name))
+    ends = seen.agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    axis = seen.select(key).distinct().join(F.broadcast(ends)).select(key, F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("at"))  # one row
+    return carried(axis.join(seen, [key, "at"], "left"), key, "at", name)
+
+
 def ordinals(commits: DataFrame) -> DataFrame:
     """Adds ordinal: 1 for the oldest. Counts before each day, then order within the day, so no task sees the whole log."""
     day = F.to_date("ts")

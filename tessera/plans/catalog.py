@@ -132,6 +132,13 @@ def size_carry_forward(spark, at):
     return history.carried(axis.join(seen, ["kind", "at"], "left"), "kind", "at", "size")
 
 
+@query("""WITH v AS (SELECT event_type AS kind, date_trunc('day', ts)::TIMESTAMP AS \"at\", max(event_id) AS size FROM events GROUP BY ALL), a AS (SELECT kind, unnest(generate_series((SELECT min(\"at\") FROM v), (SELECT max(\"at\") FROM v), INTERVAL 1 DAY))::TIMESTAMP AS \"at\" FROM (SELECT DISTINCT kind FROM v))
+  SELECT kind, \"at\", size, last_value(size IGNORE NULLS) OVER (PARTITION BY kind ORDER BY \"at\" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried_size FROM a LEFT JOIN v USING (kind, \"at\")""")
+def size_carry_whole(spark, at):
+    # all events and days; size_carry_forward is held to its SQL, which takes a part of them
+    return history.carried_days(activity(spark, at), "kind", "ts", "event_id", "size")
+
+
 ORDINALS = f"SELECT hash, who, ts, row_number() OVER (ORDER BY ts, hash) AS ordinal FROM {COMMITS}"
 
 

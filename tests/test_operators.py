@@ -114,6 +114,15 @@ def test_calendar_and_carry(spark):
     assert history.calendar(rows.limit(0), "t", "day", [F.count("*")], ["n"]).count() == 0
 
 
+def test_carried_days(spark):
+    rows = [("a", "2023-12-30 05:00:00", 4), ("a", "2023-12-30 23:00:00", 2), ("b", "2024-02-01 12:00:00", 9), ("a", "2024-02-02 00:00:00", 1)]
+    events = spark.createDataFrame(rows, "kind string, t string, event_id long").select("kind", F.col("t").cast("timestamp").alias("ts"), "event_id")
+    got = {(r["kind"], str(r["at"])[:10]): (r["size"], r["carried_size"]) for r in history.carried_days(events, "kind", "ts", "event_id", "size").collect()}
+    assert len(got) == 2 * 35
+    assert got["a", "2023-12-30"] == (4, 4) and got["a", "2024-02-01"] == (None, 4) and got["a", "2024-02-02"] == (1, 1)
+    assert got["b", "2024-01-31"] == (None, None) and got["b", "2024-02-01"] == (9, 9) and got["b", "2024-02-02"] == (None, 9)
+
+
 def test_merging(spark):
     rows = spark.createDataFrame([("x", True, 1, "any"), ("x", False, 2, "express"), ("y", True, 3, "any")], "id string, generic boolean, seq long, framework string")
     assert {r["id"]: r["framework"] for r in compare.first_named(rows, "id", "generic", "seq").collect()} == {"x": "express", "y": "any"}
