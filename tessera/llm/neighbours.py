@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +114,8 @@ def fit(sample: np.ndarray, bound: float, rows: int, tables: int, k: int, seed:
 
     The number of functions follows log2(rows), so that buckets stay small. The width follows the usual distance of
     the k-th neighbour within the sample, which is greater than that in the whole; the number of probes is the least
-    that finds AIM of the sample's neighbours.
+    that finds AIM of the sample's neighbours. Where none does, there are fewer functions, and with the fewest wider
+    buckets, until one does.
     """
     x = augmented(sample, bound, False)
     q = augmented(sample[:FIT_QUERIES], bound, True)
@@ -128,15 +129,25 @@ def fit(sample: np.ndarray, bound: float, rows: int, tables: int, k: int, seed:
     index = Index(sample.shape[1], bound, 2.75 * radius, hashes, PROBES[-1], tables, cells, seed)
     if not near.size:
         return index
+    while True:
+        reached = _reached(sample, near, index)
+        enough = next((p for p in PROBES if (reached < p).mean() >= AIM), None)
+        if enough:
+            return replace(index, probes=enough)
+        # buckets as wide as the data hold everything, so this ends
+        index = replace(index, hashes=index.hashes - 1) if index.hashes > 4 else replace(index, width=2 * index.width)
+
+
+def _reached(sample: np.ndarray, near: np.ndarray, index: Index) -> np.ndarray:
+    """For each of the first rows and each of its `near` rows, the first probe that finds it in any table."""
     reached = np.full(near.shape, PROBES[-1])
-    for table in range(tables):
-        visits = probed(sample[: len(q)], index, table)
+    for table in range(index.tables):
+        visits = probed(sample[: len(near)], index, table)
         goal = buckets(sample, index, table)[near]
-        for row in range(len(q)):
+        for row in range(len(near)):
             hit = visits[row][:, None] == goal[row][None, :]
             reached[row] = np.minimum(reached[row], np.where(hit.any(axis=0), hit.argmax(axis=0), PROBES[-1]))
-    enough = next((p for p in PROBES if (reached < p).mean() >= AIM), PROBES[-1])
-    return Index(sample.shape[1], bound, 2.75 * radius, hashes, enough, tables, cells, seed)
+    return reached
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

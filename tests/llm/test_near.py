@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
-from tessera.llm.neighbours import nearest
+from tessera.llm.neighbours import buckets, fit, nearest, probed
 from tessera.llm.simhash import hashes, near_duplicate_groups, simhash_components
 
 
@@ -116,6 +116,21 @@ def brute(rows, k):
     return {q: sorted(((-float(at[q] @ at[i]), i) for i in at if i != q))[:k] for q in at if q % 20 == 0}
 
 
+def test_fit_reaches_its_aim():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2048, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = fit(x, 1.0, 1 << 22, 16, 20)
+    inner = x[:100] @ x.T
+    inner[np.arange(100), np.arange(100)] = -np.inf
+    near = np.argsort(-inner, axis=1)[:, :20]
+    found = np.zeros(near.shape, dtype=bool)
+    for table in range(index.tables):
+        goal, visits = buckets(x, index, table), probed(x[:100], index, table)
+        found |= np.stack([np.isin(goal[n], v) for n, v in zip(near, visits, strict=True)])
+    assert found.mean() >= 0.94
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(11)
     x = rng.standard_normal((1500, 8)).astype(np.float32) * rng.uniform(0.5, 2, (1500, 1)).astype(np.float32)
