@@ -119,7 +119,7 @@ class WordEncoder:
 
     The vocabulary drops white space and joins nothing over it, so a text's ids are those of its words in a row. Texts
     are cut at spaces and line ends. Words of plain letters go straight to the library's BPE model part by part, all
-    others through its whole chain.
+    others, and those that hold an added token's string, through its whole chain.
     """
 
     def __init__(self, path: str):
@@ -127,7 +127,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # their strings become their ids in any text, as the library has it
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if any(c.isspace() for t in self.added for c in t):
+            raise ValueError("texts are cut at white space, which an added token of this vocabulary holds")
         self.model = self.library.model
         self.letters = byte_letters()
         self.memo: dict[str, bytes] = {}
@@ -142,7 +145,7 @@ class WordEncoder:
         return found
 
     def _word(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word):
+        if PLAIN.fullmatch(word) and not any(t in word for t in self.added):
             return b"".join(map(self._part, PARTS.findall(word.lower())))
         return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -201,8 +204,10 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return materialize(ordered.mapInArrow(run, BLOCK_SCHEMA))
+    # ids and texts that repeat, nulls among them, are dealt by the place that they are read from
+    keyed = source.withColumns({"text_hash": F.xxhash64("text"), "seat": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(parts, "doc_id", "text_hash", "seat").sortWithinPartitions("doc_id", "text_hash", "seat")
+    return materialize(ordered.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA))
 
 
 def read_blocks(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
