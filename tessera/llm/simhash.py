@@ -3,8 +3,11 @@
 Fingerprints are cut into fewer segments than a plain block index needs, so few that in two near fingerprints some
 segment differs by at most one bit. Each segment is indexed once for each of its bits with that bit blanked (a
 one-wildcard variant); equal variants meet in one group and are verified on the whole fingerprint. Groups hand on a
-spanning forest and not all their pairs, so that what leaves a group is never more than what came in. Where the bits
-only screen and the texts decide, groups that the forest leaves apart are gone through again, pair by pair.
+spanning forest and not all their pairs, so that what leaves a group is never more than what came in.
+
+Where the texts decide and the bits only screen (near_duplicate_groups), the forests' trees are families, within which
+every pair that is not joined yet is counted on the sets of shingles; only verified links leave a family, again as a
+forest.
 """
 
 from __future__ import annotations
@@ -57,7 +60,7 @@ def majority(h: np.ndarray) -> int:
     count = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), CHUNK):
         part = np.ascontiguousarray(h[at : at + CHUNK])
-        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += np.add.reduce(np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64), axis=0, dtype=np.uint32)
     return int(np.packbits(2 * count > len(h), bitorder="little").view(np.uint64)[0])
 
 
@@ -73,10 +76,11 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, planes: int = 1, distinct: bool = False) -> DataFrame:
-    """(id, words array<long>, set_key): `planes` 64-bit SimHash fingerprints of each text's word shingles.
+    """(id, text_key, words array<long>, set_key): `planes` 64-bit SimHash fingerprints of each text's word shingles.
 
     A null text counts as empty; a text without words has fingerprint 0. Long texts are hashed whole. With
-    `distinct`, repeats of a shingle count once and set_key is equal for equal sets of shingles; else it is null.
+    `distinct`, repeats of a shingle count once, and set_key and text_key are equal for equal sets of shingles and
+    equal texts; else they are null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,13 +91,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if distinct:
                     h = np.unique(h)
                 prints.append([majority(remixed(h, k)) for k in range(planes)])
-                keys.append(hashlib.md5(h.tobytes()).hexdigest() if distinct else None)
+                keys.append(set_key(h) if distinct else None)
             flat = np.array(prints, dtype=np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * planes), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(keys, pa.string())], names=["id", "words", "set_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists, pa.array(keys, pa.string())], names=["id", "text_key", "words", "set_key"])
+
+    text = F.col(text_col).cast("string")
+    key = text_key(text) if distinct else F.lit(None).cast("string")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), key.alias("text_key"))
+    return out.mapInArrow(run, "id long, text_key string, words array<long>, set_key string")
+
+
+def set_key(h: np.ndarray) -> str:
+    """Name of a sorted set of hashes."""
+    return hashlib.md5(h.tobytes()).hexdigest()
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return out.mapInArrow(run, "id long, words array<long>, set_key string")
+
+def text_key(text: Column) -> Column:
+    """Name of a text; a null one is named like an empty one."""
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def variants(word_col: Column, layout: Sequence[tuple[int, int, int]]) -> Column:
@@ -111,13 +127,11 @@ def variants(word_col: Column, layout: Sequence[tuple[int, int, int]]) -> Column
     return F.array(*keys)
 
 
-def _spanning(check: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the rows whose check words differ by at most `most` bits, and each row's tree."""
-    left, a, b, tree = np.arange(len(node)), [], [], np.zeros(len(node), dtype=np.int64)
+def _spanning(check: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the rows whose check words differ by at most `most` bits."""
+    left, a, b = np.arange(len(node)), [], []
     while len(left):
         front, left = left[:1], left[1:]
-        root = front[0]
-        tree[root] = root
         while len(front) and len(left):
             found = []
             for at in range(0, len(front), 64):
@@ -128,56 +142,48 @@ def _spanning(check: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarra
                     a.append(node[some[near.argmax(axis=0)[hit]]])
                     b.append(node[left[hit]])
                     found.append(left[hit])
-                    tree[left[hit]] = root
                     left = left[~hit]
                 if not len(left):
                     break
             front = np.concatenate(found) if found else front[:0]
     none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(a), np.concatenate(b), tree) if a else (none, none, tree)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def group_links(most: int, limit: int | None, small: int = 12, again: bool = False):
-    """mapInArrow function over rows (key, node, check, known) sorted by key: (a, b, kind) with a < b.
+def group_links(most: int, limit: int | None, small: int = 12):
+    """mapInArrow function over rows (key, node, check) sorted by key: (a, b, kind) with a < b.
 
-    Nodes with one `known` are connected already, so edges between them are left out. kind 0: an edge. Groups of up to `small` rows give all verified pairs, larger ones a spanning forest.
+    kind 0: an edge. Groups of up to `small` rows give all verified pairs, larger ones a spanning forest; either way
+    all that is connected within a group stays connected, since what is verified here is what decides.
     kind 1: a member (b: check) of a group beyond `limit`, for another pass.
-    kind 2, with `again` only: a member (a: key, b: node) of a tree whose edges are not all the pairs that it stands for.
     """
 
-    def edges(key, node, check, known):
-        a, b, open_ = [], [], []
+    def edges(key, node, check):
+        a, b, over_node, over_check = [], [], [], []
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         big = np.repeat(sizes > small, sizes)
         for step in range(1, small):
             if step >= len(key):
                 break
-            near = (key[step:] == key[:-step]) & ~big[step:] & (known[step:] != known[:-step])
-            at = np.flatnonzero(near)
+            at = np.flatnonzero((key[step:] == key[:-step]) & ~big[step:])
             if not len(at):
                 break
             at = at[np.bitwise_count(check[at] ^ check[at + step]) <= most]
             a.append(node[at])
             b.append(node[at + step])
-        over_node, over_check = [], []
         for at in np.flatnonzero(sizes > small):
             rows = slice(starts[at], starts[at] + sizes[at])
             if limit is not None and sizes[at] > limit:
                 over_node.append(node[rows])
                 over_check.append(check[rows])
                 continue
-            x, y, tree = _spanning(check[rows], np.arange(starts[at], starts[at] + sizes[at]), most)
-            new = known[x] != known[y]
-            a.append(node[x[new]])
-            b.append(node[y[new]])
-            if again and new.any():
-                apart = np.bincount(tree[x[new] - starts[at]], minlength=len(tree)) > 0
-                stay = apart[tree] & (np.bincount(tree, minlength=len(tree)) > 2)[tree]
-                open_.append(np.stack([key[rows][stay], node[rows][stay]], axis=1))
-        return a, b, over_node, over_check, open_
-
-    def batch_of(a, b, over_node, over_check, open_=()):
+            x, y = _spanning(check[rows], node[rows], most)
+            a.append(x)
+            b.append(y)
+        return a, b, over_node, over_check
+
+    def batch_of(a, b, over_node, over_check):
         pairs = np.zeros((0, 2), dtype=np.int64)
         if a:
             x, y = np.concatenate(a), np.concatenate(b)
@@ -185,78 +191,71 @@ def group_links(most: int, limit: int | None, small: int = 12, again: bool = Fal
         members = np.zeros((0, 2), dtype=np.int64)
         if over_node:
             members = np.unique(np.stack([np.concatenate(over_node), np.concatenate(over_check).view(np.int64)], axis=1), axis=0)
-        rest = np.concatenate(open_) if open_ else np.zeros((0, 2), dtype=np.int64)
-        both = np.concatenate([pairs, members, rest])
-        kind = np.repeat(np.arange(3, dtype=np.int32), [len(pairs), len(members), len(rest)])
+        both = np.concatenate([pairs, members])
+        kind = np.repeat(np.arange(2, dtype=np.int32), [len(pairs), len(members)])
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(kind)], names=["a", "b", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, dtype=np.int64)
-        key = node = check = known = none
+        key = node = check = none
         over = None  # the key whose group is already known to be beyond the limit
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            key, node, check, known = (np.concatenate(x) for x in zip((key, node, check, known), new, strict=True))
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            key, node, check = (np.concatenate(x) for x in zip((key, node, check), new, strict=True))
             if not len(key):
                 continue
             if over is not None:
                 end = np.searchsorted(key, over, side="right")
                 if end:
                     yield batch_of([], [], [node[:end]], [check[:end].view(np.uint64)])
-                    key, node, check, known = key[end:], node[end:], check[end:], known[end:]
+                    key, node, check = key[end:], node[end:], check[end:]
                 if len(key):
                     over = None
                 else:
                     continue
             cut = int(np.searchsorted(key, key[-1], side="left"))
             if cut:
-                yield batch_of(*edges(key[:cut], node[:cut], check[:cut].view(np.uint64), known[:cut]))
-                key, node, check, known = key[cut:], node[cut:], check[cut:], known[cut:]
+                yield batch_of(*edges(key[:cut], node[:cut], check[:cut].view(np.uint64)))
+                key, node, check = key[cut:], node[cut:], check[cut:]
             if limit is not None and len(key) > limit:
                 over = key[0]
                 yield batch_of([], [], [node], [check.view(np.uint64)])
-                key = node = check = known = none
+                key = node = check = none
         if len(key):
-            yield batch_of(*edges(key, node, check.view(np.uint64), known))
+            yield batch_of(*edges(key, node, check.view(np.uint64)))
 
     return run
 
 
-def _met(keyed: DataFrame, most: int, limit: int | None, again: bool = False) -> DataFrame:
-    """Rows (key, node, check, known) brought together by key and linked within each group."""
-    dealt = keyed.select("key", "node", "check", "known").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(group_links(most, limit, again=again), "a long, b long, kind int")
+def _met(keyed: DataFrame, most: int, limit: int | None) -> DataFrame:
+    """Rows (key, node, check) brought together by key and linked within each group."""
+    dealt = keyed.select("key", "node", "check").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(group_links(most, limit), "a long, b long, kind int")
 
 
 def near_links(prints: DataFrame, layout: Sequence[tuple[int, int, int]], most: int, limit: int = 1 << 14) -> DataFrame:
-    """The edges of `near_found`."""
-    return near_found(prints, layout, most, limit).where("kind = 0").select("a", "b")
-
+    """Edges (a, b) that connect what is connected by steps of at most `most` (up to 3) differing bits in `check`.
 
-def near_found(prints: DataFrame, layout: Sequence[tuple[int, int, int]], most: int, limit: int = 1 << 14, again: bool = False) -> DataFrame:
-    """Rows (a, b, kind), see `group_links`: edges (a, b) of kind 0 that connect what is connected by steps of at most `most` differing bits in `check`.
-
-    prints: (node, words array<long>, check long, known long), one row for each distinct fingerprint; nodes with one
-    `known` are connected already and need no edge. Groups of more than `limit`
+    prints: (node, words array<long>, check long), one row for each distinct fingerprint. Groups of more than `limit`
     rows under one key are handled by a second, finer pass: for up to 2 bits by keys with both bits blanked, under
     which at most four fingerprints meet; beyond that by one-wildcard variants of eighths of `check`.
     """
-    keyed = prints.select(F.explode(variants(F.col("words"), layout)).alias("key"), "node", "check", "known")
-    found = materialize(_met(keyed, most, limit, again))
-    edges = found.where("kind <> 1")
+    keyed = prints.select(F.explode(variants(F.col("words"), layout)).alias("key"), "node", "check")
+    found = materialize(_met(keyed, most, limit))
+    edges = found.where("kind = 0").select("a", "b")
     hot = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("check")).distinct()
     if most <= 2:
         masks = [(1 << i) | (1 << j) for i in range(64) for j in range(i + 1)] if most == 2 else [1 << i for i in range(64)] if most == 1 else [0]
         signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
         finer = hot.select("node", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in signed]), lambda m: F.struct(m.alias("mask"), F.col("check").bitwiseAND(F.bitwise_not(m)).alias("rest")))).alias("key"))
         star = finer.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("all")).where(F.size("all") > 1)
-        more = star.select(F.element_at("all", 1).alias("a"), F.explode(F.slice("all", 2, 4)).alias("b"), F.lit(0).alias("kind"))
+        more = star.select(F.element_at("all", 1).alias("a"), F.explode(F.slice("all", 2, 4)).alias("b"))
     else:
         eighths = [(0, 8 * i, 8) for i in range(8)]
         # bit 48 keeps these keys apart from the first pass's
         keys = F.transform(variants(F.array("check"), eighths), lambda k: k.bitwiseOR(F.lit(1 << 48)))
-        finer = hot.select(F.explode(keys).alias("key"), "node", "check", F.col("node").alias("known"))
-        more = _met(finer, most, None, again)
+        finer = hot.select(F.explode(keys).alias("key"), "node", "check")
+        more = _met(finer, most, None).select("a", "b")
     # without oversized groups the finer pass would only add empty jobs
     return edges if hot.isEmpty() else edges.unionByName(more)
 
@@ -271,7 +270,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("two segments of 32 bits find up to 3 differing bits")
     prints = materialize(fingerprints(docs, id_col, text_col, ngram).select("id", F.col("words")[0].alias("fp")))
     nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null"))
-    given = nodes.select("node", F.array("fp").alias("words"), F.col("fp").alias("check"), F.col("node").alias("known"))
+    given = nodes.select("node", F.array("fp").alias("words"), F.col("fp").alias("check"))
     joined = materialize(components(near_links(given, [(0, 0, 32), (0, 32, 32)], most, limit)))
     named = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     out = prints.join(materialize(named), "fp", "left")
@@ -282,10 +281,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-#: Of seven planes, six are indexed in three segments each, in two passes; the last screens pairs, and all judge.
-PLANES = 7
-PASSES = [[(plane, shift, bits) for plane in planes for shift, bits in ((0, 22), (22, 21), (43, 21))] for planes in ((0, 1, 2), (3, 4, 5))]
-SCREEN = 15
+#: Probability that a pair just at the similarity asked for meets under some variant; sets the number of planes.
+MEET = 0.975
+#: Differing bits in two further planes up to which a pair that met is of one family. A pair at similarity 0.8 is
+#: expected to differ in 19 and is within with probability 0.995.
+SCREEN = 30
+#: Rows of a family that are compared with each other in one task, and hashes in their sets.
+PART_ROWS, PART_HASHES = 2048, 1 << 22
 
 
 def share_of_bits(similarity: float) -> float:
@@ -293,152 +295,251 @@ def share_of_bits(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-#: Rows of a group that are compared with each other in one task.
-PART = 2048
+def segment_layout(rows: int, similarity: float) -> list[tuple[int, int, int]]:
+    """Segments of so many planes that a pair at `similarity` meets under some variant with probability MEET.
+
+    A plane is cut into 4, 3 or 2 segments, so wide that of `rows` random fingerprints about a thousand share a
+    variant.
+    """
+    cuts = next(c for c in (4, 3, 2) if c == 2 or rows <= 1 << (64 // c + 9))
+    bits, p = 64 // cuts, share_of_bits(similarity)
+    one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    planes = max(1, math.ceil(math.log(1 - MEET) / math.log(1 - one) / cuts)) if one < 1 else 1
+    return [(plane, bits * i, bits) for plane in range(planes) for i in range(cuts)]
+
+
+def segment_keys(word_col: Column, layout: Sequence[tuple[int, int, int]]) -> Column:
+    """Array of the whole segments as keys, the segment's number above its bits."""
+    return F.array(*(F.shiftrightunsigned(word_col[which], shift).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(i << 32)) for i, (which, shift, bits) in enumerate(layout)))
+
+
+class Forest:
+    """Which groups are joined already, among those that this task has handed on edges of."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def joins(self, a: int, b: int) -> bool:
+        """Joins a and b; false if they were."""
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
+#: Entries of a task's Forest; beyond it a new one is begun, which may hand on an edge again.
+FOREST = 1 << 20
+
+
+def screened(most: int, small: int = 32):
+    """mapInArrow function over rows (key, node, known, one, two) sorted by key: edges (a, b) between `known`.
+
+    Rows of one key whose check words one and two differ in at most `most` bits are of one family. The edges join all
+    families of each key; edges that this task's earlier ones imply are left out.
+    """
+
+    def near(one, two, a, b):
+        return np.bitwise_count(one[a] ^ one[b]) + np.bitwise_count(two[a] ^ two[b]) <= most
+
+    def large(known, one, two):
+        """(known, known) of a forest of one group, in blocks."""
+        _, of = np.unique(known, return_inverse=True)
+        for at in range(0, len(known), 64):
+            block = slice(at, at + 64)
+            ok = (of[block, None] != of[None, :]) & (np.arange(at, at + len(of[block]))[:, None] < np.arange(len(of))[None, :])
+            if not ok.any():
+                continue
+            ok &= np.bitwise_count(one[block, None] ^ one[None, :]) + np.bitwise_count(two[block, None] ^ two[None, :]) <= most
+            for row in np.flatnonzero(ok.any(axis=1)):
+                others = np.flatnonzero(ok[row])
+                others = others[of[others] != of[at + row]]
+                for label, first in zip(*np.unique(of[others], return_index=True), strict=True):
+                    yield known[at + row], known[others[first]]
+                    of[of == label] = of[at + row]
+
+    def edges(key, known, one, two, forest):
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        big = np.repeat(sizes > small, sizes)
+        pairs = []
+        for step in range(1, small):
+            if step >= len(key):
+                break
+            at = np.flatnonzero((key[step:] == key[:-step]) & ~big[step:])
+            if not len(at):
+                break
+            at = at[known[at] != known[at + step]]
+            at = at[near(one, two, at, at + step)]
+            pairs.extend(zip(known[at].tolist(), known[at + step].tolist(), strict=True))
+        for at in np.flatnonzero(sizes > small):
+            rows = slice(starts[at], starts[at] + sizes[at])
+            if (known[rows] != known[starts[at]]).any():
+                pairs.extend((int(x), int(y)) for x, y in large(known[rows], one[rows], two[rows]))
+        new = np.array([p for p in pairs if forest.joins(*p)], dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(new[:, i])) for i in range(2)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, held, last = Forest(), [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "known", "one", "two")]
+            held.append(part)
+            # a group goes on in the next batch if this one ends within it
+            if last is not None and part[0][-1] == last:
+                continue
+            last = part[0][-1]
+            key, known, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(key, last, side="left"))
+            if cut:
+                yield edges(key[:cut], known[:cut], one[:cut].view(np.uint64), two[:cut].view(np.uint64), forest)
+            held = [[x[cut:] for x in (key, known, one, two)]]
+            if len(forest.up) > FOREST:
+                forest = Forest()
+        if held:
+            key, known, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield edges(key, known, one.view(np.uint64), two.view(np.uint64), forest)
+
+    return run
 
 
-def pairs_apart(most: int, sure: float, far: float):
-    """mapInArrow function over rows (key, i, j, part, node, known, words) sorted by key, i, j: the pairs (a, b) of
-    different `known` that are at most `most` bits apart in the last word and `far` bits in all words.
+def verified(similarity: float):
+    """mapInArrow function over rows (family, i, j, part, node, known, hashes) sorted by family, i, j: edges (a, b)
+    between `known` whose sets of shingles have the Jaccard similarity or more.
 
-    A task's rows are parts i and j of a group, of which it looks at the pairs between them, or at all if i = j. Of two
-    `known` with a pair under `sure` bits that pair alone is handed on, since it joins them whatever the others are.
+    A cell's rows are the parts i and j of a family. Every pair of different parts, or of the one part if i = j, is
+    counted exactly unless what was found before joins it already, so the edges are a forest that loses no link.
     """
 
-    def pairs(part, node, known, words):
-        for at in range(0, len(node), 64):
-            some = slice(at, at + 64)
-            ok = known[some, None] != known[None, at:]
-            if part[0] != part[-1]:
-                ok &= part[some, None] != part[None, at:]
-            ok &= np.arange(len(node) - at)[None, :] > np.arange(len(node[some]))[:, None]
-            ok &= np.bitwise_count(words[some, None, -1] ^ words[None, at:, -1]) <= most
-            x, y = np.nonzero(ok)
-            x, y = x + at, y + at
-            bits = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
-            x, y, bits = x[bits <= far], y[bits <= far], bits[bits <= far]
-            if not len(x):
+    def linked(cross, part, known, sets):
+        size = np.array([len(s) for s in sets])
+        starts = np.r_[0, np.cumsum(size)]
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        _, of = np.unique(known, return_inverse=True)
+        mine = np.zeros(int(column.max(initial=-1)) + 1, dtype=np.uint8)
+        for i in range(len(sets) - 1):
+            after = np.flatnonzero((of[i + 1 :] != of[i]) & (size[i + 1 :] >= similarity * size[i]) & (size[i] >= similarity * size[i + 1 :])) + i + 1
+            if cross:
+                after = after[part[after] != part[i]]
+            if not len(after) or not size[i]:
                 continue
-            order = np.argsort(bits, kind="stable")
-            x, y, bits = x[order], y[order], bits[order]
-            groups = np.stack([np.minimum(known[x], known[y]), np.maximum(known[x], known[y])], axis=1)
-            _, first, of = np.unique(groups, axis=0, return_index=True, return_inverse=True)
-            first = first[of.ravel()]
-            keep = (bits[first] >= sure) | (first == np.arange(len(x)))
-            a, b = node[x[keep]], node[y[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    def cell(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine[column[starts[i] : starts[i + 1]]] = 1
+            for at in range(0, len(after), 256):
+                some = after[at : at + 256]
+                some = some[of[some] != of[i]]
+                if not len(some):
+                    continue
+                ends = np.cumsum(size[some])
+                places = np.arange(ends[-1]) + np.repeat(starts[some] - ends + size[some], size[some])
+                both = np.add.reduceat(mine[column[places]], ends - size[some], dtype=np.int64)
+                ok = some[both >= similarity * (size[i] + size[some] - both)]
+                for label, first in zip(*np.unique(of[ok], return_index=True), strict=True):
+                    yield known[i], known[ok[first]]
+                    of[of == label] = of[i]
+            mine[column[starts[i] : starts[i + 1]]] = 0
+
+    def cell(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(rows).combine_chunks()
-        part, node, known = (whole.column(c).to_numpy() for c in ("part", "node", "known"))
-        words = np.concatenate([c.flatten().to_numpy() for c in whole.column("words").chunks]).reshape(len(node), -1).view(np.uint64)
-        order = np.argsort(part, kind="stable")
-        yield from pairs(part[order], node[order], known[order], words[order])
+        i, j, part, known = (whole.column(c).to_numpy() for c in ("i", "j", "part", "known"))
+        sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in whole.column("hashes")]
+        found = np.array([(int(a), int(b)) for a, b in linked(i[0] != j[0], part, known, sets)], dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, c])) for c in range(2)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
             if not len(batch):
                 continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("family", "i", "j")], axis=1)
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
             for a, b in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
                 if held and tuple(keys[a]) != now:
-                    yield from cell(held)
+                    yield cell(held)
                     held = []
                 now = tuple(keys[a])
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from cell(held)
+            yield cell(held)
 
     return run
 
 
-def _left_apart(rest: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different groups among the rows (key, node) with one key, for nodes (node, words, group)."""
-    expected = 64 * PLANES * share_of_bits(similarity)
-    keyed = materialize(rest.join(nodes.select("node", F.col("group").alias("known")), "node").select("key", "node", "known"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi")
-    parts = materialize(sizes.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
-    dealt = (
-        keyed.join(parts, "key")
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .join(nodes.select("node", "words"), "node")
-        .select("key", F.explode(cells).alias("c"), "part", "node", "known", "words")
-        .select("key", "c.i", "c.j", "part", "node", "known", "words")
-    )
-    met = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return met.mapInArrow(pairs_apart(SCREEN, 0.6 * expected, 1.5 * expected), "a long, b long").distinct()
+def _joined(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """nodes with the column `name` replaced by its component under edges (a, b) between its values."""
+    found = materialize(components(edges).select(F.col("node").alias(name), F.col("component").alias("_to")))
+    return nodes.join(found, name, "left").withColumn(name, F.coalesce("_to", name)).drop("_to")
+
 
+def families(prints: DataFrame, layout: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """(node, family) for prints (node, words), whose last two words check what the layout's segments bring together.
+
+    First whole segments meet, then one-wildcard variants, between the families of the first only.
+    """
+    last = max(which for which, _, _ in layout)
+    named = prints.select("node", "words", F.col("node").alias("family"))
+    for keys in (segment_keys, variants):
+        dealt = named.select(F.explode(keys(F.col("words"), layout)).alias("key"), "node", F.col("family").alias("known"), F.col("words")[last + 1].alias("one"), F.col("words")[last + 2].alias("two"))
+        met = dealt.select("key", "known", "one", "two").repartition("key").sortWithinPartitions("key", "known")
+        edges = materialize(met.mapInArrow(screened(SCREEN), "a long, b long"))
+        named = materialize(_joined(named, edges, "family"))
+    return named.select("node", "family")
 
-def _similar(pairs: DataFrame, docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of shingles have the Jaccard similarity or more, counted exactly."""
+
+def _sets(members: DataFrame, source: DataFrame, ngram: int) -> DataFrame:
+    """members (node, family, set_key, id, text_key) with n_hashes and hashes, the sorted shingle hashes as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.unique(hashes(t.as_py() or "", ngram)) for t in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+            sets = [np.unique(hashes(t.as_py() or "", ngram)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("family"), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "family", "n_hashes", "hashes"])
 
-    texts = docs.select("id", "text")
-    told = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return told.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    texts = source.join(members, ["id", "text_key"]).dropDuplicates(["node"])
+    return texts.select("node", "family", "text").mapInArrow(run, "node long, family long, n_hashes long, hashes binary")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, group): the least id that each document reaches by steps of Jaccard similarity `similarity` or more.
-
-    Texts with equal sets of shingles are one node from the start. Candidates are pairs with a variant in common and at
-    most SCREEN bits apart in the last plane. Pairs whose planes differ in less than 0.6 of the expected bits are taken
-    as similar, pairs beyond half as much again are not, and those between are counted exactly on their texts. By the
-    planes' statistics a pair at similarity 0.8 meets with probability about 0.92, at 0.85 with 0.98, at 0.9 with
-    0.999. Rows with a null id are in no group.
+    """(id, text_key, group, first): documents that reach each other by steps of Jaccard similarity `similarity` or
+    more have one group; of each, the least id (of equal ids the least text_key) has `first`.
+
+    A row for each id and text that differ: repeated rows are one document, an id with two texts is two. Texts with
+    equal sets of shingles are one node from the start; nodes are named by a 64-bit hash of their set. Families are
+    found by the bits, links within them by exact counts on the whole texts' sets, whatever a family's size: first in
+    each part of a family, then between parts that are not one yet. A pair at the similarity itself is in one family
+    with probability MEET times 0.995, nearer ones with more. Rows with a null id are in no group; a null text is an
+    empty one. Extra columns are not read.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = materialize(fingerprints(source, "id", "text", ngram, PLANES, distinct=True).where("id is not null"))
-    nodes = materialize(prints.groupBy("set_key").agg(F.min("id").alias("node"), F.first("words").alias("words")))
-    named = nodes.select("set_key", "node", "words", F.col("node").alias("group"))
-
-    def renamed(pairs: DataFrame) -> DataFrame:
-        joined = _linked(named, pairs, source, ngram, similarity)
-        return materialize(named.join(joined, F.col("group") == F.col("joined"), "left").select("set_key", "node", "words", F.coalesce("component", "group").alias("group")))
-
-    for layout in PASSES:
-        given = named.select("node", "words", F.col("words")[PLANES - 1].alias("check"), F.col("group").alias("known"))
-        found = materialize(near_found(given, layout, SCREEN, limit=1 << 16, again=True))
-        named = renamed(found.where("kind = 0").select("a", "b").distinct())
-        # the forest's edges may have been rejected; pairs that it left out are looked at where groups are still apart
-        rest = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"))
-        if not rest.isEmpty():
-            named = renamed(_left_apart(rest, named, similarity))
-    return prints.select("id", "set_key").join(named.select("set_key", "group"), "set_key").select("id", "group")
-
-
-def _linked(nodes: DataFrame, pairs: DataFrame, source: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """(joined, component): which groups of nodes (node, words, group) the candidates `pairs` (a, b) join.
-
-    Candidates are of different groups: a pair within a group tells nothing new.
-    """
-    apart = sum((F.bit_count(F.col("wa")[k].bitwiseXOR(F.col("wb")[k])) for k in range(PLANES)), F.lit(0))
-    told = materialize(
-        pairs.join(nodes.select(F.col("node").alias("a"), F.col("words").alias("wa"), F.col("group").alias("ga")), "a")
-        .join(nodes.select(F.col("node").alias("b"), F.col("words").alias("wb"), F.col("group").alias("gb")), "b")
-        .select("a", "b", "ga", "gb", apart.alias("bits"))
-    )
-    expected = 64 * PLANES * share_of_bits(similarity)
-    sure = materialize(components(told.where(F.col("bits") < 0.6 * expected).select(F.col("ga").alias("a"), F.col("gb").alias("b")).where("a <> b")))
-    open_pairs = told.where((F.col("bits") >= 0.6 * expected) & (F.col("bits") <= 1.5 * expected))
-    within = (
-        open_pairs.join(sure.select(F.col("node").alias("ga"), F.col("component").alias("ca")), "ga", "left")
-        .join(sure.select(F.col("node").alias("gb"), F.col("component").alias("cb")), "gb", "left")
-        .select("a", "b", F.coalesce("ca", "ga").alias("ca"), F.coalesce("cb", "gb").alias("cb"))
-        .where("ca <> cb")
-    )
-    asked = materialize(within)
-    counted = asked.join(_similar(asked.select("a", "b"), source, ngram, similarity), ["a", "b"], "left_semi")
-    edges = sure.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(counted.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return materialize(components(edges.where("a <> b")).select(F.col("node").alias("joined"), "component"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    layout = segment_layout(source.count(), similarity)
+    planes = layout[-1][0] + 3
+    prints = materialize(fingerprints(source, "id", "text", ngram, planes, distinct=True))
+    least = F.min(F.struct("id", "text_key"))
+    nodes = materialize(prints.groupBy("set_key").agg(least.alias("m"), F.first("words").alias("words")).select("set_key", F.xxhash64("set_key").alias("node"), "m.id", "m.text_key", "words"))
+    found = families(nodes, layout)
+    sizes = found.groupBy("family").count().where("count > 1").select("family")
+    members = materialize(nodes.select("node", "id", "text_key").join(materialize(found.join(sizes, "family")), "node"))
+    sets = materialize(_sets(members, source.withColumn("text_key", text_key(F.col("text"))), ngram))
+    parts = materialize(sets.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum("n_hashes") / PART_HASHES), F.lit(1)).cast("int").alias("parts")))
+    dealt = sets.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+    def links(rows: DataFrame) -> DataFrame:
+        met = rows.select("family", "i", "j", "part", "known", "hashes").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+        return materialize(met.mapInArrow(verified(similarity), "a long, b long"))
+
+    known = sets.select("node", "family", F.col("node").alias("group"))
+    known = materialize(_joined(known, links(dealt.select("*", F.col("part").alias("i"), F.col("part").alias("j"), F.col("node").alias("known"))), "group"))
+    apart = known.groupBy("family").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").join(parts.where("parts > 1"), "family").select("family")
+    if not apart.isEmpty():
+        others = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("part")), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
+        wide = dealt.join(materialize(apart), "family").join(known.select("node", F.col("group").alias("known")), "node").withColumn("c", F.explode(others))
+        known = materialize(_joined(known, links(wide.select("*", "c.i", "c.j")), "group"))
+    named = nodes.join(known.select("node", "group"), "node", "left").select("set_key", F.coalesce("group", "node").alias("group"))
+    told = prints.select("id", "text_key", "set_key").distinct().join(named, "set_key").select("id", "text_key", "group")
+    first = told.groupBy("group").agg(F.min(F.struct("id", "text_key")).alias("m"))
+    return told.join(first, "group").select("id", "text_key", "group", (F.struct("id", "text_key") == F.col("m")).alias("first"))

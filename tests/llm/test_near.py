@@ -51,21 +51,25 @@ def test_components_of_odd_rows(odd, empty):
     assert simhash_components(empty).count() == 0
 
 
-def test_near_duplicates(spark):
-    rng = random.Random(7)
-    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
-    rows = []
-    for i in range(60):
-        base = rng.choices(words, k=200)
-        rows.append((i, " ".join(base)))
-        changed = list(base)
-        for at in rng.sample(range(200), 2):
-            changed[at] = "zzz"
-        rows.append((1000 + i, " ".join(changed)))
-    got = {r["id"]: r["group"] for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[i] == i for i in range(60))
-    assert sum(got[1000 + i] == i for i in range(60)) >= 57
-    assert all(got[1000 + i] in (i, 1000 + i) for i in range(60))
+def grouped(docs):
+    """{id: the least id of its group} of documents whose ids have one text each."""
+    rows = near_duplicate_groups(docs).collect()
+    first = {r["group"]: r["id"] for r in rows if r["first"]}
+    assert len(first) == len({r["group"] for r in rows})
+    return {r["id"]: first[r["group"]] for r in rows}
+
+
+def linked_by_text(rows, n=5, similarity=0.8):
+    sets = {i: set(hashes(t or "", n).tolist()) for i, t in rows}
+    ids = sorted(sets)
+    return [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(both := sets[a] & sets[b]) >= similarity * (len(sets[a]) + len(sets[b]) - len(both))]
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(words)), n):
+        out[at] = "".join(rng.choices("abcdefgh", k=6))
+    return out
 
 
 def test_near_duplicates_at_the_threshold(spark):
@@ -74,15 +78,31 @@ def test_near_duplicates_at_the_threshold(spark):
     rows = []
     for i in range(100):
         base = rng.choices(words, k=400)
-        changed = list(base)
+        other = list(base)
         for at in (40, 110, 180, 250, 290, 330, 370)[: 6 + i % 2]:
-            changed[at] = "zzz"
-        rows += [(i, " ".join(base)), (1000 + i, " ".join(changed))]
-    sets = {i: set(hashes(t, 5).tolist()) for i, t in rows}
-    alike = {i for i in range(100) if len(sets[i] & sets[1000 + i]) >= 0.8 * len(sets[i] | sets[1000 + i])}
-    got = {r["id"]: r["group"] for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(alike) > 90 and sum(got[1000 + i] == i for i in alike) >= 0.85 * len(alike)
-    assert all(got[1000 + i] == 1000 + i for i in range(100) if i not in alike)
+            other[at] = "zzz"
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(other))]
+    links = linked_by_text(rows)
+    got = grouped(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(links) > 90 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+    assert all(got[1000 + i] == 1000 + i for i in range(100) if (i, 1000 + i) not in links)
+
+
+@pytest.mark.parametrize("n", [2, 13, 50, 1000])
+def test_near_duplicates_in_groups(spark, n, monkeypatch):
+    """Families of n texts around a template, whose similarities lie on both sides of the threshold."""
+    monkeypatch.setattr(simhash, "PART_ROWS", 300)
+    rng = random.Random(n)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    rows = []
+    for family in range(max(1, 60 // n)):
+        base = rng.choices(words, k=150)
+        rows += [(family * n + i, " ".join(changed(rng, base, rng.randint(1, 4)))) for i in range(n)]
+    links = linked_by_text(rows)
+    least = closed([i for i, _ in rows], links)
+    got = grouped(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+    assert all(least[i] == least[got[i]] for i in got)
 
 
 def test_near_duplicates_of_one_template(spark, monkeypatch):
@@ -98,14 +118,20 @@ def test_near_duplicates_of_one_template(spark, monkeypatch):
         for at in (5, 200, 300, 390):
             other[at] = "zzz"
         rows += [(1 + 2 * i, " ".join(own)), (2 + 2 * i, " ".join(other))]
-    sets = {i: set(hashes(t, 5).tolist()) for i, t in rows}
-    least = closed(sorted(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    least = closed([i for i, _ in rows], linked_by_text(rows))
     assert len(set(least.values())) == 51
-    prints = [(0, [0] * 7, "0")] + [(i, [sum(1 << b for b in rng.sample(range(22, 63), 6)) for _ in range(7)], str(i)) for i, _ in rows[1:]]
-    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **b: spark.createDataFrame(prints, "id long, words array<long>, set_key string"))
-    monkeypatch.setattr(simhash, "PART", 7, raising=False)
-    got = {r["id"]: r["group"] for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == least
+    monkeypatch.setattr(simhash, "PART_ROWS", 7)
+    assert grouped(spark.createDataFrame(rows, "doc_id long, text string")) == least
+
+
+def test_near_duplicates_of_odd_rows(spark, odd, empty):
+    assert near_duplicate_groups(empty).count() == 0
+    got = near_duplicate_groups(odd).collect()
+    assert sorted(r["id"] for r in got) == [1, 2, 3, 4, 5, 6, 7, 8]
+    group = {r["id"]: r["group"] for r in got}
+    assert group[2] == group[3] == group[7] and group[1] == group[8] and group[4] == group[5]
+    twice = near_duplicate_groups(spark.createDataFrame([(1, "one two three four five six"), (1, "quite another text of some words"), (1, "one two three four five six")], "doc_id long, text string"))
+    assert twice.count() == 2 and twice.where("first").count() == 2
 
 
 def brute(rows, k):
