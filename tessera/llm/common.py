@@ -13,14 +13,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the session's checkpoint folder.
+
+    Where neither is set, a session that runs on this machine alone gets a temporary one; on a cluster that is an
+    error, since executors would not see it.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         at = spark.sparkContext.getCheckpointDir()
     return at
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with underscores before it until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 #: Documents of a packing group, on average. Each group is packed by one task.
 GROUP_ROWS = 4096
 
@@ -59,6 +61,7 @@ def pack_documents(docs: DataFrame, length: Column, capacity: int, source: Colum
     source. Documents are dealt by a hash into groups of about group_rows, packed by themselves, so bins never mix
     groups; the number of groups follows the number of documents. Null lengths count as 0 and get a place; a null
     source or cluster conflicts with nothing. Repeated rows are packed each; give them a cluster to keep them apart.
+    Rows with a null id, and equal rows beyond a group's number, are dealt by the place that they are read from.
     """
     rows = docs.select(
         # pandas would turn ids beside a null into floats
@@ -66,9 +69,19 @@ def pack_documents(docs: DataFrame, length: Column, capacity: int, source: Colum
         F.coalesce(length.cast("long"), F.lit(0)).alias("length"),
         (source if source is not None else F.lit(None)).cast("string").alias("source"),
         (cluster if cluster is not None else F.lit(None)).cast("string").alias("cluster"),
+        F.monotonically_increasing_id().alias("seat"),
     )
+    rows = materialize(rows)
     groups = max(1, -(-rows.count() // group_rows))
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit("pack")), F.lit(groups)))
+    key = ["doc_id", "length", "source", "cluster"]
+    many = materialize(rows.where(F.col("doc_id") != NO_ID).groupBy(*key).count().where(F.col("count") > group_rows).select(F.xxhash64(*key).alias("key")))
+    by_seat = F.col("doc_id") == NO_ID
+    dealt = rows.withColumn("key", F.xxhash64(*key))
+    if not many.isEmpty():
+        dealt = dealt.join(many.distinct().withColumn("often", F.lit(True)), "key", "left")
+        by_seat = by_seat | F.coalesce("often", F.lit(False))
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", F.when(by_seat, F.col("seat")), F.lit("pack")), F.lit(groups)))
+    dealt = dealt.select(*key, "group")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         group = int(pdf["group"].iloc[0])
