@@ -4,51 +4,68 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table
+from tessera.llm.common import fresh, materialize, table
 from tessera.llm.packing import pack_documents, text_cluster
 from tessera.llm.pii import disclosing_terms, find_pii, sanitised
-from tessera.llm.simhash import near_duplicate_groups
-from tessera.llm.toxicity import fit
-from tessera.llm.toxicity import toxicity as graded
+from tessera.llm.simhash import near_duplicate_groups, text_key
+from tessera.llm.toxicity import fit, judged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that a model of the labelled ones grades as toxic."""
+    """Drops the documents that a model of the labelled ones tells as toxic.
+
+    A null text counts as empty and stays, as all do where labels of both kinds are missing. Repeated rows are told
+    alike. Columns of any name pass unchanged; an empty table stays empty.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return graded(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    return docs if model is None else docs.where(~judged(model, F.col("text"))["toxic"])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the least doc_id of each group of near-duplicates (five-word shingles, similarity 0.8 or more).
 
-    Documents with a null doc_id stay. Repeated rows of a doc_id are one document, of which one row stays.
+    Documents with a null doc_id stay. A null text counts as empty, so of those without words one stays. Rows equal in
+    doc_id and text are one document, of which one row stays (that of the least hash, should other columns differ);
+    rows of one doc_id with different texts are documents of their own. Columns of any name pass unchanged.
     """
-    groups = materialize(near_duplicate_groups(docs))
-    gone = groups.where("id <> group").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(materialize(gone), "doc_id", "left_anti")
-    repeated = groups.groupBy("id").count().where("count > 1")
+    groups = materialize(near_duplicate_groups(docs).where("not first").select("id", "text_key"))
+    key = text_key(F.col("text").cast("string"))
+    kept = docs.join(groups, (docs["doc_id"].cast("long") == groups["id"]) & (key == groups["text_key"]), "left_anti")
+    named, row = fresh(docs, "text_key"), fresh(docs, "row")
+    told = kept.where("doc_id is not null").select("doc_id", key.alias("key")).groupBy("doc_id", "key").count().where("count > 1")
+    repeated = materialize(told.select(F.col("doc_id").alias("id"), "key"))
     if repeated.isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    same = (kept["doc_id"] == repeated["id"]) & (key == repeated["key"])
+    each = Window.partitionBy("doc_id", named).orderBy(F.xxhash64(*docs.columns))
+    one = kept.join(repeated, same, "left_semi").withColumn(named, key).withColumn(row, F.row_number().over(each)).where(F.col(row) == 1)
+    return kept.join(repeated, same, "left_anti").unionByName(one.select(*docs.columns))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data and disclosing terms in the texts; n_chars follows. A null text stays null."""
-    found = find_pii(docs, materialize(disclosing_terms(docs)))
+    """Replaces personal data and disclosing terms in the texts; n_chars follows.
+
+    A null text stays null, with n_chars 0, an empty one empty. All rows stay, repeated ones and null ids too, and
+    columns of any name pass unchanged.
+    """
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    found = find_pii(given, materialize(disclosing_terms(given)))
     text = F.when(F.col("text").isNotNull(), sanitised(F.col("_text"), F.col("_spans")))
-    changed = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return changed.select(*docs.columns)
+    changed = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
+    return found.select(*((changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places the documents' bytes into bins of 16,384; at most two of a source and one of a cluster in a bin."""
+    """Places the documents' bytes into bins of 16,384; at most two of a source and one of a cluster in a bin.
+
+    A null or empty text has the one byte that ends it. Null sources conflict with nothing; null ids and repeated rows
+    get a place each. Other columns are not read; an empty table gives no rows.
+    """
     length = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
     return pack_documents(docs, length, 16_384, F.col("source"), text_cluster(F.col("text")), per_source=2)
 
