@@ -33,27 +33,44 @@ WORD = r"\p{L}+"
 MARK, OTHER = "\x01", "\x02"
 
 #: Characters beside an entity in which its neighbouring words are looked for, and how many words on each side.
-REACH, NEIGHBOURS = 48, 2
+REACH, NEIGHBOURS = 128, 8
 
 #: A term is generalised where it carries this share of an entity kind's information, and removed from the second on.
 GENERALISE, REMOVE = 0.90, 0.95
-#: Different entities that a term must stand beside, and occurrences elsewhere that are taken for granted.
+#: Different entities of a kind, or different passages around one entity, that a term must stand beside, and
+#: occurrences elsewhere that are taken for granted.
 SUPPORT, PRIOR = 5, 5.0
 
+#: Elements that a scan over an array takes at a time, and characters of the blocks that a text is cut from.
+SCAN, BLOCK = 256, 4096
+
 #: Terms up to which the small side of a join is broadcast; beyond it both sides are shuffled.
 BROADCAST_TERMS = 20_000
 
 
-def running_sums(sizes: Column, block: int = 256) -> Column:
-    """Sum of the elements before each element of an int array. In blocks, since each append copies its array."""
+def scan(values: Column, start: Column, step) -> Column:
+    """What step gives for the elements before each element. In blocks, since each append copies its array, so that
+    the work is in proportion to the array."""
+
+    def fold(part: Column, first: Column) -> Column:
+        empty = F.struct(first.alias("sum"), F.filter(F.array(first), lambda x: F.lit(False)).alias("out"))
+        return F.aggregate(part, empty, lambda acc, x: F.struct(step(acc["sum"], x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")))
+
+    def joined(blocks: Column) -> Column:
+        starts = fold(F.transform(blocks, lambda b: b["sum"]), start)["out"]
+        return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.transform(b["out"], lambda x: step(x, s))))
+
+    def scanned(given: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(given) - 1) / SCAN).cast("int")), lambda b: fold(F.slice(given, b * SCAN + 1, SCAN), start))
+        return F.when(F.size(given) > 0, F.flatten(F.transform(F.array(blocks), joined))).otherwise(F.filter(F.array(start), lambda x: F.lit(False)))
 
-    def fold(values: Column, start: Column) -> Column:
-        empty = F.struct(start.alias("sum"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(values, empty, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")))
+    # one-element arrays bind what is used more than once to a name, so that it is computed once
+    return F.flatten(F.transform(F.array(values), scanned))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: fold(F.slice(sizes, b * block + 1, block), F.lit(0)))
-    starts = fold(F.transform(blocks, lambda b: b["sum"]), F.lit(0))["out"]
-    return F.flatten(F.zip_with(blocks, starts, lambda b, s: F.transform(b["out"], lambda x: x + s)))
+
+def running_sums(sizes: Column) -> Column:
+    """Sum of the elements before each element of an int array."""
+    return scan(sizes, F.lit(0), lambda a, x: a + x)
 
 
 def marked(text: Column, pattern: str) -> Column:
@@ -142,30 +159,39 @@ def neighbours(span: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT, prior: float = PRIOR) -> DataFrame:
-    """(term, kind, disclosure, action) of the terms that reveal a kind of entity beyond the threshold.
-
-    Over all documents, p(kind | term) is the share of the term's occurrences that stand beside an entity of the kind
-    (with `prior` occurrences elsewhere added), p(kind) the share of all words that do. The pointwise mutual
-    information of term and kind, log p(kind|term)/p(kind), over the kind's information content, -log p(kind), is the
-    disclosure: 1 where the term stands for the kind, 0 where it tells nothing. A term must stand beside `support`
-    different entities. Of several kinds the most disclosed one is kept, ties to the first.
+    """(term, kind, disclosure, action) of the terms that reveal a protected entity, or a kind of them, beyond the
+    threshold.
+
+    Over all documents, p(x | term) is the share of the term's occurrences that stand beside x (with `prior`
+    occurrences elsewhere added), p(x) the share of all words that do; x is one entity, such as an address, or all of
+    its kind. The pointwise mutual information of term and x, log p(x|term)/p(x), over the information of x, -log p(x),
+    is the disclosure: 1 where the term stands for x, 0 where it tells nothing. Beside an entity are the NEIGHBOURS
+    words on each side within REACH characters. A term must stand beside `support` different entities of the kind, or
+    in `support` different passages beside the one entity, so that copies of a passage prove nothing. Of several x the
+    most disclosed one is kept, ties to the first kind. Null and empty texts and empty tables give no terms.
     """
     base = with_base_spans(docs.select(F.col(text_col).alias("text")), "text", context=True)
-    context = F.flatten(F.transform(F.concat(*(F.col(f"_{k}") for k in PATTERNS)), lambda s: F.transform(neighbours(s), lambda w: F.struct(s["rank"].alias("rank"), F.xxhash64(s["value"]).alias("entity"), w.alias("term")))))
+    context = F.flatten(F.transform(F.concat(*(F.col(f"_{k}") for k in PATTERNS)), lambda s: F.transform(neighbours(s), lambda w: F.struct(s["rank"].alias("rank"), F.xxhash64(s["value"]).alias("entity"), F.xxhash64(s["left"], s["right"]).alias("passage"), w.alias("term")))))
     seen = materialize(base.select(F.size(text_terms(F.col("_text"))).alias("n_words"), context.alias("near")))
     words = seen.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
-    # entities first, so that no entity's or term's rows meet in one task
-    near = seen.select(F.explode("near").alias("x")).select("x.*").groupBy("rank", "term", "entity").agg(F.count("*").alias("n"))
-    beside = materialize(near.groupBy("rank", "term").agg(F.sum("n").alias("n_near"), F.count("*").alias("n_entities")))
-    kinds = beside.groupBy("rank").agg((F.sum("n_near") / F.lit(float(max(words, 1)))).alias("p_kind"))
-    candidates = beside.where(F.col("n_entities") >= support)
-    names = candidates.select("term").distinct()
+    share = F.lit(float(max(words, 1)))
+    # passages first, then entities, so that no entity's or term's rows meet in one task
+    passages = seen.select(F.explode("near").alias("x")).select("x.*").groupBy("rank", "term", "entity", "passage").agg(F.count("*").alias("n"))
+    pairs = materialize(passages.groupBy("rank", "term", "entity").agg(F.sum("n").alias("n_near"), F.count("*").alias("n_passages")))
+    beside = materialize(pairs.groupBy("rank", "term").agg(F.sum("n_near").alias("n_near"), F.count("*").alias("n_entities")))
+    kinds = beside.groupBy("rank").agg((F.sum("n_near") / share).alias("p"))
+    # of one entity, copies of a passage count once
+    entities = pairs.groupBy("rank", "entity").agg((F.sum("n_passages") / share).alias("p"))
+    of_kind = beside.where(F.col("n_entities") >= support).join(F.broadcast(kinds), "rank").select("rank", "term", "n_near", "p")  # a row for each kind
+    of_one = pairs.where(F.col("n_passages") >= support).join(entities, ["rank", "entity"]).select("rank", "term", F.col("n_passages").alias("n_near"), "p")
+    candidates = materialize(of_kind.unionByName(of_one))
+    names = materialize(candidates.select("term").distinct())
     if names.count() <= BROADCAST_TERMS:
         names = F.broadcast(names)
     counts = docs.select(F.explode(text_terms(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term")).where("term <> ''").join(names, "term").groupBy("term").agg(F.count("*").alias("n_all"))
-    told = candidates.join(counts, "term").join(F.broadcast(kinds), "rank")  # a row for each kind
+    told = candidates.join(counts, "term")
     p = F.least("n_near", "n_all") / (F.col("n_all") + F.lit(prior))
-    ic = -F.log(F.least("p_kind", F.lit(0.5)))
+    ic = -F.log(F.least("p", F.lit(0.5)))
     told = told.withColumn("disclosure", (F.log(p) + ic) / ic)
     best = told.where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max(F.struct("disclosure", (-F.col("rank")).alias("r"))).alias("m"))
     return best.select(
@@ -176,8 +202,8 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", generalise: float
     )
 
 
-def _term_spans(hits: Column, text: Column, base: Column) -> Column:
-    """Spans of the words in `hits` (array of struct term, action) that touch no base span."""
+def _term_spans(hits: Column, text: Column) -> Column:
+    """Spans of the words in `hits` (array of struct term, action)."""
 
     def each(parts: Column) -> Column:
         def located(starts: Column) -> Column:
@@ -192,8 +218,26 @@ def _term_spans(hits: Column, text: Column, base: Column) -> Column:
         return F.flatten(F.transform(sums, located))
 
     found = F.flatten(F.transform(F.array(marked(text, WORD)), each))
-    apart = F.filter(found, lambda s: s["value"].isNotNull() & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.when(F.size(hits) > 0, apart).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.size(hits) > 0, F.filter(found, lambda s: s["value"].isNotNull())).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+#: Stands for the start of a base span where none follows.
+FAR = (1 << 31) - 1
+
+
+def _apart(found: Column) -> Column:
+    """Of sorted spans the base ones, and the terms that touch none of them."""
+    term = len(KINDS) - 1
+
+    def kept(spans_: Column) -> Column:
+        # the farthest end of the base spans before each span, and the next start of those after it
+        before = scan(F.transform(spans_, lambda s: F.when(s["rank"] < term, s["end"]).otherwise(F.lit(0))), F.lit(0), lambda a, x: F.greatest(a, x))
+        after = F.reverse(scan(F.reverse(F.transform(spans_, lambda s: F.when(s["rank"] < term, s["start"]).otherwise(F.lit(FAR)))), F.lit(FAR), lambda a, x: F.least(a, x)))
+        told = F.arrays_zip(spans_.alias("span"), before.alias("before"), after.alias("after"))
+        free = F.filter(told, lambda t: (t["span"]["rank"] < term) | ((t["before"] <= t["span"]["start"]) & (t["after"] >= t["span"]["end"])))
+        return F.transform(free, lambda t: t["span"])
+
+    return F.when(F.exists(found, lambda s: s["rank"] == term), F.flatten(F.transform(F.array(found), kept))).otherwise(found)
 
 
 def find_pii(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -218,9 +262,9 @@ def find_pii(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataF
         out = out.withColumn("_key", F.sha2("_text", 256)).join(listed, "_key", "left")
         hits = F.coalesce(F.col("_met"), F.array().cast("array<struct<term:string,action:string>>"))
     out = out.withColumn("_base", base).withColumn("_hits", hits)
-    out = out.withColumn("_terms", _term_spans(F.col("_hits"), F.col("_text"), F.col("_base")))
+    out = out.withColumn("_terms", _term_spans(F.col("_hits"), F.col("_text")))
     out = out.withColumn("_base", F.array_sort("_base")).withColumn("_spans", F.array_sort(F.concat("_base", "_terms")))
-    return out.drop("_hits", "_terms", "_actions", "_met", "_key")
+    return out.withColumn("_spans", _apart(F.col("_spans"))).drop("_hits", "_terms", "_actions", "_met", "_key")
 
 
 def listed(found: Column) -> Column:
@@ -232,21 +276,28 @@ def listed(found: Column) -> Column:
 def sanitised(text: Column, found: Column) -> Column:
     """The text with each span replaced: base spans by [EMAIL] and so on, terms by [TERM] or by nothing.
 
-    Spans that overlap are covered by the first one's label.
+    Spans that overlap are covered by the first one's label. The text is cut from blocks, since finding a place in a
+    string walks it from its start.
     """
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        label = F.when((s["rank"] == len(KINDS) - 1) & (s["value"] == "remove"), F.lit("")).otherwise(F.get(labels, s["rank"]))
-        ahead = s["start"] >= acc["at"]
-        piece = F.when(ahead, F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label)).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def replaced(blocks: Column, ends: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / BLOCK).cast("int")
+            some = F.array_join(F.slice(blocks, first + 1, F.floor(b / BLOCK).cast("int") - first + 1), "")
+            return F.substring(some, a - first * BLOCK + 1, b - a)
+
+        def one(s: Column, i: Column) -> Column:
+            at = F.get(ends, i)
+            label = F.when((s["rank"] == len(KINDS) - 1) & (s["value"] == "remove"), F.lit("")).otherwise(F.get(labels, s["rank"]))
+            return F.when(s["start"] >= at, F.concat(between(at, s["start"]), label)).otherwise(F.lit(""))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+        last = F.greatest(F.get(ends, F.size(ends) - 1), F.element_at(found, -1)["end"])
+        return F.concat(F.array_join(F.transform(found, one), ""), between(last, F.lit(BLOCK) * F.size(blocks)))
 
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, finish)).otherwise(text)
+    # one-element arrays bind what is used often to names
+    given = F.array(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), scan(F.transform(found, lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x)).alias("ends")))
+    return F.when(F.size(found) > 0, F.element_at(F.transform(given, lambda g: replaced(g["blocks"], g["ends"])), 1)).otherwise(text)
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
