@@ -76,40 +76,37 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, planes: int = 1, distinct: bool = False) -> DataFrame:
-    """(id, text_key, words array<long>, set_key): `planes` 64-bit SimHash fingerprints of each text's word shingles.
+    """(id, text_key, words array<long>, node, n_hashes): `planes` 64-bit SimHash fingerprints of each text's shingles.
 
     A null text counts as empty; a text without words has fingerprint 0. Long texts are hashed whole. With
-    `distinct`, repeats of a shingle count once, and set_key and text_key are equal for equal sets of shingles and
-    equal texts; else they are null.
+    `distinct`, repeats of a shingle count once, text_key is a hash of the text, node one of its set of shingles (64
+    bits of an MD5) and n_hashes the set's size; else these are null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, keys = [], []
+            prints, nodes, sizes = [], [], []
             for value in batch.column(1):
                 h = hashes(value.as_py() or "", ngram)
                 if distinct:
                     h = np.unique(h)
+                    nodes.append(int.from_bytes(hashlib.md5(h.tobytes()).digest()[:8], "little", signed=True))
+                    sizes.append(len(h))
                 prints.append([majority(remixed(h, k)) for k in range(planes)])
-                keys.append(set_key(h) if distinct else None)
             flat = np.array(prints, dtype=np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * planes), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists, pa.array(keys, pa.string())], names=["id", "text_key", "words", "set_key"])
+            more = [pa.array(x, pa.int64()) if distinct else pa.nulls(len(batch), pa.int64()) for x in (nodes, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists, *more], names=["id", "text_key", "words", "node", "n_hashes"])
 
     text = F.col(text_col).cast("string")
-    key = text_key(text) if distinct else F.lit(None).cast("string")
+    key = text_key(text) if distinct else F.lit(None).cast("long")
     out = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), key.alias("text_key"))
-    return out.mapInArrow(run, "id long, text_key string, words array<long>, set_key string")
-
-
-def set_key(h: np.ndarray) -> str:
-    """Name of a sorted set of hashes."""
-    return hashlib.md5(h.tobytes()).hexdigest()
+    return out.mapInArrow(run, "id long, text_key long, words array<long>, node long, n_hashes long")
 
 
 def text_key(text: Column) -> Column:
-    """Name of a text; a null one is named like an empty one."""
-    return F.md5(F.coalesce(text, F.lit("")))
+    """Tells the texts of one id apart; a null one is named like an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def variants(word_col: Column, layout: Sequence[tuple[int, int, int]]) -> Column:
@@ -474,7 +471,7 @@ def verified(similarity: float):
 def _joined(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """nodes with the column `name` replaced by its component under edges (a, b) between its values."""
     found = materialize(components(edges).select(F.col("node").alias(name), F.col("component").alias("_to")))
-    return nodes.join(found, name, "left").withColumn(name, F.coalesce("_to", name)).drop("_to")
+    return nodes.join(few(found), name, "left").withColumn(name, F.coalesce("_to", name)).drop("_to")
 
 
 def families(prints: DataFrame, layout: Sequence[tuple[int, int, int]]) -> DataFrame:
@@ -492,54 +489,64 @@ def families(prints: DataFrame, layout: Sequence[tuple[int, int, int]]) -> DataF
     return named.select("node", "family")
 
 
+#: Rows of two numbers up to which the documents' side of a join stays where it is and these are broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """The written table, to be broadcast if its size is within the bound."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _sets(members: DataFrame, source: DataFrame, ngram: int) -> DataFrame:
-    """members (node, family, set_key, id, text_key) with n_hashes and hashes, the sorted shingle hashes as binary."""
+    """members (node, family, parts, id, text_key) with hashes, the sorted shingle hashes as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(hashes(t.as_py() or "", ngram)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("family"), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "family", "n_hashes", "hashes"])
+            sets = [np.unique(hashes(t.as_py() or "", ngram)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "family", "parts")), pa.array(sets, pa.binary())], names=["node", "family", "parts", "hashes"])
 
-    texts = source.join(members, ["id", "text_key"]).dropDuplicates(["node"])
-    return texts.select("node", "family", "text").mapInArrow(run, "node long, family long, n_hashes long, hashes binary")
+    texts = source.withColumn("text_key", text_key(F.col("text"))).join(few(members), ["id", "text_key"])
+    return texts.select("node", "family", "parts", "text").mapInArrow(run, "node long, family long, parts int, hashes binary")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, text_key, group, first): documents that reach each other by steps of Jaccard similarity `similarity` or
-    more have one group; of each, the least id (of equal ids the least text_key) has `first`.
-
-    A row for each id and text that differ: repeated rows are one document, an id with two texts is two. Texts with
-    equal sets of shingles are one node from the start; nodes are named by a 64-bit hash of their set. Families are
-    found by the bits, links within them by exact counts on the whole texts' sets, whatever a family's size: first in
-    each part of a family, then between parts that are not one yet. A pair at the similarity itself is in one family
-    with probability MEET times 0.995, nearer ones with more. Rows with a null id are in no group; a null text is an
-    empty one. Extra columns are not read.
+    """(id, text_key, copies, group, first): documents that reach each other by steps of Jaccard similarity
+    `similarity` or more have one group; of each, the least id (of equal ids the least text_key) has `first`.
+
+    A row for each id and text that differ: `copies` repeated rows are one document, an id with two texts is two.
+    Texts with equal sets of shingles are one node from the start, named by 64 bits of their hash. Families are found
+    by the bits, links within them by exact counts on the whole texts' sets, whatever a family's size: first in each
+    part of a family, then between parts that are not one yet. A pair at the similarity itself is in one family with
+    probability MEET times 0.995, nearer ones with more. Rows with a null id are in no group; a null text is an empty
+    one. Extra columns are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     layout = segment_layout(source.count(), similarity)
     planes = layout[-1][0] + 3
     prints = materialize(fingerprints(source, "id", "text", ngram, planes, distinct=True))
-    least = F.min(F.struct("id", "text_key"))
-    nodes = materialize(prints.groupBy("set_key").agg(least.alias("m"), F.first("words").alias("words")).select("set_key", F.xxhash64("set_key").alias("node"), "m.id", "m.text_key", "words"))
+    nodes = materialize(prints.groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("m"), F.first("words").alias("words"), F.first("n_hashes").alias("n_hashes")).select("node", "m.id", "m.text_key", "n_hashes", "words"))
     found = families(nodes, layout)
-    sizes = found.groupBy("family").count().where("count > 1").select("family")
-    members = materialize(nodes.select("node", "id", "text_key").join(materialize(found.join(sizes, "family")), "node"))
-    sets = materialize(_sets(members, source.withColumn("text_key", text_key(F.col("text"))), ngram))
-    parts = materialize(sets.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum("n_hashes") / PART_HASHES), F.lit(1)).cast("int").alias("parts")))
-    dealt = sets.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    named = materialize(found.join(nodes.select("node", "id", "text_key", "n_hashes"), "node"))
+    whole = named.groupBy("family").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum("n_hashes") / PART_HASHES)).cast("int").alias("parts")).where("n > 1").drop("n")
+    members = materialize(named.join(whole, "family").select("node", "family", "parts", "id", "text_key"))
+    # rows that repeat give equal sets
+    sets = materialize(_sets(members, source, ngram))
+    dealt = sets.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
     def links(rows: DataFrame) -> DataFrame:
-        met = rows.select("family", "i", "j", "part", "known", "hashes").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+        met = rows.select("family", "i", "j", "part", "known", "hashes").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "part", "known")
         return materialize(met.mapInArrow(verified(similarity), "a long, b long"))
 
-    known = sets.select("node", "family", F.col("node").alias("group"))
+    known = members.select("node", "family", "parts", F.col("node").alias("group"))
     known = materialize(_joined(known, links(dealt.select("*", F.col("part").alias("i"), F.col("part").alias("j"), F.col("node").alias("known"))), "group"))
-    apart = known.groupBy("family").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").join(parts.where("parts > 1"), "family").select("family")
+    apart = materialize(known.where("parts > 1").groupBy("family").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("family"))
     if not apart.isEmpty():
         others = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("part")), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
-        wide = dealt.join(materialize(apart), "family").join(known.select("node", F.col("group").alias("known")), "node").withColumn("c", F.explode(others))
+        wide = dealt.join(few(apart), "family").join(few(materialize(known.where("parts > 1").select("node", F.col("group").alias("known")))), "node").withColumn("c", F.explode(others))
         known = materialize(_joined(known, links(wide.select("*", "c.i", "c.j")), "group"))
-    named = nodes.join(known.select("node", "group"), "node", "left").select("set_key", F.coalesce("group", "node").alias("group"))
-    told = prints.select("id", "text_key", "set_key").distinct().join(named, "set_key").select("id", "text_key", "group")
+    joined = few(materialize(known.where("node <> group").select("node", "group")))
+    rows = prints.groupBy("id", "text_key", "node").agg(F.count("*").alias("copies"))
+    told = materialize(rows.join(joined, "node", "left").select("id", "text_key", "copies", F.coalesce("group", "node").alias("group")))
     first = told.groupBy("group").agg(F.min(F.struct("id", "text_key")).alias("m"))
-    return told.join(first, "group").select("id", "text_key", "group", (F.struct("id", "text_key") == F.col("m")).alias("first"))
+    return told.join(first, "group").select("id", "text_key", "copies", "group", (F.struct("id", "text_key") == F.col("m")).alias("first"))
