@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fresh, materialize, table
 from tessera.llm.packing import pack_documents, text_cluster
 from tessera.llm.pii import disclosing_terms, find_pii, sanitised
-from tessera.llm.simhash import near_duplicate_groups, text_key
+from tessera.llm.simhash import few, near_duplicate_groups, text_key
 from tessera.llm.toxicity import fit, judged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,15 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id and text are one document, of which one row stays (that of the least hash, should other columns differ);
     rows of one doc_id with different texts are documents of their own. Columns of any name pass unchanged.
     """
-    groups = materialize(near_duplicate_groups(docs).where("not first").select("id", "text_key"))
+    groups = materialize(near_duplicate_groups(docs).where("not first or copies > 1"))
     key = text_key(F.col("text").cast("string"))
-    kept = docs.join(groups, (docs["doc_id"].cast("long") == groups["id"]) & (key == groups["text_key"]), "left_anti")
-    named, row = fresh(docs, "text_key"), fresh(docs, "row")
-    told = kept.where("doc_id is not null").select("doc_id", key.alias("key")).groupBy("doc_id", "key").count().where("count > 1")
-    repeated = materialize(told.select(F.col("doc_id").alias("id"), "key"))
+    gone, repeated = (few(materialize(groups.where(c).select("id", F.col("text_key").alias("key")))) for c in ("not first", "first"))
+    kept = docs.join(gone, (docs["doc_id"].cast("long") == gone["id"]) & (key == gone["key"]), "left_anti")
     if repeated.isEmpty():
         return kept
-    same = (kept["doc_id"] == repeated["id"]) & (key == repeated["key"])
+    named, row = fresh(docs, "text_key"), fresh(docs, "row")
+    same = (kept["doc_id"].cast("long") == repeated["id"]) & (key == repeated["key"])
     each = Window.partitionBy("doc_id", named).orderBy(F.xxhash64(*docs.columns))
     one = kept.join(repeated, same, "left_semi").withColumn(named, key).withColumn(row, F.row_number().over(each)).where(F.col(row) == 1)
     return kept.join(repeated, same, "left_anti").unionByName(one.select(*docs.columns))
