@@ -13,13 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A text is cut here only: the space between two ASCII letters or digits always begins a match of the pattern, and
-#: nothing before it looks further. So the pieces' tokens are the whole text's tokens.
-SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: White space as the pattern has it.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+#: A text is cut here only. A run of white space begins a match whatever follows it, and nothing before it looks
+#: further; so does an ideograph or a kana after an ideographic stop or comma. So the pieces' tokens are the whole
+#: text's tokens.
+SAFE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=[\u3001\u3002\uff0c\uff01\uff1f])(?=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff])")
 
 #: Characters after which a long text is cut at the next safe place.
 PIECE = 1 << 16
 
+#: Characters from which a run of white space is told apart by hand: the library's matcher goes back over such runs and
+#: runs out of stack on the longest.
+RUN = 1 << 14
+
 
 @functools.lru_cache(maxsize=4)
 def encoding(path: str, pattern: str):
@@ -31,13 +39,42 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """The text in pieces of `size` characters or somewhat more, cut at safe places only."""
+#: A pattern that takes a whole piece as one match.
+WHOLE = "(?s).+"
+
+
+@functools.lru_cache(maxsize=4)
+def _long_run(least: int) -> re.Pattern[str]:
+    return re.compile(f"(?<![{WHITE}])[{WHITE}]{{{least},}}")
+
+
+def pieces(text: str, size: int = PIECE, run: int = RUN) -> Iterator[tuple[str, bool]]:
+    """The text in pieces of `size` characters or somewhat more, cut at safe places only, and whether a piece is one
+    match of the pattern: a run of white space but for its last character, which goes with what follows."""
+
+    def cut(part: str) -> Iterator[tuple[str, bool]]:
+        at = 0
+        while len(part) - at > size and (found := SAFE.search(part, at + size)):
+            yield part[at : found.start()], False
+            at = found.start()
+        if at < len(part):
+            yield part[at:] if at else part, False
+
     at = 0
-    while len(text) - at > size and (cut := SAFE.search(text, at + size)):
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:] if at else text
+    if len(text) >= run:
+        for m in _long_run(run).finditer(text):
+            yield from cut(text[at : m.start()])
+            at = m.end() - (m.end() < len(text))
+            if at > m.start():
+                yield text[m.start() : at], True
+    yield from cut(text[at:] if at else text)
+
+
+def encoded(text: str, path: str, pattern: str) -> Iterator[list[int]]:
+    """The ids of the whole text, piece by piece."""
+    enc = encoding(path, pattern)
+    for piece, single in pieces(text):
+        yield (encoding(path, WHOLE) if single else enc).encode_ordinary(piece)
 
 
 @functools.lru_cache(maxsize=4)
@@ -59,8 +96,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             counts, digests, decoded, kept = [], [], [], []
             for value in batch.column(1):
                 n, text_sha, byte_sha, all_ids = 0, hashlib.sha256(), hashlib.sha256(), []
-                for piece in pieces(value.as_py() or ""):
-                    if ids := enc.encode_ordinary(piece):
+                for ids in encoded(value.as_py() or "", path, pattern):
+                    if ids:
                         text_sha.update(("," * bool(n) + ",".join(map(name, ids))).encode())
                         byte_sha.update(enc.decode_bytes(ids))
                         n += len(ids)
@@ -89,8 +126,8 @@ def _byte_lengths(path: str, pattern: str) -> np.ndarray:
 
 def token_spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """Start and end character of each token of the whole text; part of a character counts as the character."""
-    enc, lengths = encoding(path, pattern), _byte_lengths(path, pattern)
-    ids = [np.array(enc.encode_ordinary(p), dtype=np.int64) for p in pieces(text)]
+    lengths = _byte_lengths(path, pattern)
+    ids = [np.zeros(0, dtype=np.int64), *(np.array(found, dtype=np.int64) for found in encoded(text, path, pattern))]
     ends = np.cumsum(lengths[np.concatenate(ids)])
     starts = np.r_[0, ends[:-1]] if len(ends) else ends
     if text.isascii():
@@ -146,7 +183,8 @@ def section_token_counts(docs: DataFrame, path: str, pattern: str, boundary: str
 
     A section runs from the end of one match of the regex `boundary` to the end of the next. Every token goes to
     exactly one section, so the counts of a document add up to its tokens; n_crossing tells how many of a section's
-    tokens lie over a boundary. An empty or null text has one empty section. Repeated rows give repeated sections.
+    tokens lie over a boundary. An empty or null text has one empty section. Repeated rows give repeated sections, a
+    null id gives sections without an id. Other columns are not read; an empty table gives no rows.
     """
     pattern_of = re.compile(boundary)
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm.bpe import encode_documents, field_token_counts, pieces, section_token_counts
+from tessera.llm.bpe import WHOLE, encode_documents, field_token_counts, pieces, section_token_counts
 from tessera.llm.simple8b import pack, stored_documents, unpack, word_encoder, write_blocks
 
 BYTES = P.path("byte_bpe_multi_50k.tiktoken")
@@ -37,14 +37,13 @@ def test_bpe_whole_texts(odd, empty, whole):
     assert encode_documents(empty, BYTES, P.PATTERN).count() == 0
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text("ab 1'\n.é日", max_size=200), st.integers(1, 20))
-def test_pieces_are_safe(text, size):
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTES, "rb"))} if not _kept else None
-    enc = _kept[0] if _kept else tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab 1'\n\t\u3000\x1c.é日。か", max_size=200), st.integers(1, 20), st.integers(2, 9))
+def test_pieces_are_safe(text, size, run):
     if not _kept:
-        _kept.append(enc)
-    assert [i for p in pieces(text, size) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BYTES, "rb"))}
+        _kept.extend(tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (P.PATTERN, WHOLE))
+    assert [i for p, single in pieces(text, size, run) for i in _kept[single].encode_ordinary(p)] == _kept[0].encode_ordinary(text)
 
 
 _kept: list = []
@@ -58,6 +57,40 @@ def test_sections_add_up(odd, empty, whole, rule):
     assert section_token_counts(empty, BYTES, P.PATTERN).count() == 0
 
 
+def test_very_long_texts(spark, whole):
+    """White space that the library itself has no stack for, and long texts of all scripts."""
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 1_500_000, "привет мир " * 60_000, "日本語。" * 60_000, "x" * 400_000]
+    got = {r["doc_id"]: r for r in encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTES, P.PATTERN).collect()}
+    assert all(got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts))
+    assert [got[i]["n_tokens"] for i in (2, 3, 4)] == [len(whole.encode_ordinary(t)) for t in texts[2:]]
+    counts = section_token_counts(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), BYTES, P.PATTERN).collect()
+    assert [r["n_tokens"] for r in counts] == [got[0]["n_tokens"]]
+    assert len(list(pieces(texts[2]))) > 5 and len(list(pieces(texts[3]))) > 2
+
+
+@pytest.mark.parametrize("rule", ["first", "last", "most"])
+def test_sections_by_brute_force(spark, whole, rule):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(["one", " two", "\n", "\n\n", "  ", "日本", "é", "\t\n", "x1!"], k=40)) for _ in range(60)]
+    got = {(r["doc_id"], r["section"]): (r["n_tokens"], r["n_crossing"]) for r in section_token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTES, P.PATTERN, rule=rule).collect()}
+    for d, text in enumerate(texts):
+        of_byte, section = [], 0
+        for i, c in enumerate(text):
+            of_byte += [(section, i)] * len(c.encode())
+            section += c == "\n" and i + 1 < len(text)
+        told, at = {k: [0, 0] for k in range(section + 1)}, 0
+        for token in whole.encode_ordinary(text):
+            n = len(whole.decode_single_token_bytes(token))
+            held = [s for s, _ in dict.fromkeys(of_byte[at : at + n])]
+            at += n
+            to = {"first": held[0], "last": held[-1], "most": max(dict.fromkeys(held), key=held.count)}[rule]
+            told[to][0] += 1
+            told[to][1] += len(set(held)) > 1
+        assert {k: tuple(v) for k, v in told.items()} == {s: v for (i, s), v in got.items() if i == d}
+
+
 def test_fields(spark, whole):
     docs = spark.createDataFrame([(1, "the cat", " sat", None), (2, None, None, None)], "doc_id long, a string, b string, c string")
     got = {(r["doc_id"], r["section"]): r["n_tokens"] for r in field_token_counts(docs, ["a", "b", "c"], BYTES, P.PATTERN).collect()}
