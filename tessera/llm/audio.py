@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 #: Bytes to a multiple of which a payload is filled up, and what with.
 ALIGN, FILL = 192, b" "
 
@@ -169,32 +171,74 @@ def ipc_bytes(found: pa.Table) -> bytes:
     return out.getvalue().to_pybytes()
 
 
+def tensors_of(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(spans, tensors) of a stored tensor table."""
+    found = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    spans = np.stack([found.column(c).to_numpy() for c in ("start_s", "end_s")], axis=1)
+    shape = found.schema.field("mel").type.shape
+    chunks = found.column("mel").chunks
+    return spans, np.concatenate([c.to_numpy_ndarray() for c in chunks]) if chunks else np.zeros((0, *shape), dtype=np.float32)
+
+
+MEDIA = "doc_id long, n_bytes long, media binary"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, tensors binary, media binary"
+KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(v, KINDS[k]) for v, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def stored_media(docs: DataFrame, analysis: Analysis = Analysis(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media): each text's bytes as an 8-bit WAV file, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            yield _batch([(d.as_py(), len(t.encode()), wav(payload_of(t), analysis.rate)) for d, t in zip(batch.column(0), texts, strict=True)], MEDIA)
+
+    return materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, MEDIA), "zstd")
+
+
+def stored_features(media: DataFrame, analysis: Analysis = Analysis(), with_media: bool = False) -> DataFrame:
+    """Digests of each stored WAV file, and its tensors with their time spans as an Arrow IPC stream (start_s, end_s and
+    mel, a fixed-shape tensor), written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, n_bytes, held in zip(*batch.columns, strict=True):
+                held = held.as_py()
+                back = samples_of(held)[0]
+                spans, tensors, n_frames = features(held, analysis)
+                rows.append((doc_id.as_py(), n_bytes.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(held), hashlib.sha256(held).hexdigest(), n_frames, ipc_bytes(tensor_table(spans, tensors)), held if with_media else None))
+            yield _batch(rows, FEATURES)
+
+    return materialize(media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES), "zstd")
+
+
 def audio_features(docs: DataFrame, analysis: Analysis = Analysis(), id_col: str = "doc_id", text_col: str = "text", with_media: bool = False, with_tensors: bool = False) -> DataFrame:
-    """Stores each text's bytes as 8-bit audio, reads the stored file back and describes it.
+    """Stores each text's bytes as 8-bit audio, reads the stored file back, and stores and reads back its features.
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, n_frames, n_tensors,
     feature[, media binary][, tensors binary]). feature holds the numbers of frames and tensors and a digest of spans
-    and tensors; tensors is an Arrow IPC stream of start_s, end_s and mel, a fixed-shape tensor. Null texts count as
-    empty, whose payload is all filling. Equal texts give equal values; repeated rows stay.
+    and tensors as read back. Null texts count as empty, whose payload is all filling. Equal texts give equal values;
+    repeated rows and null ids stay. Other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(11)]
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                media = wav(payload_of(text), analysis.rate)
-                back = samples_of(media)[0]
-                spans, tensors, n_frames = features(media, analysis)
-                digest = hashlib.md5(np.ascontiguousarray(spans).tobytes() + tensors.tobytes()).hexdigest()
-                told = (len(text.encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), n_frames, len(tensors), f"{n_frames}:{len(tensors)}:{digest}", media if with_media else None, ipc_bytes(tensor_table(spans, tensors)) if with_tensors else None)
-                for column, v in zip(rows, told, strict=True):
-                    column.append(v)
-            whole, name, blob = pa.int64(), pa.string(), pa.binary()
-            kinds = [whole, whole, name, whole, whole, name, whole, whole, name, blob, blob]
-            arrays = [batch.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_tensors long, feature string, media binary, tensors binary"
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, schema).drop(*["media"] * (not with_media), *["tensors"] * (not with_tensors))
+            counts, told = [], []
+            for frames, stream in zip(batch.column("n_frames"), batch.column("tensors"), strict=True):
+                spans, tensors = tensors_of(stream.as_py())
+                counts.append(len(tensors))
+                told.append(f"{frames.as_py()}:{len(tensors)}:{hashlib.md5(np.ascontiguousarray(spans).tobytes() + tensors.tobytes()).hexdigest()}")
+            more = {"n_tensors": pa.array(counts, pa.int64()), "feature": pa.array(told, pa.string())}
+            yield pa.RecordBatch.from_arrays([more[n] if n in more else batch.column(n) for n in names], names=names)
+
+    kept = stored_features(stored_media(docs, analysis, id_col, text_col), analysis, with_media)
+    fields = [c for c in FEATURES.split(", ") if c.split()[1] != "binary"] + ["n_tensors long", "feature string"] + ["media binary"] * with_media + ["tensors binary"] * with_tensors
+    names = [c.split()[0] for c in fields]
+    return kept.mapInArrow(run, ", ".join(fields))

@@ -91,6 +91,38 @@ def test_resampling_keeps_a_tone():
     assert len(y) == 16_000 and abs(peak - 440) < 2
 
 
+def test_resampling_by_convolution():
+    from tessera.llm.audio import _phases
+
+    x = np.random.default_rng(1).standard_normal(301).astype(np.float32)
+    taps, up, down = 16, 2, 3
+    low = _phases(up, down, taps)[:, ::-1].T.reshape(-1)
+    stuffed = np.zeros(len(x) * up)
+    stuffed[::up] = x
+    assert np.allclose(resampled(x, up, down, taps), np.convolve(stuffed, low)[: len(stuffed)][::down][: len(x) * up // down], atol=1e-4)
+
+
+def test_log_mel_by_definition():
+    from tessera.llm.audio import bell, log_mel
+
+    a, rate = Analysis(), 16_000.0
+    x = np.random.default_rng(2).standard_normal(1000).astype(np.float32)
+    mel, level = log_mel(x, rate, a)
+    frames = 1 + -(-(len(x) - a.window) // a.hop)
+    assert mel.shape == (frames, a.mels)
+    padded = np.r_[x, np.zeros(frames * a.hop + a.window)].astype(np.float64)
+    to_mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = np.linspace(0, to_mel(rate / 2), a.mels + 2)
+    for f in range(frames):
+        part = padded[f * a.hop : f * a.hop + a.window] * bell(a.window)
+        power = [abs(sum(part * np.exp(-2j * np.pi * k * np.arange(a.window) / a.n_fft))) ** 2 for k in range(a.n_fft // 2 + 1)]
+        for m in (0, 7, 20, a.mels - 1):
+            left, middle, right = 700 * (10 ** (edges[m : m + 3] / 2595) - 1)
+            energy = sum(p * max(0.0, min((k * rate / a.n_fft - left) / (middle - left), (right - k * rate / a.n_fft) / (right - middle))) for k, p in enumerate(power))
+            assert abs(mel[f, m] - 10 * np.log10(energy + 1e-6)) < 0.02
+        assert abs(level[f] - 10 * np.log10((part * part).mean() + 1e-9)) < 0.02
+
+
 def test_segments_by_hysteresis():
     level = np.array([-60.0] * 30 + [-10.0] * 20 + [-33.0] * 3 + [-10.0] * 10 + [-60.0] * 30)
     assert segments(level, 0.5, -0.25).tolist() == [[30, 63]]
