@@ -33,7 +33,7 @@ WORD = r"\p{L}+"
 MARK, OTHER = "\x01", "\x02"
 
 #: Characters beside an entity in which its neighbouring words are looked for, and how many words on each side.
-REACH, NEIGHBOURS = 128, 8
+REACH, NEIGHBOURS = 96, 4
 
 #: A term is generalised where it carries this share of an entity kind's information, and removed from the second on.
 GENERALISE, REMOVE = 0.90, 0.95

@@ -2,7 +2,8 @@
 
 Grammar inference in the manner of ALERGIA: a prefix tree of the labelled credentials of each kind is reduced by
 merging states whose outgoing frequencies agree by Hoeffding's bound. Every other long string is scored by the
-likelihood of its format under the automata, against an automaton of the corpus's ordinary long strings.
+likelihood of its format under the automata, against an automaton of all the corpus's long strings, whose states are
+the last symbols. Only the classes of characters are learned from, stored and counted, never the strings themselves.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -31,12 +33,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words that every assignment holds one of, lowered; looked for before the pattern.
 WORDS = ("passw", "secret", "token", "api_key", "apikey")
 
-#: A candidate is a whole run of these characters with a digit and a letter in it, of this length or more.
+#: A candidate is a whole run of these characters, of this length or more, with two of small letters, capitals and
+#: digits in it: what has but one of them is a word or a number as far as its form tells.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+MIXED = re.compile(r"[a-z].*[A-Z0-9]|[A-Z].*[a-z0-9]|[0-9].*[A-Za-z]")
 
-#: Bounds of the fit: labelled credentials of a kind, ordinary strings, and characters of each that are learned from.
-FIT_STRINGS, FIT_CHARS = 1_500, 48
+#: Bounds of the fit: labelled credentials of a kind, and their length (longer ones are not learned from).
+FIT_STRINGS, FIT_LENGTH = 1_500, 512
+#: Symbols that a state of the automaton of ordinary strings holds.
+ORDER = 3
 #: Hoeffding's bound holds with probability 1 - ALPHA; a symbol that a state never emitted has SMOOTH occurrences.
 ALPHA, SMOOTH = 0.05, 0.5
 #: A candidate is a secret if its format is this much likelier by symbol than an ordinary string's, in nats, and no
@@ -48,37 +53,67 @@ SYMBOLS = {c: i for i, c in enumerate("agA0+/_.=-")}
 END = len(SYMBOLS)
 
 
-def symbols(value: str) -> list[int]:
+def classes(value: str) -> str:
     """The value's characters as classes: a to f, other small letters, capitals, digits, and each sign by itself."""
-    return [SYMBOLS.get(c, 0) for c in value.translate(_CLASSES)]
+    return value.translate(_CLASSES)
+
+
+def symbols(form: str) -> list[int]:
+    return [SYMBOLS[c] for c in form]
 
 
 @dataclass
 class Automaton:
     """steps[state][symbol]: the next state, -1 for none. log[state][symbol]: log probability, END closing a string."""
 
-    steps: np.ndarray
-    log: np.ndarray
+    steps: list[list[int]]
+    log: list[list[float]]
 
-    def by_symbol(self, value: str) -> float:
-        """Mean log probability of a symbol of the value, its end included. Unseen steps go back to the start."""
+    def by_symbol(self, form: str) -> float:
+        """Mean log probability of a symbol of the form, its end included. Unseen steps go back to the start."""
         steps, log, state, total = self.steps, self.log, 0, 0.0
-        codes = symbols(value)
-        for s in codes:
+        for s in symbols(form):
             total += log[state][s]
-            state = max(int(steps[state][s]), 0)
-        return (total + log[state][END]) / (len(codes) + 1)
+            state = max(steps[state][s], 0)
+        return (total + log[state][END]) / (len(form) + 1)
+
+
+def transitions(form: str) -> Iterator[tuple[str, str]]:
+    """(last ORDER symbols, next symbol) of a form; the start and the end are empty."""
+    for i in range(len(form)):
+        yield form[max(0, i - ORDER) : i], form[i]
+    yield form[max(0, len(form) - ORDER) :], ""
+
+
+@dataclass
+class Ordinary:
+    """How often each symbol follows the last ORDER ones in the corpus's different forms. A form is scored without its
+    own share of these counts."""
+
+    counts: dict[tuple[str, str], int]
+    totals: dict[str, int]
+
+    def by_symbol(self, form: str) -> float:
+        own = Counter(transitions(form))
+        of_state = Counter()
+        for (state, _), n in own.items():
+            of_state[state] += n
+        total = 0.0
+        for (state, symbol), n in own.items():
+            seen = max(self.counts.get((state, symbol), 0) - n, 0) + SMOOTH
+            total += n * math.log(seen / (max(self.totals.get(state, 0) - of_state[state], 0) + SMOOTH * (END + 1)))
+        return total / (len(form) + 1)
 
 
 def infer(strings: Sequence[str], alpha: float = ALPHA) -> Automaton:
-    """The automaton of the strings: prefix-tree states are tried in breadth-first order against the states kept so
+    """The automaton of the forms: prefix-tree states are tried in breadth-first order against the states kept so
     far and merged with the first compatible one, folding what follows them together."""
     width = END + 1
     steps: list[list[int]] = [[-1] * END]
     counts: list[list[int]] = [[0] * width]
     for value in strings:
         state = 0
-        for s in symbols(value[:FIT_CHARS]):
+        for s in symbols(value):
             counts[state][s] += 1
             if steps[state][s] < 0:
                 steps.append([-1] * END)
@@ -133,9 +168,9 @@ def infer(strings: Sequence[str], alpha: float = ALPHA) -> Automaton:
             queue += [(k, t) for k in kept for t in range(END) if steps[k][t] >= 0 and steps[k][t] not in settled]
             queue = list(dict.fromkeys(queue))
     number = {k: i for i, k in enumerate(kept)}
-    table = np.array([[number.get(t, -1) for t in steps[k]] for k in kept], dtype=np.int64).reshape(len(kept), END)
+    table = [[number.get(t, -1) for t in steps[k]] for k in kept]
     seen = np.array([counts[k] for k in kept], dtype=np.float64) + SMOOTH
-    return Automaton(table, np.log(seen / seen.sum(axis=1, keepdims=True)))
+    return Automaton(table, np.log(seen / seen.sum(axis=1, keepdims=True)).tolist())
 
 
 @dataclass
@@ -143,11 +178,11 @@ class Grammar:
     """Automata of the kinds with their least likelihood by symbol, and that of ordinary strings."""
 
     kinds: list[tuple[str, Automaton, float]]
-    ordinary: Automaton | None
+    ordinary: Ordinary
 
-    def likely(self, value: str) -> bool:
-        other = self.ordinary.by_symbol(value) if self.ordinary else -math.log(END + 1)
-        return any((own := a.by_symbol(value)) >= least and own - other >= MARGIN for _, a, least in self.kinds)
+    def likely(self, form: str) -> bool:
+        own = max((x for _, a, least in self.kinds if (x := a.by_symbol(form)) >= least), default=None)
+        return own is not None and own - self.ordinary.by_symbol(form) >= MARGIN
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -168,15 +203,14 @@ def credential(text: str, kind: int, start: int, end: int) -> str:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of the runs with letters and digits that touch no base span."""
+    """(start, end) of the mixed whole runs that reach beyond every base span that they touch."""
     out, at = [], 0
+    farthest = 0  # end of the base spans that start at or before the run
     for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if not (DIGIT.search(value) and LETTER.search(value)):
-            continue
-        while at < len(base) and base[at][2] <= m.start():
+        while at < len(base) and base[at][0] <= m.start():
+            farthest = max(farthest, base[at][2])
             at += 1
-        if not any(b[0] < m.end() and m.start() < b[2] for b in base[at:]):
+        if farthest < m.end() and MIXED.search(m[0]):
             out.append((m.start(), m.end()))
     return out
 
@@ -185,11 +219,12 @@ def _lists(values: list[list[int]]) -> pa.Array:
     return pa.array(values, pa.list_(pa.int32()))
 
 
-SCANNED = "doc_id long, kinds array<int>, starts array<int>, ends array<int>, secrets array<string>, more_starts array<int>, more_ends array<int>, more array<string>"
+SCANNED = "doc_id long, kinds array<int>, starts array<int>, ends array<int>, forms array<string>, more_starts array<int>, more_ends array<int>, more array<string>"
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Base spans with their secrets, and candidates, of each whole text. Offsets are code points."""
+    """Base spans and candidates of each whole text, with the forms of the secrets and of the candidates. Offsets are
+    code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +233,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 text = value.as_py() or ""
                 base = base_spans(text)
                 more = candidates(text, base)
-                told = ([k for _, k, _ in base], [s for s, _, _ in base], [e for _, _, e in base], [credential(text, k, s, e) for s, k, e in base], [s for s, _ in more], [e for _, e in more], [text[s:e] for s, e in more])
+                told = ([k for _, k, _ in base], [s for s, _, _ in base], [e for _, _, e in base], [classes(credential(text, k, s, e)) for s, k, e in base], [s for s, _ in more], [e for _, e in more], [classes(text[s:e]) for s, e in more])
                 for column, v in zip(rows, told, strict=True):
                     column.append(v)
             words = pa.list_(pa.string())
@@ -208,27 +243,45 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCANNED)
 
 
-def _sample(values: DataFrame, most: int) -> list[str]:
-    """At most `most` different values, chosen by their hash; each is cut to what is learned from."""
-    cut = values.select(F.left("value", F.lit(FIT_CHARS)).alias("value")).distinct()
-    return [r["value"] for r in cut.orderBy(F.xxhash64("value"), "value").limit(most).collect()]
+def _sample(forms: DataFrame, most: int) -> list[str]:
+    """At most `most` different forms of up to FIT_LENGTH symbols, chosen by their hash."""
+    some = forms.where(F.length("form") <= FIT_LENGTH).distinct()
+    return [r["form"] for r in some.orderBy(F.xxhash64("form"), "form").limit(most).collect()]
+
+
+def _ordinary(forms: DataFrame) -> Ordinary:
+    """Transitions of all different forms of the corpus, counted in each task before the shuffle. What reaches the
+    driver is bounded by the symbols to the power of ORDER + 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter()
+        for batch in batches:
+            for form in batch.column(0).to_pylist():
+                found.update(transitions(form))
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], names=["state", "symbol", "n"])
+
+    told = forms.distinct().mapInArrow(run, "state string, symbol string, n long").groupBy("state", "symbol").agg(F.sum("n").alias("n")).collect()
+    totals = Counter()
+    for r in told:
+        totals[r["state"]] += r["n"]
+    return Ordinary({(r["state"], r["symbol"]): r["n"] for r in told}, dict(totals))
 
 
 def learned(found: DataFrame, most: int = FIT_STRINGS) -> Grammar:
-    """A grammar from the base spans as labelled credentials and the other candidates as ordinary strings.
+    """A grammar from the base spans as labelled credentials and all candidates as ordinary strings.
 
-    At most `most` different strings of each kind, chosen by a hash over all documents, are learned from. A candidate
-    that repeats no more than others is ordinary enough for this: those that are secrets are few among them.
+    At most `most` different forms of each kind, chosen by a hash over all documents, are learned from. Of the
+    candidates every different form counts once, so that copies do not make a format ordinary.
     """
-    pairs = found.select(F.explode(F.arrays_zip("kinds", "secrets")).alias("x"))
+    pairs = found.select(F.explode(F.arrays_zip("kinds", "forms")).alias("x"))
     kinds = []
     for number, kind in enumerate(KINDS[:3]):
-        strings = _sample(pairs.where(F.col("x.kinds") == number).select(F.col("x.secrets").alias("value")), most)
-        if strings:
-            automaton = infer(strings)
-            kinds.append((kind, automaton, float(np.quantile([automaton.by_symbol(s) for s in strings], SHARE))))
-    ordinary = _sample(found.select(F.explode("more").alias("value")), most)
-    return Grammar(kinds, infer(ordinary) if ordinary else None)
+        forms = _sample(pairs.where(F.col("x.kinds") == number).select(F.col("x.forms").alias("form")), most)
+        if forms:
+            automaton = infer(forms)
+            kinds.append((kind, automaton, float(np.quantile([automaton.by_symbol(s) for s in forms], SHARE))))
+    return Grammar(kinds, _ordinary(found.select(F.explode("more").alias("form"))))
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:

@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tessera.llm.pii import disclosing_terms, find_pii, pii_spans
-from tessera.llm.secrets import base_spans, find_secrets, infer
+from tessera.llm.secrets import END, Ordinary, base_spans, candidates, classes, find_secrets, infer, transitions
 
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -74,6 +75,20 @@ def test_terms_that_disclose(spark):
     assert [s["start"] for s in first["_spans"]][0] == len("plain words here. ")
 
 
+def test_terms_of_one_entity_and_long_texts(spark):
+    """A name that stands only beside one person's address, in many passages; and 5,000 addresses in one text."""
+    rows = [(i, f"Note {'abcdefghij'[i % 10] * 3} by zarko {'klmnopqrst'[i // 10] * 4}, zk@example.org, on plain words here. " + "plain words of the same kind and here, note by on. " * 4) for i in range(40)]
+    rows += [(100 + i, "copied text with vexing jumble zed@example.org beside it, plain words of the same kind") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = {r["term"] for r in disclosing_terms(docs).collect()}
+    assert "zarko" in told and not told & {"plain", "words", "vexing", "jumble"}
+    long = " ".join(f"word user{i}@example.org and" for i in range(5000))
+    began = time.time()
+    got = pii_spans(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert got["n_email"] == 5000 and time.time() - began < 60
+    assert got["base_sha256"] == hashlib.sha256(",".join(plain_pii(long)).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("run", [pii_spans, find_secrets])
 def test_odd_rows(run, odd, empty):
     assert run(odd).count() == odd.count()
@@ -100,10 +115,46 @@ def test_grammar_tells_formats_apart(spark):
     rng = random.Random(3)
     hexes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(200)]
     words = ["-".join("".join(rng.choices("aeiounrst", k=6)) for _ in range(4)) + "2" for _ in range(200)]
-    a, b = infer(hexes), infer(words)
-    assert all(a.by_symbol(h) > b.by_symbol(h) for h in hexes) and all(b.by_symbol(w) > a.by_symbol(w) for w in words)
+    hexes, forms = [classes(h) for h in hexes], [classes(w) for w in words]
+    a, b = infer(hexes), infer(forms)
+    assert all(a.by_symbol(h) > b.by_symbol(h) for h in hexes) and all(b.by_symbol(w) > a.by_symbol(w) for w in forms)
     assert len(a.steps) < 60
     key = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32))
     rows = [(i, f'token = "{key()}" and the {w} here') for i, w in enumerate(words)] + [(999, f"bare {key()} here")]
     got = {r["doc_id"]: r["n_format"] for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[999] == 1 and sum(got[i] for i in range(200)) < 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token=", "AKIA", "ABCDEFGH1234567", "0123456789abcdef", "sk_live_", "longer-value_1", " ", "é"]), max_size=10).map("".join))
+def test_candidates_reach_beyond_base_spans(text):
+    base = base_spans(text)
+    runs = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", text) if sum(bool(re.search(c, m[0])) for c in ("[a-z]", "[A-Z]", "[0-9]")) > 1]
+    assert candidates(text, base) == [(s, e) for s, e in runs if max((b[2] for b in base if b[0] <= s), default=0) < e]
+
+
+def test_automata_are_distributions():
+    """What may follow each state adds up to one, and the forms learned from are all possible."""
+    import math
+    import random
+
+    rng = random.Random(8)
+    forms = [classes("".join(rng.choices("abcxyzABC019_-", k=rng.randint(1, 30)))) for _ in range(300)]
+    automaton = infer(forms)
+    assert all(abs(sum(map(math.exp, row)) - 1) < 1e-9 and len(row) == END + 1 for row in automaton.log)
+    assert all(t < len(automaton.steps) for row in automaton.steps for t in row)
+    counts = {}
+    for form in forms:
+        for t in transitions(form):
+            counts[t] = counts.get(t, 0) + 1
+    totals = {}
+    for (state, _), n in counts.items():
+        totals[state] = totals.get(state, 0) + n
+    told = Ordinary(counts, totals)
+    form = forms[0]
+    left = [f for f in forms[1:]]
+    expected = 0.0
+    for state, symbol in transitions(form):
+        seen = sum((state, symbol) == t for f in left for t in transitions(f)) + 0.5
+        expected += math.log(seen / (sum(state == t[0] for f in left for t in transitions(f)) + 0.5 * (END + 1)))
+    assert abs(told.by_symbol(form) - expected / (len(form) + 1)) < 1e-9
