@@ -14,6 +14,7 @@ from tessera.sources.tables import written
 
 def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node): all that the roots (node) lead to over edges (src, dst), themselves included."""
+    edges = written(edges.select("src", "dst").distinct())
     seen = written(roots.select("node").distinct())
     front = seen
     while not front.isEmpty():
@@ -140,21 +141,19 @@ def route_links(clients: DataFrame, endpoints: DataFrame, hosts: list[str] | Non
     return best.select("client", "endpoint", "score", F.when(F.col("dropped") > 0, "tail").otherwise("exact").alias("how"))
 
 
-def mounted(mounts: DataFrame, files: DataFrame, most: int = 8) -> DataFrame:
+def mounted(mounts: DataFrame, files: DataFrame) -> DataFrame:
     """(file, prefix): the prefixes under which each file (file) answers, joined along mounts (src, dst, prefix) from the
-    files that nothing mounts. A file that nothing leads to answers under ''. No path visits a file twice, and none is
-    longer than `most` mounts."""
+    files that nothing mounts, however many mounts that takes. A file that nothing leads to answers under ''. No path
+    visits a file twice."""
     every = files.select("file").union(mounts.select("src")).union(mounts.select("dst")).distinct()
     roots = written(every.join(mounts.select(F.col("dst").alias("file")), "file", "left_anti").select("file", F.lit("").alias("prefix"), F.array("file").alias("seen")))
     found, front = roots, roots
-    for _ in range(most):
+    while not front.isEmpty():
         slashless = F.regexp_replace(F.regexp_replace(F.concat(F.col("a"), F.lit("/"), F.col("prefix")), "/+", "/"), "/$", "")
         front = written(
             front.select(F.col("file").alias("src"), F.col("prefix").alias("a"), "seen").join(mounts.select("src", "dst", "prefix").distinct(), "src").where(~F.array_contains("seen", F.col("dst")))
             .select(F.col("dst").alias("file"), slashless.alias("prefix"), F.concat("seen", F.array("dst")).alias("seen"))
         )
-        if front.isEmpty():
-            break
         found = found.unionByName(front)
     led = found.select("file", "prefix").distinct()
     return led.unionByName(every.join(led, "file", "left_anti").select("file", F.lit("").alias("prefix")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import nesting, tidy
+from tessera.sources.tables import written
 
 # Languages whose comments begin with #, and those of markup.
 HASH = ("Python", "Shell", "YAML", "TOML", "Ruby", "Make", "Docker", "just")
@@ -28,16 +31,18 @@ def line_classes(text: Column, lang: Column) -> Column:
     zero = F.lit(0).cast("long")
     start = F.struct(zero.alias("code"), zero.alias("comment"), zero.alias("blank"), zero.alias("indent"), F.lit(False).alias("block"))
 
-    def step(acc: Column, raw: Column) -> Column:
-        line = tidy(raw)
+    def step(acc: Column, told: Column) -> Column:
+        line = told["line"]
         opened = ~hashed & F.startswith(line, opens)
         comment = acc["block"] | (line != "") & (F.startswith(line, solo) | opened)
         blank = ~acc["block"] & (line == "")
         code = ~comment & ~blank
         block = F.when(acc["block"], ~F.contains(line, closes)).otherwise(~F.startswith(line, solo) & opened & ~F.contains(line, closes))
-        return F.struct((acc["code"] + code.cast("long")).alias("code"), (acc["comment"] + comment.cast("long")).alias("comment"), (acc["blank"] + blank.cast("long")).alias("blank"), (acc["indent"] + F.when(code, nesting(raw)).otherwise(zero)).alias("indent"), block.alias("block"))
+        return F.struct((acc["code"] + code.cast("long")).alias("code"), (acc["comment"] + comment.cast("long")).alias("comment"), (acc["blank"] + blank.cast("long")).alias("blank"), (acc["indent"] + F.when(code, told["nesting"]).otherwise(zero)).alias("indent"), block.alias("block"))
 
-    return F.aggregate(lines_of(text), start, step)
+    # each line is told once, before the fold uses what is told of it many times
+    told = F.transform(lines_of(text), lambda raw: F.struct(tidy(raw).alias("line"), nesting(raw).alias("nesting")))
+    return F.aggregate(told, start, step)
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -53,9 +58,13 @@ def seats(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("at", "raw")).select("doc_id", "at", F.regexp_replace(tidy(F.col("raw")), r"\s+", " ").alias("line"))
 
 
+# What begins a line that begins no copy, and brackets that are no line by themselves.
+DULL, BRACKETS, SHORT = ("//", "*", "/*", "import ", "export "), r"^[)\]}>,;]+$", 12
+
+
 def dull(line: Column) -> Column:
-    """Lines that begin no copy: short ones, comments, imports and bare brackets."""
-    return (F.length(line) < 12) | line.startswith("//") | line.startswith("*") | line.startswith("/*") | line.startswith("import ") | line.startswith("export ") | line.rlike(r"^[)\]}>,;]+$")
+    """Lines that are no part of a copy: short ones, comments, imports and bare brackets."""
+    return functools.reduce(lambda a, b: a | b, (line.startswith(d) for d in DULL), (F.length(line) < SHORT) | line.rlike(BRACKETS))
 
 
 def repeated_lines(docs: DataFrame, least: int = 24, spread: int = 3) -> DataFrame:
@@ -64,23 +73,43 @@ def repeated_lines(docs: DataFrame, least: int = 24, spread: int = 3) -> DataFra
     return each.groupBy("line").agg(F.count("*").alias("files")).where(F.col("files") >= spread)
 
 
-def copied_runs(docs: DataFrame, run: int = 2, common: int = 60) -> DataFrame:
-    """(one, one_at, two, two_at, lines): runs of `run` equal lines or more in two documents, places from 1.
+def line_hashes(text: Column) -> Column:
+    """The lines' hashes, null for dull ones."""
+
+    def one(raw: Column) -> Column:
+        return F.transform(F.array(F.regexp_replace(tidy(raw), r"\s+", " ")), lambda line: F.when(~dull(line), F.xxhash64(line)))[0]
+
+    return F.transform(lines_of(text), one)
+
+
+def copied_runs(docs: DataFrame, run: int = 5, common: int = 60) -> DataFrame:
+    """(one, one_at, two, two_at, lines): `run` or more lines that are equal in two documents, places from 1.
 
-    A seat is paired with the next seat of its line in another document only. Lines in more than `common` seats begin
-    no run; they are found by their count before any pairing.
+    A copy begins at a line that 2 to `common` seats hold, paired with the next document's first seat of it, and where
+    the lines before differ; it goes on as long as the lines are equal and not dull, common ones included. Lines travel
+    as hashes; the `run` first ones are compared by one hash where the seats meet, the rest on the two documents'
+    arrays. Null texts have no lines; a doc_id is expected once.
     """
-    all_seats = seats(docs).where(~dull(F.col("line")))
-    frequent = all_seats.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n").between(2, common))
-    held = all_seats.join(frequent.select("line"), "line")
+    held = written(docs.select("doc_id", line_hashes(F.col("text")).alias("lines")))
+    place = F.col("at")
+    first_ones = F.slice("lines", place + 1, run)
+    whole = F.when((F.size(first_ones) == run) & ~F.exists(first_ones, lambda x: x.isNull()), F.xxhash64(first_ones))
+    all_seats = held.select("doc_id", F.posexplode("lines").alias("at", "line"), "lines").where("line is not null")
+    all_seats = all_seats.select("doc_id", "at", "line", F.when(place > 0, F.get("lines", place - 1)).alias("before"), whole.alias("start"))
+    frequent = all_seats.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n").between(2, common)).select("line")
+    seated = written(all_seats.join(frequent, "line"))
     # the next document's first seat is the first later seat elsewhere
-    first = held.groupBy("line", "doc_id").agg(F.min("at").alias("first_at"))
+    first = seated.groupBy("line", "doc_id").agg(F.min(F.struct("at", "before", "start")).alias("seat"))
     after = Window.partitionBy("line").orderBy("doc_id")
-    others = first.withColumn("two", F.lead("doc_id").over(after)).withColumn("two_at", F.lead("first_at").over(after)).where("two is not null").select("line", "doc_id", "two", "two_at")
-    pairs = held.join(others, ["line", "doc_id"]).select(F.col("doc_id").alias("one"), "two", F.col("at").alias("one_at"), "two_at", (F.col("at") - F.col("two_at")).alias("diagonal"))
-    diagonal = Window.partitionBy("one", "two", "diagonal").orderBy("one_at")
-    islands = pairs.withColumn("island", F.col("one_at") - F.row_number().over(diagonal))
-    return islands.groupBy("one", "two", "diagonal", "island").agg(F.min("one_at").alias("a"), F.min("two_at").alias("b"), F.count("*").alias("lines")).where(F.col("lines") >= run).select("one", (F.col("a") + 1).cast("long").alias("one_at"), "two", (F.col("b") + 1).cast("long").alias("two_at"), "lines")
+    others = first.select("line", "doc_id", F.lead("doc_id").over(after).alias("two"), F.lead("seat").over(after).alias("seat")).where("two is not null")
+    met = seated.join(others, ["line", "doc_id"]).where((F.col("start") == F.col("seat.start")) & F.coalesce(F.col("before") != F.col("seat.before"), F.lit(True)))
+    starts = met.select(F.col("doc_id").alias("one"), F.col("at").alias("one_at"), "two", F.col("seat.at").alias("two_at"))
+    each = starts.join(held.select(F.col("doc_id").alias("one"), F.col("lines").alias("here")), "one").join(held.select(F.col("doc_id").alias("two"), F.col("lines").alias("there")), "two")
+    rest = lambda lines, at: F.slice(lines, F.col(at) + 1, F.greatest(F.size(lines) - F.col(at), F.lit(0)))
+    same = F.zip_with(rest("here", "one_at"), rest("there", "two_at"), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    ends = F.array_position(same, False)
+    lines = F.when(ends > 0, ends - 1).otherwise(F.size(same)).cast("long")
+    return each.select("one", (F.col("one_at") + 1).cast("long").alias("one_at"), "two", (F.col("two_at") + 1).cast("long").alias("two_at"), lines.alias("lines")).where(F.col("lines") >= run)
 
 
 def comment_chars(text: Column) -> Column:

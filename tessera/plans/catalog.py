@@ -123,19 +123,17 @@ for _grain in ("week", "month", "year"):
     _bucket(_grain)
 
 
-@query("""WITH v AS (SELECT event_type AS kind, date_trunc('day', ts)::TIMESTAMP AS \"at\", max(event_id) AS size FROM events WHERE user_id % 3 = 0 AND hour(ts) < 4 GROUP BY ALL), a AS (SELECT kind, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY))::TIMESTAMP AS \"at\" FROM (SELECT DISTINCT event_type AS kind FROM events))
+@query("""WITH v AS (SELECT user_id AS kind, date_trunc('day', ts)::TIMESTAMP AS \"at\", max(event_id) AS size FROM events GROUP BY ALL), a AS (SELECT kind, unnest(generate_series((SELECT min(\"at\") FROM v), (SELECT max(\"at\") FROM v), INTERVAL 1 DAY))::TIMESTAMP AS \"at\" FROM (SELECT DISTINCT kind FROM v))
   SELECT kind, \"at\", size, last_value(size IGNORE NULLS) OVER (PARTITION BY kind ORDER BY \"at\" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried_size FROM a LEFT JOIN v USING (kind, \"at\")""")
 def size_carry_forward(spark, at):
-    rows = activity(spark, at)
-    seen = rows.where((F.col("who") % 3 == 0) & (F.hour("ts") < 4)).groupBy("kind", F.date_trunc("day", "ts").alias("at")).agg(F.max("event_id").alias("size"))
-    axis = rows.select("kind").distinct().select("kind", F.explode(F.expr("sequence(timestamp '2024-01-01', timestamp '2024-01-30', interval 1 day)")).alias("at"))
-    return history.carried(axis.join(seen, ["kind", "at"], "left"), "kind", "at", "size")
+    # of each person, whose days have gaps
+    return history.carried_days(activity(spark, at).drop("kind").withColumnRenamed("who", "kind"), "kind", "ts", "event_id", "size")
 
 
 @query("""WITH v AS (SELECT event_type AS kind, date_trunc('day', ts)::TIMESTAMP AS \"at\", max(event_id) AS size FROM events GROUP BY ALL), a AS (SELECT kind, unnest(generate_series((SELECT min(\"at\") FROM v), (SELECT max(\"at\") FROM v), INTERVAL 1 DAY))::TIMESTAMP AS \"at\" FROM (SELECT DISTINCT kind FROM v))
   SELECT kind, \"at\", size, last_value(size IGNORE NULLS) OVER (PARTITION BY kind ORDER BY \"at\" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried_size FROM a LEFT JOIN v USING (kind, \"at\")""")
 def size_carry_whole(spark, at):
-    # all events and days; size_carry_forward is held to its SQL, which takes a part of them
+    # of each kind of event
     return history.carried_days(activity(spark, at), "kind", "ts", "event_id", "size")
 
 
@@ -182,12 +180,13 @@ def repeated_lines(spark, at):
     return text.repeated_lines(table(spark, at, "documents"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, \"at\", line FROM {SEATS} WHERE length(line) >= 12 AND NOT regexp_matches(line, '^(//|[*]|/[*]|import |export )') AND NOT regexp_matches(line, '^[)\\]}}>,;]+$')),
-  k AS (SELECT line FROM s GROUP BY line HAVING count(*) BETWEEN 2 AND 60), h AS (SELECT s.* FROM s JOIN k USING (line)), f AS (SELECT line, doc_id, min(\"at\") AS first_at FROM h GROUP BY ALL),
-  o AS (SELECT line, doc_id, lead(doc_id) OVER w AS two, lead(first_at) OVER w AS two_at FROM f WINDOW w AS (PARTITION BY line ORDER BY doc_id)),
-  p AS (SELECT h.doc_id AS one, two, \"at\" AS one_at, two_at, \"at\" - two_at AS g FROM h JOIN o ON h.line = o.line AND h.doc_id = o.doc_id WHERE two IS NOT NULL),
-  i AS (SELECT *, one_at - row_number() OVER (PARTITION BY one, two, g ORDER BY one_at) AS island FROM p)
-  SELECT one, (min(one_at) + 1)::BIGINT AS one_at, two, (min(two_at) + 1)::BIGINT AS two_at, count(*)::BIGINT AS lines FROM i GROUP BY one, two, g, island HAVING count(*) >= 2""")
+@query(f"""WITH l AS MATERIALIZED (SELECT doc_id, "at", CASE WHEN length(line) >= 12 AND NOT regexp_matches(line, '^(//|[*]|/[*]|import |export )') AND NOT regexp_matches(line, '^[)\\]}}>,;]+$') THEN line END AS line FROM {SEATS}),
+  s AS MATERIALIZED (SELECT * FROM l WHERE line IS NOT NULL), k AS (SELECT line FROM s GROUP BY line HAVING count(*) BETWEEN 2 AND 60), h AS (SELECT s.* FROM s JOIN k USING (line)),
+  f AS (SELECT line, doc_id, min("at") AS first_at FROM h GROUP BY ALL), o AS (SELECT line, doc_id, lead(doc_id) OVER w AS two, lead(first_at) OVER w AS two_at FROM f WINDOW w AS (PARTITION BY line ORDER BY doc_id)),
+  p AS (SELECT h.doc_id AS one, h."at" AS one_at, two, two_at FROM h JOIN o ON h.line = o.line AND h.doc_id = o.doc_id WHERE two IS NOT NULL),
+  b AS (SELECT p.* FROM p LEFT JOIN s x ON x.doc_id = one AND x."at" = one_at - 1 LEFT JOIN s y ON y.doc_id = two AND y."at" = two_at - 1 WHERE x.line IS NULL OR y.line IS NULL OR x.line <> y.line),
+  g AS (SELECT one, one_at, two, two_at, x."at" - one_at AS step, row_number() OVER (PARTITION BY one, one_at, two, two_at ORDER BY x."at") - 1 AS n FROM b JOIN s x ON x.doc_id = one AND x."at" >= one_at JOIN s y ON y.doc_id = two AND y."at" = x."at" - one_at + two_at AND x.line = y.line)
+  SELECT one, (one_at + 1)::BIGINT AS one_at, two, (two_at + 1)::BIGINT AS two_at, count(*)::BIGINT AS lines FROM g WHERE step = n GROUP BY ALL HAVING count(*) >= 5""")
 def copied_runs(spark, at):
     return text.copied_runs(table(spark, at, "documents"))
 

@@ -14,10 +14,15 @@ def table(spark: SparkSession, at: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back, which cuts its lineage."""
+    """df written to the folder in spark.checkpoint.dir and read back, which cuts its lineage.
+
+    Only a session on this machine alone may leave that folder unset.
+    """
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         at = spark.sparkContext.getCheckpointDir()
     path = f"{at}/round-{uuid.uuid4().hex}"

@@ -34,6 +34,17 @@ def test_copied_runs(spark):
     docs = spark.createDataFrame([(1, "// a\n" + body), (2, "// b\n" + body), (3, ")\n}\n]")], "doc_id long, text string")
     assert [tuple(r) for r in text.copied_runs(docs, run=5).collect()] == [(1, 2, 2, 2, 6)]
     assert text.copied_runs(docs.where("doc_id = 3"), run=1).count() == 0
+    assert text.copied_runs(docs.where("doc_id > 9")).count() == 0
+
+
+def test_copied_runs_grow_through_shared_and_common_lines(spark):
+    """A line that a document between holds, and one that most hold, do not cut a copy in two."""
+    lines = [f"const value{i} = compute({i})" for i in range(9)]
+    shared, common = lines[4], lines[6]
+    rows = [(1, "\n".join(["// a", *lines])), (2, f"other text of its own\n{shared}"), (3, "\n".join(["x = another line of text", "", *lines])), (4, None)]
+    rows += [(10 + i, f"line {i} of yet another text\n{common}") for i in range(70)]
+    got = {tuple(r) for r in text.copied_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 2, 3, 3, 9)}
 
 
 def test_repeated_and_talky(spark):
