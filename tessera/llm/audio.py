@@ -191,11 +191,21 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, KINDS[k]) for v, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+#: Rows of a batch that are worked on and handed on at a time.
+ROWS = 512
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def stored_media(docs: DataFrame, analysis: Analysis = Analysis(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text's bytes as an 8-bit WAV file, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [t.as_py() or "" for t in batch.column(1)]
             yield _batch([(d.as_py(), len(t.encode()), wav(payload_of(t), analysis.rate)) for d, t in zip(batch.column(0), texts, strict=True)], MEDIA)
 
@@ -207,7 +217,7 @@ def stored_features(media: DataFrame, analysis: Analysis = Analysis(), with_medi
     mel, a fixed-shape tensor), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc_id, n_bytes, held in zip(*batch.columns, strict=True):
                 held = held.as_py()
@@ -229,7 +239,7 @@ def audio_features(docs: DataFrame, analysis: Analysis = Analysis(), id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             counts, told = [], []
             for frames, stream in zip(batch.column("n_frames"), batch.column("tensors"), strict=True):
                 spans, tensors = tensors_of(stream.as_py())

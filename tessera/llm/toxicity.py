@@ -32,8 +32,8 @@ LEAST_DOCS = 5
 GRADES = 3
 #: One in HELD of the documents of the fit is held out to choose the penalty and the threshold by.
 HELD, PENALTIES = 4, (1e-4, 1e-3, 1e-2)
-#: Words that a worker keeps the features of, and the longest of them.
-MEMO, MEMO_LENGTH = 400_000, 40
+#: Words that a worker keeps the features of, the longest of them, and features that it counts before it hands them on.
+MEMO, MEMO_LENGTH, COUNTED = 150_000, 40, 100_000
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -159,7 +159,7 @@ def _document_counts(sample: DataFrame) -> DataFrame:
                 n.update(found)
                 if toxic.as_py():
                     k.update(found)
-                if len(n) > MEMO:
+                if len(n) > COUNTED:
                     yield told()
                     n, k = Counter(), Counter()
         yield told()
