@@ -71,7 +71,8 @@ def ordered_union(rows: DataFrame, key: str, label: str, order: str) -> DataFram
 
 def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (src, dst, ...) both of whose ends are among the nodes (node)."""
-    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    inside = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return inside.select(*edges.columns)
 
 
 def spread(paths: DataFrame, path: str) -> DataFrame:
