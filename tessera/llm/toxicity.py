@@ -26,8 +26,9 @@ AFFIXES = (3, 4, 5, 6)
 
 #: Bounds of the fit: labelled documents, and features.
 FIT_DOCS, FIT_FEATURES = 20_000, 2_000
-#: Documents of the fit that a feature must be in.
-LEAST_DOCS = 5
+#: Documents of the fit that a feature must be in, and standard deviations by which its toxic ones must differ from what
+#: is expected of as many documents.
+LEAST_DOCS, LEAST_Z = 5, 3.0
 #: Grades beside 0; the toxic documents of the fit are spread over them by the share of their words that are markers.
 GRADES = 3
 #: One in HELD of the documents of the fit is held out to choose the penalty and the threshold by.
@@ -185,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Labels say toxic or not. The severity of a toxic document is graded by the share of its words that are markers, in
     GRADES equal parts. Equal texts count once. Features are the fit_features that tell the labels apart best. The
-    penalty and the threshold are those that do best on one in HELD of the documents, which the model for that is not
-    fitted on; the model itself is then fitted on all. Rows with a null id or label are not used, a null text counts as
+    penalty (of equally good ones the greatest) and the threshold are those that do best on one in HELD of the
+    documents, which the model for that is not fitted on; the model itself is then fitted on all. Rows with a null id or label are not used, a null text counts as
     empty, of several labels of an id the greatest counts.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
@@ -198,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     rate = totals["k"] / totals["n"]
     z = F.abs(F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * F.lit(rate * (1 - rate)))
-    vocabulary = [(r["name"], r["n"], r["k"]) for r in _document_counts(sample).where(F.col("n") >= LEAST_DOCS).orderBy(z.desc(), "name").limit(fit_features).collect()]
+    vocabulary = [(r["name"], r["n"], r["k"]) for r in _document_counts(sample).where((F.col("n") >= LEAST_DOCS) & (z >= LEAST_Z)).orderBy(z.desc(), "name").limit(fit_features).collect()]
     index = {w: i for i, (w, _, _) in enumerate(vocabulary)}
     markers = frozenset(index[f] for f in marker_features(vocabulary))
 
@@ -238,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     penalty, threshold = PENALTIES[1], 0.5
     if 0 < toxic[out].sum() < len(out) and 0 < toxic[order % HELD != 0].sum():
         tried = [(best_threshold(p_toxic(fitted(order[order % HELD != 0], p), out), toxic[out]), p) for p in PENALTIES]
-        (threshold, _), penalty = max(tried, key=lambda t: t[0][1])
+        (threshold, _), penalty = max(tried, key=lambda t: (t[0][1], t[1]))
     model = fitted(order, penalty)
     model.threshold = threshold
     return model

@@ -148,3 +148,59 @@ def test_pipeline_stages(spark, tmp_path):
     safe = P.pii(spark, kept, str(tmp_path)).collect()
     assert not any("@" in (r["text"] or "") for r in safe) and all((r["text"] is None) == (r["doc_id"] == 900) for r in safe)
     assert {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()} == {r["doc_id"] for r in safe}
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Clashing columns pass unchanged, ids that repeat with other texts stay, null ids stay, empty tables stay empty."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    body = "plain words of a text that goes on for some time and then ends "
+    rows = [(i, f"{body * 3} number {chr(97 + i % 26) * 4} " + ("idiot moron " * 3 if i % 2 else "kind people ") + f"mail u{i}@example.org", "en", f"s{i % 3}", 9) for i in range(40)]
+    far = "quite another text with none of those in it, mail someone@example.org at once or rather later than that"
+    rows += [(2, far, "en", "s", 9), (2, far, "en", "s", 9), (None, body, None, None, None), (None, body, None, None, None), (50, None, "en", None, 0), (51, "", "en", "s", 0), (52, "long " + "word " * 200_000, "en", "s", 9)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = {c: F.lit(f"own {c}") for c in ("toxic", "severity", "p_toxic", "_text", "_base", "_spans", "_email", "text_key", "row", "key", "id", "words", "group", "copies")}
+    docs = plain.withColumns(extra)
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        assert all(r[c] == f"own {c}" for r in kept for c in extra), name
+        assert sum(r["doc_id"] is None for r in kept) == 2, name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+        if name == "toxicity":
+            assert {r["doc_id"] for r in kept} >= {*range(0, 40, 2), 50, 51, 52} and not {r["doc_id"] for r in kept} & set(range(1, 40, 2))
+        if name == "near_dedup":
+            assert sum(r["text"] == far for r in kept) == 1 and {50, 51} & {r["doc_id"] for r in kept} == {50}
+        if name == "pii":
+            assert not any("@" in (r["text"] or "") for r in kept) and len(kept) == docs.count()
+    packed = P.packing(spark, docs, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert P.packing(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_packing_of_repeated_rows(spark):
+    """Null ids and equal rows are dealt over groups; conflicts hold in every bin."""
+    rows = [(None, f"t{i % 7}", "s", 5) for i in range(300)] + [(1, "same", "s", 5)] * 300 + [(10 + i, f"u{i % 40}", f"s{i % 5}", 1 + i % 30) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    got = pack_documents(docs, F.col("n"), 60, F.col("source"), F.col("text"), per_source=2, group_rows=100)
+    assert got.count() == 900 and got.where("doc_id is null").select("group").distinct().count() > 3 and got.where("doc_id = 1").select("group").distinct().count() > 3
+    held = got.where("doc_id >= 10").join(docs, "doc_id").groupBy("bin_id", "source").count().where("count > 2")
+    assert held.count() == 0
+    assert got.where("doc_id >= 10").join(docs, "doc_id").groupBy("bin_id", "text").count().where("count > 1").count() == 0
+
+
+def test_toxicity_on_labels_not_fitted_on(spark):
+    import os
+
+    at = "/root/testdata/sf0.1"
+    if not os.path.exists(f"{at}/labels.parquet"):
+        return
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    held = "pmod(xxhash64(doc_id, 'held'), 4) = 0"
+    model = fit(docs, labels.where(f"not {held}"))
+    got = toxicity(docs, model).select("doc_id", "toxic").join(labels.where(held).select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
+    bad, good = [r["toxic"] for r in got if r["label"]], [r["toxic"] for r in got if not r["label"]]
+    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.05 * len(good)
+    print(f"caught {sum(bad) / len(bad):.3f}, kept {1 - sum(good) / len(good):.3f}")
