@@ -65,3 +65,26 @@ def partners(spark: SparkSession, at: str) -> DataFrame:
     """(src, dst): each nation's heaviest foreign partner, ties to the smaller number."""
     best = trade(spark, at).where("src <> dst").groupBy("src").agg(F.max(F.struct("weight", (-F.col("dst")).alias("d"))).alias("m"))
     return best.select(F.col("src").cast("long").alias("src"), (-F.col("m.d")).cast("long").alias("dst"))
+
+
+def tree(spark: SparkSession, at: str) -> DataFrame:
+    """(doc_id, path, text): each document as a file, its folder and its name being dealt by its id."""
+    turn = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.col("doc_id"), F.lit(len(names))) + 1).cast("int"))
+    path = F.concat_ws("/", turn(FOLDERS), "source", F.concat(F.lit("d"), F.col("doc_id").cast("string")), turn(LEAVES))
+    return table(spark, at, "documents").select("doc_id", path.alias("path"), "text")
+
+
+FOLDERS = ("src", "app", "lib", "node_modules/x", "a/dist", "a/b/c/dist", "docs", "vendor", "tests", "pages", "theme/static/lib", "gen")
+LEAVES = ("index.ts", "test_a.py", "Makefile", "run", "photo.PNG", ".hidden", "b_test.go", "x.unknown", "page.tsx", "style.min.js", "LICENSE", "m.rs", "CMakeLists.txt")
+
+
+def identities(spark: SparkSession, at: str) -> DataFrame:
+    """(id, name, email, commits, ins, del, first, last): each customer with the totals of its orders; names and addresses
+    are shared, some addresses are missing."""
+    moved = changes(spark, at).groupBy("hash").agg(F.sum("ins").alias("ins"), F.sum("del").alias("del"))
+    totals = commits(spark, at).join(moved, "hash", "left").groupBy("who").agg(F.count("*").alias("commits"), F.coalesce(F.sum("ins"), F.lit(0)).alias("ins"), F.coalesce(F.sum("del"), F.lit(0)).alias("del"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    names = table(spark, at, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name"))
+    number = F.col("c_custkey")
+    said = F.concat(F.when(number % 2 == 0, "u").otherwise("U"), (number % 60).cast("string"), F.lit("@x"))
+    people = table(spark, at, "customer").join(names, "c_nationkey").select(number.alias("id"), "name", F.when(number % 7 != 0, said).otherwise("").alias("email"))
+    return people.join(totals, people.id == totals.who).drop("who")
