@@ -117,7 +117,7 @@ def route_links(clients: DataFrame, endpoints: DataFrame, hosts: list[str] | Non
     Up to four leading segments of the client may be a base address that the endpoint does not know; the fewest that
     find an endpoint count. Scores are 4 for each literal segment less those dropped and less 1 for a verb that only
     one side leaves open; ties go to the smaller endpoint id. Sides meet on their number of segments, or, for
-    endpoints that end in **, on every number from theirs on.
+    endpoints that end in **, on every number from theirs on, and on their first segment where both have a literal one.
     """
     parts = lambda c: F.filter(F.split(c, "/"), lambda p: p != "")
     local = (F.col("host") == "") | F.col("host").rlike(LOCAL)
@@ -131,7 +131,12 @@ def route_links(clients: DataFrame, endpoints: DataFrame, hosts: list[str] | Non
     longest = tails.agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
     told = told.where(F.size("segs") > 0).withColumn("wide", wide).join(F.broadcast(longest))  # one row
     told = told.withColumn("n", F.explode(F.when(F.col("wide"), F.filter(F.sequence(F.lit(0), F.col("longest")), lambda k: k >= F.size("segs") - 1)).otherwise(F.array(F.size("segs")))))
-    met = tails.join(told, "n").where((F.col("answers") == "ANY") | (F.col("asked") == "ANY") | (F.col("answers") == F.col("asked")))
+    # sides whose first segments are both literal meet only where these are equal
+    first = lambda c: F.lower(F.get(F.col(c), F.lit(0)))
+    told = told.withColumn("key", F.when(first("segs").isin("*", "**"), "*").otherwise(first("segs")))
+    literal = tails.where(first("said") != "*").withColumn("key", F.explode(F.array(first("said"), F.lit("*"))))
+    both = literal.join(told, ["n", "key"]).unionByName(tails.where(first("said") == "*").join(told, "n"))
+    met = both.where((F.col("answers") == "ANY") | (F.col("asked") == "ANY") | (F.col("answers") == F.col("asked")))
     kinds = F.zip_with(F.filter("segs", lambda s: s != "**"), F.slice("said", 1, F.when(F.col("wide"), F.size("segs") - 1).otherwise(F.size("segs"))), lambda s, t: F.when(s == "*", "any").when(t == "*", "loose").when(F.lower(s) == F.lower(t), "literal").otherwise("no"))
     met = met.withColumn("kinds", kinds).where(~F.array_contains("kinds", "no"))
     count = lambda k: F.size(F.filter("kinds", lambda x: x == k))

@@ -116,11 +116,11 @@ def leading_people(spark, at):
     return people.leading(commits(spark, at).groupBy("who").agg(F.count("*").alias("commits")), "commits", "who", 12)
 
 
-@query(f"""WITH t AS (SELECT path, who FROM {CHANGES} JOIN {COMMITS} USING (hash) JOIN {FILES} USING (file) WHERE ts >= '1998-06-01'), n AS (SELECT path AS folder, who, count(*) AS c FROM t GROUP BY ALL UNION ALL SELECT split_part(path, '/', 1), who, count(*) FROM t GROUP BY ALL), o AS (SELECT folder, who FROM n QUALIFY row_number() OVER (PARTITION BY folder ORDER BY c DESC, who) = 1)
+@query(f"""WITH t AS (SELECT path, who FROM {CHANGES} JOIN {COMMITS} USING (hash) JOIN {FILES} USING (file) WHERE ts >= '2001-06-01'), n AS (SELECT path AS folder, who, count(*) AS c FROM t GROUP BY ALL UNION ALL SELECT split_part(path, '/', 1), who, count(*) FROM t GROUP BY ALL), o AS (SELECT folder, who FROM n QUALIFY row_number() OVER (PARTITION BY folder ORDER BY c DESC, who) = 1)
   SELECT f.path, coalesce(a.folder, b.folder) AS folder, coalesce(a.who, b.who) AS who FROM {FILES} f LEFT JOIN o a ON a.folder = f.path LEFT JOIN o b ON b.folder = split_part(f.path, '/', 1)""")
 def nearest_owners(spark, at):
     # owners of files and of first folders in the last weeks of the log
-    late = commits(spark, at).where("ts >= '1998-06-01'").select("hash", "who")
+    late = commits(spark, at).where("ts >= '2001-06-01'").select("hash", "who")
     touched = changes(spark, at).join(late, "hash").join(files(spark, at).select("file", "path"), "file")
     held = touched.select("who", F.explode(F.array("path", F.substring_index("path", "/", 1))).alias("folder")).groupBy("folder", "who").agg(F.count("*").alias("n"))
     owners = held.groupBy("folder").agg(F.max_by("who", F.struct("n", (-F.col("who")).alias("w"))).alias("who"))

@@ -88,3 +88,19 @@ def identities(spark: SparkSession, at: str) -> DataFrame:
     said = F.concat(F.when(number % 2 == 0, "u").otherwise("U"), (number % 60).cast("string"), F.lit("@x"))
     people = table(spark, at, "customer").join(names, "c_nationkey").select(number.alias("id"), "name", F.when(number % 7 != 0, said).otherwise("").alias("email"))
     return people.join(totals, people.id == totals.who).drop("who")
+
+
+MODULE_ENDS = (".ts", ".tsx", "/index.ts")
+
+
+def code(spark: SparkSession, at: str) -> DataFrame:
+    """(path, text): a module for each part in its brand's folder. It imports the parts with the four next keys from that
+    folder, relatively, by an alias, by a workspace package and by a script's name, and two packages."""
+    key, brand = F.col("p_partkey"), F.col("p_brand")
+    end = F.element_at(F.array(*map(F.lit, MODULE_ENDS)), (key % 3 + 1).cast("int"))
+    number = lambda n: (key + n).cast("string")
+    text = F.concat(
+        F.when(key % 2 == 0, "export function f() {}\n").otherwise(""), F.lit("import a from './m"), number(1), F.lit("'\nexport { b } from '@/"), brand, F.lit("/m"), number(2), F.lit("'\nimport '@org/"), brand, F.lit("/m"), number(3),
+        F.lit("'\nimport c from '../"), brand, F.lit("/m"), number(4), F.lit(".js'\nrequire('react/jsx')\nimport e from '@org/none/x'\n"),
+    )
+    return table(spark, at, "part").select(F.concat(F.lit("src/"), brand, F.lit("/m"), key.cast("string"), end).alias("path"), text.alias("text"))
