@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import api, compare, fleet, history, imports, ranks, tasks
+from tessera.operators import api, compare, fleet, history, imports, ranks, tasks, units
 from tessera.plans.catalog import CHANGES, COMMITS, FILES, ORACLE_SQL, query
 from tessera.sources.tables import MODULE_ENDS, activity, changes, code, commits, files, table
 
@@ -177,3 +177,28 @@ def fleet_tree(spark, at):
     # types as repositories, brands as their folders
     leaves = table(spark, at, "part").select(F.col("p_type").alias("repo"), F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("path"), F.col("p_size").cast("long").alias("weight"))
     return history.tree_rollup(fleet.rooted(leaves, "repo", ["path"]), "path", ["weight"])
+
+
+@query(ROUTES + " SELECT id, method, path, framework FROM e WHERE framework = 'openapi' AND (method, path) NOT IN (SELECT (method, path) FROM e WHERE framework = 'web')")
+def page_documents_only(spark, at):
+    ends, _ = _routes(spark, at)
+    return compare.answered(ends.where("framework = 'openapi'"), ends.where("framework = 'web'")).select("id", "method", "path", "framework")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS h, CASE WHEN o_orderpriority = '1-URGENT' THEN 'helper' END AS author, CASE o_orderstatus WHEN 'F' THEN 'helper' WHEN 'O' THEN 'mender' END AS trailer FROM orders), t AS (SELECT h, author AS tool FROM o WHERE author IS NOT NULL UNION SELECT h, trailer FROM o WHERE trailer IS NOT NULL) SELECT tool, count(*)::BIGINT AS commits FROM t GROUP BY tool""")
+def signed_orders(spark, at):
+    # urgent orders by a bot, the others signed in a trailer by their state
+    state = F.col("o_orderstatus")
+    body = F.concat(F.lit("said\n"), F.when(state == "F", "Co-authored-by: Helper <h@x>\nco-authored-by: helper <h@x>").when(state == "O", "assisted-by: mender:one").otherwise("by hand, no helper"))
+    rows = table(spark, at, "orders").select(F.col("o_orderkey").cast("string").alias("hash"), F.when(F.col("o_orderpriority") == "1-URGENT", "helper[bot] <1@x>").otherwise("Helper <h@x>").alias("author"), body.alias("body"))
+    return history.signed(rows, [("(?i)helper", "helper"), ("(?i)mender", "mender")])
+
+
+@query("WITH n AS (SELECT DISTINCT '@' || p_brand || '/' || p_type || '/' || p_name AS name, p_brand AS b, p_type AS t, p_name AS p FROM part), s AS (SELECT p_brand AS b, p_type AS t, max(p_size) AS m FROM part GROUP BY ALL) SELECT name, CASE WHEN m > 45 THEN t ELSE b END AS label FROM n JOIN s USING (b, t)")
+def labelled_parts(spark, at):
+    # each brand is a label, and so is a type of a brand that has a large part
+    part = table(spark, at, "part")
+    scope = F.concat(F.lit("@"), "p_brand", F.lit("/"))
+    keys = part.select(scope.alias("key"), F.col("p_brand").alias("label")).distinct()
+    own = part.groupBy("p_brand", "p_type").agg(F.max("p_size").alias("m")).where("m > 45").select(F.concat(scope, "p_type", F.lit("/")).alias("key"), F.col("p_type").alias("label"))
+    return units.labelled(part.select(F.concat(scope, "p_type", F.lit("/"), "p_name").alias("name")), keys.unionByName(own))
