@@ -84,6 +84,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), ngram=3, most=2)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe_neighbours": op1_multiprobe_neighbours,
     "op2_toxicity_grades": op2_toxicity_grades,
@@ -95,6 +101,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_token_id_blocks": op9_token_id_blocks,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op13_source_divergence": r"""
+        with given as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text, row_number() over () as row from documents),
+        found as (select lang, source, row, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from given),
+        vocabulary as (select lang, term, count(*) as n from found group by lang, term having count(distinct row) >= 3),
+        langs as (select lang, count(*)::hugeint as v, sum(n)::hugeint as total from vocabulary group by lang),
+        counts as (select lang, source, term, count(*) as n from found semi join vocabulary using (lang, term) group by lang, source, term),
+        sums as (select lang, source, sum(n)::hugeint as total from counts group by lang, source),
+        groups as (select lang, source, coalesce(s.total, 0)::hugeint as total, l.v, l.total as of_lang from (select distinct lang, source from given) left join sums s using (lang, source) left join langs l using (lang)),
+        shares as (
+            select g.lang, g.source, t.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (g.total + g.v) as p, 1 + 1000000000::hugeint * (t.n + 1) // (g.of_lang + g.v) as q
+            from groups g join vocabulary t using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = t.term),
+        pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+        every as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+            union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from shares where n > 0 and p > q),
+        ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank from every)
+        select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200
+    """,
+}
