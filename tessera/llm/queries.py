@@ -84,6 +84,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), ngram=3, most=2)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.divergence import source_divergence
 
@@ -101,10 +107,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_token_id_blocks": op9_token_id_blocks,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_spelling_variants": r"""
+        with recursive given as (select coalesce(cast(doc_id as varchar), '') as doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+        found as (select doc, unnest(regexp_extract_all(text, '[a-z\x{C0}-\x{FF}]+')) as run from given),
+        runs as (select doc, run, count(*) as n, hex(doc || ':' || run) as code from found where length(run) >= 5 group by doc, run),
+        hashed as (
+            select run, n, xor(4294967295::ubigint, list_reduce(list_transform(range(1, length(code), 2), lambda i: cast('0x' || substr(code, i, 2) as ubigint)),
+                lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384::ubigint * (x & 1))), 4294967295::ubigint))::bigint as h from runs),
+        spelt as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed),
+        words as (select word, sum(n)::bigint as n from spelt where length(word) >= 5 group by word having sum(n) >= 3),
+        cut as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(0, length(word))) as i from words)),
+        pairs as (
+            select a.word, b.word as form, b.n as form_n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+            union select a.word, b.word, b.n from cut a join words b on a.rest = b.word union select b.word, a.word, a.n from cut a join words b on a.rest = b.word),
+        ranked as (select word, form, form_n, count(*) over (partition by word) as n_near, row_number() over (partition by word order by form_n desc, form) as r from pairs),
+        told as (select w.word, w.n, coalesce(r.n_near, 0) as n_near, case when r.form_n >= 2 * w.n then r.form end as form, case when r.form_n >= 2 * w.n then r.form_n end as form_n from words w left join ranked r on r.word = w.word and r.r = 1),
+        steps as (select word, form as at, 1 as k from told where form is not null union all select s.word, t.form, s.k + 1 from steps s join told t on t.word = s.at where t.form is not null),
+        roots as (select word, arg_max(at, k) as root from steps group by word)
+        select t.word, t.form, coalesce(r.root, t.word) as root, t.n, t.n_near, t.form_n from told t left join roots r using (word)
+    """,
     "op13_source_divergence": r"""
         with given as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text, row_number() over () as row from documents),
         found as (select lang, source, row, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from given),
