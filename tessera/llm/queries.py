@@ -84,6 +84,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), ngram=3, most=2)
 
 
+def op11_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.scoring import document_scores
+
+    return document_scores(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.spelling import spelling_variants
 
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_token_id_blocks": op9_token_id_blocks,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_recurrent_scores": op11_recurrent_scores,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -127,8 +134,8 @@ ORACLE_SQL: dict[str, str] = {
             union select a.word, b.word, b.n from cut a join words b on a.rest = b.word union select b.word, a.word, a.n from cut a join words b on a.rest = b.word),
         ranked as (select word, form, form_n, count(*) over (partition by word) as n_near, row_number() over (partition by word order by form_n desc, form) as r from pairs),
         told as (select w.word, w.n, coalesce(r.n_near, 0) as n_near, case when r.form_n >= 2 * w.n then r.form end as form, case when r.form_n >= 2 * w.n then r.form_n end as form_n from words w left join ranked r on r.word = w.word and r.r = 1),
-        steps as (select word, form as at, 1 as k from told where form is not null union all select s.word, t.form, s.k + 1 from steps s join told t on t.word = s.at where t.form is not null),
-        roots as (select word, arg_max(at, k) as root from steps group by word)
+        steps as (select word, form as goal, 1 as k from told where form is not null union all select s.word, t.form, s.k + 1 from steps s join told t on t.word = s.goal where t.form is not null),
+        roots as (select word, arg_max(goal, k) as root from steps group by word)
         select t.word, t.form, coalesce(r.root, t.word) as root, t.n, t.n_near, t.form_n from told t left join roots r using (word)
     """,
     "op13_source_divergence": r"""

@@ -17,7 +17,7 @@ import numpy as np
 #: Units of the state, classes of head words, classes beyond them.
 HIDDEN, CLASSES, BEYOND = 16, 40, 2
 #: Streams trained side by side, words of a window, step size of Adagrad and what its sums begin with.
-LANES, WINDOW, RATE, START = 128, 16, 0.05, 1e-4
+LANES, WINDOW, RATE, START = 256, 16, 0.05, 1e-4
 #: Documents scored side by side, and words of a window there.
 SCORE_LANES, SCORE_WINDOW = 256, 32
 
