@@ -16,8 +16,9 @@ import numpy as np
 
 #: Units of the state, classes of head words, classes beyond them.
 HIDDEN, CLASSES, BEYOND = 16, 40, 2
-#: Streams trained side by side, words of a window, step size of Adagrad and what its sums begin with.
-LANES, WINDOW, RATE, START = 256, 16, 0.05, 1e-4
+#: Streams trained side by side (fewer where a stretch of words would have under LEAST windows of them), words of a window,
+#: step size of Adagrad and what its sums begin with.
+LANES, LEAST, WINDOW, RATE, START = 256, 128, 16, 0.05, 1e-5
 #: Documents scored side by side, and words of a window there.
 SCORE_LANES, SCORE_WINDOW = 256, 32
 
@@ -187,7 +188,7 @@ class Trainer:
     def learn(self, stream: np.ndarray) -> None:
         """One pass over the stream (ids of whole documents), cut into lanes of one length; a document that a lane's end
         cuts goes on in the next lane from an empty state."""
-        lanes = min(LANES, max(1, len(stream) // WINDOW))
+        lanes = min(LANES, max(1, len(stream) // (LEAST * WINDOW)))
         steps = -(-len(stream) // lanes)
         whole = np.full(lanes * steps, self.end, dtype=np.int64)
         whole[: len(stream)] = stream
