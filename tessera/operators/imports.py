@@ -26,15 +26,44 @@ def walked(start: Column, said: Column) -> Column:
     return F.when(~F.array_contains(up, ".."), F.array_join(up, "/"))
 
 
-def _files_for(base: Column) -> Column:
-    """The files that a base may be, in order: rewritten endings, itself, with an ending, an index."""
-    swaps = F.array().cast("array<string>")
-    for end, instead in REWRITTEN.items():
-        stem = F.left(base, F.length(base) - len(end))
-        swaps = F.when(F.endswith(base, F.lit(end)), F.array(*(F.concat(stem, F.lit(e)) for e in instead))).otherwise(swaps)
-    ends = F.array(*map(F.lit, TRIED))
-    index = F.when(base == "", F.lit("index")).otherwise(F.concat(base, F.lit("/index")))
-    return F.concat(swaps, F.array(base), F.transform(ends, lambda e: F.concat(base, e)), F.transform(ends, lambda e: F.concat(index, e)))
+ENDS = tuple(dict.fromkeys((*TRIED, *(e for instead in REWRITTEN.values() for e in instead))))
+
+
+def _told_by(files: DataFrame) -> DataFrame:
+    """(key, form, end, dst): what a base may be for which each file of files (path) is tried: its whole path, that without
+    an ending, the folder that it is the index of."""
+    path = F.col("path")
+    ended = F.transform(F.filter(F.array(*map(F.lit, ENDS)), lambda e: F.endswith(path, e)), lambda e: F.struct(F.left(path, F.length(path) - F.length(e)).alias("key"), F.lit("ended").alias("form"), e.alias("end")))
+    index = F.transform(F.filter(ended, lambda x: x["key"].rlike("(^|/)index$")), lambda x: F.struct(F.regexp_replace(x["key"], "/?index$", "").alias("key"), F.lit("index").alias("form"), x["end"].alias("end")))
+    whole = F.struct(path.alias("key"), F.lit("whole").alias("form"), F.lit("").alias("end"))
+    return files.select(path.alias("dst"), F.explode(F.concat(F.array(whole), ended, index)).alias("x")).select("x.*", "dst").distinct()
+
+
+def _keys_of(base: Column) -> Column:
+    """(key, swapped) of the files that a base may be: itself and, where it ends in a script's ending, what stands before
+    that."""
+    stem = F.lit(None).cast("string")
+    written_as = F.lit(None).cast("string")
+    for end in REWRITTEN:
+        stem = F.when(F.endswith(base, F.lit(end)), F.left(base, F.length(base) - len(end))).otherwise(stem)
+        written_as = F.when(F.endswith(base, F.lit(end)), F.lit(end)).otherwise(written_as)
+    own = F.struct(base.alias("key"), F.lit("").alias("swapped"))
+    return F.when(stem.isNotNull(), F.array(F.struct(stem.alias("key"), written_as.alias("swapped")), own)).otherwise(F.array(own))
+
+
+def _order() -> Column:
+    """The place of a file's (swapped, form, end) among those tried for a base; null for what is not tried."""
+    places = {("", "whole", ""): 100}
+    places |= {(said, "ended", e): i for said, instead in REWRITTEN.items() for i, e in enumerate(instead)}
+    places |= {("", form, e): first + i for form, first in (("ended", 200), ("index", 300)) for i, e in enumerate(TRIED)}
+    entries = [x for (swapped, form, end), i in places.items() for x in (F.lit(f"{swapped} {form} {end}"), F.lit(i))]
+    return F.try_element_at(F.create_map(*entries), F.concat_ws(" ", "swapped", "form", "end"))
+
+
+def _filled(target: Column, middle: Column) -> Column:
+    """target with the first * replaced."""
+    hole = F.instr(target, "*")
+    return F.when(hole > 0, F.concat(F.left(target, hole - 1), middle, F.substring(target, hole + 1, F.length(target)))).otherwise(target)
 
 
 def imports_of(files: DataFrame) -> DataFrame:
@@ -42,37 +71,55 @@ def imports_of(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("src"), F.explode(specifiers(F.col("text"))).alias("specifier")).distinct()
 
 
-def resolved(files: DataFrame, aliases: Sequence[tuple[str, Sequence[str]]] = (), packages: DataFrame | None = None, base: str | None = None) -> DataFrame:
+def resolved(files: DataFrame, aliases: Sequence[tuple[str, Sequence[str]]] = (), packages: DataFrame | None = None, base: str | None = None, settings: DataFrame | None = None) -> DataFrame:
     """(src, specifier, kind, dst, package): kind is file, package or missing.
 
     A relative specifier is tried from its own folder; others by the aliases (pattern with at most one *, targets) in
-    order, then in the folder of a workspace package (name, folder, entry), then below `base`. The first candidate that
-    is a file counts. Relative ones, absolute ones and those that an alias takes are missing without a file; the rest are
-    packages. All candidates meet the files in one join on the path.
+    order, then in the folder of a workspace package (name, folder, entry), then below `base`. settings (folder, root,
+    base_url, aliases) give each folder's files aliases and a base of their own, tried before the common ones. The first
+    candidate that is a file counts. Relative ones, absolute ones and those that an alias takes are missing without a
+    file; the rest are packages. Bases meet the files in one join on the path without its ending.
     """
-    asked = written(imports_of(files))
+    rows = written(imports_of(files))
     said = F.col("specifier")
     near = F.startswith(said, F.lit("."))
     outside = said.rlike(r"^/|^[A-Za-z]:[\\/]")
-    bases, taken = [F.when(near, walked(folder_of(F.col("src")), said))], F.lit(False)
+    bare = ~near & ~outside
+    bases, taken = [F.array(F.when(near, walked(folder_of(F.col("src")), said)))], F.lit(False)
+
+    def hits(pattern: Column) -> Column:
+        hole = F.instr(pattern, "*")
+        tail = F.substring(pattern, hole + 1, F.length(pattern))
+        return F.when(hole == 0, said == pattern).otherwise(F.startswith(said, F.left(pattern, hole - 1)) & F.endswith(said, tail) & (F.length(said) >= F.length(pattern) - 1))
+
+    def middle(pattern: Column) -> Column:
+        hole = F.instr(pattern, "*")
+        return F.when(hole == 0, "").otherwise(F.substring(said, hole, F.length(said) - F.length(pattern) + 1))
+
+    if settings is not None:
+        told = settings.select(F.col("folder").alias("_folder"), F.col("root").alias("_root"), F.col("base_url").alias("_base"), F.col("aliases").alias("_aliases"))
+        rows = written(rows.join(told, folder_of(F.col("src")) == F.col("_folder"), "left").drop("_folder"))
+        hit = F.filter("_aliases", lambda a: bare & hits(a["pattern"]))
+        within = lambda a: F.transform(a["targets"], lambda t: walked(F.col("_root"), F.concat(F.coalesce("_base", F.lit(".")), F.lit("/"), _filled(t, middle(a["pattern"])))))
+        bases.append(F.coalesce(F.flatten(F.transform(hit, within)), F.array().cast("array<string>")))
+        taken = taken | F.coalesce(F.size(hit) > 0, F.lit(False))
     for pattern, targets in aliases:
-        head, star, tail = pattern.partition("*")
-        hit = ~near & ~outside & ((F.startswith(said, F.lit(head)) & F.endswith(said, F.lit(tail)) & (F.length(said) >= len(head) + len(tail))) if star else (said == pattern))
-        middle = F.substring(said, F.lit(len(head) + 1), F.length(said) - len(head) - len(tail)) if star else F.lit("")
+        hit = bare & hits(F.lit(pattern))
         taken = taken | hit
-        for target in targets:
-            before, hole, after = target.partition("*")
-            bases.append(F.when(hit, walked(F.lit(""), F.concat(F.lit(before), middle if hole else F.lit(""), F.lit(after)))))
-    rows = asked.withColumn("package", F.when(~outside, package_of(said)))
+        bases.append(F.array(*(F.when(hit, walked(F.lit(""), _filled(F.lit(t), middle(F.lit(pattern))))) for t in targets)))
+    asked = rows.withColumn("near", near).withColumn("taken", taken | outside).withColumn("package", F.when(~outside, package_of(said)))
     if packages is not None:
-        rows = rows.join(packages.select(F.col("name").alias("package"), F.col("folder").alias("_home"), F.col("entry").alias("_entry")), "package", "left")
+        asked = asked.join(packages.select(F.col("name").alias("package"), F.col("folder").alias("_home"), F.col("entry").alias("_entry")), "package", "left")
         rest = F.substring(said, F.length("package") + 1, F.length(said))
-        bases += [F.when(~near, walked(F.col("_home"), rest)), F.when(~near & F.col("_entry").isNotNull(), walked(F.col("_home"), F.col("_entry")))]
+        bases.append(F.array(F.when(~near, walked(F.col("_home"), rest)), F.when(~near & F.col("_entry").isNotNull(), walked(F.col("_home"), F.col("_entry")))))
+    if settings is not None:
+        bases.append(F.array(F.when(bare & (F.col("_base") != ""), walked(F.col("_root"), F.concat(F.col("_base"), F.lit("/"), said)))))
     if base is not None:
-        bases.append(F.when(~near & ~outside, walked(F.lit(base), said)))
-    tried = rows.select("src", "specifier", "package", near.alias("near"), (taken | outside).alias("taken"), F.posexplode(F.flatten(F.transform(F.array_compact(F.array(*bases)), _files_for))).alias("place", "dst"))
-    hits = tried.join(files.select(F.col("path").alias("dst")).distinct(), "dst", "left_semi").groupBy("src", "specifier").agg(F.min_by("dst", "place").alias("dst"))
-    out = asked.withColumn("near", near).withColumn("taken", taken | outside).join(hits, ["src", "specifier"], "left")
+        bases.append(F.array(F.when(bare, walked(F.lit(base), said))))
+    tried = asked.select("src", "specifier", F.posexplode(F.array_compact(F.concat(*bases))).alias("place", "base")).select("src", "specifier", "place", F.explode(_keys_of(F.col("base"))).alias("x")).select("src", "specifier", "place", "x.*")
+    met = tried.join(_told_by(files), "key").withColumn("order", _order()).where("order is not null")
+    found = met.groupBy("src", "specifier").agg(F.min_by("dst", F.struct("place", "order")).alias("dst"))
+    out = asked.select("src", "specifier", "near", "taken").distinct().join(found, ["src", "specifier"], "left")
     kind = F.when(F.col("dst").isNotNull(), "file").when(F.col("near") | F.col("taken"), "missing").otherwise("package")
     return out.select("src", "specifier", kind.alias("kind"), "dst", F.when(kind == "package", package_of(said)).alias("package"))
 

@@ -104,3 +104,29 @@ def code(spark: SparkSession, at: str) -> DataFrame:
         F.lit("'\nimport c from '../"), brand, F.lit("/m"), number(4), F.lit(".js'\nrequire('react/jsx')\nimport e from '@org/none/x'\n"),
     )
     return table(spark, at, "part").select(F.concat(F.lit("src/"), brand, F.lit("/m"), key.cast("string"), end).alias("path"), text.alias("text"))
+
+
+def projects(spark: SparkSession, at: str) -> DataFrame:
+    """(path, text): a module for each part in a folder of its brand and size, beside the folder's main file, and the compiler
+    configurations that say what their imports mean.
+
+    Every part has a configuration at the root that inherits from the next part's, but each sixth; some lead in a circle,
+    some are broken, some have comments and trailing commas. A folder's own configuration inherits from that of its
+    least part; folders of every third size have none and look to their brand's.
+    """
+    part = table(spark, at, "part").select(F.col("p_partkey").alias("key"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("where"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    key, where, text = F.col("key"), F.col("where"), lambda n: n.cast("string")
+    said = lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in c))
+    up = F.when(key % 6 == 0, "").when(key % 24 == 5, said('"extends": "./c', text(key - 4), '.json",')).otherwise(said('"extends": "./c', text(key + 1), '",'))
+    paths = said('"paths": {"@k', text(key % 3), '/*": ["', where, '/*", "src/', where, '/*",], /* one */ "~all": ["x', text(key), '"],}, // both\n')
+    options = F.concat(F.when(key % 5 == 0, '"baseUrl": "src",').otherwise(""), F.when(key % 4 != 0, paths).otherwise(""))
+    own = F.when(key % 17 == 0, "{ broken").otherwise(said("{", up, '"compilerOptions": {', options, "},}"))
+    roots = part.select(said("c", text(key), ".json").alias("path"), own.alias("text"))
+    folders = part.groupBy("where", "brand", "size").agg(F.min("key").alias("key"))
+    place = said("src/", where, "/")
+    theirs = folders.where("size % 3 <> 0").select(said(place, "tsconfig.json").alias("path"), said('{"extends": "../../../c', text(key), '"}').alias("text"))
+    brands = folders.groupBy("brand").agg(F.min("size").alias("size")).select(said("src/", F.col("brand"), "/jsconfig.json").alias("path"), said('{"compilerOptions": {"paths": {"@k0/*": ["./', text(F.col("size")), '/*"]}}}').alias("text"))
+    mains = folders.select(said(place, "main.ts").alias("path"), F.lit("").alias("text"))
+    asks = said("import a from '@k0/main'\nimport b from '@k1/main.js'\nimport c from '@k2/main'\nimport d from '~all'\nimport e from '", where, "/main'\nimport './main'\n")
+    modules = part.select(said(place, "m", text(key), ".ts").alias("path"), asks.alias("text"))
+    return roots.unionByName(theirs).unionByName(brands).unionByName(mains).unionByName(modules)
