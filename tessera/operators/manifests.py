@@ -13,6 +13,7 @@ GRADLE_DEV = r"^(test|androidTest|kapt|ksp|annotationProcessor|compileOnly)"
 CARGO = r"(^|\.)(dependencies|dev-dependencies|build-dependencies)"
 GO = r"(?m)^\s*([\w.\-/]+\.[\w.\-/]+)\s+(v[\w.+-]+)"
 CMAKE = r"(?i)(?:find_package|FetchContent_Declare)\s*\(\s*([A-Za-z0-9_.-]+)"
+DEV = r"(?i)dev|test|lint|doc"
 PUB = ("dependencies", "dev_dependencies", "dependency_overrides")
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
 REQUEST = r"(?m)^\s*(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(\S+)"
@@ -59,11 +60,32 @@ def cargo(files: DataFrame) -> DataFrame:
     return one.unionByName(_found(spelled, F.regexp_extract("section", inner, 3), F.col("range"), F.regexp_extract("section", inner, 2) == "dev-dependencies", "crates.io"))
 
 
-def requirements(files: DataFrame) -> DataFrame:
-    lines = files.select("path", F.explode(F.split("text", "\n")).alias("line")).select("path", F.trim(F.get(F.split(F.regexp_replace("line", "#.*$", ""), ";"), F.lit(0))).alias("line"))
-    asked = lines.where(F.col("line").rlike(r"^[A-Za-z0-9._]"))
+def _required(lines: DataFrame, dev: Column) -> DataFrame:
+    """What requirements (path, line) name and ask for; markers after a semicolon do not count."""
+    asked = lines.withColumn("line", F.trim(F.get(F.split("line", ";"), F.lit(0)))).where(F.col("line").rlike(r"^[A-Za-z0-9._]"))
     form = r"^([A-Za-z0-9._-]+)\s*(?:\[[^\]]*\])?\s*(.*)$"
-    return _found(asked, F.regexp_extract("line", form, 1), F.regexp_extract("line", form, 2), F.col("path").rlike("(?i)dev|test|lint|doc"), "PyPI")
+    return _found(asked, F.regexp_extract("line", form, 1), F.regexp_extract("line", form, 2), dev, "PyPI")
+
+
+def requirements(files: DataFrame) -> DataFrame:
+    lines = files.select("path", F.explode(F.split("text", "\n")).alias("line")).select("path", F.regexp_replace("line", "#.*$", "").alias("line"))
+    return _required(lines, F.col("path").rlike(DEV))
+
+
+def pyproject(files: DataFrame) -> DataFrame:
+    """What a Python project lists: its dependencies, each group of optional ones, and tables of dependencies by name.
+
+    A line belongs to the last key that a line of its table began with, so lists may go on over several lines. Groups and
+    tables named for development, tests, checks or documents do not ship; the language itself is no dependency.
+    """
+    rows = sections(files).withColumn("head", F.regexp_extract("line", r"^([\w.-]+)\s*=", 1))
+    rows = rows.withColumn("key", F.last(F.when(F.col("head") != "", F.col("head")), ignorenulls=True).over(Window.partitionBy("path", "section").orderBy("at")))
+    quoted = F.regexp_extract_all("line", F.lit(r"""\"([^\"]+)\"|'([^']+)'"""), F.lit(0))
+    optional = F.col("section").endswith("optional-dependencies")
+    listed = rows.where(((F.col("section") == "project") & (F.col("key") == "dependencies")) | optional).select("path", "key", optional.alias("optional"), F.explode(quoted).alias("said"))
+    lists = _required(listed.select("path", "key", "optional", F.expr("substring(said, 2, length(said) - 2)").alias("line")), F.col("optional") & F.col("key").rlike(DEV))
+    named = rows.where(F.col("section").rlike(r"^tool\.poetry\.(group\..*\.)?dependencies$") & ~F.col("head").isin("", "python"))
+    return lists.unionByName(_found(named, F.col("head"), toml_value(F.col("line")), F.col("section").rlike(DEV), "PyPI"))
 
 
 def gradle(files: DataFrame) -> DataFrame:
@@ -99,7 +121,7 @@ def pub(files: DataFrame) -> DataFrame:
 
 
 READERS = (
-    (r"(^|/)package\.json$", npm), (r"(^|/)Cargo\.toml$", cargo), (r"(^|/)requirements[\w.-]*\.txt$", requirements), (r"(^|/)build\.gradle(\.kts)?$", gradle),
+    (r"(^|/)package\.json$", npm), (r"(^|/)Cargo\.toml$", cargo), (r"(^|/)requirements[\w.-]*\.txt$", requirements), (r"(^|/)(pyproject\.toml|setup\.cfg)$", pyproject), (r"(^|/)build\.gradle(\.kts)?$", gradle),
     (r"(^|/)pom\.xml$", maven), (r"(^|/)CMakeLists\.txt$", cmake), (r"(^|/)go\.mod$", golang), (r"(^|/)pubspec\.ya?ml$", pub),
 )
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import configs, imports
+from tessera.operators import configs, coverage, documents, imports
 from tessera.plans.catalog import query
-from tessera.sources.tables import projects
+from tessera.sources.tables import api_files, collection_files, projects, report_files
 
 CHAINS = """WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey AS k, p_brand AS b, p_size AS s, p_brand || '/' || p_size AS w FROM part), n AS (SELECT k, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 24 = 5 THEN k - 4 ELSE k + 1 END AS u FROM p),
   c AS (SELECT k, 0 AS step, k AS a, [k] AS seen FROM p WHERE k % 17 <> 0 UNION ALL SELECT c.k, c.step + 1, n.u, list_append(c.seen, n.u) FROM c JOIN n ON n.k = c.a WHERE n.u % 17 <> 0 AND n.u IN (SELECT k FROM p) AND NOT list_contains(c.seen, n.u)),
@@ -37,3 +37,43 @@ def configured(spark, at):
 @query(CONFIGURED + " SELECT * FROM g")
 def configured_imports(spark, at):
     return configured(spark, at)
+
+
+API = """WITH p AS (SELECT page_id AS k, regexp_extract(url, '^https?://[^/]+(/[^/?#]+)', 1) AS lead FROM pages), d AS (SELECT k, lead, 'p' || k || '/' || list_extract(['openapi.json', 'openapi.yaml', 'swagger.yml', 'serverless.yml', 'shop.proto'], (k % 6 + 1)::INT) AS path, k % 6 AS m FROM p WHERE k % 6 < 5)"""
+
+
+@query(API + """ SELECT path, 'openapi' AS framework, 'GET' AS method, CASE WHEN m = 2 THEN '/v1' ELSE '/api' END || lead || '/*/' || k AS route, lead || '/{code}/' || k AS raw FROM d WHERE m < 3 UNION ALL SELECT path, 'openapi', 'POST', CASE WHEN m = 2 THEN '/v1/all' ELSE '/api/all' END, '/all' FROM d WHERE m < 3
+  UNION ALL SELECT path, 'serverless', 'GET', lead || '/*/' || k, lead || '/{code}/' || k FROM d WHERE m = 3 UNION ALL SELECT path, 'grpc', 'POST', '/a.b' || k || '.Cart/' || rpc, '/a.b' || k || '.Cart/' || rpc FROM d, (VALUES ('Add'), ('Drop')) r(rpc) WHERE m = 4""")
+def documented_endpoints(spark, at):
+    return documents.served(api_files(spark, at))
+
+
+@query("SELECT DISTINCT CASE WHEN page_id % 6 = 2 THEN 'own.example.org' ELSE 'h' || page_id % 3 || '.example.org' END AS host FROM pages WHERE page_id % 6 < 3")
+def documented_hosts(spark, at):
+    return documents.hosts(api_files(spark, at))
+
+
+COLLECTED = """WITH p AS (SELECT page_id AS k, url, page_id // 4 AS s, regexp_extract(url, '^https?://([^/?#]+)', 1) AS h, regexp_replace(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '(.)/$', '\\1') AS r FROM pages),
+  a AS (SELECT *, 'p' || k || '/a.postman_collection.json' AS path, list_extract(['{{base}}/x/' || k || '?y=1', url, 'x/:id'], (s % 3 + 1)::INT) AS raw, list_extract(['/x/' || k, r, '/x/*'], (s % 3 + 1)::INT) AS route, list_extract(['*base', h, ''], (s % 3 + 1)::INT) AS host FROM p WHERE k % 4 = 0)"""
+
+
+@query(COLLECTED + """ SELECT path, 'postman' AS framework, 'PUT' AS method, route, host, '' AS name, raw FROM a UNION ALL SELECT path, 'postman', 'ANY', '/top', '', '', '/top' FROM a WHERE k % 3 = 2
+  UNION ALL SELECT 'p' || k || '/calls.http', 'rest', 'GET', r, h, '', url FROM p WHERE k % 4 = 1 UNION ALL SELECT 'p' || k || '/calls.http', 'rest', 'POST', '/b/' || k, '', '', '/b/' || k FROM p WHERE k % 4 = 1
+  UNION ALL SELECT 'p' || k || '/ask.bru', CASE WHEN s % 2 = 0 THEN 'bruno' ELSE 'graphql' END, 'POST', CASE WHEN s % 2 = 0 THEN '/g/' || k ELSE '/' END, '*host', CASE WHEN s % 2 = 0 THEN '' ELSE 'query Pets' END, '{{host}}' || CASE WHEN s % 2 = 0 THEN '/g/' || k ELSE '' END FROM p WHERE k % 4 = 2""")
+def collection_requests(spark, at):
+    return documents.requests(collection_files(spark, at))
+
+
+@query(COLLECTED + """ SELECT path, CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'only' ELSE 'top/outer/inner' END AS folder, 'r' AS name, 'put' AS method, raw AS url FROM a UNION ALL SELECT path, '', 'top', 'any', '/top' FROM a WHERE k % 3 = 2""")
+def collection_folders(spark, at):
+    told = documents.collected(documents._told(collection_files(spark, at)))
+    return told.select("path", F.array_join("folders", "/").alias("folder"), "name", "method", "url")
+
+
+@query("""WITH d AS (SELECT doc_id AS k, 'd' || doc_id // 2 AS folder, coalesce(n_chars, 0) AS n, doc_id % 5 AS m FROM documents WHERE doc_id % 5 < 4),
+  r AS (SELECT folder, folder || '/' || list_extract(['coverage/coverage-summary.json', 'coverage.json', 'coverage/lcov.info', 'coverage.lcov'], (m + 1)::INT) AS source, list_extract(['istanbul', 'coverage.py', 'lcov', 'lcov'], (m + 1)::INT) AS kind, m,
+    CASE m WHEN 0 THEN n % 7 + .5 WHEN 1 THEN n % 97 + .25 ELSE floor((n + 1) / (n + 4) * 1000 + .5) / 10 END::DOUBLE AS lines, CASE m WHEN 0 THEN 0 WHEN 1 THEN n % 97 + .25 ELSE floor((n + 1) / (n + 4) * 1000 + .5) / 10 END::DOUBLE AS statements,
+    CASE m WHEN 0 THEN n % 11 + .5 WHEN 1 THEN 0 ELSE 12.5 END::DOUBLE AS branches, CASE m WHEN 0 THEN n % 13 + .5 ELSE 0 END::DOUBLE AS functions FROM d)
+  SELECT folder, source, kind, lines, statements, branches, functions FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY m) AS i FROM r) WHERE i = 1""")
+def coverage_reports(spark, at):
+    return coverage.reports(report_files(spark, at))

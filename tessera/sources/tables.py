@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -130,3 +130,56 @@ def projects(spark: SparkSession, at: str) -> DataFrame:
     asks = said("import a from '@k0/main'\nimport b from '@k1/main.js'\nimport c from '@k2/main'\nimport d from '~all'\nimport e from '", where, "/main'\nimport './main'\n")
     modules = part.select(said(place, "m", text(key), ".ts").alias("path"), asks.alias("text"))
     return roots.unionByName(theirs).unionByName(brands).unionByName(mains).unionByName(modules)
+
+
+def _text(*parts) -> Column:
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+
+
+def _dealt(rows: DataFrame, key: Column, texts: dict[int, tuple[Column, Column]], of: int) -> DataFrame:
+    """(path, text) of the remainder of each row's key by `of`, for the remainders that have one."""
+    path, text = (F.coalesce(*(F.when(key % of == n, one[i]) for n, one in texts.items())) for i in (0, 1))
+    return rows.where((key % of).isin(*texts)).select(path.alias("path"), text.alias("text"))
+
+
+def api_files(spark: SparkSession, at: str) -> DataFrame:
+    """(path, text): a document for each page that says what its address serves: OpenAPI in JSON and in YAML, with a server or
+    a basePath, serverless templates, protobuf services, and some that are broken."""
+    key, lead = F.col("page_id"), F.regexp_extract("url", r"^https?://[^/]+(/[^/?#]+)", 1)
+    route, server = _text(lead, "/{code}/", key), _text("https://h", key % 3, ".example.org:8080/api/")
+    at_ = lambda name: _text("p", key, "/", name)
+    json = _text('{ // made\n "openapi": "3.0.1", "servers": [{"url": "', server, '"}],\n "paths": {"', route, '": {"get": {}, "parameters": [],}, /* all */ "/all": {"post": {"x": {"delete": 1}}},},}')
+    paths = _text('paths:\n  # said\n  "', route, '":\n    get:\n      summary: one\n\n    parameters: []\n  /all:\n    post:\n      x:\n        delete: 1\ncomponents:\n  /none:\n    get: 1\n')
+    yaml, based = _text("openapi: 3.0.1\nservers:\n  - url: ", server, "\n", paths), _text("swagger: '2.0'\nhost: own.example.org:90\nbasePath: /v1\n", paths)
+    cloud = _text("functions:\n  f:\n    events:\n      - http:\n          path: ", route, "\n          cors: true\n          method: get\n  g:\n    events:\n      - http:\n          method: post\n          path: /late\n          a: 1\n          b: 2\n          c: 3\n          d: 4\n          method: put\n")
+    proto = _text("syntax = \"proto3\";\npackage a.b", key, ";\nservice Cart { rpc Add (X) returns (Y);\n  rpc Drop (X) returns (Y); }\n")
+    return _dealt(table(spark, at, "pages"), key, {0: (at_("openapi.json"), json), 1: (at_("openapi.yaml"), yaml), 2: (at_("swagger.yml"), based), 3: (at_("serverless.yml"), cloud), 4: (at_("shop.proto"), proto), 5: (at_("openapi.json"), F.lit('{"openapi": "3.0.1", '))}, 6)
+
+
+def collection_files(spark: SparkSession, at: str) -> DataFrame:
+    """(path, text): a collection of requests for each page: Postman with up to three levels of folders and three ways to
+    write an address, request files, Bruno's with and without GraphQL, and broken ones."""
+    key, url = F.col("page_id"), F.col("url")
+    at_ = lambda name: _text("p", key, "/", name)
+    said = (key / 4).cast("long")
+    address = F.when(said % 3 == 0, _text('"{{base}}/x/', key, '?y=1"')).when(said % 3 == 1, _text('{"raw": "', url, '"}')).otherwise('{"path": ["x", ":id"]}')
+    request = _text('{"name": "r", "request": {"method": "put", "url": ', address, "}}")
+    folder = lambda name, inner: _text('{"name": "', name, '", "item": [', inner, ', {"name": "none"}]}')
+    two = folder("outer", folder("inner", request))
+    item = F.when(key % 3 == 0, request).when(key % 3 == 1, folder("only", request)).otherwise(_text('{"name": "top", "item": ', two, ', "request": {"url": "/top"}}'))
+    postman = _text('{"info": {}, /* said */ "item": [', item, ",]}")
+    rest = _text("### one\nGET ", url, "\n\nPOST /b/", key, "\n")
+    bruno = F.when(said % 2 == 0, _text("post {\n  url: {{host}}/g/", key, "\n  body: json\n}\n")).otherwise("meta {\n  name: Ask it\n}\npost {\n  url: {{host}}\n  body: graphql\n}\nbody:graphql {\n  query Pets { a }\n}\n")
+    return _dealt(table(spark, at, "pages"), key, {0: (at_("a.postman_collection.json"), postman), 1: (at_("calls.http"), rest), 2: (at_("ask.bru"), bruno), 3: (at_("b.postman_collection.json"), F.lit('{"item": [1, 2'))}, 4)
+
+
+def report_files(spark: SparkSession, at: str) -> DataFrame:
+    """(path, text): a coverage report for each document, its numbers taken from the document's length, of each kind that is
+    read; each fifth is broken, and a folder of two documents may have two."""
+    key, n = F.col("doc_id"), F.coalesce("n_chars", F.lit(0))
+    at_ = lambda name: _text("d", (key / 2).cast("long"), "/", name)
+    share = lambda by: _text('{"total": ', n, ', "pct": ', n % by, ".5}")
+    summary = _text('{"total": {"lines": ', share(7), ', "branches": ', share(11), ', // "statements": 1\n "functions": ', share(13), ",}}")
+    python = _text('{"meta": {"note": "a // b, ]"}, "totals": {"percent_covered": ', n % 97, ".25}}")
+    lcov = _text("TN:\nSF:a\nLF:", n + 3, "\nLH:", n, "\nBRF:8\nBRH:1\nend_of_record\nSF:b\nLF:1\nLH:1\nend_of_record\n")
+    return _dealt(table(spark, at, "documents"), key, {0: (at_("coverage/coverage-summary.json"), summary), 1: (at_("coverage.json"), python), 2: (at_("coverage/lcov.info"), lcov), 3: (at_("coverage.lcov"), lcov), 4: (at_("coverage/coverage-summary.json"), F.lit('{"total": {"lines"'))}, 5)
