@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import configs, coverage, documents, imports
+from tessera.operators import configs, coverage, documents, imports, stack
 from tessera.plans.catalog import query
-from tessera.sources.tables import api_files, collection_files, projects, report_files
+from tessera.sources.tables import api_files, collection_files, projects, report_files, stack_files, table
 
 CHAINS = """WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey AS k, p_brand AS b, p_size AS s, p_brand || '/' || p_size AS w FROM part), n AS (SELECT k, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 24 = 5 THEN k - 4 ELSE k + 1 END AS u FROM p),
   c AS (SELECT k, 0 AS step, k AS a, [k] AS seen FROM p WHERE k % 17 <> 0 UNION ALL SELECT c.k, c.step + 1, n.u, list_append(c.seen, n.u) FROM c JOIN n ON n.k = c.a WHERE n.u % 17 <> 0 AND n.u IN (SELECT k FROM p) AND NOT list_contains(c.seen, n.u)),
@@ -77,3 +77,56 @@ def collection_folders(spark, at):
   SELECT folder, source, kind, lines, statements, branches, functions FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY m) AS i FROM r) WHERE i = 1""")
 def coverage_reports(spark, at):
     return coverage.reports(report_files(spark, at))
+
+
+#: (facet, label, on, key, path_like, says, pick, once) in their order.
+RULES = (
+    ("dockerfiles", "Docker", "stem", "Dockerfile", None, None, None, None), ("compose", "Compose", "stem", "docker-compose", r"\.ya?ml$", None, None, None), ("terraform", "Terraform", "ending", ".tf", None, None, None, None), ("build", None, "stem", "vite.config", None, None, None, None),
+    ("strict", "on", "stem", "tsconfig", r"\.json$", r'"strict"\s*:\s*true', None, "strict"), ("strict", "off", "stem", "tsconfig", r"\.json$", '"compilerOptions"', None, "strict"), ("node", None, "name", ".nvmrc", None, None, r"^\s*(\S+)", None), ("env", None, "stem", ".env", None, None, None, None),
+    ("ports", None, "stem", "Dockerfile", None, None, r"(?im)^\s*EXPOSE\s+(\d+)", None), ("ports", None, "stem", "docker-compose", None, None, r"""["']?(\d{2,5}):\d{2,5}["']?""", None), ("hosts", "AWS", "below", ".github/workflows", r"\.ya?ml$", "aws-actions/", None, None), ("hosts", "Fly", "ending", ".tf", None, r"fly\.io", None, None), ("apps", "iOS", "folder", "ios", None, None, None, None),
+)
+MARKS = """(WITH d AS (SELECT coalesce(source, '') AS repo, doc_id AS k, coalesce(n_chars, 0) AS n, doc_id % 12 AS m FROM documents), t AS (SELECT repo, 'dockerfiles' AS facet, 'Docker' AS label, 0 AS place, 'a/' || k || '/Dockerfile.prod' AS path FROM d WHERE m = 0 UNION ALL SELECT repo, 'compose', 'Compose', 1, 'a/' || k || '/docker-compose.yml' FROM d WHERE m = 1
+  UNION ALL SELECT repo, 'terraform', 'Terraform', 2, 'infra/' || k || '/main.tf' FROM d WHERE m = 5 UNION ALL SELECT repo, 'build', 'vite.config.ts', 3, 'a/' || k || '/vite.config.ts' FROM d WHERE m = 6 UNION ALL SELECT repo, 'strict', CASE WHEN k % 2 = 0 THEN 'on' ELSE 'off' END, 4, 'a/' || k || '/tsconfig.json' FROM d WHERE m = 3
+  UNION ALL SELECT repo, 'node', 'v' || (n % 4 + 18), 6, 'a/' || k || '/.nvmrc' FROM d WHERE m = 2 UNION ALL SELECT repo, 'env', '.env.local', 7, 'a/' || k || '/.env.local' FROM d WHERE m = 9 UNION ALL SELECT repo, 'ports', (n % 50000 + 10 + x)::VARCHAR, 8, 'a/' || k || '/Dockerfile.prod' FROM d, (VALUES (0), (1)) v(x) WHERE m = 0
+  UNION ALL SELECT repo, 'ports', (n % 50000 + 10)::VARCHAR, 9, 'a/' || k || '/docker-compose.yml' FROM d WHERE m = 1 UNION ALL SELECT repo, 'hosts', 'AWS', 10, '.github/workflows/c' || k || '.yml' FROM d WHERE m = 4 AND k % 4 = 0 UNION ALL SELECT repo, 'hosts', 'Fly', 11, 'infra/' || k || '/main.tf' FROM d WHERE m = 5 UNION ALL SELECT repo, 'apps', 'iOS', 12, 'ios/' || k || '/Info.plist' FROM d WHERE m = 10)
+  SELECT repo, facet, label, count(DISTINCT path)::BIGINT AS files, arg_min(path, (place, path)) AS first FROM t GROUP BY ALL)"""
+
+
+def _marks(spark, at):
+    rules = spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], stack.RULE)
+    return stack.marks(stack_files(spark, at), rules)
+
+
+@query(f"SELECT * FROM {MARKS}")
+def stack_marks(spark, at):
+    return _marks(spark, at)
+
+
+ASKED = "(SELECT 'src' || p_partkey % 20 AS repo, p_partkey AS place, CASE p_partkey % 3 WHEN 0 THEN 'g' || p_size || ':lib' || p_size % 9 WHEN 1 THEN 'lib' || p_size % 9 ELSE '@scope' || p_size % 5 || '/x' || p_size END AS name, CASE p_partkey % 3 WHEN 0 THEN 'Maven' WHEN 1 THEN 'npm' ELSE 'PyPI' END AS ecosystem FROM part)"
+LABELS = (("frameworks", "lib1", "React"), ("frameworks", "lib2", "Express"), ("connects", "lib3", "Postgres"), ("frameworks", "@scope1/", "Vue"), ("frameworks", "@scope1/x6", "Koa"), ("ui", "@scope2/", "Kit"), ("bins", "lib4", "parser"), ("ui", "lib1", "Look"))
+PACKAGED = f"""(WITH a AS (SELECT *, list_extract(string_split(name, ':'), -1) AS tail FROM {ASKED}), l AS (SELECT * FROM (VALUES {', '.join(map(str, LABELS))}) v(facet, key, label)), h AS (SELECT repo, name, ecosystem, place, facet, label, row_number() OVER (PARTITION BY place, facet ORDER BY key = tail DESC, length(key) DESC) AS i FROM a JOIN l ON key = tail OR (ends_with(key, '/') AND starts_with(tail, key)))
+  SELECT repo, facet, label, arg_min(name, (place, name)) AS package, arg_min(ecosystem, (place, name)) AS ecosystem FROM h WHERE i = 1 GROUP BY repo, facet, label)"""
+
+
+def _packaged(spark, at):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    said = lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in c))
+    turn = lambda *c: F.get(F.array(*c), (key % 3).cast("int"))
+    asked = table(spark, at, "part").select(said("src", key % 20).alias("repo"), key.alias("place"), turn(said("g", size, ":lib", size % 9), said("lib", size % 9), said("@scope", size % 5, "/x", size)).alias("name"), turn(*map(F.lit, ("Maven", "npm", "PyPI"))).alias("ecosystem"))
+    return stack.packaged(asked, spark.createDataFrame(LABELS, "facet string, key string, label string"))
+
+
+@query(f"SELECT * FROM {PACKAGED}")
+def package_facets(spark, at):
+    return _packaged(spark, at)
+
+
+@query(f"""WITH f AS (SELECT repo, facet, label FROM {MARKS} UNION ALL SELECT repo, facet, label FROM {PACKAGED}), m AS (SELECT 'src' || p_partkey % 20 AS repo, p_size % 3 AS packages, p_size % 7 = 0 AS workspaces, p_size % 11 = 0 AS bin FROM part WHERE p_size % 10 = 0), r AS (SELECT repo FROM f UNION SELECT repo FROM m),
+  w AS (SELECT repo, [CASE WHEN EXISTS (FROM f WHERE f.repo = r.repo AND facet = 'frameworks' AND label IN ('React', 'Vue')) THEN 'frontend' END, CASE WHEN EXISTS (FROM f WHERE f.repo = r.repo AND (facet = 'connects' OR facet = 'frameworks' AND label IN ('Express', 'Koa'))) THEN 'backend' END, CASE WHEN EXISTS (FROM m WHERE m.repo = r.repo AND workspaces AND packages = 0) THEN 'monorepo root' END,
+    CASE WHEN EXISTS (FROM m WHERE m.repo = r.repo AND workspaces) THEN 'monorepo' END, CASE WHEN EXISTS (FROM m WHERE m.repo = r.repo AND bin) OR EXISTS (FROM f WHERE f.repo = r.repo AND facet = 'bins') THEN 'cli' END, CASE WHEN EXISTS (FROM f WHERE f.repo = r.repo AND facet = 'apps') THEN 'ios' END, CASE WHEN EXISTS (FROM f WHERE f.repo = r.repo AND facet IN ('dockerfiles', 'compose', 'terraform')) THEN 'infra' END] AS l FROM r),
+  x AS (SELECT repo, list_filter(l, lambda p: p IS NOT NULL) AS l FROM w) SELECT repo, unnest(range(len(l)))::INT AS place, unnest(l) AS part FROM x""")
+def stack_parts(spark, at):
+    facets = _marks(spark, at).select("repo", "facet", "label").unionByName(_packaged(spark, at).select("repo", "facet", "label"))
+    size = F.col("p_size")
+    manifests = table(spark, at, "part").where(size % 10 == 0).select(F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("repo"), (size % 3).alias("packages"), (size % 7 == 0).alias("workspaces"), (size % 11 == 0).alias("bin"))
+    return stack.parts(facets, manifests)

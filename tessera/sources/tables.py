@@ -183,3 +183,19 @@ def report_files(spark: SparkSession, at: str) -> DataFrame:
     python = _text('{"meta": {"note": "a // b, ]"}, "totals": {"percent_covered": ', n % 97, ".25}}")
     lcov = _text("TN:\nSF:a\nLF:", n + 3, "\nLH:", n, "\nBRF:8\nBRH:1\nend_of_record\nSF:b\nLF:1\nLH:1\nend_of_record\n")
     return _dealt(table(spark, at, "documents"), key, {0: (at_("coverage/coverage-summary.json"), summary), 1: (at_("coverage.json"), python), 2: (at_("coverage/lcov.info"), lcov), 3: (at_("coverage.lcov"), lcov), 4: (at_("coverage/coverage-summary.json"), F.lit('{"total": {"lines"'))}, 5)
+
+
+def stack_files(spark: SparkSession, at: str) -> DataFrame:
+    """(repo, path, text): each document as a file of its source's repository that leaves a mark or none, with its length as
+    port or version."""
+    key, n = F.col("doc_id"), F.coalesce("n_chars", F.lit(0))
+    at_ = lambda name, folder="a": _text(folder, "/", key, "/", name)
+    port = n % 50_000 + 10
+    texts = {
+        0: (at_("Dockerfile.prod"), _text("FROM x\nEXPOSE ", port, "\n  expose ", port + 1, "\n")), 1: (at_("docker-compose.yml"), _text('ports:\n  - "', port, ':80"\n')), 2: (at_(".nvmrc"), _text("v", n % 4 + 18, "\n")), 3: (at_("tsconfig.json"), F.when(key % 2 == 0, '{"compilerOptions": {"strict": true}}').otherwise('{"compilerOptions": {}}')),
+        4: (_text(".github/workflows/c", key, ".yml"), F.when(key % 4 == 0, "uses: aws-actions/x").otherwise("run: y")), 5: (at_("main.tf", "infra"), F.lit("fly.io")), 6: (at_("vite.config.ts"), F.lit("")), 7: (at_("Dockerfile", "vendor"), F.lit("EXPOSE 1")), 8: (at_("Dockerfile", "tests"), F.lit("EXPOSE 2")),
+        9: (at_(".env.local"), F.lit(None).cast("string")), 10: (at_("Info.plist", "ios"), F.lit("")), 11: (at_("plain.py"), F.lit("aws-actions/")),
+    }
+    named = table(spark, at, "documents").select("source", "doc_id", "n_chars")
+    path, text = (F.coalesce(*(F.when(key % 12 == m, one[i]) for m, one in texts.items())) for i in (0, 1))
+    return named.select(F.coalesce("source", F.lit("")).alias("repo"), path.alias("path"), text.alias("text"))
