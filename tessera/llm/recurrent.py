@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Units of the state, classes of head words, classes beyond them.
-HIDDEN, CLASSES, BEYOND = 16, 40, 2
+HIDDEN, CLASSES, BEYOND = 16, 28, 2
 #: Streams trained side by side (fewer where a stretch of words would have under LEAST windows of them), words of a window,
 #: step size of Adagrad and what its sums begin with.
 LANES, LEAST, WINDOW, RATE, START = 256, 128, 16, 0.05, 1e-5
@@ -105,15 +105,25 @@ class Network:
                 kept.append((before, update, reset, told, new))
         return out, kept
 
+    @staticmethod
+    def _exponents(h1: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """h1 @ weights, whose last row is the bias; less each row's greatest where they might be too great for exp."""
+        logits = h1 @ weights
+        # no part of a state is beyond 1
+        if np.abs(weights).sum(axis=0).max() > 60:
+            logits -= logits.max(axis=1, keepdims=True)
+        return logits
+
     def log_p(self, h: np.ndarray, words: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each word after its state (of its class alone, if it is beyond). With `grads`, also the
         gradient of their sum in h; those in the outputs are put into `grads`."""
         n, of = len(words), self.class_of[words]
-        logits = h @ self.by_class + self.class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1)
-        out = logits[np.arange(n), of] - np.log(total)
+        h1 = np.concatenate([h, np.ones((n, 1), dtype=h.dtype)], axis=1)
+        p = self._exponents(h1, np.concatenate([self.by_class, self.class_bias[None, :]]))
+        out = p[np.arange(n), of]
+        np.exp(p, out=p)
+        total = p @ np.ones(p.shape[1], dtype=p.dtype)
+        out -= np.log(total)
         dh = None
         if grads is not None:
             p *= np.float32(-1) / total[:, None]
@@ -130,19 +140,18 @@ class Network:
             low, high = self.starts[k], self.starts[k + 1]
             if high - low == 1:
                 continue
-            own, weights = h[rows], self.by_word[low:high]
-            logits = own @ weights.T
-            logits += self.word_bias[low:high]
-            logits -= logits.max(axis=1, keepdims=True)
+            weights = self.by_word[low:high]
+            own = h1[rows]
+            logits = self._exponents(own, np.concatenate([weights.T, self.word_bias[None, low:high]]))
             at = words[rows] - low
             picked = logits[np.arange(len(rows)), at]
             np.exp(logits, out=logits)
-            total = logits.sum(axis=1)
+            total = logits @ np.ones(high - low, dtype=logits.dtype)
             out[rows] += picked - np.log(total)
             if grads is not None:
                 logits *= np.float32(-1) / total[:, None]
                 logits[np.arange(len(rows)), at] += 1
-                grads["by_word"][low:high] = logits.T @ own
+                grads["by_word"][low:high] = logits.T @ own[:, :HIDDEN]
                 grads["word_bias"][low:high] = logits.sum(axis=0)
                 dh[rows] += logits @ weights
         return out, dh

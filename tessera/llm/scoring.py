@@ -8,6 +8,7 @@ the network and the counts of the most frequent words. Counts of the others are
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -91,10 +92,19 @@ class Vocabulary:
 
 
 def counted(counts: DataFrame, head: int = HEAD, known: int = KNOWN) -> Vocabulary:
-    """The vocabulary of counts (word, n). END always has an output."""
+    """The vocabulary of counts (word, n). Known are the words from such a count on that they are at most `known`; END always
+    has an output. A histogram of counts, of some hundred rows, decides before any word reaches the driver."""
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where((F.col("n") >= 2) | (F.col("word") == F.lit(END))).orderBy((F.col("word") == F.lit(END)).desc(), F.desc("n"), "word").limit(known).collect()
-    rows = [(bytes(r["word"]), r["n"]) for r in top]
+    band = F.floor(F.log2("n") * 8)
+    told = counts.where("n >= 2").groupBy(band.alias("band")).agg(F.count("*").alias("words")).collect()
+    least, held = math.inf, 0
+    for r in sorted(told, key=lambda r: -r["band"]):
+        held += r["words"]
+        if held > known:
+            break
+        least = r["band"]
+    top = counts.where((band >= F.lit(float(least))) | (F.col("word") == F.lit(END))).where((F.col("n") >= 2) | (F.col("word") == F.lit(END))).collect()
+    rows = sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda r: (r[0] != END, -r[1], r[0]))
     if not rows or rows[0][0] != END:
         rows.insert(0, (END, 0))
     first = sorted(rows[:head], key=lambda r: (-r[1], r[0])) + rows[head:]
