@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,23 @@ def matching(rows: DataFrame, text: str) -> DataFrame:
     return rows.where(found)
 
 
+def cycled(sort: tuple[str, bool] | None, key: str) -> tuple[str, bool] | None:
+    """The next state of a sort (column, ascending) when a column is asked for: descending, ascending, none."""
+    if sort is None or sort[0] != key:
+        return key, False
+    return None if sort[1] else (key, True)
+
+
+def order_of(rows: DataFrame, sort: tuple[str, bool] | None, place: str) -> list[Column]:
+    """How rows stand under a sort (column, ascending): numbers as numbers, text by a collation in which case decides last,
+    ties by `place`, upwards in either direction. Without a sort they stand by `place`."""
+    if sort is None:
+        return [F.asc(place)]
+    key, up = sort
+    value = F.collate(F.col(key), "UNICODE") if dict(rows.dtypes)[key] == "string" else F.col(key)
+    return [value.asc_nulls_first() if up else value.desc_nulls_last(), F.asc(place)]
+
+
 def answered(documented: DataFrame, served: DataFrame) -> DataFrame:
     """The documented endpoints (method, path, ...) that no code serves under the same verb and path."""
     return documented.join(served.select("method", "path"), ["method", "path"], "left_anti")

@@ -136,3 +136,26 @@ def signed(commits: DataFrame, signers: Sequence[tuple[str, str]]) -> DataFrame:
 
     tools = F.array_distinct(F.array_compact(F.array(*(by(p, t) for p, t in signers))))
     return commits.withColumn("claims", claims).select("hash", F.explode(tools).alias("tool")).distinct().groupBy("tool").agg(F.count("*").alias("commits"))
+
+
+# Grains, the shortest span of days that each can show, and the longest, if it has one.
+GRAINS = (("hour", 0, 31), ("day", 0, None), ("week", 7, None), ("month", 31, None), ("year", 365, None))
+
+
+def grains(spans: DataFrame) -> DataFrame:
+    """(key, days, offered, wanted, nearest): for spans (key, first, last, wanted) the grains that they can show, and of
+    these the one that is nearest to the wanted one, ties to the finer."""
+    names = [g for g, _, _ in GRAINS]
+    days = F.date_diff("last", "first")
+    fits = F.array_compact(F.array(*(F.when((F.col("days") >= low) & (F.lit(True) if high is None else F.col("days") <= high), F.struct(F.lit(i).alias("i"), F.lit(g).alias("g"))) for i, (g, low, high) in enumerate(GRAINS))))
+    want = F.array_position(F.array(*map(F.lit, names)), F.col("wanted")) - 1
+    told = spans.withColumn("days", days).withColumn("fits", fits)
+    near = F.array_min(F.transform("fits", lambda f: F.struct(F.abs(f["i"] - want).alias("away"), f["i"].alias("i"), f["g"].alias("g"))))
+    return told.select("key", "days", F.array_join(F.transform("fits", lambda f: f["g"]), ",").alias("offered"), "wanted", F.coalesce(near["g"], F.lit("day")).alias("nearest"))
+
+
+def zoomed(buckets: DataFrame, starts: str, ends: str, first: Column, last: Column) -> DataFrame:
+    """The buckets that overlap the instants from first to last; all of them where none does. One flag decides."""
+    inside = (F.col(starts) <= last) & (F.col(ends) >= first)
+    some = buckets.agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("_some"))  # one row
+    return buckets.join(F.broadcast(some)).where(~F.col("_some") | inside).drop("_some")

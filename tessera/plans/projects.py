@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import configs, coverage, documents, imports, stack
-from tessera.plans.catalog import query
-from tessera.sources.tables import api_files, collection_files, projects, report_files, stack_files, table
+from tessera.operators import compare, configs, coverage, documents, history, imports, literals, paths, ranks, stack
+from tessera.plans.catalog import FILES, LINES, query
+from tessera.sources.tables import LITERAL_FOLDERS, activity, api_files, collection_files, files, literal_files, projects, report_files, stack_files, table
 
 CHAINS = """WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey AS k, p_brand AS b, p_size AS s, p_brand || '/' || p_size AS w FROM part), n AS (SELECT k, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 24 = 5 THEN k - 4 ELSE k + 1 END AS u FROM p),
   c AS (SELECT k, 0 AS step, k AS a, [k] AS seen FROM p WHERE k % 17 <> 0 UNION ALL SELECT c.k, c.step + 1, n.u, list_append(c.seen, n.u) FROM c JOIN n ON n.k = c.a WHERE n.u % 17 <> 0 AND n.u IN (SELECT k FROM p) AND NOT list_contains(c.seen, n.u)),
@@ -130,3 +130,76 @@ def stack_parts(spark, at):
     size = F.col("p_size")
     manifests = table(spark, at, "part").where(size % 10 == 0).select(F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("repo"), (size % 3).alias("packages"), (size % 7 == 0).alias("workspaces"), (size % 11 == 0).alias("bin"))
     return stack.parts(facets, manifests)
+
+
+SIGNS = r"[\d\s.,;:%#|/+_-]"
+SAID = f"""(WITH t AS (SELECT DISTINCT doc_id, replace(replace(raw, chr(39), ''), '\\', '') AS said FROM (SELECT doc_id, raw FROM {LINES})), u AS (SELECT doc_id, said FROM t WHERE length(said) >= 24 AND NOT regexp_matches(said, '^[./~@]|^https?:|^node:') AND NOT regexp_matches(said, '^(?i)(?:[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}|[0-9a-f]{{16,}}|[A-Za-z0-9+/]{{24,}}={{0,2}})$')
+    AND NOT regexp_matches(said, '^[MmLlHhVvCcSsQqTtAaZz][\d\s.,-]') AND NOT (len(regexp_extract_all(said, '{SIGNS}')) / length(said) > 0.6 AND NOT regexp_matches(said, '\s\w+\s\w+\s')) UNION ALL SELECT doc_id, 'flex items-center px-4 md:hover:text-xs' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'flex p-4 m-2 text-center' FROM documents WHERE doc_id % 3 = 1)
+  SELECT doc_id, list_extract({list(LITERAL_FOLDERS)}, (doc_id % 4 + 1)::INT) || '/d' || doc_id || '.tsx' AS path, said FROM u WHERE doc_id % 4 <> 2)"""
+REPEATED = f"(SELECT said, count(*)::BIGINT AS files, starts_with(said, 'flex ') AS styled, min(path) AS first, (count(*) * length(said))::BIGINT AS weight FROM {SAID} GROUP BY said HAVING count(*) >= CASE WHEN starts_with(said, 'flex ') THEN 5 ELSE 3 END AND bool_or(doc_id % 4 <> 1))"
+
+
+@query(f"SELECT * FROM {REPEATED}")
+def repeated_literals(spark, at):
+    return literals.repeated(literals.literals(literal_files(spark, at)))
+
+
+@query(f"SELECT 'text:' || said AS id, 'text' AS kind, files AS reach, greatest(2, least(45, floor(2 + 1.5 * files + 0.5)))::BIGINT AS minutes FROM {REPEATED} WHERE NOT styled")
+def literal_tasks(spark, at):
+    return literals.tasks(literals.repeated(literals.literals(literal_files(spark, at))))
+
+
+@query("""WITH p AS (SELECT k, o || '/' || p_type AS a, o || '/' || p_type || '/' || p_size AS b FROM (SELECT p_partkey AS k, replace(p_brand, '#', '') AS o, p_type, p_size FROM part)), h AS (SELECT DISTINCT a || '/*' AS c, a AS bare FROM p WHERE k % 5 = 0 UNION SELECT DISTINCT b, b FROM p WHERE k % 3 = 0), w AS (SELECT b AS path FROM p UNION SELECT a FROM p UNION SELECT split_part(a, '/', 1) FROM p UNION SELECT b || '/x.ts' FROM p WHERE k % 2 = 0),
+  m AS (SELECT w.path, h.c, h.bare, CASE WHEN h.c = w.path THEN 0 WHEN h.bare = w.path OR starts_with(w.path, h.bare || '/') THEN 1 ELSE 2 END AS r FROM w JOIN h ON h.bare = w.path OR starts_with(w.path, h.bare || '/') OR starts_with(h.bare, w.path || '/')),
+  o AS (SELECT path, c, r, row_number() OVER (PARTITION BY path ORDER BY r, CASE WHEN r = 1 THEN -length(bare) ELSE length(bare) END, c) AS i FROM m) SELECT path, c AS container, list_extract(['same', 'over', 'under'], r + 1) AS how FROM w LEFT JOIN (SELECT * FROM o WHERE i = 1) USING (path)""")
+def nearest_containers(spark, at):
+    part = table(spark, at, "part")
+    # a hash sign would mark a part of a path
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    key, a = F.col("p_partkey"), F.concat_ws("/", brand, "p_type")
+    b = F.concat_ws("/", a, F.col("p_size").cast("string"))
+    held = part.where(key % 5 == 0).select(F.concat(a, F.lit("/*")).alias("path")).union(part.where(key % 3 == 0).select(b))
+    picked = part.select(b.alias("path")).union(part.select(a)).union(part.select(brand)).union(part.where(key % 2 == 0).select(F.concat(b, F.lit("/x.ts"))))
+    return paths.nearest_container(picked, held)
+
+
+NODES = f"(WITH f AS (SELECT path, weight AS w FROM {FILES}), u AS (SELECT '' AS path, w FROM f UNION ALL SELECT split_part(path, '/', 1), w FROM f UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), w FROM f UNION ALL SELECT path, w FROM f) SELECT path, sum(w)::BIGINT AS weight FROM u GROUP BY path)"
+
+
+@query(f"""WITH RECURSIVE n AS MATERIALIZED (SELECT *, CASE WHEN path = '' THEN NULL WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent FROM {NODES}), s AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY weight DESC, path) AS i FROM n),
+  t AS (SELECT path, 0 AS depth, [0::BIGINT] AS trail FROM s WHERE path = '' UNION ALL SELECT s.path, t.depth + 1, list_append(t.trail, s.i) FROM t JOIN s ON s.parent = t.path) SELECT path, depth, row_number() OVER (ORDER BY trail)::BIGINT AS place FROM t""")
+def tree_places(spark, at):
+    rolled = history.tree_rollup(files(spark, at), "path", ["weight"])
+    return paths.preorder(rolled, "weight")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_brand AS brand, p_size AS size, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(left(p_name, 1)) || substr(p_name, 2) END AS name FROM part), r AS (SELECT *, lower(name) AS l, name <> lower(name) AS u FROM p)
+  SELECT k, row_number() OVER (PARTITION BY brand ORDER BY l DESC, u DESC, k) AS name_down, row_number() OVER (PARTITION BY brand ORDER BY l, u, k) AS name_up, row_number() OVER (PARTITION BY brand ORDER BY size DESC, k) AS size_down, row_number() OVER (PARTITION BY brand ORDER BY k) AS unsorted FROM r""")
+def sorted_columns(spark, at):
+    # the three states of two columns, as places within each brand
+    name = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.upper(F.left("p_name", F.lit(1))), F.substring("p_name", 2, 1000)))
+    rows = table(spark, at, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), name.alias("name"))
+    sort, out = None, rows
+    for key in ("name", "name", "name", "size"):
+        sort = compare.cycled(sort, key)
+        label = "unsorted" if sort is None else f"{key}_{'up' if sort[1] else 'down'}"
+        out = ranks.ranked_within(out, ["brand"], compare.order_of(rows, sort, "k"), name=label)
+    return out.select("k", "name_down", "name_up", "size_down", "unsorted")
+
+
+@query("""WITH s AS (SELECT user_id AS key, min(ts)::DATE AS first, max(ts)::DATE AS last, list_extract(['hour', 'day', 'week', 'month', 'year'], (user_id % 5 + 1)::INT) AS wanted, user_id % 5 AS w FROM events GROUP BY user_id), d AS (SELECT *, (last - first)::INT AS days FROM s),
+  o AS (SELECT key, g, i, abs(i - w) AS away FROM d, (VALUES ('hour', 0, 0, 31), ('day', 1, 0, NULL), ('week', 2, 7, NULL), ('month', 3, 31, NULL), ('year', 4, 365, NULL)) v(g, i, low, high) WHERE days >= low AND (high IS NULL OR days <= high))
+  SELECT key, days, (SELECT string_agg(g, ',' ORDER BY i) FROM o WHERE o.key = d.key) AS offered, wanted, (SELECT arg_min(g, (away, i)) FROM o WHERE o.key = d.key) AS nearest FROM d""")
+def offered_grains(spark, at):
+    names = F.array(*(F.lit(g) for g, _, _ in history.GRAINS))
+    spans = activity(spark, at).groupBy(F.col("who").alias("key")).agg(F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"))
+    return history.grains(spans.withColumn("wanted", F.get(names, (F.col("key") % 5).cast("int"))))
+
+
+@query("""WITH b AS (SELECT date_trunc('week', ts)::TIMESTAMP AS starts, count(*)::BIGINT AS n FROM events GROUP BY 1), z AS (SELECT max(ts) - INTERVAL 20 DAY AS a, max(ts) - INTERVAL 10 DAY AS b FROM events) SELECT starts, n FROM b, z WHERE starts <= z.b AND starts + INTERVAL 7 DAY - INTERVAL 1 MICROSECOND >= z.a""")
+def zoomed_weeks(spark, at):
+    rows = activity(spark, at)
+    weeks = rows.groupBy(F.date_trunc("week", "ts").alias("starts")).agg(F.count("*").alias("n")).withColumn("ends", F.expr("starts + interval 7 days - interval 1 microsecond"))
+    last = rows.agg(F.max("ts").alias("last"))  # one row
+    shown = history.zoomed(weeks.join(F.broadcast(last)), "starts", "ends", F.expr("last - interval 20 days"), F.expr("last - interval 10 days"))
+    return shown.select("starts", "n")

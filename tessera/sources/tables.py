@@ -199,3 +199,15 @@ def stack_files(spark: SparkSession, at: str) -> DataFrame:
     named = table(spark, at, "documents").select("source", "doc_id", "n_chars")
     path, text = (F.coalesce(*(F.when(key % 12 == m, one[i]) for m, one in texts.items())) for i in (0, 1))
     return named.select(F.coalesce("source", F.lit("")).alias("repo"), path.alias("path"), text.alias("text"))
+
+
+LITERAL_FOLDERS = ("src", "tests", "vendor", "app")
+
+
+def literal_files(spark: SparkSession, at: str) -> DataFrame:
+    """(path, text): a script for each document that says each of its lines in quotes, a path, a class list and an import."""
+    key = F.col("doc_id")
+    folder = F.get(F.array(*map(F.lit, LITERAL_FOLDERS)), (key % 4).cast("int"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.concat(F.lit("say('"), F.translate(x, "'\\", ""), F.lit("')\n")))
+    look = F.when(key % 3 == 0, 'look("flex items-center px-4 md:hover:text-xs")\n').when(key % 3 == 1, "look(`flex p-4 m-2 text-center`)\n").otherwise("import 'one package with a very long name'\nsay('one package with a very long name')\nsay('./some/path/that/names/itself')\n")
+    return table(spark, at, "documents").select(_text(folder, "/d", key, ".tsx").alias("path"), F.concat(F.array_join(lines, ""), look).alias("text"))
