@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import compare, configs, coverage, documents, history, imports, literals, paths, ranks, stack
 from tessera.plans.catalog import FILES, LINES, query
-from tessera.sources.tables import LITERAL_FOLDERS, activity, api_files, collection_files, files, literal_files, projects, report_files, stack_files, table
+from tessera.sources import formats
+from tessera.sources.tables import LITERAL_FOLDERS, activity, api_files, collection_files, files, fresh_path, literal_files, projects, report_files, stack_files, table, talks
+from tessera.streaming import transcripts
 
 CHAINS = """WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey AS k, p_brand AS b, p_size AS s, p_brand || '/' || p_size AS w FROM part), n AS (SELECT k, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 24 = 5 THEN k - 4 ELSE k + 1 END AS u FROM p),
   c AS (SELECT k, 0 AS step, k AS a, [k] AS seen FROM p WHERE k % 17 <> 0 UNION ALL SELECT c.k, c.step + 1, n.u, list_append(c.seen, n.u) FROM c JOIN n ON n.k = c.a WHERE n.u % 17 <> 0 AND n.u IN (SELECT k FROM p) AND NOT list_contains(c.seen, n.u)),
@@ -203,3 +205,27 @@ def zoomed_weeks(spark, at):
     last = rows.agg(F.max("ts").alias("last"))  # one row
     shown = history.zoomed(weeks.join(F.broadcast(last)), "starts", "ends", F.expr("last - interval 20 days"), F.expr("last - interval 10 days"))
     return shown.select("starts", "n")
+
+
+@query("""WITH e AS (SELECT conv_id, turn, unnest(CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN [1, 2, 3] WHEN role = 'assistant' THEN [1, 3] WHEN turn % 3 = 0 THEN [0] ELSE [] END) AS sub, coalesce(text, '') AS text FROM conversations),
+  s AS (SELECT conv_id, turn, sub, CASE sub WHEN 0 THEN 'note' WHEN 2 THEN 'tool' ELSE 'agent' END AS who, CASE sub WHEN 0 THEN 'that failed: ' || left(text, 200) WHEN 1 THEN text WHEN 2 THEN 'p/' || turn ELSE 'then' END AS text FROM e WHERE sub <> 1 OR trim(text) <> ''),
+  m AS (SELECT *, CASE WHEN who = 'agent' AND lag(who) OVER w = 'agent' THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn, sub)), r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn, sub) AS place FROM m)
+  SELECT conv_id::VARCHAR AS talk, place::BIGINT AS place, any_value(who) AS who, CASE WHEN any_value(who) = 'tool' THEN 'Read' END AS tool, string_agg(text, '' ORDER BY turn, sub) AS text FROM r GROUP BY conv_id, place""")
+def transcript_turns(spark, at):
+    return transcripts.turns(talks(spark, at))
+
+
+@query("SELECT conv_id::VARCHAR AS talk, count(*) / 8 AS cost, count(*)::BIGINT AS results FROM conversations GROUP BY conv_id")
+def transcript_costs(spark, at):
+    return transcripts.costs(talks(spark, at))
+
+
+@query("SELECT p_partkey::VARCHAR AS key, p_name AS name, p_size::VARCHAR AS size FROM part")
+def markdown_rows(spark, at):
+    # written as tables and read back
+    formats.register(spark)
+    path = fresh_path(spark)
+    table(spark, at, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size")).write.format("tessera_table").option("as", "markdown").option("name", "parts").mode("append").save(path)
+    cells = F.split(F.col("value"), r"\s*\|\s*")
+    rows = spark.read.text(path).where("value like '| %' and not value like '| key %' and not value like '| ---%'")
+    return rows.select(*(F.trim(F.get(cells, F.lit(i + 1))).alias(n) for i, n in enumerate(("key", "name", "size"))))

@@ -13,21 +13,22 @@ def table(spark: SparkSession, at: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{at}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back, which cuts its lineage.
-
-    Only a session on this machine alone may leave that folder unset.
-    """
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the folder in spark.checkpoint.dir, which only a session on this machine alone may leave unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         at = spark.sparkContext.getCheckpointDir()
-    path = f"{at}/round-{uuid.uuid4().hex}"
+    return f"{at}/round-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to a new path in the shared folder and read back, which cuts its lineage."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def commits(spark: SparkSession, at: str) -> DataFrame:
@@ -211,3 +212,22 @@ def literal_files(spark: SparkSession, at: str) -> DataFrame:
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.concat(F.lit("say('"), F.translate(x, "'\\", ""), F.lit("')\n")))
     look = F.when(key % 3 == 0, 'look("flex items-center px-4 md:hover:text-xs")\n').when(key % 3 == 1, "look(`flex p-4 m-2 text-center`)\n").otherwise("import 'one package with a very long name'\nsay('one package with a very long name')\nsay('./some/path/that/names/itself')\n")
     return table(spark, at, "documents").select(_text(folder, "/d", key, ".tsx").alias("path"), F.concat(F.array_join(lines, ""), look).alias("text"))
+
+
+def talks(spark: SparkSession, at: str) -> DataFrame:
+    """(talk, seq, chunk): each conversation as JSON lines, cut into chunks of 100 characters wherever these end.
+
+    What the user says has failed in every third turn, else it is silence; the assistant speaks in two pieces, and in some
+    turns uses a tool between them. A result closes each turn and costs an eighth.
+    """
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    part = lambda **kind: F.struct(*(c.alias(n) for n, c in kind.items()))
+    json = lambda kind, *parts: F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(F.array(*parts).alias("content")).alias("message")))
+    none = F.lit(None)
+    mine = lambda kind, text=none, name=none, path=none: part(type=F.lit(kind), text=text.cast("string"), name=name.cast("string"), input=F.when(path.isNotNull(), F.struct(path.cast("string").alias("path"))))
+    said = F.when(turn % 4 == 1, json("assistant", mine("text", text), mine("tool_use", name=F.lit("Read"), path=_text("p/", turn)), mine("text", F.lit("then")))).otherwise(json("assistant", mine("text", text), mine("text", F.lit("then"))))
+    failed = json("user", part(type=F.lit("tool_result"), is_error=turn % 3 == 0, content=text))
+    line = F.concat(F.when(F.col("role") == "assistant", said).otherwise(failed), F.lit('\n{"type": "result", "total_cost_usd": 0.125}\n'))
+    whole = table(spark, at, "conversations").groupBy(F.col("conv_id").cast("string").alias("talk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "").alias("all"))
+    cuts = F.sequence(F.lit(0), F.floor((F.length("all") - 1) / 100).cast("int"))
+    return whole.select("talk", F.posexplode(F.transform(cuts, lambda i: F.substring("all", i * 100 + 1, F.lit(100)))).alias("seq", "chunk"))
