@@ -295,7 +295,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 16,
     Every row is indexed; queries are the rows where is_query holds. Nearest first, ties to the smaller id; a query's
     own id is no candidate. Ids or vectors that are null, zero vectors and those with null or non-finite components
     take no part. Vectors of a length that fewer rows have take no part either (ties to the longer). Repeated rows
-    count once. Equal vectors are searched for as one, of which the k + 1 least ids matter. Queries for which fewer
+    count once. An id with several vectors is one row whose score is that of its nearest pair of vectors, as a candidate
+    and as a query. Equal vectors are searched for as one, of which the k + 1 least ids matter. Queries for which fewer
     than k rows are found are compared with all vectors, in blocks. Extra columns are not read; an empty table gives
     none.
     """
@@ -312,20 +313,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 16,
     clean = materialize(clean)
     # a row beyond the k + 1 least ids of equal vectors is never among the k nearest
     few = clean.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= k + 1)
-    nodes = materialize(few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "vector", "ids"))
+    least = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("least"), "vector", "ids")
+    nodes = materialize(least.withColumn("j", F.row_number().over(Window.partitionBy("least").orderBy("vector")) - 1))
+    # nodes are named in the order of their least ids, so that ties among them go to the smaller one
+    several = nodes.agg(F.coalesce(F.max("j") + 1, F.lit(1))).first()[0]
+    nodes = nodes.select((F.col("least") * several + F.col("j")).alias("id"), "vector", "ids")
+    most = (k + 1) * several
     queries = clean.where("q").select("id", "vector")
     told = nodes.agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))).alias("most")).first()
     sample = nodes.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vector")
     index = fit(np.array([r["vector"] for r in sample.collect()], dtype=np.float64), float(np.sqrt(told["most"])), told["n"], tables, k)
     rows = _salted(indexed(nodes, index), probing(queries, index), index)
-    found = materialize(_met(rows, k + 1).groupBy("query_id", "node").agg(F.max("score").alias("score")))
+    found = materialize(_met(rows, most).groupBy("query_id", "node").agg(F.max("score").alias("score")))
 
     def ranked(pairs: DataFrame) -> DataFrame:
         each = pairs.join(nodes.select(F.col("id").alias("node"), "ids"), "node").select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
+        if several > 1:
+            each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    best = ranked(_top(found, k + 1))
+    best = ranked(_top(found, most))
     best = materialize(best)
     counted = best.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
     short = materialize(queries.join(counted, "id", "left_anti"))
@@ -335,7 +343,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 16,
     none = F.lit(None).cast("array<long>")
     one = nodes.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("cell"), F.lit(0).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "id", F.col("vector").cast(kind).alias("vector"), none.alias("probes"))
     other = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("cell"), F.lit(0).alias("salt"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "id", F.col("vector").cast(kind).alias("vector"), none.alias("probes"))
-    exact = ranked(_top(_met(one.unionByName(other), k + 1, everything=True), k + 1))
+    exact = ranked(_top(_met(one.unionByName(other), most, everything=True).groupBy("query_id", "node").agg(F.max("score").alias("score")), most))
     return best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
 
 

@@ -1,7 +1,7 @@
 """Secrets: base spans by pattern, and strings whose format probabilistic automata learned from labelled credentials.
 
 Grammar inference in the manner of ALERGIA: a prefix tree of the labelled credentials of each kind is reduced by
-merging states whose outgoing frequencies agree by Hoeffding's bound. Every other long string is scored by the
+merging states whose outgoing frequencies and remaining lengths agree by Hoeffding's bound. Every other long string is scored by the
 likelihood of its format under the automata, against an automaton of all the corpus's long strings, whose states are
 the last symbols. Only the classes of characters are learned from, stored and counted, never the strings themselves.
 """
@@ -36,7 +36,7 @@ WORDS = ("passw", "secret", "token", "api_key", "apikey")
 #: A candidate is a whole run of these characters, of this length or more, with two of small letters, capitals and
 #: digits in it: what has but one of them is a word or a number as far as its form tells.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-MIXED = re.compile(r"[a-z].*[A-Z0-9]|[A-Z].*[a-z0-9]|[0-9].*[A-Za-z]")
+KINDS_OF_LETTERS = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 
 #: Bounds of the fit: labelled credentials of a kind, and their length (longer ones are not learned from).
 FIT_STRINGS, FIT_LENGTH = 1_500, 512
@@ -107,23 +107,42 @@ class Ordinary:
 
 def infer(strings: Sequence[str], alpha: float = ALPHA) -> Automaton:
     """The automaton of the forms: prefix-tree states are tried in breadth-first order against the states kept so
-    far and merged with the first compatible one, folding what follows them together."""
+    far and merged with the first compatible one, folding what follows them together.
+
+    Two states are compatible if the frequencies of what follows agree, in them and in all states that both lead to, and
+    if how far their strings still go does: random letters alone would make one state of a key of fixed length.
+    """
     width = END + 1
     steps: list[list[int]] = [[-1] * END]
     counts: list[list[int]] = [[0] * width]
+    left: list[Counter] = [Counter()]  # how many of a state's strings go on for so many symbols
     for value in strings:
         state = 0
-        for s in symbols(value):
+        for n, s in enumerate(symbols(value)):
             counts[state][s] += 1
+            left[state][len(value) - n] += 1
             if steps[state][s] < 0:
                 steps.append([-1] * END)
                 counts.append([0] * width)
+                left.append(Counter())
                 steps[state][s] = len(steps) - 1
             state = steps[state][s]
         counts[state][END] += 1
+        left[state][0] += 1
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
+    def as_far(a: int, b: int) -> bool:
+        n, m, x, y = left[a].total(), left[b].total(), 0, 0
+        most = bound * (n**-0.5 + m**-0.5)
+        for length in sorted(left[a].keys() | left[b].keys()) if most < 1 else ():
+            x, y = x + left[a][length], y + left[b][length]
+            if abs(x / n - y / m) > most:
+                return False
+        return True
+
     def compatible(a: int, b: int) -> bool:
+        if not as_far(a, b):
+            return False
         pairs = [(a, b)]
         while pairs:
             a, b = pairs.pop()
@@ -142,6 +161,7 @@ def infer(strings: Sequence[str], alpha: float = ALPHA) -> Automaton:
         while pairs:
             a, b = pairs.pop()
             counts[a] = [x + y for x, y in zip(counts[a], counts[b], strict=True)]
+            left[a] += left[b]
             for s in range(END):
                 if steps[b][s] < 0:
                     continue
@@ -210,7 +230,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         while at < len(base) and base[at][0] <= m.start():
             farthest = max(farthest, base[at][2])
             at += 1
-        if farthest < m.end() and MIXED.search(m[0]):
+        if farthest < m.end() and sum(bool(kind.search(text, m.start(), m.end())) for kind in KINDS_OF_LETTERS) > 1:
             out.append((m.start(), m.end()))
     return out
 

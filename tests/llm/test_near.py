@@ -184,3 +184,10 @@ def test_nearest_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.1]), (2, [0.5, 0.5])], schema)
     assert [tuple(r)[:3] for r in sorted(nearest(few, F.col("vec_id") % 20 == 0).collect())] == [(0, 1, 2), (0, 2, 1)]
     assert nearest(spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_nearest_of_an_id_with_several_vectors(spark):
+    """It is one row, as near as its nearest vector, as a candidate and as a query."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, -1.0]), (7, [1.0, 0.2]), (7, [-1.0, 0.3]), (3, [1.0, 0.2]), (3, [0.9, -0.8]), (5, [-1.0, 0.3]), (9, [0.2, 0.1])]
+    got = [tuple(r)[:4] for r in sorted(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).collect())]
+    assert [(q, n, v, round(s, 9)) for q, n, v, s in got] == [(0, 1, 3, 1.0), (0, 2, 7, 1.0), (0, 3, 9, 0.2)]

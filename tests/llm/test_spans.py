@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tessera.llm.pii import disclosing_terms, find_pii, pii_spans
-from tessera.llm.secrets import END, Ordinary, base_spans, candidates, classes, find_secrets, infer, transitions
+from tessera.llm.secrets import END, SYMBOLS, Ordinary, base_spans, candidates, classes, find_secrets, infer, transitions
 
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -158,3 +158,51 @@ def test_automata_are_distributions():
         seen = sum((state, symbol) == t for f in left for t in transitions(f)) + 0.5
         expected += math.log(seen / (sum(state == t[0] for f in left for t in transitions(f)) + 0.5 * (END + 1)))
     assert abs(told.by_symbol(form) - expected / (len(form) + 1)) < 1e-9
+
+
+def test_candidates_of_very_long_runs():
+    import time
+
+    from tessera.llm.secrets import candidates
+
+    for run in ("a" * 1_000_000, "ACGT" * 250_000, "1" * 1_000_000, "=" * 1_000_000, "a" * 999_999 + "1"):
+        began = time.time()
+        assert len(candidates(run, [])) == (run[-1] == "1" and run[0] == "a")
+        assert time.time() - began < 5
+
+
+def test_automata_know_how_far_a_key_goes():
+    """A key of fixed length has a state for each place; one of another length is told from it."""
+    import random
+
+    rng = random.Random(4)
+    draw = lambda n: classes("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n)))
+    fixed = infer([draw(24) for _ in range(600)])
+    assert 25 <= len(fixed.steps) <= 30
+    loose = infer([draw(rng.randint(12, 60)) for _ in range(600)])
+    assert len(loose.steps) < len(fixed.steps)
+    held = [draw(24) for _ in range(200)]
+    assert sum(fixed.by_symbol(f) > loose.by_symbol(f) for f in held) >= 190
+    assert all(fixed.by_symbol(f) > fixed.by_symbol(f[:-4]) for f in held)
+
+
+def test_merged_counts_are_those_of_a_plain_recount():
+    """Every form is read through the automaton again; its states' frequencies are those of what was read there."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    forms = [classes("".join(rng.choices("abcXYZ019", k=16)) + "-" + "".join(rng.choices("0123456789", k=rng.randint(3, 9)))) for _ in range(400)]
+    automaton = infer(forms)
+    counts = [[0] * (END + 1) for _ in automaton.steps]
+    for form in forms:
+        state = 0
+        for c in form:
+            s = SYMBOLS[c]
+            counts[state][s] += 1
+            state = automaton.steps[state][s]
+            assert state >= 0
+        counts[state][END] += 1
+    for n, row in zip(counts, automaton.log, strict=True):
+        assert all(abs(math.exp(p) - (x + 0.5) / (sum(n) + 0.5 * (END + 1))) < 1e-9 for x, p in zip(n, row, strict=True))
+    assert len(automaton.steps) > 1
