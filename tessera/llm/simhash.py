@@ -335,11 +335,18 @@ class Forest:
 FOREST = 1 << 20
 
 
-def screened(most: int, small: int = 32):
-    """mapInArrow function over rows (key, node, known, one, two) sorted by key: edges (a, b) between `known`.
+#: Rows under one key that one task compares; those of a key beyond it are dealt over tasks by pairs of parts.
+HOT_ROWS = 1 << 14
 
-    Rows of one key whose check words one and two differ in at most `most` bits are of one family. The edges join all
-    families of each key; edges that this task's earlier ones imply are left out.
+SCREENED = "a long, b long, one long, two long, kind int"
+
+
+def screened(most: int, limit: int | None, small: int = 32):
+    """mapInArrow function over rows (key, known, one, two) sorted by key: SCREENED.
+
+    kind 0: an edge (a, b) between `known`. Rows of one key whose check words one and two differ in at most `most` bits
+    are of one family. The edges join all families of each key; edges that this task's earlier ones imply are left out.
+    kind 1: a row (a: key, b: known, one, two) of a key with more than `limit` rows, for another pass.
     """
 
     def near(one, two, a, b):
@@ -380,33 +387,79 @@ def screened(most: int, small: int = 32):
             if (known[rows] != known[starts[at]]).any():
                 pairs.extend((int(x), int(y)) for x, y in large(known[rows], one[rows], two[rows]))
         new = np.array([p for p in pairs if forest.joins(*p)], dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(new[:, i])) for i in range(2)], names=["a", "b"])
+        none = pa.nulls(len(new), pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(new[:, i])) for i in range(2)), none, none, pa.array(np.zeros(len(new), dtype=np.int32))], names=["a", "b", "one", "two", "kind"])
+
+    def rest(rows):
+        return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.ones(len(rows[0]), dtype=np.int32))], names=["a", "b", "one", "two", "kind"])
+
+    def told(rows, forest):
+        """The edges within whole groups, and the rows of those beyond the limit."""
+        key = rows[0]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        over = np.repeat(sizes > (len(key) if limit is None else limit), sizes)
+        if over.any():
+            yield rest([x[over] for x in rows])
+            rows = [x[~over] for x in rows]
+        if len(rows[0]):
+            key, known, one, two = rows
+            yield edges(key, known, one.view(np.uint64), two.view(np.uint64), forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held, last = Forest(), [], None
+        forest, held, n, over = Forest(), [], 0, None  # over: a key that is known to be beyond the limit
         for batch in batches:
-            if not len(batch):
-                continue
-            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "known", "one", "two")]
-            held.append(part)
-            # a group goes on in the next batch if this one ends within it
-            if last is not None and part[0][-1] == last:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "known", "one", "two")]
+            if over is not None and len(batch):
+                end = int(np.searchsorted(rows[0], over, side="right"))
+                if end:
+                    yield rest([x[:end] for x in rows])
+                    rows = [x[end:] for x in rows]
+            if not len(rows[0]):
                 continue
-            last = part[0][-1]
-            key, known, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(key, last, side="left"))
-            if cut:
-                yield edges(key[:cut], known[:cut], one[:cut].view(np.uint64), two[:cut].view(np.uint64), forest)
-            held = [[x[cut:] for x in (key, known, one, two)]]
+            over = None
+            if held and held[-1][0][-1] != rows[0][-1] or not held and rows[0][0] != rows[0][-1]:
+                # what was held ends within this batch
+                whole = [np.concatenate(x) for x in zip(*held, rows, strict=True)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1], side="left"))
+                yield from told([x[:cut] for x in whole], forest)
+                held, n = [[x[cut:] for x in whole]], len(whole[0]) - cut
+            else:
+                held.append(rows)
+                n += len(rows[0])
+            if limit is not None and n > limit and held[0][0][0] == held[-1][0][-1]:
+                over = held[-1][0][-1]
+                for part in held:
+                    yield rest(part)
+                held, n = [], 0
             if len(forest.up) > FOREST:
                 forest = Forest()
         if held:
-            key, known, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield edges(key, known, one.view(np.uint64), two.view(np.uint64), forest)
+            yield from told([np.concatenate(x) for x in zip(*held, strict=True)], forest)
 
     return run
 
 
+def _screened(dealt: DataFrame, most: int, limit: int) -> DataFrame:
+    """Edges (a, b) of dealt (key, known, one, two). The rows of a key beyond the limit are dealt to parts of that size at
+    most, on average, and every pair of parts meets in a cell of its own."""
+
+    def met(rows: DataFrame, most_rows: int | None) -> DataFrame:
+        return rows.select("key", "known", "one", "two").repartition("key").sortWithinPartitions("key", "known").mapInArrow(screened(most, most_rows), SCREENED)
+
+    found = materialize(met(dealt, limit))
+    edges = found.where("kind = 0").select("a", "b")
+    hot = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("known"), "one", "two")
+    if hot.isEmpty():
+        return edges
+    # rows of one family have nothing to find
+    parts = materialize(hot.groupBy("key").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"), F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("key", "parts"))
+    placed = hot.join(few(parts), "key").withColumn("part", F.pmod(F.xxhash64("known", "one", "two"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = placed.withColumn("other", other).select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "known", "one", "two")
+    return edges.unionByName(materialize(met(cells, None)).select("a", "b"))
+
+
 def verified(similarity: float):
     """mapInArrow function over rows (family, i, j, part, node, known, hashes) sorted by family, i, j: edges (a, b)
     between `known` whose sets of shingles have the Jaccard similarity or more.
@@ -483,9 +536,7 @@ def families(prints: DataFrame, layout: Sequence[tuple[int, int, int]]) -> DataF
     named = prints.select("node", "words", F.col("node").alias("family"))
     for keys in (segment_keys, variants):
         dealt = named.select(F.explode(keys(F.col("words"), layout)).alias("key"), "node", F.col("family").alias("known"), F.col("words")[last + 1].alias("one"), F.col("words")[last + 2].alias("two"))
-        met = dealt.select("key", "known", "one", "two").repartition("key").sortWithinPartitions("key", "known")
-        edges = materialize(met.mapInArrow(screened(SCREEN), "a long, b long"))
-        named = materialize(_joined(named, edges, "family"))
+        named = materialize(_joined(named, _screened(dealt, SCREEN, HOT_ROWS), "family"))
     return named.select("node", "family")
 
 

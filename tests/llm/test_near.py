@@ -88,10 +88,12 @@ def test_near_duplicates_at_the_threshold(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(100) if (i, 1000 + i) not in links)
 
 
-@pytest.mark.parametrize("n", [2, 13, 50, 1000])
-def test_near_duplicates_in_groups(spark, n, monkeypatch):
-    """Families of n texts around a template, whose similarities lie on both sides of the threshold."""
+@pytest.mark.parametrize(("n", "hot"), [(2, 1 << 14), (13, 1 << 14), (50, 1 << 14), (50, 8), (1000, 1 << 14), (1000, 100)])
+def test_near_duplicates_in_groups(spark, n, hot, monkeypatch):
+    """Families of n texts around a template, whose similarities lie on both sides of the threshold, with and without keys
+    that are dealt over tasks."""
     monkeypatch.setattr(simhash, "PART_ROWS", 300)
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
     rng = random.Random(n)
     words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
     rows = []
@@ -191,3 +193,24 @@ def test_nearest_of_an_id_with_several_vectors(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, -1.0]), (7, [1.0, 0.2]), (7, [-1.0, 0.3]), (3, [1.0, 0.2]), (3, [0.9, -0.8]), (5, [-1.0, 0.3]), (9, [0.2, 0.1])]
     got = [tuple(r)[:4] for r in sorted(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).collect())]
     assert [(q, n, v, round(s, 9)) for q, n, v, s in got] == [(0, 1, 3, 1.0), (0, 2, 7, 1.0), (0, 3, 9, 0.2)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 10_000])
+def test_screened_rows_of_crowded_keys(spark, size):
+    """Whatever the batches, each key's rows are either linked by a forest or handed on whole."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 6, 400) * 7)
+    key[-150:] = 99
+    known, one, two = np.arange(400), rng.integers(0, 4, 400), rng.integers(0, 4, 400)
+    rows = pa.table({"key": key, "known": known, "one": one, "two": two}).to_batches(max_chunksize=size)
+    for limit in (None, 60, 140, 1000):
+        out = pa.Table.from_batches(list(simhash.screened(1, limit)(iter(rows)))).to_pydict()
+        over = {k for k in set(key.tolist()) if limit is not None and (key == k).sum() > limit}
+        assert sorted((a, b) for a, b, kind in zip(out["a"], out["b"], out["kind"], strict=True) if kind) == sorted((int(k), int(n)) for k, n in zip(key, known, strict=True) if int(k) in over)
+        links = [(a, b) for a, b, kind in zip(out["a"], out["b"], out["kind"], strict=True) if not kind]
+        near = lambda a, b: bin(int(one[a]) ^ int(one[b])).count("1") + bin(int(two[a]) ^ int(two[b])).count("1") <= 1
+        assert all(key[a] == key[b] and near(a, b) for a, b in links)
+        every = [(a, b) for a in range(400) for b in range(a + 1, 400) if key[a] == key[b] and int(key[a]) not in over and near(a, b)]
+        assert closed(range(400), links) == closed(range(400), every)
