@@ -9,18 +9,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import LOCAL
-from tessera.sources.tables import written
+from tessera.sources.tables import fresh_path, written
+
+
+class Rows:
+    """A table in the shared folder that rounds append to; its plan stays as small as a file list."""
+
+    def __init__(self, first: DataFrame):
+        self.spark, self.schema, self.path = first.sparkSession, first.schema, fresh_path(first.sparkSession)
+        self.add(first)
+
+    def add(self, more: DataFrame) -> None:
+        more.write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
+def inner_nodes(edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(node, before, after, ahead, low, circle) of the nodes of distinct edges (src, dst) that one edge enters and one
+    leaves, without those in kept (node): the nearest other nodes before and after each on its chain, and the edges to
+    the latter. On a circle of such nodes only, low is its least member.
+
+    Pointers double, so a chain of n takes log2(n) rounds.
+    """
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("before")).where("n = 1").drop("n")
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("after")).where("n = 1").drop("n")
+    rows = into.join(out, "node").where("before <> after or before <> node")
+    if kept is not None:
+        rows = rows.join(kept.select("node"), "node", "left_anti")
+    now, last = written(rows.select("node", "before", "after", F.lit(1).cast("long").alias("ahead"), F.col("node").alias("low"))), None
+    while True:
+        to = now.select(F.col("node").alias("after"), F.col("after").alias("to"), F.col("ahead").alias("more"), F.col("low").alias("least"))
+        back = now.select(F.col("node").alias("before"), F.col("before").alias("from"))
+        step = now.join(to, "after", "left").join(back, "before", "left")
+        now = written(step.select("node", F.coalesce("from", "before").alias("before"), F.coalesce("to", "after").alias("after"), (F.col("ahead") + F.coalesce("more", F.lit(0))).alias("ahead"), F.least("low", "least").alias("low"), F.col("to").isNotNull().alias("circle")))
+        # chains have ended when nothing moves; what still does goes in circles, until it knows its least member
+        moved = now.where("circle").agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("node", "low").cast("decimal(38,0)")), F.lit(0))).first()
+        if moved[0] == 0 or tuple(moved) == last:
+            return now
+        last = tuple(moved)
+
+
+def _contracted(edges: DataFrame, inner: DataFrame) -> DataFrame:
+    """(src, dst, w): edges between nodes that are not inner, of 1, and one for each two that chains join, of the longest."""
+    own = edges.join(inner.select(F.col("node").alias("src")), "src", "left_anti").join(inner.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", F.lit(1).cast("long").alias("w"))
+    chains = inner.where("not circle").groupBy(F.col("before").alias("src"), F.col("after").alias("dst")).agg((F.max("ahead") + 1).alias("w"))
+    return own.unionByName(chains).groupBy("src", "dst").agg(F.max("w").alias("w"))
 
 
 def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node): all that the roots (node) lead to over edges (src, dst), themselves included."""
-    edges = written(edges.select("src", "dst").distinct())
-    seen = written(roots.select("node").distinct())
-    front = seen
+    """(node): all that the roots (node) lead to over edges (src, dst), themselves included. Chains are walked as one step;
+    each round writes only what it adds."""
+    edges = written(edges.select("src", "dst").where("src <> dst").distinct())
+    roots = written(roots.select("node").distinct())
+    inner = inner_nodes(edges, roots)
+    short = written(_contracted(edges, inner))
+    seen, front = Rows(roots), roots
     while not front.isEmpty():
-        front = written(edges.join(front, edges.src == front.node, "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
-        seen = written(seen.unionByName(front))
-    return seen
+        front = written(short.join(front, short.src == front.node, "left_semi").select(F.col("dst").alias("node")).distinct().join(seen.read(), "node", "left_anti"))
+        seen.add(front)
+    within = inner.where("not circle").join(seen.read().select(F.col("node").alias("before")), "before", "left_semi").select("node")
+    return seen.read().unionByName(within)
 
 
 def _least_reached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -34,32 +84,54 @@ def _least_reached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         now = after.select("node", "mark")
 
 
+def _by_marks(rest: DataFrame, left: DataFrame) -> DataFrame:
+    """(node, ring) of the components whose least member leads to all that it marks: those that lead back to their mark."""
+    marks = written(_least_reached(rest, left))
+    # backwards, within one mark only
+    a, b = marks.select(F.col("node").alias("src"), F.col("mark").alias("ma")), marks.select(F.col("node").alias("dst"), F.col("mark").alias("mb"))
+    back = written(rest.join(a, "src").join(b, "dst").where("ma = mb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return reached(back, marks.where("node = mark").select("node")).join(marks, "node").select("node", F.col("mark").alias("ring"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, ring): strongly connected components by forward-backward propagation, ring being the least member.
+    """(node, ring): strongly connected components, ring being the least member.
 
-    A round marks each node with the least node that leads to it. Those that lead back to their mark form its
-    component; they leave and the rest goes on. Nodes that nothing enters or leaves are dropped first.
+    A round drops the nodes that nothing enters or leaves, then draws chains of single edges together to one edge: what
+    hangs on a graph is gone after rounds in the logarithm of its size. Where neither removes a tenth of the nodes, each
+    node is marked with the least one that leads to it; those that lead back to their mark form its component. Nodes of
+    a chain belong to a component if both of its ends do.
     """
-    rest = written(edges.select("src", "dst").distinct())
-    nodes = written(rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct())
-    found = None
-    left = nodes
-    while not left.isEmpty():
+    every = written(edges.select("src", "dst").distinct())
+    nodes = written(every.select(F.col("src").alias("node")).union(every.select("dst")).distinct())
+    rest, left = written(every.where("src <> dst")), nodes
+    found, chains = Rows(nodes.limit(0).select("node", F.col("node").alias("ring"))), []
+    n = left.count()
+    while n:
         into, out = rest.select(F.col("dst").alias("node")).distinct(), rest.select(F.col("src").alias("node")).distinct()
-        inner = written(left.join(into, "node", "left_semi").join(out, "node", "left_semi"))
-        alone = written(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("ring")))
-        if alone.isEmpty():
-            marks = _least_reached(rest, left)
-            # backwards, within one mark only
-            a, b = marks.select(F.col("node").alias("src"), F.col("mark").alias("ma")), marks.select(F.col("node").alias("dst"), F.col("mark").alias("mb"))
-            back = written(rest.join(a, "src").join(b, "dst").where("ma = mb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-            roots = marks.where("node = mark").select("node")
-            alone = written(reached(back, roots).join(marks, "node").select("node", F.col("mark").alias("ring")))
-        found = alone if found is None else found.unionByName(alone)
-        left = written(left.join(alone, "node", "left_anti"))
-        keep = left.select(F.col("node").alias("src")), left.select(F.col("node").alias("dst"))
-        rest = written(rest.join(keep[0], "src", "left_semi").join(keep[1], "dst", "left_semi"))
-    return found if found is not None else nodes.select("node", F.col("node").alias("ring"))
+        within = written(left.join(into, "node", "left_semi").join(out, "node", "left_semi"))
+        found.add(left.join(within, "node", "left_anti").select("node", F.col("node").alias("ring")))
+        keep = lambda of: (of.select(F.col("node").alias("src")), of.select(F.col("node").alias("dst")))
+        among = lambda edges, of: edges.join(keep(of)[0], "src", "left_semi").join(keep(of)[1], "dst", "left_semi")
+        inside = written(among(rest, within))
+        inner = inner_nodes(inside)
+        found.add(inner.where("circle").select("node", F.col("low").alias("ring")))
+        chains.append(inner.where("not circle"))
+        left = written(within.join(inner.select("node"), "node", "left_anti"))
+        rest = written(_contracted(inside, inner).where("src <> dst").select("src", "dst"))
+        fewer = left.count()
+        if fewer > 0.9 * n:
+            ringed = written(_by_marks(rest, left))
+            found.add(ringed)
+            left = written(left.join(ringed, "node", "left_anti"))
+            rest, fewer = written(among(rest, left)), left.count()
+        n = fewer
+    told = found.read()
+    for inner in reversed(chains):
+        ends = [told.select(F.col("node").alias(c), F.col("ring").alias(f"ring_{c}")) for c in ("before", "after")]
+        one = inner.join(ends[0], "before").join(ends[1], "after")
+        told = written(told.unionByName(one.select("node", F.when(F.col("ring_before") == F.col("ring_after"), F.col("ring_before")).otherwise(F.col("node")).alias("ring"))))
+    least = told.groupBy("ring").agg(F.min("node").alias("least"))
+    return told.join(least, "ring").select("node", F.col("least").alias("ring"))
 
 
 def rings(edges: DataFrame) -> DataFrame:
@@ -68,17 +140,26 @@ def rings(edges: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """(node, level): 0 where nothing outside the node's own ring is needed, else 1 over the highest that is."""
+    """(node, level): 0 where nothing outside the node's own ring is needed, else 1 over the highest that is.
+
+    Counted on the condensed graph with its chains drawn together; rounds go by what is left of its longest path.
+    """
     ring = written(components(edges))
     a, b = ring.select(F.col("node").alias("src"), F.col("ring").alias("ra")), ring.select(F.col("node").alias("dst"), F.col("ring").alias("rb"))
-    over = written(edges.join(a, "src").join(b, "dst").where("ra <> rb").select("ra", "rb").distinct())
-    now = written(ring.select(F.col("ring").alias("r")).distinct().select("r", F.lit(0).cast("long").alias("level")))
+    over = written(edges.join(a, "src").join(b, "dst").where("ra <> rb").select(F.col("ra").alias("src"), F.col("rb").alias("dst")).distinct())
+    inner = inner_nodes(over)
+    short = written(_contracted(over, inner))
+    outer = ring.select(F.col("ring").alias("r")).distinct().join(inner.select(F.col("node").alias("r")), "r", "left_anti")
+    now = written(outer.select("r", F.lit(0).cast("long").alias("level")))
     while True:
-        needed = over.join(now, over.rb == now.r).groupBy(F.col("ra").alias("r")).agg((F.max("level") + 1).alias("new"))
+        needed = short.join(now, short.dst == now.r).groupBy(F.col("src").alias("r")).agg(F.max(F.col("level") + F.col("w")).alias("new"))
         after = written(now.join(needed, "r", "left").select("r", F.coalesce("new", F.lit(0)).alias("level"), (F.coalesce("new", F.lit(0)) != F.col("level")).alias("moved")))
         if after.where("moved").isEmpty():
-            return ring.join(after, ring.ring == after.r).select("node", "level")
+            break
         now = after.select("r", "level")
+    chained = inner.join(after.select(F.col("r").alias("after"), "level"), "after").select(F.col("node").alias("r"), (F.col("level") + F.col("ahead")).alias("level"))
+    every = after.select("r", "level").unionByName(chained)
+    return ring.join(every, ring.ring == every.r).select("node", "level")
 
 
 def unit_fold(edges: DataFrame, units: DataFrame) -> DataFrame:
@@ -149,16 +230,23 @@ def route_links(clients: DataFrame, endpoints: DataFrame, hosts: list[str] | Non
 def mounted(mounts: DataFrame, files: DataFrame) -> DataFrame:
     """(file, prefix): the prefixes under which each file (file) answers, joined along mounts (src, dst, prefix) from the
     files that nothing mounts, however many mounts that takes. A file that nothing leads to answers under ''. No path
-    visits a file twice."""
+    visits a file twice: only files of a ring can be met again, so only those are remembered, and paths that agree in
+    file, prefix and these are one."""
+    mounts = written(mounts.select("src", "dst", "prefix").distinct())
     every = files.select("file").union(mounts.select("src")).union(mounts.select("dst")).distinct()
-    roots = written(every.join(mounts.select(F.col("dst").alias("file")), "file", "left_anti").select("file", F.lit("").alias("prefix"), F.array("file").alias("seen")))
-    found, front = roots, roots
+    ring = components(mounts)
+    crowded = ring.join(ring.groupBy("ring").count().where("count > 1"), "ring", "left_semi").select(F.col("node").alias("dst"), F.lit(True).alias("ringed"))
+    told = written(mounts.join(crowded, "dst", "left"))
+    roots = every.join(mounts.select(F.col("dst").alias("file")), "file", "left_anti").select("file", F.lit("").alias("prefix"), F.array().cast("array<string>").alias("seen"))
+    front = written(roots)
+    found = Rows(front)
     while not front.isEmpty():
         slashless = F.regexp_replace(F.regexp_replace(F.concat(F.col("a"), F.lit("/"), F.col("prefix")), "/+", "/"), "/$", "")
+        name = F.col("dst").cast("string")
         front = written(
-            front.select(F.col("file").alias("src"), F.col("prefix").alias("a"), "seen").join(mounts.select("src", "dst", "prefix").distinct(), "src").where(~F.array_contains("seen", F.col("dst")))
-            .select(F.col("dst").alias("file"), slashless.alias("prefix"), F.concat("seen", F.array("dst")).alias("seen"))
+            front.select(F.col("file").alias("src"), F.col("prefix").alias("a"), "seen").join(told, "src").where(F.col("ringed").isNull() | ~F.array_contains("seen", name))
+            .select(F.col("dst").alias("file"), slashless.alias("prefix"), F.when(F.col("ringed"), F.array_sort(F.concat("seen", F.array(name)))).otherwise(F.col("seen")).alias("seen")).distinct()
         )
-        found = found.unionByName(front)
-    led = found.select("file", "prefix").distinct()
+        found.add(front)
+    led = found.read().select("file", "prefix").distinct()
     return led.unionByName(every.join(led, "file", "left_anti").select("file", F.lit("").alias("prefix")))

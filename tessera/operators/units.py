@@ -24,6 +24,42 @@ def tangles(edges: DataFrame) -> DataFrame:
     return sizes.join(inner.groupBy("ring").agg(F.count("*").alias("edges")), "ring")
 
 
+def flagged_tangles(edges: DataFrame, units: DataFrame) -> DataFrame:
+    """(tangle, size, edges, runtime, deep) of edges (src, dst, type) between nodes of units (node, unit): the rings of units,
+    with the pairs of units that depend within them.
+
+    runtime: some of it is left without the edges that only carry a type. deep: a ring of nodes, types apart, spans two
+    of its units; drawing nodes together hides such rings and invents others.
+    """
+    a, b = units.select(F.col("node").alias("src"), F.col("unit").alias("ua")), units.select(F.col("node").alias("dst"), F.col("unit").alias("ub"))
+    between = written(edges.join(a, "src").join(b, "dst").where("ua <> ub").groupBy(F.col("ua").alias("src"), F.col("ub").alias("dst")).agg(F.count("*").alias("n"), F.count_if("type").alias("types")))
+    ring = written(components(between))
+    within = between.join(ring.select(F.col("node").alias("src"), F.col("ring").alias("tangle")), "src").join(ring.select(F.col("node").alias("dst"), F.col("ring").alias("other")), "dst").where("tangle = other")
+    sizes = ring.groupBy(F.col("ring").alias("tangle")).agg(F.count("*").alias("size")).where("size > 1")
+    still = components(between.where("n > types"))
+    real = still.join(still.groupBy("ring").count().where("count > 1"), "ring", "left_semi").join(ring.select("node", F.col("ring").alias("tangle")), "node").select("tangle").distinct().withColumn("runtime", F.lit(True))
+    spans = spanning(edges, units).join(ring.select(F.col("node").alias("unit"), F.col("ring").alias("tangle")), "unit")
+    deep = spans.groupBy("tangle", "ring").agg(F.count("*").alias("n")).where("n > 1").select("tangle").distinct().withColumn("deep", F.lit(True))
+    told = sizes.join(within.groupBy("tangle").agg(F.count("*").alias("edges")), "tangle").join(real, "tangle", "left").join(deep, "tangle", "left")
+    return told.select("tangle", "size", "edges", F.coalesce("runtime", F.lit(False)).alias("runtime"), F.coalesce("deep", F.lit(False)).alias("deep"))
+
+
+def spanning(edges: DataFrame, units: DataFrame) -> DataFrame:
+    """(ring, unit): the units of each ring of nodes that has several, edges that only carry a type apart."""
+    ring = components(edges.where("not type").select("src", "dst"))
+    held = written(ring.join(units, "node").select("ring", "unit").distinct())
+    return held.join(held.groupBy("ring").count().where("count > 1"), "ring", "left_semi")
+
+
+def ring_edges(edges: DataFrame, units: DataFrame) -> DataFrame:
+    """(src, dst, n): how many edges of node rings lead from one unit to another, edges that only carry a type apart."""
+    real = edges.where("not type").select("src", "dst")
+    ring = written(components(real).join(units, "node"))
+    a, b = (ring.select(F.col("node").alias(c), F.col("ring").alias(f"r{c}"), F.col("unit").alias(f"u{c}")) for c in ("src", "dst"))
+    met = real.join(a, "src").join(b, "dst").where("rsrc = rdst and usrc <> udst")
+    return met.groupBy(F.col("usrc").alias("src"), F.col("udst").alias("dst")).agg(F.count("*").alias("n"))
+
+
 def loudest(edges: DataFrame, units: DataFrame) -> DataFrame:
     """(unit, node, arriving, rest): the member that most weight reaches from outside, and what reaches the others."""
     a, b = units.select(F.col("node").alias("src"), F.col("unit").alias("ua")), units.select(F.col("node").alias("dst"), F.col("unit").alias("unit"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import compare, configs, coverage, documents, history, imports, literals, paths, ranks, stack
+from tessera.operators import compare, configs, coverage, documents, graph, history, imports, literals, paths, ranks, stack, units
 from tessera.plans.catalog import FILES, LINES, query
 from tessera.sources import formats
-from tessera.sources.tables import LITERAL_FOLDERS, activity, api_files, collection_files, files, fresh_path, literal_files, projects, report_files, stack_files, table, talks
+from tessera.sources.tables import LITERAL_FOLDERS, activity, api_files, collection_files, files, follows, fresh_path, literal_files, projects, report_files, stack_files, table, talks
 from tessera.streaming import transcripts
 
 CHAINS = """WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey AS k, p_brand AS b, p_size AS s, p_brand || '/' || p_size AS w FROM part), n AS (SELECT k, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 24 = 5 THEN k - 4 ELSE k + 1 END AS u FROM p),
@@ -229,3 +229,49 @@ def markdown_rows(spark, at):
     cells = F.split(F.col("value"), r"\s*\|\s*")
     rows = spark.read.text(path).where("value like '| %' and not value like '| key %' and not value like '| ---%'")
     return rows.select(*(F.trim(F.get(cells, F.lit(i + 1))).alias(n) for i, n in enumerate(("key", "name", "size"))))
+
+
+FOLLOWS = "(SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst, a.l_orderkey % 5 = 0 AS type FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber = 1 AND a.l_returnflag <> 'N' AND a.l_discount < 0.08 AND b.l_linenumber = 2 AND a.l_partkey <> b.l_partkey)"
+CLOSED = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst FROM {FOLLOWS}), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e),
+  m AS MATERIALIZED (SELECT x.a AS node, min(x.b) AS ring FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a), g AS MATERIALIZED (SELECT node, coalesce(ring, node) AS ring FROM n LEFT JOIN m USING (node))"""
+
+
+def _edges(spark, at):
+    return follows(spark, at).distinct()
+
+
+@query(CLOSED + " SELECT * FROM g")
+def part_rings(spark, at):
+    return graph.components(_edges(spark, at).select("src", "dst"))
+
+
+@query(CLOSED + """, o AS MATERIALIZED (SELECT DISTINCT a.ring AS ra, b.ring AS rb FROM e JOIN g a ON src = a.node JOIN g b ON dst = b.node WHERE a.ring <> b.ring), w AS (SELECT DISTINCT ring AS r0, 0 AS level FROM g UNION SELECT o.ra, w.level + 1 FROM w JOIN o ON o.rb = w.r0) SELECT node, max(level)::BIGINT AS level FROM g JOIN w ON ring = r0 GROUP BY node""")
+def part_levels(spark, at):
+    return graph.levels(_edges(spark, at).select("src", "dst"))
+
+
+@query(CLOSED + ", s AS (SELECT DISTINCT src AS node FROM e WHERE src % 40 = 0) SELECT node FROM s UNION SELECT b FROM r JOIN s ON a = node")
+def part_reach(spark, at):
+    rows = _edges(spark, at)
+    return graph.reached(rows, rows.where("src % 40 = 0").select(F.col("src").alias("node")))
+
+
+#: Parts of a brand and size are one unit.
+UNITED = f"""WITH RECURSIVE u AS MATERIALIZED (SELECT p_partkey AS node, p_brand || '/' || p_size AS unit FROM part), f AS MATERIALIZED (SELECT * FROM {FOLLOWS}), t AS MATERIALIZED (SELECT a.unit AS src, b.unit AS dst, count(*) AS n, count(*) FILTER (type) AS types FROM f JOIN u a ON src = a.node JOIN u b ON dst = b.node WHERE a.unit <> b.unit GROUP BY ALL),
+  ra AS (SELECT src AS a, dst AS b FROM t UNION SELECT ra.a, t.dst FROM ra JOIN t ON ra.b = t.src), ga AS MATERIALIZED (SELECT x.a AS unit, min(x.b) AS tangle FROM ra x JOIN ra y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1), tr AS MATERIALIZED (SELECT * FROM t WHERE n > types), rr AS (SELECT src AS a, dst AS b FROM tr UNION SELECT rr.a, tr.dst FROM rr JOIN tr ON rr.b = tr.src), gr AS (SELECT DISTINCT x.a AS unit FROM rr x JOIN rr y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b),
+  fe AS MATERIALIZED (SELECT DISTINCT src, dst FROM f WHERE NOT type), rf AS (SELECT src AS a, dst AS b FROM fe UNION SELECT rf.a, fe.dst FROM rf JOIN fe ON rf.b = fe.src), gf AS MATERIALIZED (SELECT x.a AS node, min(x.b) AS ring FROM rf x JOIN rf y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1), sp AS MATERIALIZED (SELECT DISTINCT ring, unit FROM gf JOIN u USING (node))"""
+
+
+def _units(spark, at):
+    return table(spark, at, "part").select(F.col("p_partkey").alias("node"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("unit"))
+
+
+@query(UNITED + """ SELECT tangle, count(*)::BIGINT AS size, (SELECT count(*) FROM t JOIN ga x ON t.src = x.unit JOIN ga y ON t.dst = y.unit WHERE x.tangle = g.tangle AND y.tangle = g.tangle)::BIGINT AS edges, EXISTS (FROM ga x JOIN gr USING (unit) WHERE x.tangle = g.tangle) AS runtime,
+  EXISTS (SELECT ring FROM sp JOIN ga x USING (unit) WHERE x.tangle = g.tangle GROUP BY ring HAVING count(*) > 1) AS deep FROM ga g GROUP BY tangle""")
+def part_tangles(spark, at):
+    return units.flagged_tangles(_edges(spark, at), _units(spark, at))
+
+
+@query(UNITED + " SELECT a.unit AS src, b.unit AS dst, count(*)::BIGINT AS n FROM f JOIN gf x ON f.src = x.node JOIN gf y ON f.dst = y.node AND x.ring = y.ring JOIN u a ON f.src = a.node JOIN u b ON f.dst = b.node WHERE NOT type AND a.unit <> b.unit GROUP BY ALL")
+def part_ring_edges(spark, at):
+    return units.ring_edges(_edges(spark, at), _units(spark, at))

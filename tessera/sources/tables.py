@@ -231,3 +231,12 @@ def talks(spark: SparkSession, at: str) -> DataFrame:
     whole = table(spark, at, "conversations").groupBy(F.col("conv_id").cast("string").alias("talk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "").alias("all"))
     cuts = F.sequence(F.lit(0), F.floor((F.length("all") - 1) / 100).cast("int"))
     return whole.select("talk", F.posexplode(F.transform(cuts, lambda i: F.substring("all", i * 100 + 1, F.lit(100)))).alias("seq", "chunk"))
+
+
+def follows(spark: SparkSession, at: str) -> DataFrame:
+    """(src, dst, type): from the part of each order's first line to that of its second, where the first is closed at under
+    0.08 off; those of each fifth order only carry a type."""
+    rows = table(spark, at, "lineitem")
+    first = rows.where("l_linenumber = 1 and l_returnflag <> 'N' and l_discount < 0.08").select("l_orderkey", F.col("l_partkey").alias("src"), (F.col("l_orderkey") % 5 == 0).alias("type"))
+    second = rows.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst"))
+    return first.join(second, "l_orderkey").where("src <> dst").select("src", "dst", "type")
