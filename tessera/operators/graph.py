@@ -192,9 +192,10 @@ def same_people(names: DataFrame, least: int = 5) -> DataFrame:
     return plain.join(marks.select("name", "mark"), "name", "left").select("id", F.coalesce("mark", "id").alias("person"))
 
 
-def route_links(clients: DataFrame, endpoints: DataFrame, hosts: list[str] | None = None) -> DataFrame:
+def route_links(clients: DataFrame, endpoints: DataFrame, hosts: list[str] | DataFrame | None = None) -> DataFrame:
     """(client, endpoint, score, how): each client (id, method, path, host) with the endpoint that it calls best.
 
+    A client that names a host counts if that is a local one or one of hosts, a list or a table (host).
     Up to four leading segments of the client may be a base address that the endpoint does not know; the fewest that
     find an endpoint count. Scores are 4 for each literal segment less those dropped and less 1 for a verb that only
     one side leaves open; ties go to the smaller endpoint id. Sides meet on their number of segments, or, for
@@ -202,8 +203,13 @@ def route_links(clients: DataFrame, endpoints: DataFrame, hosts: list[str] | Non
     """
     parts = lambda c: F.filter(F.split(c, "/"), lambda p: p != "")
     local = (F.col("host") == "") | F.col("host").rlike(LOCAL)
-    if hosts:
-        local = local | F.lower(F.regexp_replace("host", r":\d+$", "")).isin(*map(str.lower, hosts))
+    named = F.lower(F.regexp_replace("host", r":\d+$", ""))
+    if isinstance(hosts, DataFrame):
+        ours = hosts.select(F.lower("host").alias("_host")).distinct().withColumn("_ours", F.lit(True))
+        clients = clients.join(ours, named == F.col("_host"), "left")
+        local = local | F.coalesce("_ours", F.lit(False))
+    elif hosts:
+        local = local | named.isin(*map(str.lower, hosts))
     want = clients.where(local).select(F.col("id").alias("client"), F.col("method").alias("asked"), parts(F.col("path")).alias("said"))
     tails = want.where(F.size("said") > 0).select("client", "asked", "said", F.explode(F.sequence(F.lit(0), F.least(F.lit(4), F.size("said") - 1))).alias("dropped"))
     tails = tails.withColumn("said", F.expr("slice(said, dropped + 1, size(said) - dropped)")).withColumn("n", F.size("said"))

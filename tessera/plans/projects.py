@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import compare, configs, coverage, documents, graph, history, imports, literals, paths, ranks, stack, units
-from tessera.plans.catalog import FILES, LINES, query
+from tessera.functions import scalars as S
+from tessera.operators import compare, configs, coverage, documents, graph, history, imports, literals, manifests, paths, ranks, stack, units
+from tessera.plans.catalog import FILES, LINES, ORACLE_SQL, query
 from tessera.sources import formats
-from tessera.sources.tables import LITERAL_FOLDERS, activity, api_files, collection_files, files, follows, fresh_path, literal_files, projects, report_files, stack_files, table, talks
+from tessera.sources.tables import LITERAL_FOLDERS, activity, api_files, collection_files, files, follows, fresh_path, literal_files, manifest_files, mounts, projects, renames, report_files, stack_files, table, talks
 from tessera.streaming import transcripts
 
 CHAINS = """WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey AS k, p_brand AS b, p_size AS s, p_brand || '/' || p_size AS w FROM part), n AS (SELECT k, CASE WHEN k % 6 = 0 THEN NULL WHEN k % 24 = 5 THEN k - 4 ELSE k + 1 END AS u FROM p),
@@ -275,3 +276,84 @@ def part_tangles(spark, at):
 @query(UNITED + " SELECT a.unit AS src, b.unit AS dst, count(*)::BIGINT AS n FROM f JOIN gf x ON f.src = x.node JOIN gf y ON f.dst = y.node AND x.ring = y.ring JOIN u a ON f.src = a.node JOIN u b ON f.dst = b.node WHERE NOT type AND a.unit <> b.unit GROUP BY ALL")
 def part_ring_edges(spark, at):
     return units.ring_edges(_edges(spark, at), _units(spark, at))
+
+
+LICENCES = (("MIT", "permissive"), ("Apache-2.0 OR GPL-3.0", "permissive"), ("(MIT AND LGPL-2.1)", "weak"), ("GPL-2.0-only", "strong"), ("UNLICENSED", "closed"), ("The ISC License", "permissive"), ("", "unknown"), ("Strange", "unknown"), ("CC-BY-NC-4.0", "strong"), ("CC-BY-4.0", "permissive"))
+
+
+@query(f"SELECT p_partkey AS key, said, family FROM part JOIN (VALUES {', '.join(str((i, *x)) for i, x in enumerate(LICENCES))}) v(i, said, family) ON i = p_partkey % 10")
+def licence_families(spark, at):
+    said = F.get(F.array(*(F.lit(x) for x, _ in LICENCES)), (F.col("p_partkey") % 10).cast("int"))
+    return table(spark, at, "part").select(F.col("p_partkey").alias("key"), said.alias("said")).withColumn("family", S.licence_family(F.col("said")))
+
+
+@query(f"""WITH r AS (SELECT page_id, host, regexp_extract(path, '^/[^/]*') AS lead FROM ({ORACLE_SQL['route_normal']})) SELECT page_id AS client, 'e:' || lead AS endpoint, 4::BIGINT AS score, 'exact' AS how FROM r WHERE host IN (SELECT host FROM r WHERE page_id % 2 = 0)""")
+def route_links(spark, at):
+    # the hosts of every other page are known
+    pages = table(spark, at, "pages").select("page_id", S.route_host(F.col("url")).alias("host"), S.route_path(F.col("url")).alias("path"))
+    lead = F.regexp_extract("path", "^/[^/]*", 0)
+    ends = pages.select(F.concat(F.lit("e:"), lead).alias("id"), F.lit("GET").alias("method"), F.concat(lead, F.lit("/*")).alias("path")).distinct()
+    return graph.route_links(pages.select(F.col("page_id").alias("id"), F.lit("GET").alias("method"), "path", "host"), ends, pages.where("page_id % 2 = 0").select("host"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS n FROM part), a AS (SELECT k, n, v.* FROM p, (VALUES (0, 'package.json', 'n', '^', false, 'npm'), (0, 'package.json', 'vite', '5', true, 'npm'), (1, 'Cargo.toml', 's', '1.', false, 'crates.io'), (1, 'Cargo.toml', 'own', '', false, 'crates.io'), (1, 'Cargo.toml', 't', '1', true, 'crates.io'), (2, 'requirements-dev.txt', 'p', '>=7', true, 'PyPI'), (2, 'requirements-dev.txt', 'requests', '== 2.', true, 'PyPI'),
+    (3, 'build.gradle', 'g:a', '1.2', false, 'Maven'), (3, 'build.gradle', 'h:b', '', true, 'Maven'), (4, 'pom.xml', 'g:z', '', true, 'Maven'), (5, 'go.mod', 'github.com/a/b', 'v1.2.3', false, 'Go'), (6, 'pubspec.yaml', 'flutter', '', false, 'Pub'), (6, 'pubspec.yaml', 'h', '^1.0', false, 'Pub'), (6, 'pubspec.yaml', 'lints', '2.0', true, 'Pub'), (7, 'pyproject.toml', 'q', '>=1', false, 'PyPI'), (7, 'pyproject.toml', 'pytest', '', true, 'PyPI')) v(m, file, name, range, dev, ecosystem) WHERE m = k % 9)
+  SELECT 'm' || k || '/' || file AS path, name || CASE WHEN name IN ('n', 's', 't', 'p', 'g:a', 'g:z', 'github.com/a/b', 'h', 'q') THEN n::VARCHAR ELSE '' END AS name, CASE range WHEN '^' THEN '^' || n % 9 || '.0' WHEN '1.' THEN '1.' || n WHEN '== 2.' THEN '== 2.' || n ELSE range END AS range, dev, ecosystem FROM a""")
+def manifest_requests(spark, at):
+    return manifests.asked(manifest_files(spark, at))
+
+
+@query(f"SELECT path, framework AS kind, method, route FROM ({ORACLE_SQL['documented_endpoints']}) UNION ALL SELECT path, framework, method, route FROM ({ORACLE_SQL['collection_requests']})")
+def api_documents(spark, at):
+    told = [rows.select("path", F.col("framework").alias("kind"), "method", "route") for rows in (documents.served(api_files(spark, at)), documents.requests(collection_files(spark, at)))]
+    return told[0].unionByName(told[1])
+
+
+@query("SELECT 'd' || doc_id // 2 || '/' || CASE WHEN doc_id % 5 = 2 THEN 'coverage/lcov.info' ELSE 'coverage.lcov' END AS path, floor((coalesce(n_chars, 0) + 1) / (coalesce(n_chars, 0) + 4) * 1000 + .5) / 10 AS lines, 12.5::DOUBLE AS branches, 0.0::DOUBLE AS functions FROM documents WHERE doc_id % 5 IN (2, 3)")
+def lcov_coverage(spark, at):
+    return manifests.lcov_coverage(report_files(spark, at).where("path like '%lcov%'"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS a, p_type AS b FROM part), u AS (SELECT name, a, b, a || '/' || b || '/x' || k || '.ts' AS src FROM p WHERE k % 3 = 0), d AS (SELECT name, a, b, a || '/' || b || '/d' || k || '.ts' AS dst FROM p WHERE k % 7 = 1),
+  m AS (SELECT u.name, src, dst, CASE WHEN u.a <> d.a THEN 0 WHEN u.b <> d.b THEN 1 ELSE 2 END AS n FROM u JOIN d USING (name)), b AS (SELECT name, src, max(n) AS n FROM m GROUP BY ALL) SELECT name, src, CASE WHEN count(DISTINCT dst) = 1 THEN min(dst) END AS dst FROM m JOIN b USING (name, src, n) GROUP BY name, src""")
+def nearest_declaring(spark, at):
+    key = F.col("p_partkey")
+    rows = lambda of, mark: table(spark, at, "part").where(of).select(F.col("p_name").alias("name"), F.concat_ws("/", "p_brand", "p_type", F.concat(F.lit(mark), key.cast("string"), F.lit(".ts"))).alias("file"))
+    return units.nearest_declaring(rows(key % 3 == 0, "x"), rows(key % 7 == 1, "d"))
+
+
+@query("WITH s AS (SELECT p_brand AS b, max(p_size) AS m FROM part GROUP BY 1) SELECT DISTINCT '@' || p_brand || '/' || p_type AS name, CASE WHEN p_type = 'PROMO' THEN 'Promo' WHEN m > 45 THEN p_brand END AS label FROM part JOIN s ON b = p_brand")
+def package_labels(spark, at):
+    part = table(spark, at, "part")
+    scope = F.concat(F.lit("@"), "p_brand", F.lit("/"))
+    wide = part.groupBy("p_brand").agg(F.max("p_size").alias("m")).where("m > 45").select(scope.alias("key"), F.col("p_brand").alias("label"))
+    own = part.where("p_type = 'PROMO'").select(F.concat(scope, "p_type").alias("key"), F.lit("Promo").alias("label")).distinct()
+    return units.labelled(part.select(F.concat(scope, "p_type").alias("name")), wide.unionByName(own))
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size AS n FROM part), m AS MATERIALIZED (SELECT k // 2 AS src, k AS dst, 'p' || n AS prefix FROM p WHERE k > 0 UNION ALL SELECT k // 2, k, 'old' FROM p WHERE k > 0 AND k % 11 = 0 UNION ALL SELECT k, k // 4, 'up' FROM p WHERE k >= 20 AND k % 5 = 0),
+  w AS (SELECT 0::BIGINT AS file, '' AS prefix, [0::BIGINT] AS seen UNION ALL SELECT m.dst, w.prefix || '/' || m.prefix, list_append(w.seen, m.dst) FROM w JOIN m ON m.src = w.file WHERE NOT list_contains(w.seen, m.dst)) SELECT DISTINCT 'f' || file AS file, prefix FROM w""")
+def mounted_prefixes(spark, at):
+    return graph.mounted(mounts(spark, at), table(spark, at, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file")))
+
+
+@query("WITH o AS (SELECT o_orderkey AS seq, o_orderkey // 10 AS g, o_orderkey % 10 AS r FROM orders) SELECT seq, CASE r WHEN 9 THEN 'g' || g || '/a0' WHEN 8 THEN 'g' || g || '/a0 => g' || g || '/a1' WHEN 7 THEN 'g' || g || '/a1' WHEN 6 THEN 'g' || g || '/{a1 => a2}' WHEN 4 THEN 'other' || g ELSE 'g' || g || '/a2' END AS raw_path, CASE r WHEN 4 THEN 'other' || g ELSE 'g' || g || '/a2' END AS path FROM o")
+def renames_followed(spark, at):
+    return history.followed(renames(spark, at))
+
+
+@query("WITH t AS (SELECT c_custkey AS k, 'helper' AS tool FROM customer WHERE c_mktsegment = 'BUILDING' OR c_custkey % 3 = 0 UNION SELECT c_custkey, 'mender' FROM customer WHERE c_custkey % 4 = 0) SELECT tool, count(*)::BIGINT AS commits FROM t GROUP BY tool")
+def signed_commits(spark, at):
+    # a segment's customers are a bot's, others signed in a trailer by their number
+    key = F.col("c_custkey")
+    said = F.concat(F.lit("by hand, no helper\n"), F.when(key % 3 == 0, "Co-authored-by: Helper <h@x>\nco-authored-by: helper <h@x>\n").otherwise(""), F.when(key % 4 == 0, "assisted-by: mender:one").otherwise(""))
+    rows = table(spark, at, "customer").select(key.cast("string").alias("hash"), F.when(F.col("c_mktsegment") == "BUILDING", "helper[bot] <1@x>").otherwise("Helper <h@x>").alias("author"), said.alias("body"))
+    return history.signed(rows, [("(?i)helper", "helper"), ("(?i)mender", "mender")])
+
+
+@query(f"SELECT path, framework, method, route FROM ({ORACLE_SQL['documented_endpoints']}) WHERE framework = 'openapi' AND NOT (method = 'GET' AND regexp_extract(route, '([0-9]+)$', 1)::BIGINT % 4 = 0)")
+def documents_only(spark, at):
+    # each fourth page's address is served by code as well
+    said = documents.served(api_files(spark, at)).where("framework = 'openapi'").withColumnRenamed("route", "at").withColumnRenamed("path", "file").withColumnRenamed("at", "path")
+    served = said.where("method = 'GET'").where(F.regexp_extract("path", "([0-9]+)$", 1).cast("long") % 4 == 0)
+    return compare.answered(said, served.select("method", "path")).select(F.col("file").alias("path"), "framework", "method", F.col("path").alias("route"))

@@ -240,3 +240,36 @@ def follows(spark: SparkSession, at: str) -> DataFrame:
     first = rows.where("l_linenumber = 1 and l_returnflag <> 'N' and l_discount < 0.08").select("l_orderkey", F.col("l_partkey").alias("src"), (F.col("l_orderkey") % 5 == 0).alias("type"))
     second = rows.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst"))
     return first.join(second, "l_orderkey").where("src <> dst").select("src", "dst", "type")
+
+
+def manifest_files(spark: SparkSession, at: str) -> DataFrame:
+    """(path, text): a manifest for each part, of each kind that is read, which asks for packages named by the part's size."""
+    key, n = F.col("p_partkey"), F.col("p_size")
+    at_ = lambda name: _text("m", key, "/", name)
+    texts = {
+        0: (at_("package.json"), _text('{"dependencies": {"n', n, '": "^', n % 9, '.0"}, "devDependencies": {"vite": "5"}}')), 1: (at_("Cargo.toml"), _text('[package]\nname = "x"\n[dependencies]\ns', n, ' = { version = "1.', n, '", features = ["a"] } # said\nown = { path = "../own" }\n[dev-dependencies.t', n, ']\nversion = "1"\nfull = true')),
+        2: (at_("requirements-dev.txt"), _text("p", n, ">=7 ; python_version > '3'\n# no\n-r other.txt\nrequests[socks] == 2.", n)), 3: (at_("build.gradle"), _text("dependencies {\n  implementation 'g:a", n, ":1.2'\n  testImplementation(\"h:b\")\n}")), 4: (at_("pom.xml"), _text("<dependency>\n<groupId>g</groupId><artifactId>z", n, "</artifactId><scope>test</scope></dependency>")),
+        5: (at_("go.mod"), _text("module x\nrequire (\n\tgithub.com/a/b", n, " v1.2.3\n)")), 6: (at_("pubspec.yaml"), _text("name: x\ndependencies:\n  flutter:\n    sdk: flutter\n  h", n, ": ^1.0 # said\ndev_dependencies:\n    lints: '2.0'\n")), 7: (at_("pyproject.toml"), _text('[project]\ndependencies = [\n  "q', n, '>=1",\n]\n[project.optional-dependencies]\ndev = ["pytest"]\n')),
+        8: (at_("package.json"), F.lit("not json")),
+    }
+    return _dealt(table(spark, at, "part"), key, texts, 9)
+
+
+def mounts(spark: SparkSession, at: str) -> DataFrame:
+    """(src, dst, prefix): parts mount the two of twice their number, some under two prefixes, and some mount what mounts
+    them."""
+    key, name = F.col("p_partkey"), lambda n: _text("f", n)
+    part = table(spark, at, "part")
+    down = part.where("p_partkey > 0").select(name((key / 2).cast("long")).alias("src"), name(key).alias("dst"), _text("/p", F.col("p_size"), "/").alias("prefix"))
+    old = part.where("p_partkey > 0 and p_partkey % 11 = 0").select(name((key / 2).cast("long")).alias("src"), name(key).alias("dst"), F.lit("old").alias("prefix"))
+    up = part.where("p_partkey >= 20 and p_partkey % 5 = 0").select(name(key).alias("src"), name((key / 4).cast("long")).alias("dst"), F.lit("/up").alias("prefix"))
+    return down.unionByName(old).unionByName(up)
+
+
+def renames(spark: SparkSession, at: str) -> DataFrame:
+    """(seq, raw_path): orders from the newest on, each ten of them a file that is renamed twice."""
+    key = F.col("o_orderkey")
+    ten = (key / 10).cast("long")
+    r = key % 10
+    raw = F.when(r == 9, _text("g", ten, "/a0")).when(r == 8, _text("g", ten, "/a0 => g", ten, "/a1")).when(r == 7, _text("g", ten, "/a1")).when(r == 6, _text("g", ten, "/{a1 => a2}")).when(r == 4, _text("other", ten)).otherwise(_text("g", ten, "/a2"))
+    return table(spark, at, "orders").select(key.alias("seq"), raw.alias("raw_path"))
