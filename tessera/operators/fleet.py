@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.history import carried_days
-
 
 def rooted(rows: DataFrame, repo: str, keys: Sequence[str]) -> DataFrame:
     """rows with each of the keys under the name of its repository, so that nothing meets over repositories; the root,
@@ -18,9 +16,18 @@ def rooted(rows: DataFrame, repo: str, keys: Sequence[str]) -> DataFrame:
 
 def sizes(samples: DataFrame, repo: str, ts: str, size: str) -> DataFrame:
     """(at, size, repos): for each day from the first to the last, the last sizes of all repositories added up, and how
-    many have one by then. Days are carried forward within a repository."""
-    days = carried_days(samples, repo, ts, size, "held")
-    return days.groupBy("at").agg(F.sum("carried_held").alias("size"), F.count("carried_held").alias("repos"))
+    many have one by then; size is null before any has. Within a repository the greatest size of a day counts.
+
+    A repository's days become changes against its day before; those are summed by day, and then along the days, of which
+    there is one row each. So repositories are never spread over all days.
+    """
+    days = samples.where(F.col(ts).isNotNull()).groupBy(F.col(repo).alias("_repo"), F.date_trunc("day", ts).alias("at")).agg(F.max(size).alias("held"))
+    before = F.lag("held").over(Window.partitionBy("_repo").orderBy("at"))
+    moved = days.where("held is not null and _repo is not null").select("at", (F.col("held") - F.coalesce(before, F.lit(0))).alias("more"), before.isNull().cast("long").alias("new"))
+    changes = moved.groupBy("at").agg(F.sum("more").alias("more"), F.sum("new").alias("new"))
+    axis = days.agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a is not null").select(F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("at"))
+    along = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return axis.join(changes, "at", "left").select("at", F.sum("more").over(along).alias("size"), F.coalesce(F.sum("new").over(along), F.lit(0)).alias("repos"))
 
 
 def chosen(rows: DataFrame, repo: str, only: Sequence[str]) -> DataFrame:

@@ -286,8 +286,9 @@ def knowledge_rows(spark, at):
 @query("""WITH d AS (SELECT event_type AS kind, date_trunc('day', ts)::TIMESTAMP AS \"at\", count(*) AS n FROM events GROUP BY ALL), a AS (SELECT DISTINCT kind, \"at\" FROM (SELECT DISTINCT kind FROM d), (SELECT DISTINCT \"at\" FROM d)) SELECT kind, \"at\", coalesce(n, 0)::BIGINT AS n FROM a LEFT JOIN d USING (kind, \"at\")""")
 def fleet_align(spark, at):
     by = activity(spark, at).groupBy("kind", F.date_trunc("day", "ts").alias("at")).agg(F.count("*").alias("n"))
-    # kinds by days, both of which are few and fixed by the calendar
-    axis = by.groupBy().agg(F.collect_set("at").alias("days")).join(F.broadcast(by.select("kind").distinct())).select("kind", F.explode("days").alias("at"))
+    # every kind on the calendar from the first day to the last, and of it the days that anything has
+    ends = by.agg(F.min("at").alias("a"), F.max("at").alias("b"))  # one row
+    axis = by.select("kind").distinct().join(F.broadcast(ends)).select("kind", F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("at")).join(by.select("at").distinct(), "at", "left_semi")
     return axis.join(by, ["kind", "at"], "left").select("kind", "at", F.coalesce("n", F.lit(0)).alias("n"))
 
 

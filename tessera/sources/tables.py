@@ -57,8 +57,8 @@ def trade(spark: SparkSession, at: str) -> DataFrame:
     orders = table(spark, at, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     customers = table(spark, at, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
     suppliers = table(spark, at, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
-    # lines first by their two keys, so that the large joins move counts and not lines
-    told = lines.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n")).join(orders, "l_orderkey").join(customers, "c_custkey").join(suppliers, "l_suppkey")
+    # the one large join is on the order, by which lines are grouped no further; what follows it is counts
+    told = lines.join(orders, "l_orderkey").join(customers, "c_custkey").groupBy("src", "l_suppkey").agg(F.count("*").alias("n")).join(suppliers, "l_suppkey")
     return told.groupBy("src", "dst").agg(F.sum("n").alias("weight"))
 
 
