@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import code, projects, reports, trees  # noqa: F401  they register with the catalog
+from tessera.plans import code, columns, projects, reports, trees  # noqa: F401  they register with the catalog
 from tessera.plans.catalog import ORACLE_SQL, QUERIES
 
 AT = "/root/testdata/sf0.001"
