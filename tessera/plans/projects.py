@@ -136,7 +136,7 @@ def stack_parts(spark, at):
 
 
 SIGNS = r"[\d\s.,;:%#|/+_-]"
-SAID = f"""(WITH t AS (SELECT DISTINCT doc_id, replace(replace(raw, chr(39), ''), '\\', '') AS said FROM (SELECT doc_id, raw FROM {LINES})), u AS (SELECT doc_id, said FROM t WHERE length(said) >= 24 AND NOT regexp_matches(said, '^[./~@]|^https?:|^node:') AND NOT regexp_matches(said, '^(?i)(?:[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}|[0-9a-f]{{16,}}|[A-Za-z0-9+/]{{24,}}={{0,2}})$')
+SAID = rf"""(WITH t AS (SELECT DISTINCT doc_id, replace(replace(raw, chr(39), ''), '\', '') AS said FROM (SELECT doc_id, raw FROM {LINES})), u AS (SELECT doc_id, said FROM t WHERE length(said) >= 24 AND NOT regexp_matches(said, '^[./~@]|^https?:|^node:') AND NOT regexp_matches(said, '^(?i)(?:[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}|[0-9a-f]{{16,}}|[A-Za-z0-9+/]{{24,}}={{0,2}})$')
     AND NOT regexp_matches(said, '^[MmLlHhVvCcSsQqTtAaZz][\d\s.,-]') AND NOT (len(regexp_extract_all(said, '{SIGNS}')) / length(said) > 0.6 AND NOT regexp_matches(said, '\s\w+\s\w+\s')) UNION ALL SELECT doc_id, 'flex items-center px-4 md:hover:text-xs' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'flex p-4 m-2 text-center' FROM documents WHERE doc_id % 3 = 1)
   SELECT doc_id, list_extract({list(LITERAL_FOLDERS)}, (doc_id % 4 + 1)::INT) || '/d' || doc_id || '.tsx' AS path, said FROM u WHERE doc_id % 4 <> 2)"""
 REPEATED = f"(SELECT said, count(*)::BIGINT AS files, starts_with(said, 'flex ') AS styled, min(path) AS first, (count(*) * length(said))::BIGINT AS weight FROM {SAID} GROUP BY said HAVING count(*) >= CASE WHEN starts_with(said, 'flex ') THEN 5 ELSE 3 END AND bool_or(doc_id % 4 <> 1))"
