@@ -87,6 +87,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     Null texts count as empty: no tokens, and the digests of nothing. Rows are independent: repeated rows and null
     ids stay as they are, other columns are not read. decoded_sha256 is taken from the bytes that the ids decode to.
+    Texts of any length are encoded whole, piece by piece; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

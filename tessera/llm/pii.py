@@ -304,7 +304,8 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of each document.
 
     Null texts count as empty: no spans and the digest of nothing. Rows are independent once the terms are known;
-    repeated rows count as often as they stand there. Terms come from all documents.
+    repeated rows count as often as they stand there. Terms come from all documents. Texts of any length are read whole;
+    other columns, of whatever name, are not read, and an empty table gives none.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = find_pii(given, materialize(disclosing_terms(given)))

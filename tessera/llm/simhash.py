@@ -261,7 +261,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, fingerprint hex, component_id): components of the documents under `most` differing bits.
 
     Repeated ids keep their rows; rows with equal texts share everything. component_id is the least id that is
-    reachable. Rows with a null id take part in no component and keep a null one. Extra columns are not read.
+    reachable. Rows with a null id take part in no component and keep a null one. A null text counts as empty, texts of
+    any length are hashed whole. Extra columns are not read; an empty table gives none.
     """
     if not 0 <= most <= 3:
         raise ValueError("two segments of 32 bits find up to 3 differing bits")
@@ -570,7 +571,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     by the bits, links within them by exact counts on the whole texts' sets, whatever a family's size: first in each
     part of a family, then between parts that are not one yet. A pair at the similarity itself is in one family with
     probability MEET times 0.995, nearer ones with more. Rows with a null id are in no group; a null text is an empty
-    one. Extra columns are not read.
+    one, texts of any length are read whole. Extra columns are not read; an empty table gives none.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     layout = segment_layout(source.count(), similarity)

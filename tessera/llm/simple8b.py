@@ -175,7 +175,8 @@ BLOCK_SCHEMA = "part int, block int, n_ids long, doc_ids array<long>, offsets ar
 def write_blocks(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each whole text, ends it with end_id and writes the ids as blocks in ascending doc_id order; returns
     the written table. Null texts count as empty and still get the end id. Null doc_ids come first; rows of equal
-    doc_id are ordered by their text's hash. Documents are dealt by ranges of doc_id, so parts follow one another."""
+    doc_id are ordered by their text's hash. Documents are dealt by ranges of doc_id, so parts follow one another. Texts
+    of any length are encoded whole; other columns, of whatever name, are not read. An empty table gives no blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -249,7 +249,8 @@ def toxicity(docs: DataFrame, model: Model | None, text_col: str = "text", thres
     """docs with severity (expected grade, 0 to GRADES), grade (most probable), p_toxic and toxic.
 
     Null texts count as empty: the grade of a document without features. Without a model nothing is toxic. Without a
-    threshold the model's own is taken. Repeated rows are told alike; columns of docs with these names are replaced.
+    threshold the model's own is taken. Repeated rows are told alike; columns of docs with these names are replaced. Texts
+    of any length are read whole; an empty table gives none.
     """
     names = ["severity", "grade", "p_toxic", "toxic"]
     rest = docs.drop(*names)
