@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.markup import package_of, specifiers
-from tessera.sources.tables import written
+from tessera.sources.tables import apart, written
 
 # The endings tried in order, and what may stand for a written script ending.
 TRIED = (".ts", ".tsx", ".mts", ".cts", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".json")
@@ -117,9 +117,9 @@ def resolved(files: DataFrame, aliases: Sequence[tuple[str, Sequence[str]]] = ()
     if base is not None:
         bases.append(F.array(F.when(bare, walked(F.lit(base), said))))
     tried = asked.select("src", "specifier", F.posexplode(F.array_compact(F.concat(*bases))).alias("place", "base")).select("src", "specifier", "place", F.explode(_keys_of(F.col("base"))).alias("x")).select("src", "specifier", "place", "x.*")
-    met = tried.join(_told_by(files), "key").withColumn("order", _order()).where("order is not null")
+    met = tried.join(apart(_told_by(files)), "key").withColumn("order", _order()).where("order is not null")
     found = met.groupBy("src", "specifier").agg(F.min_by("dst", F.struct("place", "order")).alias("dst"))
-    out = asked.select("src", "specifier", "near", "taken").distinct().join(found, ["src", "specifier"], "left")
+    out = asked.groupBy("src", "specifier").agg(F.bool_or("near").alias("near"), F.bool_or("taken").alias("taken")).join(apart(found), ["src", "specifier"], "left")
     kind = F.when(F.col("dst").isNotNull(), "file").when(F.col("near") | F.col("taken"), "missing").otherwise("package")
     return out.select("src", "specifier", kind.alias("kind"), "dst", F.when(kind == "package", package_of(said)).alias("package"))
 
@@ -158,14 +158,14 @@ def symbols(files: DataFrame) -> DataFrame:
 def forwarding(found: DataFrame, counts: DataFrame) -> DataFrame:
     """(path, barrel): files that import a file, declare nothing and hand something on."""
     led = found.where("kind = 'file'").select(F.col("src").alias("path")).distinct().withColumn("led", F.lit(True))
-    rows = counts.join(led, "path", "left")
+    rows = counts.join(apart(led), "path", "left")
     return rows.select("path", (F.coalesce("led", F.lit(False)) & (F.col("declares") == 0) & ((F.col("exports") > 0) | F.coalesce("forwards", F.lit(False)))).alias("barrel"))
 
 
 def into_folders(asked: DataFrame, files: DataFrame) -> DataFrame:
     """(src, dst): imports (src, folder) of a whole folder, to each file directly in it but the importer."""
     held = files.select(F.col("path").alias("dst"), folder_of(F.col("path")).alias("folder"))
-    return asked.distinct().join(held, "folder").where("src <> dst").select("src", "dst")
+    return asked.distinct().join(apart(held), "folder").where("src <> dst").select("src", "dst")
 
 
 def siblings(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -175,5 +175,5 @@ def siblings(files: DataFrame, edges: DataFrame) -> DataFrame:
     """
     words = files.select(F.col("path").alias("src"), folder_of(F.col("path")).alias("folder"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("word"))
     names = files.select(F.col("path").alias("dst"), folder_of(F.col("path")).alias("folder"), F.regexp_replace(F.substring_index("path", "/", -1), r"\.\w+$", "").alias("word"))
-    met = words.join(names, ["folder", "word"]).where("src <> dst").select("src", "dst").distinct()
-    return met.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    met = words.join(apart(names), ["folder", "word"]).where("src <> dst").select("src", "dst").distinct()
+    return met.join(apart(edges.select("src", "dst")), ["src", "dst"], "left_anti")
