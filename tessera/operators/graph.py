@@ -5,7 +5,7 @@ Loops keep their state in written tables; only counts reach the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import LOCAL
@@ -192,14 +192,20 @@ def same_people(names: DataFrame, least: int = 5) -> DataFrame:
     return plain.join(marks.select("name", "mark"), "name", "left").select("id", F.coalesce("mark", "id").alias("person"))
 
 
+def _holes(segments: str) -> Column:
+    """A digit for each segment, 1 where it is open."""
+    return F.array_join(F.transform(segments, lambda s: F.when(s == "*", "1").otherwise("0")), "")
+
+
 def route_links(clients: DataFrame, endpoints: DataFrame, hosts: list[str] | DataFrame | None = None) -> DataFrame:
     """(client, endpoint, score, how): each client (id, method, path, host) with the endpoint that it calls best.
 
     A client that names a host counts if that is a local one or one of hosts, a list or a table (host).
     Up to four leading segments of the client may be a base address that the endpoint does not know; the fewest that
     find an endpoint count. Scores are 4 for each literal segment less those dropped and less 1 for a verb that only
-    one side leaves open; ties go to the smaller endpoint id. Sides meet on their number of segments, or, for
-    endpoints that end in **, on every number from theirs on, and on their first segment where both have a literal one.
+    one side leaves open; ties go to the smaller endpoint id. Sides meet on all segments that are literal in both: their
+    forms, which tell where the open ones stand, are paired first, and of the endpoints that agree in a pair's segments
+    and in the verb only the smallest id is met. So a client meets as many endpoints as there are forms and verbs.
     """
     parts = lambda c: F.filter(F.split(c, "/"), lambda p: p != "")
     local = (F.col("host") == "") | F.col("host").rlike(LOCAL)
@@ -213,22 +219,25 @@ def route_links(clients: DataFrame, endpoints: DataFrame, hosts: list[str] | Dat
     want = clients.where(local).select(F.col("id").alias("client"), F.col("method").alias("asked"), parts(F.col("path")).alias("said"))
     tails = want.where(F.size("said") > 0).select("client", "asked", "said", F.explode(F.sequence(F.lit(0), F.least(F.lit(4), F.size("said") - 1))).alias("dropped"))
     tails = tails.withColumn("said", F.expr("slice(said, dropped + 1, size(said) - dropped)")).withColumn("n", F.size("said"))
-    told = endpoints.select(F.col("id").alias("endpoint"), F.col("method").alias("answers"), parts(F.col("path")).alias("segs"))
-    wide = F.coalesce(F.element_at(F.reverse("segs"), 1) == "**", F.lit(False))
-    longest = tails.agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
-    told = told.where(F.size("segs") > 0).withColumn("wide", wide).join(F.broadcast(longest))  # one row
-    told = told.withColumn("n", F.explode(F.when(F.col("wide"), F.filter(F.sequence(F.lit(0), F.col("longest")), lambda k: k >= F.size("segs") - 1)).otherwise(F.array(F.size("segs")))))
-    # sides whose first segments are both literal meet only where these are equal
-    first = lambda c: F.lower(F.get(F.col(c), F.lit(0)))
-    told = told.withColumn("key", F.when(first("segs").isin("*", "**"), "*").otherwise(first("segs")))
-    literal = tails.where(first("said") != "*").withColumn("key", F.explode(F.array(first("said"), F.lit("*"))))
-    both = literal.join(told, ["n", "key"]).unionByName(tails.where(first("said") == "*").join(told, "n"))
-    met = both.where((F.col("answers") == "ANY") | (F.col("asked") == "ANY") | (F.col("answers") == F.col("asked")))
-    kinds = F.zip_with(F.filter("segs", lambda s: s != "**"), F.slice("said", 1, F.when(F.col("wide"), F.size("segs") - 1).otherwise(F.size("segs"))), lambda s, t: F.when(s == "*", "any").when(t == "*", "loose").when(F.lower(s) == F.lower(t), "literal").otherwise("no"))
-    met = met.withColumn("kinds", kinds).where(~F.array_contains("kinds", "no"))
-    count = lambda k: F.size(F.filter("kinds", lambda x: x == k))
-    met = met.where(count("literal") >= F.when(count("loose") > 0, 2).otherwise(1))
-    met = met.withColumn("score", (count("literal") * 4 - F.col("dropped") - (F.col("answers") != F.col("asked")).cast("int")).cast("long"))
+    tails = tails.withColumn("said", F.transform("said", F.lower)).withColumn("open", _holes("said"))
+    told = endpoints.select(F.col("id").alias("endpoint"), F.col("method").alias("answers"), parts(F.col("path")).alias("segs")).where(F.size("segs") > 0)
+    told = told.withColumn("wide", F.element_at(F.reverse("segs"), 1) == "**").withColumn("k", F.size("segs") - F.col("wide").cast("int")).where("k > 0")
+    # a ** elsewhere leaves a segment over at the end, which only an open one of the client meets
+    own = F.transform(F.filter("segs", lambda s: s != "**"), F.lower)
+    told = told.withColumn("segs", F.concat(own, F.array_repeat(F.lit("/"), F.col("k") - F.size(own)))).withColumn("holes", _holes("segs"))
+    forms, asked = told.select("wide", "k", "holes").distinct(), tails.select("n", "open").distinct()
+    pairs = forms.join(asked, (F.col("n") == F.col("k")) | (F.col("wide") & (F.col("n") >= F.col("k")))).withColumn("cut", F.left("open", F.col("k")))
+    is_ = lambda c, i, bit: F.substring(F.col(c), i, F.lit(1)) == bit
+    every = F.sequence(F.lit(1), "k")
+    pairs = pairs.withColumn("at", F.filter(every, lambda i: is_("holes", i, "0") & is_("cut", i, "0"))).withColumn("loose", F.exists(every, lambda i: is_("holes", i, "0") & is_("cut", i, "1")))
+    pairs = written(pairs.where(F.size("at") >= F.when(F.col("loose"), 2).otherwise(1)).drop("loose"))
+    form = ["wide", "k", "holes", "cut"]
+    key = lambda c: F.array_join(F.transform("at", lambda i: F.get(F.col(c), i - 1)), "/").alias("key")
+    # pairs of forms are as many as there are ways to place open segments, not as rows
+    ends = told.join(F.broadcast(pairs.select(*form, "at").distinct()), form[:3]).groupBy(*form, key("segs"), "answers").agg(F.min("endpoint").alias("endpoint"))
+    wants = tails.join(F.broadcast(pairs), ["n", "open"]).select("client", "asked", "dropped", *form, F.size("at").alias("literal"), key("said"))
+    met = wants.join(ends, [*form, "key"]).where((F.col("answers") == "ANY") | (F.col("asked") == "ANY") | (F.col("answers") == F.col("asked")))
+    met = met.withColumn("score", (F.col("literal") * 4 - F.col("dropped") - (F.col("answers") != F.col("asked")).cast("int")).cast("long"))
     best = met.withColumn("place", F.row_number().over(Window.partitionBy("client").orderBy("dropped", F.desc("score"), "endpoint"))).where("place = 1")
     return best.select("client", "endpoint", "score", F.when(F.col("dropped") > 0, "tail").otherwise("exact").alias("how"))
 
