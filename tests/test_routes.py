@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import api, graph
 
 
 def plain(clients, ends):
@@ -50,3 +50,12 @@ def test_routes_of_one_beginning_are_not_compared_in_pairs(spark):
     clients = rows.select("id", F.lit("GET").alias("method"), path.alias("path"), F.lit("").alias("host"))
     got = graph.route_links(clients, ends)
     assert got.where(F.concat(F.lit("e"), "client") == F.col("endpoint")).count() == 300_000
+
+
+def test_calls_of_many_routes_of_one_beginning(spark):
+    rows = spark.range(200_000)
+    path = F.concat(F.lit("/a/"), F.col("id").cast("string"))
+    ends = rows.select(F.concat(F.lit("e"), "id").alias("id"), F.lit("ANY").alias("method"), path.alias("path"), F.lit("web").alias("framework"))
+    clients = rows.where("id % 2 = 0").select("id", F.lit("GET").alias("method"), path.alias("path"), F.lit("").alias("host"), F.lit("fetch").alias("framework"))
+    links, _ = api.joined(ends, clients)
+    assert {r["calls"]: r["n"] for r in api.by_calls(ends, links).groupBy("calls").agg(F.count("*").alias("n")).collect()} == {0: 100_000, 1: 100_000}
