@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import LOCAL
-from tessera.sources.tables import fresh_path, written
+from tessera.sources.tables import apart, fresh_path, written
 
 
 class Rows:
@@ -35,14 +35,14 @@ def inner_nodes(edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """
     into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("before")).where("n = 1").drop("n")
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("after")).where("n = 1").drop("n")
-    rows = into.join(out, "node").where("before <> after or before <> node")
+    rows = into.join(apart(out), "node").where("before <> after or before <> node")
     if kept is not None:
-        rows = rows.join(kept.select("node"), "node", "left_anti")
+        rows = rows.join(apart(kept.select("node")), "node", "left_anti")
     now, last = written(rows.select("node", "before", "after", F.lit(1).cast("long").alias("ahead"), F.col("node").alias("low"))), None
     while True:
         to = now.select(F.col("node").alias("after"), F.col("after").alias("to"), F.col("ahead").alias("more"), F.col("low").alias("least"))
         back = now.select(F.col("node").alias("before"), F.col("before").alias("from"))
-        step = now.join(to, "after", "left").join(back, "before", "left")
+        step = now.join(apart(to), "after", "left").join(apart(back), "before", "left")
         now = written(step.select("node", F.coalesce("from", "before").alias("before"), F.coalesce("to", "after").alias("after"), (F.col("ahead") + F.coalesce("more", F.lit(0))).alias("ahead"), F.least("low", "least").alias("low"), F.col("to").isNotNull().alias("circle")))
         # chains have ended when nothing moves; what still does goes in circles, until it knows its least member
         moved = now.where("circle").agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("node", "low").cast("decimal(38,0)")), F.lit(0))).first()
@@ -53,7 +53,7 @@ def inner_nodes(edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
 
 def _contracted(edges: DataFrame, inner: DataFrame) -> DataFrame:
     """(src, dst, w): edges between nodes that are not inner, of 1, and one for each two that chains join, of the longest."""
-    own = edges.join(inner.select(F.col("node").alias("src")), "src", "left_anti").join(inner.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", F.lit(1).cast("long").alias("w"))
+    own = edges.join(apart(inner.select(F.col("node").alias("src"))), "src", "left_anti").join(apart(inner.select(F.col("node").alias("dst"))), "dst", "left_anti").select("src", "dst", F.lit(1).cast("long").alias("w"))
     chains = inner.where("not circle").groupBy(F.col("before").alias("src"), F.col("after").alias("dst")).agg((F.max("ahead") + 1).alias("w"))
     return own.unionByName(chains).groupBy("src", "dst").agg(F.max("w").alias("w"))
 
@@ -67,9 +67,9 @@ def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     short = written(_contracted(edges, inner))
     seen, front = Rows(roots), roots
     while not front.isEmpty():
-        front = written(short.join(front, short.src == front.node, "left_semi").select(F.col("dst").alias("node")).distinct().join(seen.read(), "node", "left_anti"))
+        front = written(short.join(apart(front), short.src == front.node, "left_semi").select(F.col("dst").alias("node")).distinct().join(apart(seen.read()), "node", "left_anti"))
         seen.add(front)
-    within = inner.where("not circle").join(seen.read().select(F.col("node").alias("before")), "before", "left_semi").select("node")
+    within = inner.where("not circle").join(apart(seen.read().select(F.col("node").alias("before"))), "before", "left_semi").select("node")
     return seen.read().unionByName(within)
 
 
@@ -77,8 +77,8 @@ def _least_reached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, mark): the least node that leads to each node, by label propagation along the edges."""
     now = written(nodes.select("node", F.col("node").alias("mark")))
     while True:
-        told = edges.join(now, edges.src == now.node).groupBy(F.col("dst").alias("node")).agg(F.min("mark").alias("new"))
-        after = written(now.join(told, "node", "left").select("node", F.least("mark", "new").alias("mark"), (F.coalesce("new", "mark") < F.col("mark")).alias("moved")))
+        told = edges.join(apart(now), edges.src == now.node).groupBy(F.col("dst").alias("node")).agg(F.min("mark").alias("new"))
+        after = written(now.join(apart(told), "node", "left").select("node", F.least("mark", "new").alias("mark"), (F.coalesce("new", "mark") < F.col("mark")).alias("moved")))
         if after.where("moved").isEmpty():
             return after.select("node", "mark")
         now = after.select("node", "mark")
@@ -89,8 +89,8 @@ def _by_marks(rest: DataFrame, left: DataFrame) -> DataFrame:
     marks = written(_least_reached(rest, left))
     # backwards, within one mark only
     a, b = marks.select(F.col("node").alias("src"), F.col("mark").alias("ma")), marks.select(F.col("node").alias("dst"), F.col("mark").alias("mb"))
-    back = written(rest.join(a, "src").join(b, "dst").where("ma = mb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return reached(back, marks.where("node = mark").select("node")).join(marks, "node").select("node", F.col("mark").alias("ring"))
+    back = written(rest.join(apart(a), "src").join(apart(b), "dst").where("ma = mb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return reached(back, marks.where("node = mark").select("node")).join(apart(marks), "node").select("node", F.col("mark").alias("ring"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -108,30 +108,30 @@ def components(edges: DataFrame) -> DataFrame:
     n = left.count()
     while n:
         into, out = rest.select(F.col("dst").alias("node")).distinct(), rest.select(F.col("src").alias("node")).distinct()
-        within = written(left.join(into, "node", "left_semi").join(out, "node", "left_semi"))
-        found.add(left.join(within, "node", "left_anti").select("node", F.col("node").alias("ring")))
-        keep = lambda of: (of.select(F.col("node").alias("src")), of.select(F.col("node").alias("dst")))
+        within = written(left.join(apart(into), "node", "left_semi").join(apart(out), "node", "left_semi"))
+        found.add(left.join(apart(within), "node", "left_anti").select("node", F.col("node").alias("ring")))
+        keep = lambda of: (apart(of.select(F.col("node").alias("src"))), apart(of.select(F.col("node").alias("dst"))))
         among = lambda edges, of: edges.join(keep(of)[0], "src", "left_semi").join(keep(of)[1], "dst", "left_semi")
         inside = written(among(rest, within))
         inner = inner_nodes(inside)
         found.add(inner.where("circle").select("node", F.col("low").alias("ring")))
         chains.append(inner.where("not circle"))
-        left = written(within.join(inner.select("node"), "node", "left_anti"))
+        left = written(within.join(apart(inner.select("node")), "node", "left_anti"))
         rest = written(_contracted(inside, inner).where("src <> dst").select("src", "dst"))
         fewer = left.count()
         if fewer > 0.9 * n:
             ringed = written(_by_marks(rest, left))
             found.add(ringed)
-            left = written(left.join(ringed, "node", "left_anti"))
+            left = written(left.join(apart(ringed), "node", "left_anti"))
             rest, fewer = written(among(rest, left)), left.count()
         n = fewer
     told = found.read()
     for inner in reversed(chains):
         ends = [told.select(F.col("node").alias(c), F.col("ring").alias(f"ring_{c}")) for c in ("before", "after")]
-        one = inner.join(ends[0], "before").join(ends[1], "after")
+        one = inner.join(apart(ends[0]), "before").join(apart(ends[1]), "after")
         told = written(told.unionByName(one.select("node", F.when(F.col("ring_before") == F.col("ring_after"), F.col("ring_before")).otherwise(F.col("node")).alias("ring"))))
     least = told.groupBy("ring").agg(F.min("node").alias("least"))
-    return told.join(least, "ring").select("node", F.col("least").alias("ring"))
+    return told.join(apart(least), "ring").select("node", F.col("least").alias("ring"))
 
 
 def rings(edges: DataFrame) -> DataFrame:
@@ -146,20 +146,20 @@ def levels(edges: DataFrame) -> DataFrame:
     """
     ring = written(components(edges))
     a, b = ring.select(F.col("node").alias("src"), F.col("ring").alias("ra")), ring.select(F.col("node").alias("dst"), F.col("ring").alias("rb"))
-    over = written(edges.join(a, "src").join(b, "dst").where("ra <> rb").select(F.col("ra").alias("src"), F.col("rb").alias("dst")).distinct())
+    over = written(edges.join(apart(a), "src").join(apart(b), "dst").where("ra <> rb").select(F.col("ra").alias("src"), F.col("rb").alias("dst")).distinct())
     inner = inner_nodes(over)
     short = written(_contracted(over, inner))
-    outer = ring.select(F.col("ring").alias("r")).distinct().join(inner.select(F.col("node").alias("r")), "r", "left_anti")
+    outer = ring.select(F.col("ring").alias("r")).distinct().join(apart(inner.select(F.col("node").alias("r"))), "r", "left_anti")
     now = written(outer.select("r", F.lit(0).cast("long").alias("level")))
     while True:
-        needed = short.join(now, short.dst == now.r).groupBy(F.col("src").alias("r")).agg(F.max(F.col("level") + F.col("w")).alias("new"))
-        after = written(now.join(needed, "r", "left").select("r", F.coalesce("new", F.lit(0)).alias("level"), (F.coalesce("new", F.lit(0)) != F.col("level")).alias("moved")))
+        needed = short.join(apart(now), short.dst == now.r).groupBy(F.col("src").alias("r")).agg(F.max(F.col("level") + F.col("w")).alias("new"))
+        after = written(now.join(apart(needed), "r", "left").select("r", F.coalesce("new", F.lit(0)).alias("level"), (F.coalesce("new", F.lit(0)) != F.col("level")).alias("moved")))
         if after.where("moved").isEmpty():
             break
         now = after.select("r", "level")
-    chained = inner.join(after.select(F.col("r").alias("after"), "level"), "after").select(F.col("node").alias("r"), (F.col("level") + F.col("ahead")).alias("level"))
+    chained = inner.join(apart(after.select(F.col("r").alias("after"), "level")), "after").select(F.col("node").alias("r"), (F.col("level") + F.col("ahead")).alias("level"))
     every = after.select("r", "level").unionByName(chained)
-    return ring.join(every, ring.ring == every.r).select("node", "level")
+    return ring.join(apart(every), ring.ring == every.r).select("node", "level")
 
 
 def unit_fold(edges: DataFrame, units: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import imports
+from tessera.operators import graph, imports
 from tessera.sources import tables
 
 
@@ -39,3 +39,10 @@ def test_found_imports_and_files_meet_without_sending_them(spark, parts):
     found = imports.resolved(files)
     assert "Broadcast" not in plan_of(found)
     assert "Broadcast" not in plan_of(imports.forwarding(found, imports.symbols(files)))
+
+
+def test_graph_states_are_not_sent_whole(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4)], "src long, dst long")
+    levels = graph.levels(edges)
+    assert "Broadcast" not in plan_of(levels)
+    assert {r["node"]: r["level"] for r in levels.collect()} == {1: 2, 2: 2, 3: 1, 4: 0}
