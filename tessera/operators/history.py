@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import ancestors
-from tessera.sources.tables import written
+from tessera.sources.tables import MOST, apart, dealt, written
 
 
 def path_churn(files: DataFrame, changes: DataFrame, commits: DataFrame) -> DataFrame:
@@ -35,9 +35,11 @@ def contributor_totals(commits: DataFrame, changes: DataFrame) -> DataFrame:
 
 def folder_owners(files: DataFrame, changes: DataFrame, commits: DataFrame) -> DataFrame:
     """(folder, who, touches, people): who touched a folder's files most, ties to the smaller number."""
-    touches = changes.join(commits.select("hash", "who"), "hash").groupBy("file", "who").agg(F.count("*").alias("n"))
+    # the tasks of each grouping are as many as its rows ask for
+    lines, paths = changes.count(), files.count()
+    touches = dealt(changes.join(apart(commits.select("hash", "who")), "hash"), "file", n=lines, most=MOST).groupBy("file", "who").agg(F.count("*").alias("n"))
     above = files.select("file", F.explode(F.expr("slice(transform(sequence(0, size(split(path, '/'))), n -> array_join(slice(split(path, '/'), 1, n), '/')), 2, size(split(path, '/')))")).alias("folder"))
-    by = touches.join(above, "file").groupBy("folder", "who").agg(F.sum("n").alias("n"))
+    by = dealt(touches.join(apart(above), "file"), "folder", "who", n=lines * (above.count() // max(paths, 1) + 1), most=MOST).groupBy("folder", "who").agg(F.sum("n").alias("n"))
     return by.groupBy("folder").agg(F.max(F.struct("n", (-F.col("who")).alias("w"))).alias("m"), F.count("*").alias("people")).select("folder", (-F.col("m.w")).alias("who"), F.col("m.n").alias("touches"), "people")
 
 

@@ -31,14 +31,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# Fixed value: rows of a table that one task makes texts of.
-ROWS = 16_384
+# Rows of a table that one task makes texts of, and that it groups.
+ROWS, MOST = 16_384, 262_144
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows dealt by keys over as many tasks as their number asks for. Few bytes of a file may be many rows, all read by one
+def dealt(rows: DataFrame, *keys: str, n: int | None = None, most: int = ROWS) -> DataFrame:
+    """rows, n of them, dealt by keys over tasks of about `most`; counted where n is not given. Few bytes of a file may be many rows, all read by one
     task, which would then make and hold all that becomes of them."""
-    return rows.repartition(max(1, -(-rows.count() // ROWS)), *keys)
+    return rows.repartition(max(1, -(-(rows.count() if n is None else n) // most)), *keys)
 
 
 def apart(rows: DataFrame) -> DataFrame:

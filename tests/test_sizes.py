@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, imports
+from tessera.operators import graph, history, imports
 from tessera.sources import tables
 
 
@@ -46,3 +46,14 @@ def test_graph_states_are_not_sent_whole(spark):
     levels = graph.levels(edges)
     assert "Broadcast" not in plan_of(levels)
     assert {r["node"]: r["level"] for r in levels.collect()} == {1: 2, 2: 2, 3: 1, 4: 0}
+
+
+def test_owners_are_grouped_by_tasks_for_their_number(spark, monkeypatch):
+    monkeypatch.setattr(history, "MOST", 1_000)
+    rows = spark.range(20_000)
+    files = spark.range(100).select(F.col("id").alias("file"), F.concat(F.lit("a/b/f"), F.col("id").cast("string")).alias("path"))
+    changes = rows.select(F.col("id").alias("hash"), (F.col("id") % 100).alias("file"))
+    commits = rows.select(F.col("id").alias("hash"), (F.col("id") % 7).alias("who"))
+    found = history.folder_owners(files, changes, commits)
+    assert "REPARTITION_BY_NUM" in plan_of(found)
+    assert {(r["folder"], r["people"]) for r in found.where("folder in ('a', 'a/b', 'a/b/f3')").collect()} == {("a", 7), ("a/b", 7), ("a/b/f3", 7)}
