@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import ancestors
-from tessera.sources.tables import written
+from tessera.sources.tables import apart, written
 
 
 def bare(path: Column) -> Column:
@@ -47,6 +47,6 @@ def preorder(nodes: DataFrame, weight: str) -> DataFrame:
     own = nodes.select("path", F.col(weight).alias("w"), parent.alias("parent"), chain.alias("chain"))
     size = own.select(F.explode("chain").alias("path")).groupBy("path").agg(F.count("*").alias("size"))
     before = Window.partitionBy("parent").orderBy(F.desc("w"), "path").rowsBetween(Window.unboundedPreceding, -1)
-    step = written(own.join(size, "path").select("path", (F.lit(1) + F.coalesce(F.sum("size").over(before), F.lit(0))).alias("step")))
+    step = written(own.join(apart(size), "path").select("path", (F.lit(1) + F.coalesce(F.sum("size").over(before), F.lit(0))).alias("step")))
     each = own.select("path", (F.size("chain") - 1).alias("depth"), F.explode("chain").alias("at"))
-    return each.join(step.select(F.col("path").alias("at"), "step"), "at").groupBy("path", "depth").agg(F.sum("step").alias("place"))
+    return each.join(apart(step.select(F.col("path").alias("at"), "step")), "at").groupBy("path", "depth").agg(F.sum("step").alias("place"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, history, imports
+from tessera.operators import graph, history, imports, paths
 from tessera.sources import tables
 
 
@@ -57,3 +57,10 @@ def test_owners_are_grouped_by_tasks_for_their_number(spark, monkeypatch):
     found = history.folder_owners(files, changes, commits)
     assert "REPARTITION_BY_NUM" in plan_of(found)
     assert {(r["folder"], r["people"]) for r in found.where("folder in ('a', 'a/b', 'a/b/f3')").collect()} == {("a", 7), ("a/b", 7), ("a/b/f3", 7)}
+
+
+def test_places_are_not_sent_whole(spark):
+    nodes = spark.createDataFrame([("", 3), ("a", 2), ("a/x", 2), ("b", 1)], "path string, w long")
+    places = paths.preorder(nodes, "w")
+    assert "Broadcast" not in plan_of(places)
+    assert {r["path"]: r["place"] for r in places.collect()} == {"": 1, "a": 2, "a/x": 3, "b": 4}
