@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import compare, exports, graph, history, markup, text, units
-from tessera.sources.tables import activity, changes, commits, files, partners, table, trade
+from tessera.sources.tables import activity, apart, changes, commits, files, partners, table, trade
 from tessera.streaming.activity import believable, sessions, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,7 +296,7 @@ def fleet_align(spark, at):
   UNION ALL SELECT 'idle:' || p_partkey, 'idle', p_size::BIGINT, 4::BIGINT FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)) SELECT id, kind, reach, minutes, round(reach / greatest(minutes, 1), 6) AS weight FROM t""")
 def tasks_union(spark, at):
     said = text.repeated_lines(table(spark, at, "documents")).select(F.concat(F.lit("text:"), "line").alias("id"), F.lit("text").alias("kind"), F.col("files").alias("reach"), S.minutes(F.col("files"), F.lit(0)).alias("minutes"))
-    idle = files(spark, at).join(changes(spark, at).select("file"), "file", "left_anti").select(F.concat(F.lit("idle:"), F.col("file").cast("string")).alias("id"), F.lit("idle").alias("kind"), F.col("weight").alias("reach"), F.lit(4).cast("long").alias("minutes"))
+    idle = files(spark, at).join(apart(changes(spark, at).select("file").distinct()), "file", "left_anti").select(F.concat(F.lit("idle:"), F.col("file").cast("string")).alias("id"), F.lit("idle").alias("kind"), F.col("weight").alias("reach"), F.lit(4).cast("long").alias("minutes"))
     return compare.ranked_tasks([said, idle])
 
 

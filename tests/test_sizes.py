@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, history, imports, paths
+from tessera.plans import catalog
 from tessera.sources import tables
 
 
@@ -64,3 +65,8 @@ def test_places_are_not_sent_whole(spark):
     places = paths.preorder(nodes, "w")
     assert "Broadcast" not in plan_of(places)
     assert {r["path"]: r["place"] for r in places.collect()} == {"": 1, "a": 2, "a/x": 3, "b": 4}
+
+
+def test_changes_of_idle_files_meet_them_once(spark):
+    plan = plan_of(catalog.QUERIES["tasks_union"](spark, "/root/testdata/sf0.001"))
+    assert "HashAggregate(keys=[l_partkey" in plan or "HashAggregate(keys=[file" in plan
