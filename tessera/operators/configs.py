@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import ancestors
 from tessera.functions.tolerant import document, plain_json
 from tessera.operators.imports import folder_of, walked
-from tessera.sources.tables import written
+from tessera.sources.tables import apart, written
 
 # The names of the configurations that are looked for, the first before the second.
 NAMES = ("tsconfig.json", "jsconfig.json")
@@ -36,15 +36,15 @@ def chains(links: DataFrame) -> DataFrame:
     Pointers double, so a chain of n takes log2(n) rounds. A step that leads back into its own chain ends it.
     """
     every = links.select("path").distinct()
-    held = written(links.select("path", "up").distinct().join(every.select(F.col("path").alias("up")), "up", "left_semi").where("path <> up"))
+    held = written(links.select("path", "up").distinct().join(apart(every.select(F.col("path").alias("up"))), "up", "left_semi").where("path <> up"))
     chain = written(every.select("path", F.lit(0).alias("step"), F.col("path").alias("at")))
     jump, span = held.select("path", F.col("up").alias("next")), 1
     while not jump.isEmpty():
-        more = jump.join(chain.select(F.col("path").alias("next"), "step", "at"), "next").select("path", (F.col("step") + span).alias("step"), "at")
+        more = jump.join(apart(chain.select(F.col("path").alias("next"), "step", "at")), "next").select("path", (F.col("step") + span).alias("step"), "at")
         # of what a chain visits twice the first visit counts, and what lies beyond it is gone over again
         chain = written(chain.unionByName(more).groupBy("path", "at").agg(F.min("step").alias("step")).select("path", "step", "at"))
-        far = jump.join(jump.select(F.col("path").alias("next"), F.col("next").alias("further")), "next").select("path", F.col("further").alias("next"))
-        jump = written(far.join(chain.select("path", F.col("at").alias("next")), ["path", "next"], "left_anti"))
+        far = jump.join(apart(jump.select(F.col("path").alias("next"), F.col("next").alias("further"))), "next").select("path", F.col("further").alias("next"))
+        jump = written(far.join(apart(chain.select("path", F.col("at").alias("next"))), ["path", "next"], "left_anti"))
         span *= 2
     return chain
 
@@ -56,7 +56,7 @@ def merged(configs: DataFrame) -> DataFrame:
     which they were first written, from the far end of the chain on. folder is that of the nearest configuration that
     has paths or a base_url, else of the chain's last one. aliases: array of (pattern, targets).
     """
-    chain = written(chains(configs).join(configs.select(F.col("path").alias("at"), "folder", "base_url", "paths"), "at"))
+    chain = written(chains(configs).join(apart(configs.select(F.col("path").alias("at"), "folder", "base_url", "paths")), "at"))
     own = (F.col("paths").isNotNull() | (F.coalesce("base_url", F.lit("")) != "")).alias("own")
     nearest = F.min_by("folder", F.when(own, F.col("step")))
     told = chain.groupBy("path").agg(F.coalesce(nearest, F.max_by("folder", "step")).alias("folder"), F.min_by("base_url", F.when(F.col("base_url").isNotNull(), F.col("step"))).alias("base_url"))
@@ -65,7 +65,7 @@ def merged(configs: DataFrame) -> DataFrame:
     # as many as the chain's own files hold
     lists = one.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("first", "pattern", "targets"))).alias("l"))
     aliases = F.transform("l", lambda a: F.struct(a["pattern"].alias("pattern"), a["targets"].alias("targets")))
-    return told.join(lists.select("path", aliases.alias("aliases")), "path", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<struct<pattern: string, targets: array<string>>>")))
+    return told.join(apart(lists.select("path", aliases.alias("aliases"))), "path", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<struct<pattern: string, targets: array<string>>>")))
 
 
 def nearest(files: DataFrame, configs: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def nearest(files: DataFrame, configs: DataFrame) -> DataFrame:
     one in force. In one folder the first of NAMES that is a file counts, and none if that one is not readable."""
     name = F.substring_index("path", "/", -1)
     here = files.where(name.isin(*NAMES)).select("path", folder_of(F.col("path")).alias("at"), (name != NAMES[0]).alias("second"))
-    first = here.groupBy("at").agg(F.min_by("path", "second").alias("path")).join(configs.select("path"), "path", "left_semi")
+    first = here.groupBy("at").agg(F.min_by("path", "second").alias("path")).join(apart(configs.select("path")), "path", "left_semi")
     folders = files.select(folder_of(F.col("path")).alias("folder")).distinct()
     above = folders.select("folder", F.explode(F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(ancestors(F.col("folder")))).alias("at"))
     return above.join(first, "at").groupBy("folder").agg(F.max_by("path", F.length("at")).alias("path"))
@@ -82,4 +82,4 @@ def nearest(files: DataFrame, configs: DataFrame) -> DataFrame:
 def settings(files: DataFrame) -> DataFrame:
     """(folder, root, base_url, aliases) in force in each folder of files (path, text) that has any."""
     configs = written(read(files))
-    return nearest(files, configs).join(merged(configs).withColumnRenamed("folder", "root"), "path").select("folder", "root", "base_url", "aliases")
+    return nearest(files, configs).join(apart(merged(configs).withColumnRenamed("folder", "root")), "path").select("folder", "root", "base_url", "aliases")

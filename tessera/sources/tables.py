@@ -131,7 +131,7 @@ def projects(spark: SparkSession, at: str) -> DataFrame:
     some are broken, some have comments and trailing commas. A folder's own configuration inherits from that of its
     least part; folders of every third size have none and look to their brand's.
     """
-    part = table(spark, at, "part").select(F.col("p_partkey").alias("key"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("where"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    part = dealt(table(spark, at, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select(F.col("p_partkey").alias("key"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("where"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
     key, where, text = F.col("key"), F.col("where"), lambda n: n.cast("string")
     said = lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in c))
     up = F.when(key % 6 == 0, "").when(key % 24 == 5, said('"extends": "./c', text(key - 4), '.json",')).otherwise(said('"extends": "./c', text(key + 1), '",'))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, history, imports, paths
+from tessera.operators import configs, graph, history, imports, paths
 from tessera.plans import catalog
 from tessera.sources import tables
 
@@ -49,6 +49,19 @@ def test_graph_states_are_not_sent_whole(spark):
     assert {r["node"]: r["level"] for r in levels.collect()} == {1: 2, 2: 2, 3: 1, 4: 0}
 
 
+def test_rings_are_not_sent_whole(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4)], "src long, dst long")
+    rings = graph.components(edges)
+    assert "Broadcast" not in plan_of(rings)
+    assert {r["node"]: r["ring"] for r in rings.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_configurations_are_read_by_several_tasks_and_not_sent(spark, parts):
+    assert tables.projects(spark, parts).where("path like 'c%'").rdd.getNumPartitions() >= 3
+    told = configs.merged(configs.read(tables.projects(spark, parts).where("path like 'c%.json'")))
+    assert "Broadcast" not in plan_of(told)
+
+
 def test_owners_are_grouped_by_tasks_for_their_number(spark, monkeypatch):
     monkeypatch.setattr(history, "MOST", 1_000)
     rows = spark.range(20_000)
