@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import ancestors
 from tessera.operators.graph import components
-from tessera.sources.tables import written
+from tessera.sources.tables import apart, written
 
 
 def usual(rows: DataFrame, key: str, value: str, at: str) -> DataFrame:
@@ -32,7 +32,7 @@ def flagged_tangles(edges: DataFrame, units: DataFrame) -> DataFrame:
     of its units; drawing nodes together hides such rings and invents others.
     """
     a, b = units.select(F.col("node").alias("src"), F.col("unit").alias("ua")), units.select(F.col("node").alias("dst"), F.col("unit").alias("ub"))
-    between = written(edges.join(a, "src").join(b, "dst").where("ua <> ub").groupBy(F.col("ua").alias("src"), F.col("ub").alias("dst")).agg(F.count("*").alias("n"), F.count_if("type").alias("types")))
+    between = written(edges.join(apart(a), "src").join(apart(b), "dst").where("ua <> ub").groupBy(F.col("ua").alias("src"), F.col("ub").alias("dst")).agg(F.count("*").alias("n"), F.count_if("type").alias("types")))
     ring = written(components(between))
     within = between.join(ring.select(F.col("node").alias("src"), F.col("ring").alias("tangle")), "src").join(ring.select(F.col("node").alias("dst"), F.col("ring").alias("other")), "dst").where("tangle = other")
     sizes = ring.groupBy(F.col("ring").alias("tangle")).agg(F.count("*").alias("size")).where("size > 1")
@@ -47,16 +47,16 @@ def flagged_tangles(edges: DataFrame, units: DataFrame) -> DataFrame:
 def spanning(edges: DataFrame, units: DataFrame) -> DataFrame:
     """(ring, unit): the units of each ring of nodes that has several, edges that only carry a type apart."""
     ring = components(edges.where("not type").select("src", "dst"))
-    held = written(ring.join(units, "node").select("ring", "unit").distinct())
+    held = written(ring.join(apart(units), "node").select("ring", "unit").distinct())
     return held.join(held.groupBy("ring").count().where("count > 1"), "ring", "left_semi")
 
 
 def ring_edges(edges: DataFrame, units: DataFrame) -> DataFrame:
     """(src, dst, n): how many edges of node rings lead from one unit to another, edges that only carry a type apart."""
     real = edges.where("not type").select("src", "dst")
-    ring = written(components(real).join(units, "node"))
+    ring = written(components(real).join(apart(units), "node"))
     a, b = (ring.select(F.col("node").alias(c), F.col("ring").alias(f"r{c}"), F.col("unit").alias(f"u{c}")) for c in ("src", "dst"))
-    met = real.join(a, "src").join(b, "dst").where("rsrc = rdst and usrc <> udst")
+    met = real.join(apart(a), "src").join(apart(b), "dst").where("rsrc = rdst and usrc <> udst")
     return met.groupBy(F.col("usrc").alias("src"), F.col("udst").alias("dst")).agg(F.count("*").alias("n"))
 
 

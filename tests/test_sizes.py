@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import configs, graph, history, imports, paths
+from tessera.operators import configs, graph, history, imports, paths, units
 from tessera.plans import catalog
 from tessera.sources import tables
 
@@ -83,3 +83,10 @@ def test_places_are_not_sent_whole(spark):
 def test_changes_of_idle_files_meet_them_once(spark):
     plan = plan_of(catalog.QUERIES["tasks_union"](spark, "/root/testdata/sf0.001"))
     assert "HashAggregate(keys=[l_partkey" in plan or "HashAggregate(keys=[file" in plan
+
+
+def test_ring_edges_of_units_are_not_sent_whole(spark):
+    edges = spark.createDataFrame([(1, 2, False), (2, 1, False)], "src long, dst long, type boolean")
+    found = units.ring_edges(edges, spark.createDataFrame([(1, "a"), (2, "b")], "node long, unit string"))
+    assert "Broadcast" not in plan_of(found)
+    assert {tuple(r) for r in found.select("src", "dst", "n").collect()} == {("a", "b", 1), ("b", "a", 1)}
