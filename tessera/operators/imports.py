@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.markup import package_of, specifiers
-from tessera.sources.tables import apart, written
+from tessera.sources.tables import MOST, apart, dealt, written
 
 # The endings tried in order, and what may stand for a written script ending.
 TRIED = (".ts", ".tsx", ".mts", ".cts", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".json")
@@ -21,9 +21,14 @@ def folder_of(path: Column) -> Column:
 
 def walked(start: Column, said: Column) -> Column:
     """said taken from the folder start, . and .. resolved; null where it leaves the root."""
-    steps = F.filter(F.concat(F.split(start, "/"), F.split(said, "/")), lambda p: ~p.isin("", "."))
-    up = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, p: F.when((p != "..") | F.coalesce(F.try_element_at(acc, F.lit(-1)) == "..", F.size(acc) == 0), F.concat(acc, F.array(p))).otherwise(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))))
-    return F.when(~F.array_contains(up, ".."), F.array_join(up, "/"))
+    # most have no more than one .. after a folder, which needs no walk; both columns are made once
+    short = F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), start, F.lit("/"), said), r"(/\.?)+(?=/|\z)", ""), r"/(?!\.\.(?:/|\z))[^/]+/\.\.(?=/|\z)", "")
+    return F.get(F.transform(F.array(short), lambda c: F.when(~c.rlike(r"/\.\.(/|\z)"), F.substring(c, 2, 1 << 30)).otherwise(_stepped(c))), F.lit(0))
+
+
+def _stepped(path: Column) -> Column:
+    up = F.aggregate(F.filter(F.split(path, "/"), lambda p: p != ""), F.array().cast("array<string>"), lambda acc, p: F.when((p != "..") | F.coalesce(F.try_element_at(acc, F.lit(-1)) == "..", F.size(acc) == 0), F.concat(acc, F.array(p))).otherwise(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))))
+    return F.get(F.transform(F.array(up), lambda steps: F.when(~F.array_contains(steps, ".."), F.array_join(steps, "/"))), F.lit(0))
 
 
 ENDS = tuple(dict.fromkeys((*TRIED, *(e for instead in REWRITTEN.values() for e in instead))))
@@ -33,10 +38,11 @@ def _told_by(files: DataFrame) -> DataFrame:
     """(key, form, end, dst): what a base may be for which each file of files (path) is tried: its whole path, that without
     an ending, the folder that it is the index of."""
     path = F.col("path")
-    ended = F.transform(F.filter(F.array(*map(F.lit, ENDS)), lambda e: F.endswith(path, e)), lambda e: F.struct(F.left(path, F.length(path) - F.length(e)).alias("key"), F.lit("ended").alias("form"), e.alias("end")))
-    index = F.transform(F.filter(ended, lambda x: x["key"].rlike("(^|/)index$")), lambda x: F.struct(F.regexp_replace(x["key"], "/?index$", "").alias("key"), F.lit("index").alias("form"), x["end"].alias("end")))
+    told = lambda end, form, cut: F.when(F.endswith(path, F.lit(cut)), F.struct(F.left(path, F.length(path) - len(cut)).alias("key"), F.lit(form).alias("form"), F.lit(end).alias("end")))
+    ended = [told(e, "ended", e) for e in ENDS]
+    index = [F.coalesce(told(e, "index", f"/index{e}"), F.when(path == f"index{e}", F.struct(F.lit("").alias("key"), F.lit("index").alias("form"), F.lit(e).alias("end")))) for e in ENDS]
     whole = F.struct(path.alias("key"), F.lit("whole").alias("form"), F.lit("").alias("end"))
-    return files.select(path.alias("dst"), F.explode(F.concat(F.array(whole), ended, index)).alias("x")).select("x.*", "dst").distinct()
+    return files.select(path.alias("dst"), F.explode(F.array_compact(F.array(whole, *ended, *index))).alias("x")).select("x.*", "dst")
 
 
 def _keys_of(base: Column) -> Column:
@@ -68,7 +74,11 @@ def _filled(target: Column, middle: Column) -> Column:
 
 def imports_of(files: DataFrame) -> DataFrame:
     """(src, specifier): the different imports of each file (path, text)."""
-    return files.select(F.col("path").alias("src"), F.explode(specifiers(F.col("text"))).alias("specifier")).distinct()
+    return _said_by(files).distinct()
+
+
+def _said_by(files: DataFrame) -> DataFrame:
+    return files.select(F.col("path").alias("src"), F.explode(F.array_distinct(specifiers(F.col("text")))).alias("specifier"))
 
 
 def resolved(files: DataFrame, aliases: Sequence[tuple[str, Sequence[str]]] = (), packages: DataFrame | None = None, base: str | None = None, settings: DataFrame | None = None) -> DataFrame:
@@ -80,7 +90,9 @@ def resolved(files: DataFrame, aliases: Sequence[tuple[str, Sequence[str]]] = ()
     candidate that is a file counts. Relative ones, absolute ones and those that an alias takes are missing without a
     file; the rest are packages. Bases meet the files in one join on the path without its ending.
     """
-    rows = written(imports_of(files))
+    # an import that a file makes twice, and a file that is given twice, meet in the last grouping
+    rows = written(_said_by(files))
+    n = rows.count()
     said = F.col("specifier")
     near = F.startswith(said, F.lit("."))
     outside = said.rlike(r"^/|^[A-Za-z]:[\\/]")
@@ -117,9 +129,11 @@ def resolved(files: DataFrame, aliases: Sequence[tuple[str, Sequence[str]]] = ()
     if base is not None:
         bases.append(F.array(F.when(bare, walked(F.lit(base), said))))
     tried = asked.select("src", "specifier", F.posexplode(F.array_compact(F.concat(*bases))).alias("place", "base")).select("src", "specifier", "place", F.explode(_keys_of(F.col("base"))).alias("x")).select("src", "specifier", "place", "x.*")
-    met = tried.join(apart(_told_by(files)), "key").withColumn("order", _order()).where("order is not null")
-    found = met.groupBy("src", "specifier").agg(F.min_by("dst", F.struct("place", "order")).alias("dst"))
-    out = asked.groupBy("src", "specifier").agg(F.bool_or("near").alias("near"), F.bool_or("taken").alias("taken")).join(apart(found), ["src", "specifier"], "left")
+    # both are dealt by their rows: few bytes hold many of them, and a task sorts all that it is given
+    met = dealt(tried, "key", n=2 * n, most=MOST).join(apart(_told_by(files)), "key").withColumn("order", _order()).where("order is not null")
+    every = asked.select("src", "specifier", "near", "taken").unionByName(met.select("src", "specifier", "dst", "place", "order"), allowMissingColumns=True)
+    best = F.min_by("dst", F.when(F.col("order").isNotNull(), F.struct("place", "order")))
+    out = dealt(every, "src", "specifier", n=2 * n, most=MOST).groupBy("src", "specifier").agg(best.alias("dst"), F.bool_or("near").alias("near"), F.bool_or("taken").alias("taken"))
     kind = F.when(F.col("dst").isNotNull(), "file").when(F.col("near") | F.col("taken"), "missing").otherwise("package")
     return out.select("src", "specifier", kind.alias("kind"), "dst", F.when(kind == "package", package_of(said)).alias("package"))
 

@@ -21,8 +21,9 @@ def page_links(pages: DataFrame) -> DataFrame:
 def specifiers(source: Column) -> Column:
     """Array of what a JavaScript source imports. Comments are dropped first; strings are taken as they stand."""
     bare = F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", " "), r"(?m)(^|\s)//[^\n]*$", "$1")
-    groups = [F.regexp_extract_all(bare, F.lit(IMPORT), F.lit(k)) for k in (1, 2, 3)]
-    return F.filter(F.zip_with(F.zip_with(groups[0], groups[1], lambda a, b: F.concat(a, b)), groups[2], lambda a, b: F.concat(a, b)), lambda s: s != "")
+    # a match ends with what it names, in the only quotes that it has
+    named = F.transform(F.regexp_extract_all(bare, F.lit(IMPORT), F.lit(0)), lambda m: F.regexp_extract(m, r"""['"]([^'"]+)['"]$""", 1))
+    return F.when(source.rlike("import|export|require"), named).when(source.isNotNull(), F.array().cast("array<string>"))
 
 
 def package_of(specifier: Column) -> Column:

@@ -42,6 +42,27 @@ def test_found_imports_and_files_meet_without_sending_them(spark, parts):
     assert "Broadcast" not in plan_of(imports.forwarding(found, imports.symbols(files)))
 
 
+def test_imports_and_what_they_are_tried_as_are_dealt_by_their_rows(spark, parts, monkeypatch):
+    monkeypatch.setattr(imports, "MOST", 20_000)
+    found = imports.resolved(tables.code(spark, parts))
+    assert found.rdd.getNumPartitions() == 24  # twice 240,000 imports by 20,000, however few bytes they are
+    assert found.count() == 240_000 and found.select("src", "specifier").distinct().count() == 240_000
+
+
+def test_ways_through_folders_are_walked_as_by_hand(spark):
+    def by_hand(start, said):
+        steps = []
+        for p in f"{start}/{said}".split("/"):
+            if p == ".." and not steps:
+                return None
+            steps = steps[:-1] if p == ".." else steps if p in ("", ".") else [*steps, p]
+        return "/".join(steps)
+
+    starts, said = ("", "a", "a/b", "a/./b", "a/../b", "a//b", "..", "/a", "a/", "a/b/c"), ("./x", "../x", "../../x", "..", ".", "", "x", "./../x", ".././x", "x//y", "..x/.y", "../..x", "x/..", "/x", "././x.js", "../../../x", "x/y/../../z", "...")
+    rows = spark.createDataFrame([(a, b, by_hand(a, b)) for a in starts for b in said] + [("a", None, None)], "a string, b string, c string")
+    assert rows.where(~F.col("c").eqNullSafe(imports.walked(F.col("a"), F.col("b")))).collect() == []
+
+
 def test_graph_states_are_not_sent_whole(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4)], "src long, dst long")
     levels = graph.levels(edges)
