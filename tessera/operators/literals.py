@@ -50,7 +50,8 @@ def repeated(found: DataFrame) -> DataFrame:
     do; first is the least path. The greatest weight, files times length, comes first, ties by the literal."""
     real = (role_of(F.col("path")) != "test") & ~F.col("path").rlike(MOCK)
     by = found.groupBy("said").agg(F.count("*").alias("files"), F.bool_or(real).alias("real"), F.min("path").alias("first")).where(F.col("real") & (F.col("files") >= SPREAD))
-    told = by.withColumn("styled", styled(F.col("said"))).where(~F.col("styled") | ((F.col("files") >= WIDE) & (F.size(F.split("said", r"\s+")) >= FEW)))
+    # said beside the count, or Spark would ask it of every literal of every file
+    told = by.withColumn("styled", (F.col("files") >= SPREAD) & styled(F.col("said"))).where(~F.col("styled") | ((F.col("files") >= WIDE) & (F.size(F.split("said", r"\s+")) >= FEW)))
     return told.select("said", "files", "styled", "first", (F.col("files") * F.length("said")).alias("weight")).orderBy(F.desc("weight"), "said")
 
 
