@@ -23,7 +23,7 @@ def specifiers(source: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", " "), r"(?m)(^|\s)//[^\n]*$", "$1")
     # a match ends with what it names, in the only quotes that it has
     named = F.transform(F.regexp_extract_all(bare, F.lit(IMPORT), F.lit(0)), lambda m: F.regexp_extract(m, r"""['"]([^'"]+)['"]$""", 1))
-    return F.when(source.rlike("import|export|require"), named).when(source.isNotNull(), F.array().cast("array<string>"))
+    return F.when(F.contains(source, F.lit("import")) | F.contains(source, F.lit("export")) | F.contains(source, F.lit("require")), named).when(source.isNotNull(), F.array().cast("array<string>"))
 
 
 def package_of(specifier: Column) -> Column:

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import configs, graph, history, imports, paths, units
+from tessera.functions import files as kinds
+from tessera.operators import configs, graph, history, imports, literals, markup, paths, units
 from tessera.plans import catalog
 from tessera.sources import tables
 
@@ -63,6 +64,26 @@ def test_ways_through_folders_are_walked_as_by_hand(spark):
     assert rows.where(~F.col("c").eqNullSafe(imports.walked(F.col("a"), F.col("b")))).collect() == []
 
 
+def test_a_text_is_read_once_for_literals_and_once_for_imports(spark):
+    files = spark.createDataFrame([("a.ts", "say('one text that is long enough')\nimport a,\n b from 'x'\nx = require( \"./y\") + import('z\"z') // require('no')\n")], "path string, text string")
+    found = literals.literals(files)
+    assert plan_of(found).count("regexp_extract_all") == 2
+    assert [r.said for r in found.collect()] == ["one text that is long enough"]
+    assert files.select(markup.specifiers(F.col("text")).alias("s")).first().s == ["x", "./y", "z"]
+
+
+def test_only_repeated_literals_are_split_into_classes(spark):
+    rows = spark.createDataFrame([("a.ts", "flex p-4 m-2 text-center")], "path string, said string")
+    plan = plan_of(literals.tasks(literals.repeated(rows)))
+    assert "forall" not in plan[plan.rindex("Exchange hashpartitioning(said") :]
+
+
+def test_signs_are_counted_by_code_points_and_kinds_of_blanks(spark):
+    said = ["\U0001f600" * 4 + "1\t\n\x0b\f\r 9%|", "\U0001f600" * 6 + "1\t\n\x0b\f\r", "b\u00a0\u00a0\u00a0\u2003"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, said string")
+    assert [r.m for r in rows.orderBy("i").select(kinds.machine_made(F.col("said")).alias("m")).collect()] == [True, False, False]
+
+
 def test_graph_states_are_not_sent_whole(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4)], "src long, dst long")
     levels = graph.levels(edges)
