@@ -5,25 +5,36 @@ Loops keep their state in written tables; only counts reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import LOCAL
-from tessera.sources.tables import apart, fresh_path, written
+from tessera.sources.tables import MOST, ROWS, apart, dealt, fresh_path, written
+
+
+# A fixed value: steps along the edges between two writes of the marks.
+STEPS = 3
 
 
 class Rows:
     """A table in the shared folder that rounds append to; its plan stays as small as a file list."""
 
-    def __init__(self, first: DataFrame):
-        self.spark, self.schema, self.path = first.sparkSession, first.schema, fresh_path(first.sparkSession)
-        self.add(first)
+    def __init__(self, like: DataFrame):
+        self.spark, self.schema, self.paths = like.sparkSession, like.schema, []
 
-    def add(self, more: DataFrame) -> None:
-        more.write.mode("append").parquet(self.path)
+    def add(self, more: DataFrame) -> DataFrame:
+        """more, written once: read back alone for the next round, with all others at the end."""
+        self.paths.append(fresh_path(self.spark))
+        more.write.parquet(self.paths[-1])
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
 
 
 def inner_nodes(edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
@@ -38,7 +49,9 @@ def inner_nodes(edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     rows = into.join(apart(out), "node").where("before <> after or before <> node")
     if kept is not None:
         rows = rows.join(apart(kept.select("node")), "node", "left_anti")
-    now, last = written(rows.select("node", "before", "after", F.lit(1).cast("long").alias("ahead"), F.col("node").alias("low"))), None
+    now, last = written(rows.select("node", "before", "after", F.lit(1).cast("long").alias("ahead"), F.col("node").alias("low"), F.lit(False).alias("circle"))), None
+    if now.isEmpty():
+        return now
     while True:
         to = now.select(F.col("node").alias("after"), F.col("after").alias("to"), F.col("ahead").alias("more"), F.col("low").alias("least"))
         back = now.select(F.col("node").alias("before"), F.col("before").alias("from"))
@@ -65,10 +78,10 @@ def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     roots = written(roots.select("node").distinct())
     inner = inner_nodes(edges, roots)
     short = written(_contracted(edges, inner))
-    seen, front = Rows(roots), roots
+    seen = Rows(roots)
+    front = seen.add(roots)
     while not front.isEmpty():
-        front = written(short.join(apart(front), short.src == front.node, "left_semi").select(F.col("dst").alias("node")).distinct().join(apart(seen.read()), "node", "left_anti"))
-        seen.add(front)
+        front = seen.add(short.join(apart(front), short.src == front.node, "left_semi").select(F.col("dst").alias("node")).distinct().join(apart(seen.read()), "node", "left_anti"))
     within = inner.where("not circle").join(apart(seen.read().select(F.col("node").alias("before"))), "before", "left_semi").select("node")
     return seen.read().unionByName(within)
 
@@ -84,54 +97,138 @@ def _least_reached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         now = after.select("node", "mark")
 
 
-def _by_marks(rest: DataFrame, left: DataFrame) -> DataFrame:
-    """(node, ring) of the components whose least member leads to all that it marks: those that lead back to their mark."""
-    marks = written(_least_reached(rest, left))
-    # backwards, within one mark only
-    a, b = marks.select(F.col("node").alias("src"), F.col("mark").alias("ma")), marks.select(F.col("node").alias("dst"), F.col("mark").alias("mb"))
-    back = written(rest.join(apart(a), "src").join(apart(b), "dst").where("ma = mb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return reached(back, marks.where("node = mark").select("node")).join(apart(marks), "node").select("node", F.col("mark").alias("ring"))
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges whose source something enters and whose destination something leaves: all of those within a component."""
+    into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(apart(into), "src", "left_semi").join(apart(out), "dst", "left_semi").select("src", "dst")
+
+
+def _ranked(both: DataFrame) -> DataFrame:
+    """(node, first, last): a different number for each node at (at, way), the greatest ones where most edges meet."""
+    degrees = both.groupBy(F.col("at").alias("node")).agg(F.count_if(F.col("way") > 0).alias("out"), F.count_if(F.col("way") < 0).alias("into"))
+    score = F.least(F.col("out"), F.lit(11)) * F.least(F.col("into"), F.lit(11))
+    seed = 0
+    while True:
+        rank = F.shiftleft(score, 56).bitwiseOR(F.xxhash64("node", F.lit(seed)).bitwiseAND(F.lit((1 << 56) - 1)))
+        nodes = written(degrees.select("node", rank.alias("first")))
+        if nodes.groupBy("first").count().where("count > 1").isEmpty():
+            return nodes.select("node", "first", F.col("first").alias("last"))
+        seed += 1
+
+
+def _by_marks(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, ring) of the components found, and the edges (src, dst, first, last) that components not found yet may hold.
+
+    Each node is marked with the node of the greatest number that leads to it and with the one that it leads to. Where
+    both are the same, they form a component; all of one component agree in both, so only edges between nodes that
+    agree are left. Numbers are dealt by a hash, so what lies one behind the other is halved, not taken off by one.
+    """
+    both = rest.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(1).alias("way")).unionByName(rest.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(-1).alias("way")))
+    now = _ranked(both)
+    both = written(both.unionByName(now.select(F.col("node").alias("at"), F.col("node").alias("to"), F.lit(0).alias("way"))))
+    told = [F.max(F.when(F.col("way") >= 0, F.col("first"))).alias("first"), F.max(F.when(F.col("way") <= 0, F.col("last"))).alias("last")]
+    while True:
+        for _ in range(STEPS - 1):
+            now = both.join(now.hint("shuffle_hash"), F.col("at") == F.col("node")).groupBy(F.col("to").alias("node")).agg(*told)
+        was = [F.max(F.when(F.col("way") == 0, F.col(c))).alias(f"{c}_was") for c in ("first", "last")]
+        now = both.join(now.hint("shuffle_hash"), F.col("at") == F.col("node")).groupBy(F.col("to").alias("node")).agg(*told, *was)
+        now = written(now.select("node", "first", "last", ((F.col("first") > F.col("first_was")) | (F.col("last") > F.col("last_was"))).alias("moved")))
+        if now.where("moved").isEmpty():
+            break
+        now = now.drop("moved")
+    same = now.where("first = last")
+    ringed = same.join(apart(same.groupBy("first").agg(F.min("node").alias("ring"))), "first").select("node", "ring")
+    open_ = now.where("first <> last")
+    a, b = (open_.select(F.col("node").alias(c), "first", "last") for c in ("src", "dst"))
+    return ringed, rest.join(apart(a), "src").join(apart(b), ["dst", "first", "last"]).select("src", "dst", "first", "last")
+
+
+def _walked(edges: DataFrame) -> DataFrame:
+    """(node, ring) of the components of several nodes, those of each task's edges (src, dst) by depth first walks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        edges = pa.Table.from_batches(held)
+        names = pa.chunked_array(edges["src"].chunks + edges["dst"].chunks).unique()
+        src, dst = (pc.index_in(edges[c], value_set=names).to_numpy() for c in ("src", "dst"))
+        order, n = np.argsort(src, kind="stable"), len(names)
+        to, ends = dst[order].tolist(), np.searchsorted(src[order], np.arange(1, n + 1)).tolist()
+        at, low, seen, rings = [0, *ends[:-1]], [0] * n, 0, [-1] * n
+        stack, path = [], []
+        for root in range(n):
+            if low[root]:
+                continue
+            path.append((root, seen + 1))
+            while path:
+                v, first = path[-1]
+                if not low[v]:
+                    low[v] = seen = first
+                    stack.append(v)
+                while at[v] < ends[v]:
+                    w = to[at[v]]
+                    if not low[w]:
+                        path.append((w, seen + 1))
+                        break
+                    at[v] += 1
+                    if rings[w] < 0 and low[w] < low[v]:
+                        low[v] = low[w]
+                else:
+                    path.pop()
+                    if low[v] == first:
+                        while rings[v] < 0:
+                            rings[stack.pop()] = v
+        rings = np.array(rings)
+        several = np.flatnonzero(np.bincount(rings, minlength=n)[rings] > 1)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(several)), names.take(pa.array(rings[several]))], ["node", "ring"])
+
+    node = edges.schema["src"].dataType.simpleString()
+    return edges.select("src", "dst").mapInArrow(run, f"node {node}, ring {node}")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, ring): strongly connected components, ring being the least member.
 
-    A round drops the nodes that nothing enters or leaves, then draws chains of single edges together to one edge: what
-    hangs on a graph is gone after rounds in the logarithm of its size. Where neither removes a tenth of the nodes, each
-    node is marked with the least one that leads to it; those that lead back to their mark form its component. Nodes of
-    a chain belong to a component if both of its ends do.
+    Only the edges are kept that components may still hold. A round drops those of nodes that nothing enters or leaves;
+    where that is not a tenth of them, it draws chains of single edges together to one edge; where that is not a tenth
+    either, nodes are marked along the edges. Of the classes that marks leave, those of up to 16,384 edges are dealt over
+    tasks that walk them, larger ones go on. Nodes of a chain belong to a component if both of its ends do.
     """
     every = written(edges.select("src", "dst").distinct())
-    nodes = written(every.select(F.col("src").alias("node")).union(every.select("dst")).distinct())
-    rest, left = written(every.where("src <> dst")), nodes
-    found, chains = Rows(nodes.limit(0).select("node", F.col("node").alias("ring"))), []
-    n = left.count()
+    rest = every.where("src <> dst")
+    found, chains = Rows(every.select(F.col("src").alias("node"), F.col("src").alias("ring"))), []
+    n = rest.count()
     while n:
-        into, out = rest.select(F.col("dst").alias("node")).distinct(), rest.select(F.col("src").alias("node")).distinct()
-        within = written(left.join(apart(into), "node", "left_semi").join(apart(out), "node", "left_semi"))
-        found.add(left.join(apart(within), "node", "left_anti").select("node", F.col("node").alias("ring")))
-        keep = lambda of: (apart(of.select(F.col("node").alias("src"))), apart(of.select(F.col("node").alias("dst"))))
-        among = lambda edges, of: edges.join(keep(of)[0], "src", "left_semi").join(keep(of)[1], "dst", "left_semi")
-        inside = written(among(rest, within))
-        inner = inner_nodes(inside)
-        found.add(inner.where("circle").select("node", F.col("low").alias("ring")))
-        chains.append(inner.where("not circle"))
-        left = written(within.join(apart(inner.select("node")), "node", "left_anti"))
-        rest = written(_contracted(inside, inner).where("src <> dst").select("src", "dst"))
-        fewer = left.count()
-        if fewer > 0.9 * n:
-            ringed = written(_by_marks(rest, left))
+        rest = written(_trimmed(_trimmed(rest)))
+        left = rest.count()
+        if left > 0.9 * n:
+            inner = inner_nodes(rest)
+            found.add(inner.where("circle").select("node", F.col("low").alias("ring")))
+            chains.append(inner.where("not circle"))
+            rest = written(_contracted(rest, inner).where("src <> dst").select("src", "dst"))
+            left = rest.count()
+        if left > 0.9 * n:
+            ringed, held = _by_marks(rest)
             found.add(ringed)
-            left = written(left.join(apart(ringed), "node", "left_anti"))
-            rest, fewer = written(among(rest, left)), left.count()
-        n = fewer
+            held = written(held)
+            sizes = held.groupBy("first", "last").count()
+            small = written(held.join(apart(sizes.where(F.col("count") <= ROWS)), ["first", "last"], "left_semi"))
+            found.add(_walked(dealt(small, "first", "last", most=MOST)))
+            rest = written(held.join(apart(sizes.where(F.col("count") > ROWS)), ["first", "last"], "left_semi").select("src", "dst"))
+            left = rest.count()
+        n = left
     told = found.read()
     for inner in reversed(chains):
+        # a node that is in no component told is one by itself
         ends = [told.select(F.col("node").alias(c), F.col("ring").alias(f"ring_{c}")) for c in ("before", "after")]
-        one = inner.join(apart(ends[0]), "before").join(apart(ends[1]), "after")
-        told = written(told.unionByName(one.select("node", F.when(F.col("ring_before") == F.col("ring_after"), F.col("ring_before")).otherwise(F.col("node")).alias("ring"))))
-    least = told.groupBy("ring").agg(F.min("node").alias("least"))
-    return told.join(apart(least), "ring").select("node", F.col("least").alias("ring"))
+        one = inner.join(apart(ends[0]), "before", "left").join(apart(ends[1]), "after", "left")
+        one = one.select("node", F.coalesce("ring_before", "before").alias("ring"), F.coalesce("ring_after", "after").alias("other")).where("ring = other")
+        told = written(told.unionByName(one.select("node", "ring")))
+    least = told.groupBy("ring").agg(F.least(F.min("node"), F.col("ring")).alias("least"))
+    nodes = every.select(F.col("src").alias("node")).union(every.select("dst")).distinct()
+    ring = nodes.join(apart(told), "node", "left").select("node", F.coalesce("ring", "node").alias("ring"))
+    return ring.join(apart(least), "ring", "left").select("node", F.coalesce("least", "ring").alias("ring"))
 
 
 def rings(edges: DataFrame) -> DataFrame:
@@ -245,23 +342,23 @@ def route_links(clients: DataFrame, endpoints: DataFrame, hosts: list[str] | Dat
 def mounted(mounts: DataFrame, files: DataFrame) -> DataFrame:
     """(file, prefix): the prefixes under which each file (file) answers, joined along mounts (src, dst, prefix) from the
     files that nothing mounts, however many mounts that takes. A file that nothing leads to answers under ''. No path
-    visits a file twice: only files of a ring can be met again, so only those are remembered, and paths that agree in
-    file, prefix and these are one."""
+    visits a file twice: only files of the ring that it is in can be met again, so only those are remembered until it
+    leaves the ring, and paths that agree in file, prefix and these are one."""
     mounts = written(mounts.select("src", "dst", "prefix").distinct())
     every = files.select("file").union(mounts.select("src")).union(mounts.select("dst")).distinct()
-    ring = components(mounts)
-    crowded = ring.join(ring.groupBy("ring").count().where("count > 1"), "ring", "left_semi").select(F.col("node").alias("dst"), F.lit(True).alias("ringed"))
-    told = written(mounts.join(crowded, "dst", "left"))
-    roots = every.join(mounts.select(F.col("dst").alias("file")), "file", "left_anti").select("file", F.lit("").alias("prefix"), F.array().cast("array<string>").alias("seen"))
-    front = written(roots)
-    found = Rows(front)
+    ring = written(components(mounts))
+    crowded = written(ring.join(apart(ring.groupBy("ring").count().where("count > 1")), "ring", "left_semi"))
+    a, b = (crowded.select(F.col("node").alias(c), F.col("ring").alias(f"ring_{c}")) for c in ("src", "dst"))
+    met = mounts.where("src <> dst").join(apart(a), "src", "left").join(apart(b), "dst", "left")
+    told = written(met.select("src", "dst", "prefix", F.col("ring_dst").isNotNull().alias("ringed"), F.coalesce(F.col("ring_src") == F.col("ring_dst"), F.lit(False)).alias("within")))
+    roots = every.join(apart(mounts.select(F.col("dst").alias("file"))), "file", "left_anti").select("file", F.lit("").alias("prefix"), F.array().cast("array<string>").alias("seen"))
+    found = Rows(roots)
+    front = found.add(roots)
+    slashless = F.regexp_replace(F.regexp_replace(F.concat(F.col("a"), F.lit("/"), F.col("prefix")), "/+", "/"), "/$", "")
+    name = F.col("dst").cast("string")
+    seen = F.when(F.col("within"), F.array_sort(F.concat("seen", F.array(name)))).when(F.col("ringed"), F.array(name)).otherwise(F.array().cast("array<string>"))
     while not front.isEmpty():
-        slashless = F.regexp_replace(F.regexp_replace(F.concat(F.col("a"), F.lit("/"), F.col("prefix")), "/+", "/"), "/$", "")
-        name = F.col("dst").cast("string")
-        front = written(
-            front.select(F.col("file").alias("src"), F.col("prefix").alias("a"), "seen").join(told, "src").where(F.col("ringed").isNull() | ~F.array_contains("seen", name))
-            .select(F.col("dst").alias("file"), slashless.alias("prefix"), F.when(F.col("ringed"), F.array_sort(F.concat("seen", F.array(name)))).otherwise(F.col("seen")).alias("seen")).distinct()
-        )
-        found.add(front)
+        steps = front.select(F.col("file").alias("src"), F.col("prefix").alias("a"), "seen").join(apart(told), "src").where(~F.col("within") | ~F.array_contains("seen", name))
+        front = found.add(steps.select(F.col("dst").alias("file"), slashless.alias("prefix"), seen.alias("seen")).distinct())
     led = found.read().select("file", "prefix").distinct()
-    return led.unionByName(every.join(led, "file", "left_anti").select("file", F.lit("").alias("prefix")))
+    return led.unionByName(every.join(apart(found.read().select("file").distinct()), "file", "left_anti").select("file", F.lit("").alias("prefix")))

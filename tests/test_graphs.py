@@ -73,6 +73,46 @@ def test_mounts_of_diamonds_and_rings(spark):
     assert len(got) == 1 + 8 * 3 + 3 + 3 and ("r", whole + "/r/s/t") not in got
 
 
+def test_rings_one_under_the_other_take_few_rounds(spark, monkeypatch):
+    # each number leads to the two of twice it, each fifth back to a quarter of it, as registered mounts do
+    n = 3_000
+    pairs = {(k // 2, k) for k in range(1, n)} | {(k, k // 4) for k in range(20, n, 5)}
+    above = {k: {k} for k in range(n)}  # nothing leads into a node's subtree but from above it, so rings are told from the leaves on
+    for k in reversed(range(1, n)):
+        above[k // 2] |= above[k]
+    out = {k: {k // 4} if k >= 20 and k % 5 == 0 else set() for k in range(n)}
+    ring = {}
+    for top in range(n):
+        if top in ring:
+            continue
+        back, grown = {top}, True
+        while grown:
+            new = {k for k in above[top] - back if out[k] & back or (2 * k in back or 2 * k + 1 in back)}
+            grown = bool(new)
+            back |= new
+        ring |= {k: top for k in back if k not in ring}
+    rounds = []
+    kept = graph.written
+    monkeypatch.setattr(graph, "written", lambda df: rounds.append(1) or kept(df))
+    got = {r["node"]: r["ring"] for r in graph.components(edges_of(spark, pairs)).collect()}
+    assert got == ring and len(rounds) < 45
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_rings_by_marks_alone(spark, monkeypatch, seed):
+    monkeypatch.setattr(graph, "ROWS", 0)  # no class is small enough for one task
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(100)} | {(70, 71), (71, 72), (72, 70), (71, 70), (72, 71), (70, 72)}
+    assert {r["node"]: r["ring"] for r in graph.components(edges_of(spark, pairs)).collect()} == plain(pairs)[1]
+
+
+def test_mounts_of_itself_and_of_rings_left(spark):
+    # c and d follow two rings one after the other; what was passed in the first is forgotten in the second
+    rows = [("r", "a", "/p"), ("a", "a", "x"), ("a", "b", ""), ("b", "a", ""), ("a", "c", "/q"), ("b", "c", "/q"), ("c", "d", "/s"), ("d", "c", "/t"), ("d", "e", "")]
+    got = told(graph.mounted(spark.createDataFrame(rows, "src string, dst string, prefix string"), spark.createDataFrame([("r",)], "file string")), "file", "prefix")
+    assert got == {("r", ""), ("a", "/p"), ("b", "/p"), ("c", "/p/q"), ("d", "/p/q/s"), ("e", "/p/q/s")}
+
+
 def test_tangles_with_flags(spark):
     # X and Y depend on each other by types only in one direction; P and Q really, through a ring of files; M and N without one
     edges = [(1, 2, False), (2, 1, True), (3, 4, False), (4, 3, False), (5, 6, False), (7, 8, False), (1, 3, False)]
