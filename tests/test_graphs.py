@@ -98,6 +98,12 @@ def test_rings_one_under_the_other_take_few_rounds(spark, monkeypatch):
     assert got == ring and len(rounds) < 45
 
 
+def test_marks_tell_one_ring_from_those_before_and_behind_it(spark):
+    ringed, left = graph._by_marks(edges_of(spark, [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3)]))
+    found, still = told(ringed, "node", "ring"), told(left, "src", "dst")
+    assert (found, still) in (({(1, 1), (2, 1)}, {(3, 4), (4, 3)}), ({(3, 3), (4, 3)}, {(1, 2), (2, 1)}))
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_rings_by_marks_alone(spark, monkeypatch, seed):
     monkeypatch.setattr(graph, "ROWS", 0)  # no class is small enough for one task
